@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from kinweave.llm import perspectives, quality, sharding
+from kinweave.llm import bpe, language, perspectives, quality, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.query,
+        "op3_token_counts": token_counts.query,
         "op5_chat_perspectives": perspectives.query,
         "op8_quality_rules": quality.query,
+        "op9_byte_bpe": bpe.query,
+        "op10_language_id": language.query,
         "quality_ablation": quality.ablation_query,
     }
 
