@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, language, perspectives, quality, sharding, token_counts
+from kinweave.llm import bpe, decontamination, language, perspectives, quality, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.query,
         "op2_sharding": sharding.query,
         "op3_token_counts": token_counts.query,
         "op5_chat_perspectives": perspectives.query,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontamination.SQL,
         "op5_chat_perspectives": perspectives.SQL,
         "op8_quality_rules": quality.QUERY_SQL,
         "quality_ablation": quality.ABLATION_SQL,
