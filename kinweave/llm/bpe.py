@@ -193,7 +193,8 @@ class Encoder:
         return split
 
 
-def _default_file() -> tuple[str, str]:
+def default_file() -> tuple[str, str]:
+    """The rank file of the installed public vocabularies, and its pattern."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -262,4 +263,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), *_default_file())
+    return digests(table(spark, sf_dir, "documents"), *default_file())

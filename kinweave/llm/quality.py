@@ -95,24 +95,27 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, the measurements, failed): ``failed`` has bit k set if rule k fails.
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the measurements, failed, and the columns ``keep``): ``failed`` has bit k set if rule k fails.
 
     Words are runs without the six ASCII white-space characters.  A null or
     empty text has no words and fails ``few_words``; equal rows are measured
     alike; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    extra = [c for c in keep if c not in (id_col, text_col)]
+    rest = F.struct(F.lit(0).alias("_"), *extra, *([F.col(text_col)] if text_col in keep else []))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    id_type, rest_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             columns = np.array([measure(t) for t in texts(batch.column(1))], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], ["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], ["doc_id", "rest", *MEASURES])
 
-    measured = rows.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = rows.mapInArrow(run, f"doc_id {id_type}, rest {rest_type}, " + ", ".join(f"{m} long" for m in MEASURES))
     failed = " | ".join(f"if({rule}, {1 << k}L, 0L)" for k, (_, rule) in enumerate(RULES))
-    return measured.withColumn("failed", F.expr(failed))
+    kept = [F.col("rest")[c].alias(c) for c in [*extra, *([text_col] if text_col in keep else [])]]
+    return measured.select("doc_id", *MEASURES, F.expr(failed).alias("failed"), *kept)
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontamination, language, perspectives, quality, repeats, sharding, simhash, token_counts
+from kinweave.llm import bpe, decontamination, language, perspectives, quality, repeats, sharding, simhash, templates, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.query,
         "op2_sharding": sharding.query,
         "op3_token_counts": token_counts.query,
+        "op4_line_dedup": templates.query,
         "op5_chat_perspectives": perspectives.query,
         "op6_suffix_array_dedup": repeats.query,
         "op7_simhash_near_dedup": simhash.query,
