@@ -1 +1 @@
-"""functions"""
+"""Column functions: contacts, dates, countries, skills and text extraction."""
