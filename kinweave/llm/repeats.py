@@ -106,18 +106,24 @@ def _bin(h: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane, which compresses well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+def _pack(values: np.ndarray | bytes) -> bytes:
+    """Numbers (byte plane by byte plane) or bytes, compressed, after their size."""
+    raw = values if isinstance(values, bytes) else values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _from_planes(blob: bytes, kind: str) -> np.ndarray:
+def _bytes(cell: bytes) -> bytes:
+    return pa.decompress(cell[8:], decompressed_size=int.from_bytes(cell[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _numbers(cell: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+    return np.ascontiguousarray(np.frombuffer(_bytes(cell), np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
 def _text_key(t) -> int:
-    return int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
+    """Tells texts with the same id apart."""
+    return int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little")
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], text_at: int, most: int = FLUSH_BYTES) -> Iterator[list[pa.RecordBatch]]:
@@ -161,7 +167,7 @@ def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
             low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             cuts = run_starts(b)
             for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(b)).tolist() if len(b) else [], strict=True):
-                yield _row(int(b[s]), _planes(low[s:e]), _planes(doc[s:e].astype(np.int64)), np.packbits(several[s:e]).tobytes())
+                yield _row(int(b[s]), _pack(low[s:e]), _pack(doc[s:e].astype(np.int64)), np.packbits(several[s:e]).tobytes())
 
     def _row(b: int, low: bytes, doc: bytes, several: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.nulls(1, pa.int64()), pa.array([low], pa.binary()), pa.array([doc], pa.binary()), pa.array([several], pa.binary())], ["bin", "doc_id", "low", "doc", "several"])
@@ -180,8 +186,8 @@ def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
         t = t.filter(pc.is_null(t.column("doc_id")))
         if not t.num_rows:
             return known
-        low = np.concatenate([_from_planes(x, "<u4") for x in t.column("low").to_pylist()])
-        docs_of = [_from_planes(x, "<i8") for x in t.column("doc").to_pylist()]
+        low = np.concatenate([_numbers(x, "<u4") for x in t.column("low").to_pylist()])
+        docs_of = [_numbers(x, "<i8") for x in t.column("doc").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d)).astype(bool) for x, d in zip(t.column("several").to_pylist(), docs_of, strict=True)])
         doc = np.concatenate(docs_of)
         order = np.argsort(low, kind="stable")
@@ -295,13 +301,9 @@ def _span_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.n
 
 def _meet_bin(t: pa.Table, least: int, every: bool) -> pa.RecordBatch | None:
     """The spans of a bin that repeat a smaller document, or with ``every`` all occurrences of all its maximal repeats."""
-    sizes = np.concatenate([np.frombuffer(x, "<i4") for x in t.column("sizes").to_pylist()]).astype(np.int64)
-    starts = np.concatenate([np.frombuffer(x, "<i4") for x in t.column("starts").to_pylist()]).astype(np.int64)
-    doc = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("docs").to_pylist()])
-    key = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("keys").to_pylist()])
-    at = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("at").to_pylist()])
-    blobs = t.column("bytes").to_pylist()
-    whole = b"".join(blobs)
+    column = lambda name, kind: np.concatenate([_numbers(x, kind) for x in t.column(name).to_pylist()]).astype(np.int64)
+    sizes, starts, doc, key, at = column("sizes", "<u2"), column("starts", "<u2"), column("docs", "<i8"), column("keys", "<u4"), column("at", "<u4")
+    whole = b"".join(map(_bytes, t.column("bytes").to_pylist()))
     ends = np.cumsum(sizes)
     ids: dict[tuple[int, bytes], int] = {}
     owner = np.fromiter((ids.setdefault((n, whole[e - s : e]), len(ids)) for n, s, e in zip(starts.tolist(), sizes.tolist(), ends.tolist(), strict=True)), np.int64, len(sizes))
@@ -341,6 +343,11 @@ def _meet_bin(t: pa.Table, least: int, every: bool) -> pa.RecordBatch | None:
     return _span_rows(doc[which], key[which], at[which] + offset, long, group.astype(np.int64) if every else None)
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Texts by id: written once, read by both joins that need texts."""
+    return docs.repartition("doc_id")
+
+
 def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None, every: bool = False) -> DataFrame:
     """(doc_id, text_key, starts, lengths, groups): occurrences of maximal repeats, packed per document and bin.
 
@@ -352,7 +359,7 @@ def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None, every: b
     spark = docs.sparkSession
     bins = bins or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = candidates(docs, bins, least).groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
-    found = docs.repartition("doc_id").join(wanted, "doc_id").select("doc_id", "text", "grams")
+    found = _dealt(docs).join(wanted, "doc_id").select("doc_id", "text", "grams")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bin", "sizes", "starts", "docs", "keys", "at", "bytes", *_SPAN_NAMES]
@@ -403,8 +410,11 @@ def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None, every: b
             seen.clear()
             for where, entries in per_bin.items():
                 rows = [(c, n, o) for c, n, occ in entries for o in occ]
-                pack = lambda v, kind: np.array(v, kind).tobytes()
-                cells = [pack([len(c) for c, _, _ in rows], "<i4"), pack([n for _, n, _ in rows], "<i4"), pack([o[0] for _, _, o in rows], "<i8"), pack([o[1] for _, _, o in rows], "<i8"), pack([o[2] for _, _, o in rows], "<i8"), b"".join(c for c, _, _ in rows)]
+                own = np.array([o for _, _, o in rows], np.int64)
+                cells = [
+                    _pack(np.array([len(c) for c, _, _ in rows], "<u2")), _pack(np.array([n for _, n, _ in rows], "<u2")),
+                    _pack(own[:, 0].copy()), _pack(own[:, 1].astype("<u4")), _pack(own[:, 2].astype("<u4")), _pack(b"".join(c for c, _, _ in rows)),
+                ]
                 none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), *(pa.array([c], pa.binary()) for c in cells), *none], names)
 
@@ -452,8 +462,12 @@ def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None
     rows that share an id do not cut each other; other columns are ignored; an
     empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = spans(rows.filter("doc_id is not null"), least, bins)
+    # An id that needs no cast gets no alias either: the two uses of the dealt texts are then one exchange to Spark.
+    plain = id_col == "doc_id" and docs.schema[id_col].dataType.typeName() == "long"
+    own = F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(own, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = rows.filter("doc_id is not null")
+    found = spans(named, least, bins)
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "starts", "lengths")).alias("spans"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +493,9 @@ def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.repartition("doc_id").join(per_doc, "doc_id", "left").select("doc_id", "text", "spans")
+    nothing = F.lit(None).cast(per_doc.schema["spans"].dataType)
+    unnamed = rows.filter("doc_id is null").select("doc_id", "text", nothing.alias("spans"))
+    joined = _dealt(named).join(per_doc, "doc_id", "left").select("doc_id", "text", "spans").union(unnamed)
     return joined.mapInArrow(drop, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
 
 
