@@ -43,6 +43,10 @@ def tokens(path: str) -> list[str]:
     return out
 
 
+def _each(items: Column, field: str) -> Column:
+    return F.transform(items, lambda x: x[field])
+
+
 def resolve_path(schema: T.StructType, path: str) -> Resolved:
     """The column for a path such as ``emails[0]``, ``location.country`` or ``skills[].name``."""
     never = Resolved(None, None, True)
@@ -58,7 +62,7 @@ def resolve_path(schema: T.StructType, path: str) -> Resolved:
             if index or not isinstance(element, T.StructType) or token not in element.names:
                 value, kind = F.array().cast("array<string>"), T.ArrayType(T.StringType())
             else:
-                value, kind = F.filter(F.transform(value, lambda x, t=token: x[t]), lambda x: x.isNotNull()), T.ArrayType(element[token].dataType)
+                value, kind = F.filter(_each(value, token), lambda x: x.isNotNull()), T.ArrayType(element[token].dataType)
         elif index:
             if not isinstance(kind, T.ArrayType):
                 return never
