@@ -53,7 +53,9 @@ REGIONS: dict[str, str] = {
 #: All valid numbers, calling code first.
 VALID = "^(?:" + "|".join(f"{code}(?:{plan})" for code, plan in PLANS.items()) + ")$"
 EXTENSION = r"(?i)\s*(?:;?ext[.=:]?|x|#)\s*\d{1,7}\s*$"
-SHAPE = r"^\+?[\d\s().\-/ ]+$"
+SHAPE = r"^\+?[\d\s().\-/\x{A0}]+$"
+#: Four short groups between dots are a network address.
+ADDRESS = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
 def normalize_email(c: str | Column) -> Column:
@@ -90,7 +92,7 @@ def normalize_phone(c: str | Column, region: str = "US") -> Column:
     else:
         national = F.regexp_replace(digits, "^0+", "")
     number = F.when(base.startswith("+"), digits).otherwise(F.concat(F.lit(code), national))
-    return F.when(base.rlike(SHAPE) & number.rlike(VALID), F.concat(F.lit("+"), number))
+    return F.when(base.rlike(SHAPE) & ~base.rlike(ADDRESS) & number.rlike(VALID), F.concat(F.lit("+"), number))
 
 
 def normalize_phones(c: str | Column, region: str = "US") -> Column:

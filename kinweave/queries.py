@@ -408,7 +408,7 @@ _SKILL_LIST = ", ".join(
 SQL: dict[str, str] = {
     "extract_emails": f"SELECT doc_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), '|') AS emails FROM (SELECT doc_id, regexp_extract_all(lower(t), '{_EMAIL}') AS m FROM ({_DOC}))",
     "extract_phones": f"""SELECT doc_id, candidates, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), '|') AS phones FROM (
-      SELECT doc_id, array_to_string(p, '|') AS candidates, list_filter(list_transform(p, lambda x: CASE WHEN regexp_full_match(
+      SELECT doc_id, array_to_string(p, '|') AS candidates, list_filter(list_transform(p, lambda x: CASE WHEN NOT regexp_full_match(x, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AND regexp_full_match(
         CASE WHEN starts_with(x, '+') THEN regexp_replace(x, '[^0-9]', '', 'g') ELSE '1' || regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^1([0-9]{{10}})$', '\\1') END, '{contacts.VALID[1:-1]}')
         THEN '+' || CASE WHEN starts_with(x, '+') THEN regexp_replace(x, '[^0-9]', '', 'g') ELSE '1' || regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^1([0-9]{{10}})$', '\\1') END END), lambda x: x IS NOT NULL) AS m
       FROM (SELECT doc_id, list_transform(regexp_extract_all(t, '(\\+?\\d[\\d\\-\\s().]{{7,}}\\d)', 1), lambda x: trim(x)) AS p FROM ({_DOC})))""",
