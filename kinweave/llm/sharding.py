@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 
@@ -53,6 +54,7 @@ def stratified_shards(
         "h": F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_crc32"),
     }).withColumn("b", F.pmod("h", F.lit(source_buckets)).cast("int"))
 
+    rows = cut(rows)  # thin rows, read three times below; the texts are read once
     counts = rows.groupBy("stratum", "b").count()
     up_to = W.partitionBy("stratum").orderBy("b")
     starts = counts.select(
