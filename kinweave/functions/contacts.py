@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import EMAIL, col, strip
+from kinweave.functions.text import EMAIL, bind, col, strip
 
 # Calling code, and what a valid national number looks like.  Coarser than full numbering plans.
 PLANS: dict[str, str] = {
@@ -83,16 +83,19 @@ def extract_emails(c: str | Column) -> Column:
 def normalize_phone(c: str | Column, region: str = "US") -> Column:
     """The number in E.164, or null unless it is valid; ``region`` holds for numbers without ``+``."""
     code = REGIONS[region]
-    base = F.regexp_replace(strip(c), EXTENSION, "")
-    digits = F.regexp_replace(base, "[^0-9]", "")
-    if code == "1":
-        national = F.regexp_replace(digits, "^1(?=[0-9]{10}$)", "")
-    elif code == "39":
-        national = digits
-    else:
-        national = F.regexp_replace(digits, "^0+", "")
-    number = F.when(base.startswith("+"), digits).otherwise(F.concat(F.lit(code), national))
-    return F.when(base.rlike(SHAPE) & ~base.rlike(ADDRESS) & number.rlike(VALID), F.concat(F.lit("+"), number))
+
+    def number(base: Column) -> Column:
+        digits = F.regexp_replace(base, "[^0-9]", "")
+        if code == "1":
+            national = F.regexp_replace(digits, "^1(?=[0-9]{10}$)", "")
+        elif code == "39":
+            national = digits
+        else:
+            national = F.regexp_replace(digits, "^0+", "")
+        full = F.when(base.startswith("+"), digits).otherwise(F.concat(F.lit(code), national))
+        return F.when(base.rlike(SHAPE) & ~base.rlike(ADDRESS), bind(full, lambda n: F.when(n.rlike(VALID), F.concat(F.lit("+"), n))))
+
+    return bind(F.regexp_replace(strip(c), EXTENSION, ""), number)
 
 
 def normalize_phones(c: str | Column, region: str = "US") -> Column:

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import literal_map, strip
+from kinweave.functions.text import bind, literal_map, strip
 
 # Informal names.
 ALIASES: dict[str, str] = {
@@ -50,12 +50,14 @@ def normalize_country(c: str | Column, spark: SparkSession) -> Column:
     A longer text means a country if it holds exactly one country's name as whole words.
     """
     codes, names = country_table(spark)
-    s = F.lower(strip(c))
-    key = F.btrim(s, F.lit(". "))
-    words = F.concat(F.lit(" "), F.regexp_replace(s, r"[^\p{L}\p{M}]+", " "), F.lit(" "))
-    table = F.map_entries(literal_map({f" {n} ": a for n, a in names.items()}))
-    held = F.array_distinct(F.transform(F.filter(table, lambda x: F.contains(words, x["key"])), lambda x: x["value"]))
-    return F.coalesce(
-        _lookup({**codes, **names, **ALIASES}, key),
-        F.when(F.length(s).between(1, 3), F.lit(None)).when(s.rlike(r"\s") & (F.size(held) == 1), F.get(held, F.lit(0))),
-    )
+
+    def code(s: Column) -> Column:
+        words = F.concat(F.lit(" "), F.regexp_replace(s, r"[^\p{L}\p{M}]+", " "), F.lit(" "))
+        table = F.map_entries(literal_map({f" {n} ": a for n, a in names.items()}))
+        held = F.array_distinct(F.transform(F.filter(table, lambda x: F.contains(words, x["key"])), lambda x: x["value"]))
+        return F.coalesce(
+            _lookup({**codes, **names, **ALIASES}, F.btrim(s, F.lit(". "))),
+            F.when(s.rlike(r"\s"), bind(held, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))))),
+        )
+
+    return bind(F.lower(strip(c)), code)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import YEAR, strip
+from kinweave.functions.text import YEAR, bind, strip
 
 # Words for a time that has not ended.
 PRESENT = ("present", "current", "now", "ongoing", "till date", "to date")
@@ -32,7 +32,10 @@ def to_year_month(c: str | Column) -> Column:
 
     ``YYYY-M...`` is taken as written, month unchecked; a bare year is its January.
     """
-    s = F.lower(strip(c))
+    return bind(F.lower(strip(c)), _year_month)
+
+
+def _year_month(s: Column) -> Column:
     part = lambda rx, n: F.regexp_extract(s, rx, n)
     dashed, slashed, full, iso = r"^(\d{4})-(\d{1,2})", r"^(\d{1,2})/(\d{4})$", r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})$", r"^(\d{4})/(\d{1,2})(?:/\d{1,2})?$"
     number = lambda rx, n: part(rx, n).cast("int")

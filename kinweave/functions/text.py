@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def literal_map(table: dict[str, str]) -> Column:
     """A map of texts as one literal expression."""
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -16,8 +16,13 @@ def round3(x: Column) -> Column:
     """Three decimals, to the nearest, halves of the exact binary value to even.
 
     The product with 1000 is followed exactly: the number is split into two
-    halves of its bits (Dekker), whose products are exact.
+    halves of its bits (Dekker), whose products are exact.  The number is bound
+    once, so that expressions over expressions don't multiply.
     """
+    return F.get(F.transform(F.array(x), _nearest), F.lit(0))
+
+
+def _nearest(x: Column) -> Column:
     k = F.floor(x * F.lit(1000.0))
     high = (x * F.lit(134217729.0)) - ((x * F.lit(134217729.0)) - x)
     d = ((high * F.lit(1000.0)) - (k + F.lit(0.5))) + ((x - high) * F.lit(1000.0))

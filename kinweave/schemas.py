@@ -44,10 +44,8 @@ DEFAULT_TRUST = 0.40
 def trust(source: str | Column, table: dict[str, float] | None = None) -> Column:
     """The trust in a source."""
     source = F.col(source) if isinstance(source, str) else source
-    out = F.lit(DEFAULT_TRUST)
-    for name, weight in (table or TRUST).items():
-        out = F.when(source == name, F.lit(weight)).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for kv in (table or TRUST).items() for x in kv))
+    return F.coalesce(F.element_at(known, source), F.lit(DEFAULT_TRUST))
 
 
 def record(source: str, rec_seq: Column, **fields: Column) -> list[Column]:
