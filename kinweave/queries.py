@@ -425,12 +425,12 @@ SQL: dict[str, str] = {
     "normalize_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 4 THEN strftime(o_orderdate, '%Y-%m') WHEN o_orderkey % 7 = 4 THEN strftime(o_orderdate, '%Y-01') END AS month,
         CASE WHEN o_orderkey % 7 < 5 THEN strftime(o_orderdate, '%Y') END AS year FROM orders""",
     "normalize_country": f"WITH {NORM} SELECT norm.rec_seq, norm.country FROM norm JOIN people USING (rec_seq) WHERE people.country IS NOT NULL",
-    "canonical_skill": f"""WITH p AS ({derived.SQL}) SELECT rec_seq, pos, {_SKILL.format('s')} AS skill, s NOT IN ('COBOL', 'Rust') AS known
+    "canonical_skill": f"""WITH p AS ({derived.SQL}) SELECT rec_seq, CAST(pos AS BIGINT) AS pos, {_SKILL.format('s')} AS skill, s NOT IN ('COBOL', 'Rust') AS known
       FROM (SELECT rec_seq, 0 AS pos, skill1 AS s FROM p UNION ALL SELECT rec_seq, 1, skill2 FROM p UNION ALL SELECT rec_seq, 2, skill3 FROM p) WHERE s IS NOT NULL""",
     "norm_url": "SELECT page_id, regexp_replace(rtrim(lower(url), '/'), '^https?://(www\\.)?', '') AS url FROM pages",
-    "header_alias": "SELECT c_custkey AS rec_seq, c_name AS full_name, 'x' || c_custkey || '@y.org' AS email, 0 AS n_phones, c_mktsegment AS title, CAST(NULL AS VARCHAR) AS company FROM customer",
+    "header_alias": "SELECT c_custkey AS rec_seq, c_name AS full_name, 'x' || c_custkey || '@y.org' AS email, CAST(0 AS BIGINT) AS n_phones, c_mktsegment AS title, CAST(NULL AS VARCHAR) AS company FROM customer",
     "json_alias": """SELECT c_custkey * 10 AS rec_seq, c_name AS full_name, 'e' || c_custkey || '@x.io' AS email, CAST(c_custkey % 30 AS DOUBLE) AS years_experience, 'T' || c_nationkey AS city, CAST(NULL AS VARCHAR) AS region,
-        'py|go' AS skills, 1 AS n_jobs, 'E' AS company, c_mktsegment AS title, '2019' AS started FROM customer""",
+        'py|go' AS skills, CAST(1 AS BIGINT) AS n_jobs, 'E' AS company, c_mktsegment AS title, '2019' AS started FROM customer""",
     "normalized_people": f"WITH {NORM} SELECT rec_seq, source, full_name, email, phone, city, country, array_to_string(skills, '|') AS skills, started, ended, end_year FROM norm",
     "match_keys": f"WITH {NORM} SELECT rec_seq, key FROM keys",
     "key_owner_edges": f"WITH {NORM} SELECT rec_seq, owner FROM edges",
@@ -440,7 +440,7 @@ SQL: dict[str, str] = {
     "pick_name": BASE + f"SELECT * FROM {_pick('full_name')}",
     "pick_headline": BASE + f"SELECT * FROM {_pick('headline')}",
     "pick_years": BASE + f"SELECT * FROM {_pick('years')}",
-    "pick_location": BASE + f"SELECT * FROM {_LOCATION}",
+    "pick_location": BASE + f"SELECT cluster_id, city, country, top, CAST(filled AS BIGINT) AS filled FROM {_LOCATION}",
     "merge_links": BASE + f"SELECT * FROM {_LINKS}",
     "merge_skills": BASE + f"SELECT cluster_id, pos, name, confidence, sources FROM {_SKILLS}",
     "dedupe_experience": BASE + f"SELECT * FROM {_JOBS}",
