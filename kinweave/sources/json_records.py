@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave import schemas
-from kinweave.functions.text import strip
+from kinweave.functions.text import bind, strip
 
 # The names of each field in applicant-tracking exports.
 ATS: dict[str, tuple[str, ...]] = {
@@ -70,23 +70,28 @@ PROFILE_URL = r"(?i)(?:https?://)?(?:[a-z]{2,3}\.)?linkedin\.com/in/([A-Za-z0-9\
 _LIST, _OBJECT = "array<string>", "map<string,string>"
 
 
+def fields(text: Column) -> Column:
+    """The keys of a JSON object, lower-cased, with their raw values; empty values are null, of equal keys the last counts."""
+    def lookup(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+        last = lambda k: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), -1)["value"]
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: bind(last(k), lambda v: F.when(~v.isin("", "[]", "{}"), v))))
+
+    return bind(F.map_entries(F.from_json(text, _OBJECT)), lookup)
+
+
 def objects(texts: DataFrame, value: str = "value") -> DataFrame:
-    """The rows of ``texts``, one per JSON object, with ``pos`` in its text and ``entries``: its keys and raw values."""
+    """The rows of ``texts``, one per JSON object, with ``pos`` in its text and ``fields``."""
     text = strip(value)
     items = F.when(text.startswith("["), F.from_json(text, _LIST)).otherwise(F.array(text))
     rest = [c for c in texts.columns if c != value]
     each = texts.select(*rest, F.posexplode(items).alias("pos", "item")).filter(F.ltrim("item").startswith("{"))
-    return each.select(*rest, "pos", F.map_entries(F.from_json("item", _OBJECT)).alias("entries")).filter("entries is not null")
+    return each.select(*rest, "pos", fields(F.col("item")).alias("fields")).filter("fields is not null")
 
 
-def pick(entries: Column, names: tuple[str, ...]) -> Column:
+def pick(found: Column, names: tuple[str, ...]) -> Column:
     """The first value that says something under one of the names, as text (nested values as JSON)."""
-    def under(name: str) -> Column:
-        said = F.filter(entries, lambda e: F.lower(e["key"]) == name.lower())
-        value = F.get(said, F.size(said) - 1)["value"]
-        return F.when(~value.isin("", "[]", "{}"), value)
-
-    return F.coalesce(*(under(n) for n in names))
+    return F.coalesce(*(F.element_at(found, n) for n in dict.fromkeys(x.lower() for x in names)))
 
 
 def as_list(value: Column) -> Column:
@@ -103,7 +108,7 @@ def _flag(value: Column) -> Column:
 def _entries(value: Column, names: dict[str, tuple[str, ...]], parts: tuple[str, ...], kind: str) -> Column:
     """Nested objects as structs of the given parts."""
     own = F.filter(as_list(value), lambda x: F.ltrim(x).startswith("{"))
-    parsed = F.transform(own, lambda x: F.map_entries(F.from_json(x, _OBJECT)))
+    parsed = F.transform(own, lambda x: fields(x))
     return F.transform(parsed, lambda e: F.struct(*(_flag(pick(e, names[p])).alias(p) for p in parts))).cast(f"array<{kind}>")
 
 
@@ -112,7 +117,7 @@ _JOB, _STUDY = ("company", "title", "start", "end", "summary"), ("institution",
 
 def _location(e: Column, names: dict, flat: bool) -> Column:
     loc = pick(e, names["location"])
-    nested = F.map_entries(F.from_json(F.when(loc.startswith("{"), loc), _OBJECT))
+    nested = fields(F.when(loc.startswith("{"), loc))
     if flat:
         parts = [F.when(loc.startswith("{"), pick(nested, names[p])).otherwise(pick(e, names[p])).alias(p) for p in ("city", "region", "country")]
     else:
@@ -123,7 +128,7 @@ def _location(e: Column, names: dict, flat: bool) -> Column:
 
 def ats_records(texts: DataFrame, rec_seq: Column, value: str = "value") -> DataFrame:
     """Raw records of applicant-tracking exports; ``rec_seq`` may use ``pos``.  Objects without anything to go by are dropped."""
-    e = F.col("entries")
+    e = F.col("fields")
     get = lambda k: pick(e, ATS[k])
     joined = F.nullif(F.concat_ws(" ", get("first_name"), get("last_name")), F.lit(""))
     years = get("years")
@@ -141,7 +146,7 @@ def ats_records(texts: DataFrame, rec_seq: Column, value: str = "value") -> Data
 
 def linkedin_records(texts: DataFrame, rec_seq: Column, value: str = "value") -> DataFrame:
     """Raw records of profile exports."""
-    e = F.col("entries")
+    e = F.col("fields")
     get = lambda k: pick(e, LINKEDIN[k])
     skills = get("skills")
     url = canonical_url(get("url"))
