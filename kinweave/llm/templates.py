@@ -32,6 +32,7 @@ MIN_TOKENS = 4
 DEPTH = 3
 CONSTANT = 0.7
 WHOLE = 0.5
+SALTS = 16
 _DIGITS = frozenset(b"0123456789")
 VARIABLE = b"<*>"
 
@@ -46,9 +47,25 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(masked(tokens[:depth]))) - (1 << 63)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(F.lit(4), F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"), *more)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, row): a hash of id and text, and all columns of the document."""
+    own = F.xxhash64(F.lit(4), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(own.alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents by ``rid``: one exchange, which both joins that need texts read."""
+    return _rows(docs, id_col, text_col).repartition("rid")
+
+
+def _salted(many: DataFrame) -> DataFrame:
+    """Rows dealt over SALTS by document, so that a leaf or template that very many share is joined in as many tasks."""
+    return many.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+
+
+def _every_salt(few: DataFrame) -> DataFrame:
+    """The other side of such a join: each row once per salt."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def recurring_lines(
@@ -64,7 +81,8 @@ def recurring_lines(
 
     ``rid`` is a hash of id and text; rows equal in both are one document.
     """
-    rows = _rows(docs, id_col, text_col)
+    text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
+    rows = _rows(docs, id_col, text_col).select("rid", F.col("row")[text_col].alias("text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -82,14 +100,16 @@ def recurring_lines(
                         met.add(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32())], ["rid", "line", "leaf", "first"])
 
-    placed = cut(rows.select("rid", "text").mapInArrow(leaves, "rid long, line int, leaf long, first int"))
+    placed = cut(rows.mapInArrow(leaves, "rid long, line int, leaf long, first int"))
     shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    wanted = placed.join(shared, "leaf", "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
+    wanted = _salted(placed).join(_every_salt(shared), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in batches:
+            fields = batch.column(1).flatten()
             at, lines, leaf, tokens = [], [], [], []
-            for k, (text, numbers) in enumerate(zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+            for k, (text, numbers) in enumerate(zip(fields[text_at], batch.column(2), strict=True)):
+                text, numbers = text.as_py() or "", numbers.as_py()
                 all_lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                 met: dict[tuple[bytes, ...], list[int]] = {}
                 for n in sorted(numbers):
@@ -100,12 +120,12 @@ def recurring_lines(
                     leaf.append(leaf_of(list(words), depth))
                     tokens.append([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words])
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.list_(pa.int32())), pa.array(leaf, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["rid", "doc_id", "lines", "leaf", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), fields[id_at].take(take), pa.array(lines, pa.list_(pa.int32())), pa.array(leaf, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["rid", "doc_id", "lines", "leaf", "tokens"])
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    close = rows.repartition("rid").join(wanted, "rid").select("rid", "doc_id", "text", "wanted")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    close = _dealt(docs, id_col, text_col).join(wanted, "rid").select("rid", "row", "wanted")
     # Rows that are equal in id and text are one document here.
-    close = cut(close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>").dropDuplicates(["rid", "leaf", "tokens"]))
+    close = close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>").distinct()
     close = close.withColumn("own", F.xxhash64("tokens"))
     each = close.select("rid", "own", "leaf", F.posexplode("tokens").alias("place", "token"))
     constants = each.groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("constant"))
@@ -119,7 +139,7 @@ def recurring_lines(
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     per_doc = lines.groupBy("leaf", "template", "rid").agg(F.min(order).alias("o"), F.flatten(F.collect_list("lines")).alias("lines"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("head")).filter(F.col("n") >= min_docs)
-    gone = per_doc.join(recurring, ["leaf", "template"]).filter(F.col("rid") != F.col("head.rid"))
+    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid"))
     return gone.groupBy("rid").agg(F.flatten(F.collect_list("lines")).alias("lines"))
 
 
@@ -139,8 +159,7 @@ def without_recurring_lines(
     and text are treated alike; the other columns stay, whatever their names.
     """
     gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **how)
-    rows = _rows(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    joined = rows.select("rid", "row").repartition("rid").join(gone, "rid", "left").select("row", "lines")
+    joined = _dealt(docs, id_col, text_col).join(gone, "rid", "left").select("row", "lines")
 
     text_at = docs.columns.index(text_col)
 
