@@ -17,6 +17,7 @@ from kinweave.plans.tables import table
 from kinweave.sources.csv_records import csv_records
 from kinweave.sources.json_records import ats_records
 
+# A config of six fields.
 CUSTOM = {
     "fields": [
         {"path": "full_name", "type": "string", "required": True},
