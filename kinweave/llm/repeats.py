@@ -140,7 +140,7 @@ def _flushes(batches: Iterator[pa.RecordBatch], text_at: int, most: int = FLUSH_
 
 
 def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
-    """(doc_id, grams): the grams of a document, as bin and 32 bits, that may begin a repeat across documents."""
+    """(doc_id, grams): the grams of a document, by 32 bits each, that may begin a repeat across documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _flushes(batches, 1):
@@ -177,7 +177,8 @@ def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
         doc, key = doc[order], key[order]
         cuts = run_starts(doc)
         if len(cuts):
-            blobs = [key[s:e].tobytes() for s, e in zip(cuts, np.append(cuts[1:], len(doc)), strict=True)]
+            low = key.astype(np.uint32)  # enough within a document; what is met by chance is compared later on
+            blobs = [low[s:e].tobytes() for s, e in zip(cuts, np.append(cuts[1:], len(doc)), strict=True)]
             n = len(blobs)
             yield pa.RecordBatch.from_arrays([pa.array(doc[cuts] % bins, pa.int64()), pa.array(doc[cuts], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["bin", "doc_id", "low", "doc", "several"])
 
@@ -289,7 +290,7 @@ _SPAN_NAMES = ["doc_id", "text_key", "span_starts", "lengths", "groups"]
 def _span_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
     """Spans as one row per document."""
     order = np.lexsort((start, key, doc))
-    doc, key, start, length = doc[order], key[order], start[order].astype(np.int64), length[order].astype(np.int64)
+    doc, key, start, length = doc[order], key[order], start[order].astype("<u4"), length[order].astype("<u2")
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
     cuts = np.flatnonzero(new)
@@ -354,7 +355,7 @@ def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None, every: b
     ``docs`` is (doc_id long, text), ids not null.  By default the occurrences
     that repeat a document of smaller id, as far as they matter for what a
     document repeats; with ``every`` all occurrences, and ``groups`` numbers
-    the repeats within a bin.  Starts and lengths are 64-bit numbers.
+    the repeats within a bin.  Starts are packed as numbers of 32 bits, lengths of 16.
     """
     spark = docs.sparkSession
     bins = bins or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -370,13 +371,12 @@ def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None, every: b
                 data, offsets = flat(batch.column(1))
                 text, first, last, h = passages(data, offsets, least)
                 b, low = _bin(h, bins)
-                gram = (b.astype(np.uint64) << np.uint64(32)) | low
-                ok = np.zeros(len(gram), bool)
+                ok = np.zeros(len(low), bool)
                 cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
                 for k, lists in enumerate(batch.column(2)):
-                    own = np.frombuffer(b"".join(lists.as_py()), "<u8")
+                    own = np.frombuffer(b"".join(lists.as_py()), "<u4")
                     s, e = cuts[k], cuts[k + 1]
-                    ok[s:e] = np.isin(gram[s:e], own)
+                    ok[s:e] = np.isin(low[s:e], own)
                 raw = data.tobytes()
                 edges = offsets.tolist()
                 ids = batch.column(0).to_pylist()
@@ -442,7 +442,7 @@ def maximal_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None
         for batch in batches:
             for text, starts, lengths, doc in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out = {(s, n) for s, n in zip(np.frombuffer(starts, "<i8").tolist(), np.frombuffer(lengths, "<i8").tolist(), strict=True)}
+                out = {(s, n) for s, n in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(lengths, "<u2").tolist(), strict=True)}
                 pairs = sorted(out)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([hashlib.sha256(raw[s : s + n]).hexdigest() for s, n in pairs]), pa.array([n for _, n in pairs], pa.int64()),
@@ -481,8 +481,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None
                 cells = [x for x in cells if x["text_key"] == own]
                 if cells:
                     edge = np.zeros(len(raw) + 1, np.int32)
-                    start = np.concatenate([np.frombuffer(x["starts"], "<i8") for x in cells])
-                    length = np.concatenate([np.frombuffer(x["lengths"], "<i8") for x in cells])
+                    start = np.concatenate([np.frombuffer(x["starts"], "<u4") for x in cells]).astype(np.int64)
+                    length = np.concatenate([np.frombuffer(x["lengths"], "<u2") for x in cells])
                     np.add.at(edge, start, 1)
                     np.subtract.at(edge, start + length, 1)
                     gone = np.cumsum(edge[:-1]) > 0
