@@ -4,9 +4,14 @@ A line is parsed down a tree of fixed depth: its token count, then its first
 ``depth`` tokens, in which a token with a digit is the variable ``<*>``.  In a
 leaf, a token is a constant of its position if at least ``min_docs`` documents'
 lines of the leaf have it there; anything else is a variable.  A line's template
-is its leaf with its constants in place.  Templates that ``min_docs`` documents
-share and of which a share ``constant`` is constant are recurring; their lines
-are dropped, but for the first document that has them.
+is its leaf with its constants in place.  A line has a second, wider template, in
+which a constant also has to hold a share ``common`` of the leaf's documents: a
+field with many values stays variable there however large the input, while the
+narrow one finds fixed lines in leaves of many templates.  Templates that
+``min_docs`` documents share and of which a share ``constant`` is constant are
+recurring; their lines are dropped, but for the first document that has them.
+(Lines of one narrow template are lines of one wide template, so the first
+document of a wide one is also first in the narrow one.)
 
 Everything is a count by key (leaf; leaf, position and token; template), which
 Spark adds up before it shuffles, so a leaf or template that a third of all
@@ -31,6 +36,7 @@ MIN_DOCS = 25
 MIN_TOKENS = 4
 DEPTH = 3
 CONSTANT = 0.7
+COMMON = 0.1
 WHOLE = 0.5
 SALTS = 16
 _DIGITS = frozenset(b"0123456789")
@@ -74,6 +80,7 @@ def recurring_lines(
     min_tokens: int = MIN_TOKENS,
     depth: int = DEPTH,
     constant: float = CONSTANT,
+    common: float = COMMON,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -101,8 +108,8 @@ def recurring_lines(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32())], ["rid", "line", "leaf", "first"])
 
     placed = cut(rows.mapInArrow(leaves, "rid long, line int, leaf long, first int"))
-    shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    wanted = _salted(placed).join(_every_salt(shared), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
+    shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs)
+    wanted = _salted(placed).join(_every_salt(shared.select("leaf")), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,12 +135,18 @@ def recurring_lines(
     close = close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>").distinct()
     close = close.withColumn("own", F.xxhash64("tokens"))
     each = close.select("rid", "own", "leaf", F.posexplode("tokens").alias("place", "token"))
-    constants = each.groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("constant"))
+    counts = each.groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs)
+    constants = counts.join(shared, "leaf").select("leaf", "place", "token", F.lit(1).alias("constant"), (F.col("count") >= F.lit(common) * F.col("n")).cast("int").alias("wide"))
+    hashed = F.xxhash64("place", "token")
     template = each.join(constants, ["leaf", "place", "token"], "left").groupBy("rid", "own", "leaf").agg(
-        F.bit_xor(F.when(F.col("constant") == 1, F.xxhash64("place", "token")).otherwise(0)).alias("template"),
+        F.bit_xor(F.when(F.col("constant") == 1, hashed).otherwise(0)).alias("template"),
         F.sum(F.coalesce("constant", F.lit(0))).alias("fixed"),
+        F.bit_xor(F.when(F.col("wide") == 1, hashed).otherwise(0)).alias("wide_template"),
+        F.sum(F.coalesce("wide", F.lit(0))).alias("wide_fixed"),
         F.count(F.lit(1)).alias("size"),
     ).filter(F.col("fixed") >= F.lit(constant) * F.col("size"))
+    wide = F.when(F.col("wide_fixed") >= F.lit(constant) * F.col("size"), F.col("wide_template")).otherwise(F.col("template"))
+    template = template.select("rid", "own", "leaf", F.explode(F.array_distinct(F.array("template", wide))).alias("template"))
     lines = close.select("rid", "doc_id", "own", "leaf", "lines").join(template, ["rid", "own", "leaf"]).select("rid", "doc_id", "leaf", "template", "lines")
     # The order in which a template's documents come: by id, null last.
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
