@@ -13,6 +13,11 @@ recurring; their lines are dropped, but for the first document that has them.
 (Lines of one narrow template are lines of one wide template, so the first
 document of a wide one is also first in the narrow one.)
 
+Short lines, of fewer than ``min_tokens`` tokens, and long ones, of more than
+LONG_TOKENS, also count as they are (long ones with tokens with digits as
+variables): short ones are recurring if ``short_docs`` documents have them, long
+ones if ``long_docs`` do.
+
 Everything is a count by key (leaf; leaf, position and token; template), which
 Spark adds up before it shuffles, so a leaf or template that a third of all
 lines share is no burden to a task.  Only lines of leaves with enough documents
@@ -32,12 +37,17 @@ from kinweave.llm.arrow import slices, texts
 from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
-MIN_DOCS = 25
+MIN_DOCS = 5
 MIN_TOKENS = 4
 DEPTH = 3
 CONSTANT = 0.7
 COMMON = 0.1
 WHOLE = 0.5
+#: Lines of fewer tokens than a template's are taken as they are, if this many documents have them.
+SHORT_DOCS = 25
+#: Lines of more than LONG_TOKENS are recurring from LONG_DOCS documents on.
+LONG_TOKENS = 50
+LONG_DOCS = 2
 SALTS = 16
 _DIGITS = frozenset(b"0123456789")
 VARIABLE = b"<*>"
@@ -81,33 +91,48 @@ def recurring_lines(
     depth: int = DEPTH,
     constant: float = CONSTANT,
     common: float = COMMON,
+    short_docs: int | None = None,
+    long_docs: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(rid, lines): numbers of the lines of recurring templates, without each template's first document.
 
     ``rid`` is a hash of id and text; rows equal in both are one document.
+    Without ``short_docs`` or ``long_docs`` such lines are not counted as they are.
     """
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
-    rows = _rows(docs, id_col, text_col).select("rid", F.col("row")[text_col].alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = _rows(docs, id_col, text_col).select("rid", F.col("row")[text_col].alias("text"), F.col("row")[id_col].alias("doc_id"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            at, number, leaf, first = [], [], [], []
+            at, number, leaf, first, need = [], [], [], [], []
             for k, text in enumerate(texts(batch.column(1))):
                 met = set()
+
+                def put(n: int, x: int, least: int, k: int = k, met: set = met) -> None:
+                    at.append(k)
+                    number.append(n)
+                    leaf.append(x)
+                    first.append(int((least, x) not in met))
+                    need.append(least)
+                    met.add((least, x))
+
                 for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = line.split()
                     if len(tokens) >= min_tokens:
-                        x = leaf_of(tokens, depth)
-                        at.append(k)
-                        number.append(n)
-                        leaf.append(x)
-                        first.append(int(x not in met))
-                        met.add(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32())], ["rid", "line", "leaf", "first"])
-
-    placed = cut(rows.mapInArrow(leaves, "rid long, line int, leaf long, first int"))
+                        put(n, leaf_of(tokens, depth), 0)
+                    elif tokens and short_docs:
+                        put(n, xxhash.xxh3_64_intdigest(b"short " + b" ".join(tokens)) - (1 << 63), short_docs)
+                    if len(tokens) > LONG_TOKENS and long_docs:
+                        put(n, xxhash.xxh3_64_intdigest(b"long " + b" ".join(masked(tokens))) - (1 << 63), long_docs)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32()), pa.array(need, pa.int32())], ["rid", "doc_id", "line", "leaf", "first", "need"])
+
+    # Lines that count as they are have the number of documents that they need; 0 is a line of a leaf.
+    both = cut(rows.mapInArrow(leaves, f"rid long, doc_id {id_type}, line int, leaf long, first int, need int"))
+    placed = both.filter("need = 0").select("rid", "line", "leaf", "first")
     shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs)
     wanted = _salted(placed).join(_every_salt(shared.select("leaf")), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
 
@@ -129,7 +154,6 @@ def recurring_lines(
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), fields[id_at].take(take), pa.array(lines, pa.list_(pa.int32())), pa.array(leaf, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["rid", "doc_id", "lines", "leaf", "tokens"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     close = _dealt(docs, id_col, text_col).join(wanted, "rid").select("rid", "row", "wanted")
     # Rows that are equal in id and text are one document here.
     close = close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>").distinct()
@@ -152,7 +176,12 @@ def recurring_lines(
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
     per_doc = lines.groupBy("leaf", "template", "rid").agg(F.min(order).alias("o"), F.flatten(F.collect_list("lines")).alias("lines"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("head")).filter(F.col("n") >= min_docs)
-    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid"))
+    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid")).select("rid", "lines")
+    if short_docs or long_docs:
+        alike = both.filter("need > 0").select("rid", "doc_id", "line", "leaf", "first", "need")
+        repeated = alike.groupBy("leaf", "need").agg(F.sum("first").alias("n"), F.min(order).alias("head")).filter("n >= need").select("leaf", "need", "head")
+        exact = _salted(alike).join(_every_salt(repeated), ["leaf", "need", "salt"]).filter(F.col("rid") != F.col("head.rid"))
+        gone = gone.union(exact.select("rid", F.array("line").alias("lines")))
     return gone.groupBy("rid").agg(F.flatten(F.collect_list("lines")).alias("lines"))
 
 
@@ -201,5 +230,5 @@ def without_recurring_lines(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = without_recurring_lines(docs)
+    done = without_recurring_lines(docs, short_docs=SHORT_DOCS, long_docs=LONG_DOCS)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -25,3 +25,16 @@ def test_a_field_of_many_values_is_variable_at_every_size(spark, n):
     rows = [(k, f"{prose(9)}\nThis page was saved by {WORDS[k % 20]} from {WORDS[20 + k // 20 % 20]}") for k in range(n)]
     got = dropped(spark, rows, whole=None, min_docs=25)
     assert got == {k: int(k > 0) for k in range(n)}
+
+
+def test_lines_of_few_documents_short_lines_and_long_lines(spark):
+    """A line in 6 documents, one of 3 words in 30, one of 60 words in 2; below these, and lone numbers that differ, stay."""
+    long, other = prose(60), prose(60)
+    rows = []
+    for k in range(30):
+        lines = [prose(9), "All rights reserved.", f"{k}", ""]
+        lines += ["Licensed under the Apache License, Version 2.0."] * (k < 6) + ["Seen by only these four documents"] * (k < 4)
+        lines += ["Read more"] * (k < 20) + [long] * (k in (3, 7)) + [other] * (k == 5)
+        rows.append((k, "\n".join(lines)))
+    got = dropped(spark, rows, whole=None, short_docs=templates.SHORT_DOCS, long_docs=templates.LONG_DOCS)
+    assert got == {k: (k > 0) + (0 < k < 6) + (k == 7) for k in range(30)}
