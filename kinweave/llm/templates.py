@@ -42,7 +42,8 @@ MIN_TOKENS = 4
 DEPTH = 3
 CONSTANT = 0.7
 COMMON = 0.1
-WHOLE = 0.5
+#: Share of the words of both texts by which the pipeline takes a text as a copy of another.
+COPY = 0.8
 #: Lines of fewer tokens than a template's are taken as they are, if this many documents have them.
 SHORT_DOCS = 25
 #: Lines of more than LONG_TOKENS are recurring from LONG_DOCS documents on.
@@ -96,9 +97,11 @@ def recurring_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(rid, lines): numbers of the lines of recurring templates, without each template's first document.
+    """(rid, found): numbers of the lines of recurring templates, without each template's first document.
 
     ``rid`` is a hash of id and text; rows equal in both are one document.
+    ``found`` has an entry (head, words, lines) for each first document, by its
+    rid, with the number of its words.
     Without ``short_docs`` or ``long_docs`` such lines are not counted as they are.
     """
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
@@ -107,19 +110,22 @@ def recurring_lines(
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            at, number, leaf, first, need = [], [], [], [], []
+            at, number, leaf, first, need, words = [], [], [], [], [], []
             for k, text in enumerate(texts(batch.column(1))):
                 met = set()
+                raw = text.encode("utf-8", "surrogatepass")
+                n_words = len(raw.split())
 
-                def put(n: int, x: int, least: int, k: int = k, met: set = met) -> None:
+                def put(n: int, x: int, least: int, k: int = k, met: set = met, n_words: int = n_words) -> None:
                     at.append(k)
                     number.append(n)
                     leaf.append(x)
                     first.append(int((least, x) not in met))
                     need.append(least)
+                    words.append(n_words)
                     met.add((least, x))
 
-                for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+                for n, line in enumerate(raw.split(b"\n")):
                     tokens = line.split()
                     if len(tokens) >= min_tokens:
                         put(n, leaf_of(tokens, depth), 0)
@@ -128,10 +134,10 @@ def recurring_lines(
                     if len(tokens) > LONG_TOKENS and long_docs:
                         put(n, xxhash.xxh3_64_intdigest(b"long " + b" ".join(masked(tokens))) - (1 << 63), long_docs)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32()), pa.array(need, pa.int32())], ["rid", "doc_id", "line", "leaf", "first", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32()), pa.array(need, pa.int32()), pa.array(words, pa.int32())], ["rid", "doc_id", "line", "leaf", "first", "need", "words"])
 
     # Lines that count as they are have the number of documents that they need; 0 is a line of a leaf.
-    both = cut(rows.mapInArrow(leaves, f"rid long, doc_id {id_type}, line int, leaf long, first int, need int"))
+    both = cut(rows.mapInArrow(leaves, f"rid long, doc_id {id_type}, line int, leaf long, first int, need int, words int"))
     placed = both.filter("need = 0").select("rid", "line", "leaf", "first")
     shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs)
     wanted = _salted(placed).join(_every_salt(shared.select("leaf")), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
@@ -139,10 +145,11 @@ def recurring_lines(
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = batch.column(1).flatten()
-            at, lines, leaf, tokens = [], [], [], []
+            at, lines, leaf, tokens, words_of = [], [], [], [], []
             for k, (text, numbers) in enumerate(zip(fields[text_at], batch.column(2), strict=True)):
                 text, numbers = text.as_py() or "", numbers.as_py()
-                all_lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+                raw = text.encode("utf-8", "surrogatepass")
+                all_lines, n_words = raw.split(b"\n"), len(raw.split())
                 met: dict[tuple[bytes, ...], list[int]] = {}
                 for n in sorted(numbers):
                     met.setdefault(tuple(masked(all_lines[n].split())), []).append(n)
@@ -150,13 +157,14 @@ def recurring_lines(
                     at.append(k)
                     lines.append(where)
                     leaf.append(leaf_of(list(words), depth))
+                    words_of.append(n_words)
                     tokens.append([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words])
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), fields[id_at].take(take), pa.array(lines, pa.list_(pa.int32())), pa.array(leaf, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["rid", "doc_id", "lines", "leaf", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), fields[id_at].take(take), pa.array(lines, pa.list_(pa.int32())), pa.array(leaf, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(words_of, pa.int32())], ["rid", "doc_id", "lines", "leaf", "tokens", "words"])
 
     close = _dealt(docs, id_col, text_col).join(wanted, "rid").select("rid", "row", "wanted")
     # Rows that are equal in id and text are one document here.
-    close = close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>").distinct()
+    close = close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>, words int").distinct()
     close = close.withColumn("own", F.xxhash64("tokens"))
     each = close.select("rid", "own", "leaf", F.posexplode("tokens").alias("place", "token"))
     counts = each.groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs)
@@ -171,37 +179,51 @@ def recurring_lines(
     ).filter(F.col("fixed") >= F.lit(constant) * F.col("size"))
     wide = F.when(F.col("wide_fixed") >= F.lit(constant) * F.col("size"), F.col("wide_template")).otherwise(F.col("template"))
     template = template.select("rid", "own", "leaf", F.explode(F.array_distinct(F.array("template", wide))).alias("template"))
-    lines = close.select("rid", "doc_id", "own", "leaf", "lines").join(template, ["rid", "own", "leaf"]).select("rid", "doc_id", "leaf", "template", "lines")
+    lines = close.select("rid", "doc_id", "own", "leaf", "lines", "words").join(template, ["rid", "own", "leaf"]).select("rid", "doc_id", "leaf", "template", "lines", "words")
     # The order in which a template's documents come: by id, null last.
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "words")
     per_doc = lines.groupBy("leaf", "template", "rid").agg(F.min(order).alias("o"), F.flatten(F.collect_list("lines")).alias("lines"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("head")).filter(F.col("n") >= min_docs)
-    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid")).select("rid", "lines")
+    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid")).select("rid", "head", "lines")
     if short_docs or long_docs:
-        alike = both.filter("need > 0").select("rid", "doc_id", "line", "leaf", "first", "need")
+        alike = both.filter("need > 0").select("rid", "doc_id", "line", "leaf", "first", "need", "words")
         repeated = alike.groupBy("leaf", "need").agg(F.sum("first").alias("n"), F.min(order).alias("head")).filter("n >= need").select("leaf", "need", "head")
         exact = _salted(alike).join(_every_salt(repeated), ["leaf", "need", "salt"]).filter(F.col("rid") != F.col("head.rid"))
-        gone = gone.union(exact.select("rid", F.array("line").alias("lines")))
-    return gone.groupBy("rid").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+        gone = gone.union(exact.select("rid", "head", F.array("line").alias("lines")))
+    return gone.groupBy("rid").agg(F.collect_list(F.struct(F.col("head.rid").alias("head"), F.col("head.words").alias("words"), "lines")).alias("found"))
+
+
+def _is_copy(found: list, words: list[int], share: float) -> bool:
+    """Whether lines that a text has in common with one first document hold the share of the words of both."""
+    common: dict[int, set[int]] = {}
+    size: dict[int, int] = {}
+    for x in found:
+        common.setdefault(x["head"], set()).update(x["lines"])
+        size[x["head"]] = x["words"]
+    total = sum(words)
+    return any(sum(words[n] for n in lines) >= share * max(total, size[head]) for head, lines in common.items())
 
 
 def without_recurring_lines(
     docs: DataFrame,
-    whole: float | None = WHOLE,
+    whole: float | None = None,
+    copy: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     **how,
 ) -> DataFrame:
     """The rows of ``docs`` with their recurring lines dropped, and n_lines, n_dropped.
 
-    If the recurring lines hold more than a share ``whole`` of a text's words,
-    the text is a copy rather than a text with boilerplate; it is left as it is
-    for near-duplicate removal (with None, such texts are cut as well).  Null
+    A text is left as it is for near-duplicate removal if it is a copy by
+    comparison with one other document: lines that are recurring and first in
+    that document hold a share ``copy`` of the words of each of the two.  With
+    ``whole``, so is a text of which recurring lines of any documents hold more
+    than that share of the words.  By default all texts are cut.  Null
     and empty texts have one empty line and stay as they are; rows equal in id
     and text are treated alike; the other columns stay, whatever their names.
     """
     gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **how)
-    joined = _dealt(docs, id_col, text_col).join(gone, "rid", "left").select("row", "lines")
+    joined = _dealt(docs, id_col, text_col).join(gone, "rid", "left").select("row", "found")
 
     text_at = docs.columns.index(text_col)
 
@@ -211,13 +233,16 @@ def without_recurring_lines(
             for k in range(0, batch.num_rows, 512):
                 part = [f.slice(k, 512) for f in fields]
                 kept, n_lines, n_dropped = [], [], []
-                for text, lines in zip(part[text_at].to_pylist(), batch.column(1).slice(k, 512).to_pylist(), strict=True):
+                for text, found in zip(part[text_at].to_pylist(), batch.column(1).slice(k, 512).to_pylist(), strict=True):
                     all_lines = (text or "").split("\n")
                     n_lines.append(len(all_lines))
-                    off = set(lines or ())
-                    if off and whole is not None:
-                        words = [len(x.split()) for x in all_lines]
-                        if sum(words[n] for n in off) > whole * sum(words):
+                    found = found or []
+                    off = {n for x in found for n in x["lines"]}
+                    if off and (whole is not None or copy is not None):
+                        words = [len(x.encode("utf-8", "surrogatepass").split()) for x in all_lines]
+                        if whole is not None and sum(words[n] for n in off) > whole * sum(words):
+                            off = set()
+                        elif copy is not None and _is_copy(found, words, copy):
                             off = set()
                     kept.append("\n".join(x for n, x in enumerate(all_lines) if n not in off) if off else text)
                     n_dropped.append(len(off))

@@ -38,3 +38,17 @@ def test_lines_of_few_documents_short_lines_and_long_lines(spark):
         rows.append((k, "\n".join(lines)))
     got = dropped(spark, rows, whole=None, short_docs=templates.SHORT_DOCS, long_docs=templates.LONG_DOCS)
     assert got == {k: (k > 0) + (0 < k < 6) + (k == 7) for k in range(30)}
+
+
+def test_mostly_recurring_texts_are_cut_unless_they_copy_one_document(spark):
+    """Two recurring lines and one of its own are no copy; whole copies are, and only the pipeline leaves them."""
+    a, b = "Subscribe to our weekly letter today", "All opinions are those of their authors"
+    body = [prose(60) for _ in range(5)]
+    rows = [(k, f"{a}\n{b}\n{prose(4)}") for k in range(8)] + [(20 + k, "\n".join(body)) for k in range(3)]
+    docs = {d: t for d, t in rows}
+    want = {k: 2 * (0 < k) for k in range(8)}
+    how = {"long_docs": templates.LONG_DOCS}
+    assert dropped(spark, rows, **how) == want | {20: 0, 21: 5, 22: 5}
+    # Documents 1 to 7 have 13 of their 17 words in common with document 0.
+    assert all(len(docs[k].split()) == 17 for k in range(8))
+    assert dropped(spark, rows, copy=templates.COPY, **how) == want | {20: 0, 21: 0, 22: 0}
