@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -33,8 +34,11 @@ from kinweave.plans.lineage import cut
 #: Words of 64 bits in a bitmap.
 BITMAP = 4
 #: Sets and shingles of a candidate component that one task compares with as many others.
-CHUNK_SETS = 512
+CHUNK_SETS = 2048
 CHUNK_SHINGLES = 1 << 20
+#: (least size, largest size, words of bitmap): sets meet within these, as a bitmap tells little about sets of over twice its bits.
+#: At the borders they overlap by more than 5 / 4.
+CLASSES = [(1, 400, 4), (300, 2000, 16), (1500, None, 64)]
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -57,19 +61,17 @@ def prefix_length(n: int, t: Fraction) -> int:
 class Bounds:
     """A bitmap and the size of a set, and the pairs that these do not rule out."""
 
-    words = BITMAP + 1
-
-    def __init__(self, t: Fraction):
-        self.t = t
+    def __init__(self, t: Fraction, bitmap: int = BITMAP):
+        self.t, self.bitmap, self.words = t, bitmap, bitmap + 1
 
     def cell(self, own: np.ndarray) -> bytes:
-        bits = np.bincount((own % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+        bits = np.bincount((own % np.uint64(64 * self.bitmap)).astype(np.int64), minlength=64 * self.bitmap) & 1
         return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8").astype(">u8").tobytes() + len(own).to_bytes(8, "big")
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p, q = self.t.numerator, self.t.denominator
-        x, y = a[:, BITMAP].astype(np.int64), b[:, BITMAP].astype(np.int64)
-        apart = np.bitwise_count(a[:, :BITMAP] ^ b[:, :BITMAP]).sum(1, dtype=np.int64)
+        x, y = a[:, self.bitmap].astype(np.int64), b[:, self.bitmap].astype(np.int64)
+        apart = np.bitwise_count(a[:, : self.bitmap] ^ b[:, : self.bitmap]).sum(1, dtype=np.int64)
         return (np.minimum(x, y) * q >= np.maximum(x, y) * p) & (apart * (p + q) <= (x + y) * (q - p))
 
 
@@ -111,7 +113,13 @@ def verified(reps: np.ndarray, sets: list[np.ndarray], t: Fraction) -> tuple[np.
     return np.concatenate([nothing, *a]), np.concatenate([nothing, *b])
 
 
-def candidate_links(sets: DataFrame, t: Fraction, heavy_rows: int = HEAVY) -> DataFrame:
+def classes_of(t: Fraction) -> list[tuple[int, int | None, int]]:
+    """CLASSES if every pair of similarity t lies in one of them, else one class of all sizes."""
+    fits = all(high * t >= low for (_, high, _), (low, _, _) in zip(CLASSES, CLASSES[1:], strict=False))
+    return CLASSES if fits else [(1, None, 16)]
+
+
+def candidate_links(sets: DataFrame, bounds: Bounds, heavy_rows: int = HEAVY) -> DataFrame:
     """(a, b): edges that connect all sets which may be similar.  ``sets`` is (rep long, cell, prefix)."""
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 1 << 20):
@@ -119,7 +127,7 @@ def candidate_links(sets: DataFrame, t: Fraction, heavy_rows: int = HEAVY) -> Da
             take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in prefixes]))
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), batch.column(1).take(take), batch.column(0).take(take)], ["key", "fp", "rep"])
 
-    return keyed_links(sets.select("rep", "cell", "prefix").mapInArrow(key, "key long, fp binary, rep long"), Bounds(t), heavy_rows)
+    return keyed_links(sets.select("rep", "cell", "prefix").mapInArrow(key, "key long, fp binary, rep long"), bounds, heavy_rows)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = HEAVY, chunk_sets: int = CHUNK_SETS) -> DataFrame:
@@ -132,19 +140,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     t = Fraction(str(similarity))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    bounds = Bounds(t)
+    classes = [(low, high or 1 << 62, Bounds(t, words)) for low, high, words in classes_of(t)]
+    cells = [f"cell{k}" for k in range(len(classes))]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             own = [shingles(x, shingle) for x in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()),
-                pa.array([bounds.cell(s) for s in own], pa.binary()), pa.array([s[: prefix_length(len(s), t)].tobytes() for s in own], pa.binary())], ["doc_id", "own", "n", "cell", "prefix"])
+                *(pa.array([bounds.cell(s) if low <= len(s) <= high else None for s in own], pa.binary()) for low, high, bounds in classes), pa.array([s[: prefix_length(len(s), t)].tobytes() for s in own], pa.binary())], ["doc_id", "own", "n", *cells, "prefix"])
 
-    every = cut(rows.mapInArrow(prints, f"doc_id {id_type}, own binary, n long, cell binary, prefix binary"))
+    every = cut(rows.mapInArrow(prints, f"doc_id {id_type}, own binary, n long, {', '.join(f'{c} binary' for c in cells)}, prefix binary"))
     least = every.groupBy("own").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"))
-    firsts = every.select(F.col("doc_id").cast("long").alias("rep"), "own", "cell", "prefix").join(least.select("own", "rep"), ["own", "rep"], "left_semi")
-    maybe = connected_components(candidate_links(firsts, t, heavy_rows))
+    firsts = every.select(F.col("doc_id").cast("long").alias("rep"), "own", *cells, "prefix").join(least.select("own", "rep"), ["own", "rep"], "left_semi")
+    found = [candidate_links(firsts.filter(F.col(c).isNotNull()).select("rep", F.col(c).alias("cell"), "prefix"), bounds, heavy_rows) for c, (_, _, bounds) in zip(cells, classes, strict=True)]
+    maybe = connected_components(reduce(DataFrame.union, found))
     members = cut(least.filter("rep is not null").join(maybe, F.col("rep") == F.col("vertex")).select("rep", "own", "n", F.col("component").alias("part")))
 
     # Large candidate components are dealt into chunks, and each pair of chunks is compared by a task of its own.
@@ -170,5 +180,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     dealt = dealt.select("rep", "shingles", "part", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
     roots = connected_components(dealt.groupBy("part", "lo", "hi").applyInArrow(compare, "a long, b long"))
-    classes = least.join(roots, F.col("rep") == F.col("vertex"), "left").select("own", F.coalesce("component", "rep").alias("component_id"))
-    return every.select("doc_id", "own").join(classes, "own").select("doc_id", "component_id")
+    roots_of = least.join(roots, F.col("rep") == F.col("vertex"), "left").select("own", F.coalesce("component", "rep").alias("component_id"))
+    return every.select("doc_id", "own").join(roots_of, "own").select("doc_id", "component_id")
