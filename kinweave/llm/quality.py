@@ -1,9 +1,10 @@
 """Quality rules as a bitmask ledger (operator 8).
 
-``ledger`` measures every document once and stores, beside the measurements,
-one bit per rule that the document fails.  Policies are versioned masks over
-those bits: applying another policy, or asking what each rule costs, reads the
-ledger and never a text.
+``ledger`` measures every document once and has, beside the measurements, one
+bit per rule that the document fails.  Policies are versioned masks over those
+bits: applying another policy, or asking what each rule costs, reads the ledger
+(``store`` writes it as a table; the queries here keep it as a checkpoint) and
+never a text.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kinweave.llm.arrow import slices, texts
+from kinweave.llm.rows import packed_row, quoted
+from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -95,27 +99,32 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the measurements, failed, and the columns ``keep``): ``failed`` has bit k set if rule k fails.
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, the measurements, failed): ``failed`` has bit k set if rule k fails.
 
-    Words are runs without the six ASCII white-space characters.  A null or
-    empty text has no words and fails ``few_words``; equal rows are measured
-    alike; other columns are ignored; an empty table gives no rows.
+    With ``carry`` there is also ``row``, the whole row as a struct, from which
+    ``rows.unpacked_row`` restores the columns, whatever their names.  Words are
+    runs without the six ASCII white-space characters.  A null or empty text has
+    no words and fails ``few_words``; equal rows are measured alike; an empty
+    table gives no rows.
     """
-    extra = [c for c in keep if c not in (id_col, text_col)]
-    rest = F.struct(F.lit(0).alias("_"), *extra, *([F.col(text_col)] if text_col in keep else []))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    id_type, rest_type = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "rest"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), *([packed_row(docs).alias("row")] if carry else []))
+    id_type = rows.schema["doc_id"].dataType
+    out = StructType([StructField("doc_id", id_type), *([rows.schema["row"]] if carry else []), *(StructField(m, LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             columns = np.array([measure(t) for t in texts(batch.column(1))], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], ["doc_id", "rest", *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], out.names)
 
-    measured = rows.mapInArrow(run, f"doc_id {id_type}, rest {rest_type}, " + ", ".join(f"{m} long" for m in MEASURES))
     failed = " | ".join(f"if({rule}, {1 << k}L, 0L)" for k, (_, rule) in enumerate(RULES))
-    kept = [F.col("rest")[c].alias(c) for c in [*extra, *([text_col] if text_col in keep else [])]]
-    return measured.select("doc_id", *MEASURES, F.expr(failed).alias("failed"), *kept)
+    return rows.mapInArrow(run, out).select("doc_id", *MEASURES, F.expr(failed).alias("failed"), *(["row"] if carry else []))
+
+
+def store(entries: DataFrame, path: str) -> DataFrame:
+    """The ledger written to ``path``, as it is read from there by every policy and ablation."""
+    entries.write.parquet(path)
+    return entries.sparkSession.read.parquet(path)
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -146,7 +155,7 @@ def ablation(entries: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = apply_policy(ledger(table(spark, sf_dir, "documents")))
+    entries = apply_policy(cut(ledger(table(spark, sf_dir, "documents"))))
     base_failed = F.col("failed").bitwiseAND(F.lit(BASE)) != 0
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -155,7 +164,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablation(ledger(table(spark, sf_dir, "documents")))
+    return ablation(cut(ledger(table(spark, sf_dir, "documents"))))
 
 
 SQL = r"""
