@@ -13,26 +13,36 @@ looks up the block under every stretch's cursor, moves the cursors by their
 shifts, and where a shift is zero compares the text with the patterns of the
 bucket, byte for byte.
 
-Items are taken in blocks of at most ``BLOCK_BYTES`` of text; each block is one
-pass over the documents, so what is broadcast at once is bounded whatever the
-size of the benchmark.  No pass shuffles.
+Items are cut into pieces of whole windows, and pieces are taken in blocks of at
+most ``BLOCK_BYTES`` of text; each block is one pass over the documents.  A
+benchmark of one block needs no shuffle.  With more, each pass leaves the hits
+of its block in a checkpoint before the next block is broadcast, so what is
+broadcast or on the driver at once is bounded whatever the size of the
+benchmark; the hits are then added up by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from kinweave.llm.arrow import flat, slices
+from kinweave.llm.rows import packed_row, quoted
+from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+#: Windows of an item in a piece.
+PIECE_WINDOWS = 1024
 STRETCH = 512
 #: Lower bounds, in bytes, of the classes of pattern lengths, with the bytes of a block in each.
 CLASSES = ((0, 2), (8, 4), (24, 8))
@@ -195,33 +205,68 @@ class Patterns:
         return np.diff(bounds), spans, items
 
 
-def _join(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of two lists of intervals, as maximal intervals in order."""
-    if not old:
-        return new
-    out: list[tuple[int, int]] = []
-    for a, b in sorted([*old, *new]):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str]]]:
-    """Items with a text, in blocks of at most ``most`` bytes of text or one item."""
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    for r in rows.toLocalIterator():
-        if block and size + len(r["t"]) > most:
+def pieces(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most: int = PIECE_WINDOWS) -> DataFrame:
+    """(item, text): items in canonical words, long ones in pieces of ``most`` windows; each window is in one piece."""
+    rows = benchmark.select(F.coalesce(quoted(item_col).cast("string"), F.lit("null")).alias("item"), quoted(text_col).alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = [w.decode("utf-8", "surrogatepass") for w in _WORD.findall(text.encode("utf-8", "surrogatepass").lower())]
+                parts = [" ".join(words[k : k + most + window - 1]) for k in range(0, max(1, len(words) - window + 1), most)] if words else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], ["item", "text"])
+
+    return rows.mapInArrow(run, "item string, text string")
+
+
+def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple[str, str]]]:
+    """Pieces in blocks of at most ``most`` bytes of text or one piece; one block comes to the driver at a time."""
+    found = cut(pieces(benchmark, item_col, text_col, window))
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // most))
+    n *= 2 if n > 1 else 1  # room for blocks that hold more than others
+    for k in range(n):
+        block, held = [], 0
+        for r in found.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator():
+            own = len(r["text"].encode("utf-8", "surrogatepass"))
+            if block and held + own > most:
+                yield block
+                block, held = [], 0
+            block.append((r["item"], r["text"]))
+            held += own
+        if block or n == 1:
             yield block
-            block, size = [], 0
-        block.append((r["i"], r["t"]))
-        size += len(r["t"])
-    yield block
 
 
 SPANS = "array<struct<start:int,end:int>>"
+_SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+_SPAN_TYPE = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
+
+
+def _scan(rows: DataFrame, block: list[tuple[str, str]], window: int) -> tuple[DataFrame, object]:
+    """``rows`` (whose first column is ``text``) with n_words, spans, items for one block, and its broadcast."""
+    given = rows.sparkSession.sparkContext.broadcast(block)
+    kept = rows.columns[1:]
+    out = StructType([*(rows.schema[c] for c in kept), StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("items", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = Patterns(given.value, window)
+        for batch in slices(batches, 0):
+            n_words, spans, items = patterns.scan(*flat(batch.column(0)))
+            found = [[{"start": a, "end": b} for a, b in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n_words, pa.int64()), pa.array(found, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))], out.names)
+
+    return rows.mapInArrow(run, out), given
+
+
+def _merged(spans: Column) -> Column:
+    """Intervals as maximal intervals in order."""
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
 def contamination(
@@ -232,41 +277,41 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    keep: tuple[str, ...] = (),
+    carry: bool = False,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(doc_id, n_words, spans, items, and the columns ``keep``): where windows of items occur in each text.
+    """(doc_id, n_words, spans, items): where windows of items occur in each text.
 
     ``spans`` are the maximal runs of hit words, end exclusive; ``items`` the
-    ids, as strings in order, of the items with an occurring window.  A null
+    ids, as strings in order, of the items with an occurring window.  With
+    ``carry`` there is also ``row``, the whole row as a struct, from which
+    ``rows.unpacked_row`` restores the columns, whatever their names.  A null
     or empty text has no words; an item without words is never found; a null
     item id is the string ``null``; equal rows are searched alike; an empty
     table of documents gives no rows, an empty benchmark hits nothing.
     """
-    extra = [c for c in keep if c not in (id_col, text_col)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *extra).alias("rest"))
-    rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
-    schema = rows.schema
-    span_type = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
-    context = docs.sparkSession.sparkContext
-    for block in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        given = context.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(given.value, window)
-            for batch in slices(batches, 1):
-                n_words, spans, items = patterns.scan(*flat(batch.column(1)))
-                old = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-                for k, (s, i) in enumerate(old):
-                    if s or i:
-                        spans[k] = _join([(x["start"], x["end"]) for x in s], spans[k])
-                        items[k] = sorted({*i, *items[k]})
-                found = [[{"start": a, "end": b} for a, b in x] for x in spans]
-                columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(n_words, pa.int64()), pa.array(found, span_type), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-        rows = rows.mapInArrow(run, schema)
-    return rows.select("doc_id", "n_words", "spans", "items", *([F.col("text").alias(text_col)] if text_col in keep else []), *(F.col("rest")[c].alias(c) for c in extra))
+    carried = [packed_row(docs).alias("row")] if carry else []
+    shown = ["doc_id", "n_words", "spans", "items", *(["row"] if carry else [])]
+    rows = docs.select(quoted(text_col).alias("text"), quoted(id_col).alias("doc_id"), *carried)
+    blocks = _blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(rows, first, window)[0].select(shown)
+    # Rows are told apart by two hashes of id and text; those equal in both have equal hits.
+    own = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit("")))
+    keyed = docs.select(quoted(text_col).alias("text"), quoted(id_col).alias("doc_id")).select("text", own(1).alias("h1"), own(2).alias("h2"))
+    hits = []
+    for block in chain((first, second), blocks):
+        found, given = _scan(keyed, block, window)
+        hits.append(cut(found.filter(F.size("spans") > 0).select("h1", "h2", "spans", "items")))
+        given.destroy()
+    added = reduce(DataFrame.union, hits).groupBy("h1", "h2").agg(
+        _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    every, _ = _scan(rows.withColumns({"h1": own(1), "h2": own(2)}), [], window)
+    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    joined = every.drop("spans", "items").join(added, ["h1", "h2"], "left")
+    return joined.select("doc_id", "n_words", nothing("spans", SPANS), nothing("items", "array<string>"), *(["row"] if carry else []))
 
 
 def hit_words(spans: str = "spans"):
