@@ -1,40 +1,41 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams (operator 10).
 
 Counting is one pass over all labelled rows: every task adds up, per language,
-a vector of hashed n-gram counts; the vectors are cut into ranges of buckets
-and summed by (language, range).  The matrix of log probabilities has a proven
-size bound, ``MODEL_BYTES``: the number of hash bits follows from the number of
-languages.  Scoring adds, for every n-gram of a text, its row of the matrix.
+a vector of hashed n-gram counts, and hands it on in parts of COLUMNS buckets, a
+column each, which Spark sums by (language, part).  The matrix of log
+probabilities has a proven size bound: BITS hash bits for each of at most
+MOST_LANGUAGES languages; more labels than that are an error.  Scoring adds, for
+every n-gram of a text, its row of the matrix.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import slices, texts
+from kinweave.llm.rows import quoted
+from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 ORDERS = (1, 2, 3)
-MODEL_BYTES = 16 << 20
-MOST_BITS = 16
-RANGES = 16
+BITS = 16
+COLUMNS = 64
+#: Of 4 bytes per bucket and language the broadcast matrix has 64 MB at most.
+MOST_LANGUAGES = 256
+#: Languages that a task counts at once; with more labels it hands on what it has.
+LANGUAGES_HERE = 64
 ALPHA = 0.5
 UNKNOWN = "und"
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def hash_bits(languages: int) -> int:
-    """Bits of the n-gram hash, so that a float32 matrix of all languages stays within MODEL_BYTES."""
-    return max(4, min(MOST_BITS, int(np.log2(MODEL_BYTES / (4 * max(1, languages))))))
-
-
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
@@ -43,8 +44,9 @@ def _letters() -> np.ndarray:
 def features(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (32 bits) of the n-grams of each text, the row of each, and whether a row has a letter.
 
-    Letters are lower-cased; any run of other characters is one space.  An
-    n-gram may start or end with a space; a space alone is none.
+    Letters are lower-cased; any run of other characters is one space, and so
+    are the ends of a text.  An n-gram may start or end with a space; a space
+    alone is none, nor is a space between two letters.
     """
     codes = np.frombuffer("\0".join(["", *rows, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     # A text may hold NULs itself: rows are told apart by their lengths.
@@ -66,9 +68,11 @@ def features(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             h = (h ^ codes[k : k + m].astype(np.uint32)) * _PRIMES[k]
             h ^= h >> np.uint32(15)
-        ok = letter[n - 1 : n - 1 + m] if n < 2 else letter[n - 2 : n - 2 + m]
-        # The last code of an n-gram may be the space that ends a word; its row is that of the letter before.
-        rows_of = at[max(0, n - 2) : max(0, n - 2) + m]
+        # An n-gram needs a letter in its middle, a pair at either end; its row is that of this letter.
+        middle = slice(n // 2, n // 2 + m)
+        ok, rows_of = letter[middle], at[middle]
+        if n == 2:
+            ok, rows_of = ok | letter[:m], np.where(ok, rows_of, at[:m])
         out.append(h[ok])
         of.append(rows_of[ok])
     if not out:
@@ -80,52 +84,65 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", bits: int = BITS, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages in order, matrix of log probabilities (buckets + 1, languages)); the last row holds the priors.
 
     Rows without a label or text don't count.  Only the summed matrix, whose
-    size is bounded, comes to the driver.
+    size is bounded, comes to the driver; more than ``most`` labels raise an
+    error.
     """
-    rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    names = sorted(r["lang"] for r in rows.groupBy("lang").count().collect())
-    bits = hash_bits(len(names))
+    rows = labelled.select(quoted(label_col).cast("string").alias("lang"), quoted(text_col).alias("text")).dropna()
     size = 1 << bits
-    if not names:
-        return [], np.zeros((size + 1, 0), np.float32)
-    place = {x: k for k, x in enumerate(names)}
-    part = max(1, size // RANGES)
+    columns = [f"c{k}" for k in range(min(COLUMNS, size))]
+    parts = size // len(columns)
+    names = ["lang", "part", "docs", *columns]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), size), np.int64)
-        docs = np.zeros(len(names), np.int64)
+        sums: dict[str, np.ndarray] = {}
+        docs: Counter[str] = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, own in sums.items():
+                grid = own.reshape(parts, len(columns))
+                n = np.zeros(parts, np.int64)
+                n[0] = docs[lang]
+                use = np.flatnonzero(grid.any(1) | (n > 0))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(use), pa.string()), pa.array(use.astype(np.int32)), pa.array(n[use]), *(pa.array(np.ascontiguousarray(c)) for c in grid[use].T)], names)
+            sums.clear()
+            docs.clear()
+
         for batch in slices(batches, 1, 1 << 19):
-            lang = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            langs = batch.column(0).to_pylist()
+            here = sorted(set(langs))
+            if len(sums.keys() | here) > LANGUAGES_HERE:
+                yield from told()
+            place = {x: k for k, x in enumerate(here)}
+            own = np.array([place[x] for x in langs], np.int64)
             h, of, _ = features(texts(batch.column(1)))
-            sums += np.bincount(lang[of] * size + _bucket(h, bits), minlength=sums.size).reshape(sums.shape)
-            docs += np.bincount(lang, minlength=len(names))
-        for k in np.flatnonzero(docs):
-            ranges = [sums[k, s : s + part].tobytes() for s in range(0, size, part)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)] * len(ranges), pa.int32()), pa.array(range(len(ranges)), pa.int32()), pa.array([int(docs[k])] * len(ranges), pa.int64()), pa.array(ranges, pa.binary())], ["lang", "part", "docs", "counts"])
-
-    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, docs = np.zeros(part, np.int64), 0
-        for frame in frames:
-            for c, d in zip(frame["counts"], frame["docs"], strict=True):
-                total += np.frombuffer(c, np.int64)
-                docs += d
-        yield pd.DataFrame({"lang": [key[0]], "part": [key[1]], "docs": [docs], "counts": [total.tobytes()]})
-
-    schema = "lang int, part int, docs long, counts binary"
-    partial = rows.mapInArrow(count, schema)
-    summed = partial.groupBy("lang", "part").applyInPandas(lambda key, pdf: next(add(key, iter([pdf]))), schema)
-    counts = np.zeros((len(names), size))
-    docs = np.zeros(len(names))
-    for r in summed.toLocalIterator():
-        counts[r["lang"], r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(bytes(r["counts"]), np.int64)
-        docs[r["lang"]] = r["docs"]
+            b, of = _bucket(h, bits), own[of]
+            for k, lang in enumerate(here):
+                found = np.bincount(b[of == k], minlength=size)
+                sums[lang] = sums[lang] + found if lang in sums else found
+            docs.update(langs)
+        yield from told()
+
+    partial = rows.mapInArrow(count, f"lang string, part int, docs long, {', '.join(f'{c} long' for c in columns)}")
+    summed = cut(partial.groupBy("lang", "part").agg(F.sum("docs").alias("docs"), *(F.sum(c).alias(c) for c in columns)))
+    langs = sorted(r["lang"] for r in summed.filter("docs > 0").select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages: the model would be larger than its bound")
+    counts, docs = np.zeros((len(langs), size)), np.zeros(len(langs))
+    if not langs:
+        return [], np.zeros((size + 1, 0), np.float32)
+    found = summed.toArrow()
+    lang = np.searchsorted(langs, found.column("lang").to_numpy())
+    part = found.column("part").to_numpy().astype(np.int64)
+    for k, c in enumerate(columns):
+        counts[lang, part * len(columns) + k] = found.column(c).to_numpy()
+    np.add.at(docs, lang, found.column("docs").to_numpy())
     logs = np.log(counts + ALPHA) - np.log(counts.sum(1, keepdims=True) + ALPHA * size)
     prior = np.log(docs) - np.log(docs.sum())
-    return names, np.concatenate([logs.T, prior[None]]).astype(np.float32)
+    return langs, np.concatenate([logs.T, prior[None]]).astype(np.float32)
 
 
 def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +151,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, id_col: str =
     A text that is null or has no letter is ``und`` with score 0; so is any
     text if no language was learned.  Of equals, the first by name wins.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(matrix)
     bits = int(np.log2(len(matrix) - 1))
