@@ -2,13 +2,21 @@
 
 Equal shingle sets are collapsed first.  Two sets of similarity t or more share
 one of their first n - ceil(t * n) + 1 shingles in any common order (prefix
-filtering; here the order of their hashes), so meeting under these shingles
-loses no pair.  In a bucket, pairs are left out only by bounds that hold for
-every pair of similarity t: the ratio of the sizes, and the number of differing
-bits of two parity bitmaps, which is never more than the number of shingles
-that only one of the sets has.  What is left connects sets into *candidate*
-components, a superset of the answer; the sets of each are then compared
-exactly, and only the verified links make the result.
+filtering), so meeting under these shingles loses no pair.  The order is that of
+hashes, but shingles that many texts hold come last, by how many: a passage that
+very many texts quote is then in no prefix but those of texts that consist of
+such passages.  (Which shingles count as frequent changes the order, never the
+result.)  Sets whose prefix nobody shares leave before anything else is sent.
+
+In a bucket, pairs are left out only by bounds that hold for every pair of
+similarity t: the ratio of the sizes, and the number of differing bits of two
+parity bitmaps, which is never more than the number of shingles that only one of
+the sets has.  Bitmaps are compared as fingerprints of operator 7 are: a
+pigeonring filter over their words, then all bits.  (Majority bits, as SimHash
+has them, give no bound on the similarity of texts; parity bits do.)  What is
+left connects sets into *candidate* components, a superset of the answer; the
+sets of each are then compared exactly, and only the verified links make the
+result.
 
 Shingles are told apart by 64-bit hashes.
 """
@@ -17,8 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
-from itertools import accumulate
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,31 +33,131 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import slices, texts
+from kinweave.llm.arrow import flat, slices
 from kinweave.llm.simhash import HEAVY, SEED, keyed_links
 from kinweave.operators.components import connected_components
 from kinweave.plans.lineage import cut
 
-#: Words of 64 bits in a bitmap.
+#: Words of 64 bits in a bitmap, and the longest chain of them that the pigeonring filter looks at.
 BITMAP = 4
+CHAIN = 4
 #: Sets and shingles of a candidate component that one task compares with as many others.
-CHUNK_SETS = 2048
+CHUNK_SETS = 512
 CHUNK_SHINGLES = 1 << 20
 #: (least size, largest size, words of bitmap): sets meet within these, as a bitmap tells little about sets of over twice its bits.
 #: At the borders they overlap by more than 5 / 4.
 CLASSES = [(1, 400, 4), (300, 2000, 16), (1500, None, 64)]
-
-
-def shingles(text: str, width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :], strict=False)], np.uint64))
+#: Frequent shingles that are broadcast at most (8 bytes each), the texts of one task that must hold one, and those of all.
+FREQUENT = 1 << 18
+FREQUENT_HERE = 3
+FREQUENT_DOCS = 64
+#: Bytes of text over which a task counts shingles at once.
+COUNT_BYTES = 24 << 20
+#: Bytes of words that are hashed at once.
+WORD_BYTES = 2 << 20
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BYTES = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z are as a-z
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse, modulo 2 ** 64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the sorted distinct hashes of each text's word shingles, back to back.
+
+    ``data`` is the UTF-8 bytes of all texts, cut at ``offsets``.  A text of
+    fewer words than ``width`` is one shingle, a text without words has none.
+    """
+    n_texts = len(offsets) - 1
+    inside = ~_SPACE[data]
+    at_start = np.zeros(len(data) + 1, bool)
+    at_start[offsets[:-1]] = True
+    begin = np.flatnonzero(inside & (at_start[:-1] | np.concatenate([[True], ~inside[:-1]])) if len(data) else inside)
+    at_end = np.zeros(len(data) + 1, bool)
+    at_end[offsets[1:]] = True
+    end = np.flatnonzero(inside & (at_end[1:] | np.concatenate([~inside[1:], [True]])) if len(data) else inside) + 1
+    words = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):  # words of about WORD_BYTES at once, so that a long text needs no long arrays of powers
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + WORD_BYTES, "right")))
+        low, high = int(begin[a]), int(end[b - 1])
+        up, down = _powers(1 << max(21, (high - low).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data[low:high]] * up[: high - low], dtype=np.uint64)])
+        words[a:b] = (sums[end[a:b] - low] - sums[begin[a:b] - low]) * down[begin[a:b] - low]
+        a = b
+    words = _mixed(words, (end - begin).astype(np.uint64))
+    bounds = np.searchsorted(begin, offsets)  # words before each text
+    text = np.repeat(np.arange(n_texts), np.diff(bounds))
+    place, last = np.arange(len(words)), np.repeat(bounds[1:], np.diff(bounds))
+    first = np.repeat(bounds[:-1], np.diff(bounds))
+    use = (place + width <= last) | ((place == first) & (last - first < width))
+    place, last, text = place[use], last[use], text[use]
+    h = np.full(len(place), width, np.uint64)
+    for k in range(width):
+        there = place + k < last
+        h = np.where(there, _mixed(h, words[np.minimum(place + k, len(words) - 1)]), h) if len(words) else h
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.searchsorted(text[new], np.arange(n_texts + 1))
+
+
+def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The shingles of each text of a column."""
+    h, bounds = shingles(*flat(column), width)
+    return [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def frequent_shingles(rows: DataFrame, width: int, most: int = FREQUENT) -> np.ndarray:
+    """The hashes of the shingles that most texts hold, ``most`` at most, least frequent first.
+
+    Tasks tell of what FREQUENT_HERE of their own texts hold, so counts are not
+    exact; they only decide an order.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= FREQUENT_HERE
+            return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+
+        for batch in slices(batches, 0):
+            held.append(shingles(*flat(batch.column(0)), width)[0])
+            size += batch.column(0).nbytes
+            if size >= COUNT_BYTES:
+                yield told()
+                held, size = [], 0
+        if held:
+            yield told()
+
+    counts = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_DOCS)
+    top = counts.orderBy(F.col("n").desc(), "h").limit(most)
+    found = [(r["n"], r["h"]) for r in top.toLocalIterator()]
+    return np.array([h for _, h in sorted(found)], np.int64).view(np.uint64)
+
+
+def by_frequency(own: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A set with its frequent shingles last; ``order`` sorts ``frequent``."""
+    if not len(frequent) or not len(own):
+        return own
+    at = np.minimum(np.searchsorted(frequent, own, sorter=order), len(frequent) - 1)
+    rank = np.where(frequent[order[at]] == own, order[at] + 1, 0)
+    return own[np.argsort(rank, kind="stable")] if rank.any() else own
 
 
 def prefix_length(n: int, t: Fraction) -> int:
@@ -71,8 +178,21 @@ class Bounds:
     def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p, q = self.t.numerator, self.t.denominator
         x, y = a[:, self.bitmap].astype(np.int64), b[:, self.bitmap].astype(np.int64)
-        apart = np.bitwise_count(a[:, : self.bitmap] ^ b[:, : self.bitmap]).sum(1, dtype=np.int64)
-        return (np.minimum(x, y) * q >= np.maximum(x, y) * p) & (apart * (p + q) <= (x + y) * (q - p))
+        out = np.minimum(x, y) * q >= np.maximum(x, y) * p
+        at = np.flatnonzero(out)
+        most = (x + y)[at] * (q - p) // (p + q)  # bits that may differ
+        parts = np.bitwise_count(a[at, : self.bitmap] ^ b[at, : self.bitmap])
+        # Pigeonring: from some word on, every chain of l words differs in l / words of the bits that may differ.
+        m = self.bitmap
+        ring = np.concatenate([parts, parts[:, : CHAIN - 1]], 1).astype(np.int64)
+        total, ok = np.zeros((len(at), m), np.int64), np.ones((len(at), m), bool)
+        for length in range(1, CHAIN + 1):
+            total += ring[:, length - 1 : length - 1 + m]
+            ok &= total * m <= length * most[:, None]
+        left = ok.any(1)
+        out[at] = left
+        out[at[left]] = parts[left].sum(1, dtype=np.int64) <= most[left]
+        return out
 
 
 def verified(reps: np.ndarray, sets: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +239,38 @@ def classes_of(t: Fraction) -> list[tuple[int, int | None, int]]:
     return CLASSES if fits else [(1, None, 16)]
 
 
-def candidate_links(sets: DataFrame, bounds: Bounds, heavy_rows: int = HEAVY) -> DataFrame:
-    """(a, b): edges that connect all sets which may be similar.  ``sets`` is (rep long, cell, prefix)."""
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, rep): the rows whose key another row has too."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, alone = None, None  # the key that the rows so far end with, and its row if it has met no other
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(0).to_numpy()
+            same = np.zeros(n, bool)
+            equal = keys[1:] == keys[:-1]
+            same[1:] |= equal
+            same[:-1] |= equal
+            if last is not None and keys[0] == last:
+                same[: np.searchsorted(keys, last, "right")] = True
+                if alone is not None:
+                    yield alone
+            last, alone = keys[-1], None if same[-1] else batch.slice(n - 1)
+            yield batch.filter(pa.array(same))
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(keep, "key long, rep long")
+
+
+def keys_of(sets: DataFrame) -> DataFrame:
+    """(key, rep): a row per shingle of each prefix.  ``sets`` is (rep long, prefix)."""
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 20):
-            prefixes = batch.column(2).to_pylist()
+        for batch in slices(batches, 1, 1 << 20):
+            prefixes = batch.column(1).to_pylist()
             take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in prefixes]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), batch.column(1).take(take), batch.column(0).take(take)], ["key", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), batch.column(0).take(take)], ["key", "rep"])
 
-    return keyed_links(sets.select("rep", "cell", "prefix").mapInArrow(key, "key long, fp binary, rep long"), bounds, heavy_rows)
+    return sets.select("rep", "prefix").mapInArrow(key, "key long, rep long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = HEAVY, chunk_sets: int = CHUNK_SETS) -> DataFrame:
@@ -143,17 +286,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     classes = [(low, high or 1 << 62, Bounds(t, words)) for low, high, words in classes_of(t)]
     cells = [f"cell{k}" for k in range(len(classes))]
 
+    # Which shingles are frequent is at most FREQUENT hashes of 8 bytes.
+    common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = common.value
+        order = np.argsort(frequent, kind="stable")
         for batch in slices(batches, 1):
-            own = [shingles(x, shingle) for x in texts(batch.column(1))]
+            own = sets_of(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()),
-                *(pa.array([bounds.cell(s) if low <= len(s) <= high else None for s in own], pa.binary()) for low, high, bounds in classes), pa.array([s[: prefix_length(len(s), t)].tobytes() for s in own], pa.binary())], ["doc_id", "own", "n", *cells, "prefix"])
+                batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()),
+                *(pa.array([bounds.cell(s) if low <= len(s) <= high else None for s in own], pa.binary()) for low, high, bounds in classes),
+                pa.array([by_frequency(s, frequent, order)[: prefix_length(len(s), t)].tobytes() for s in own], pa.binary())], ["doc_id", "own", "n", *cells, "prefix"])
 
     every = cut(rows.mapInArrow(prints, f"doc_id {id_type}, own binary, n long, {', '.join(f'{c} binary' for c in cells)}, prefix binary"))
     least = every.groupBy("own").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"))
     firsts = every.select(F.col("doc_id").cast("long").alias("rep"), "own", *cells, "prefix").join(least.select("own", "rep"), ["own", "rep"], "left_semi")
-    found = [candidate_links(firsts.filter(F.col(c).isNotNull()).select("rep", F.col(c).alias("cell"), "prefix"), bounds, heavy_rows) for c, (_, _, bounds) in zip(cells, classes, strict=True)]
+    # Only the sets that share a key meet with their bitmaps.
+    met = cut(shared_keys(keys_of(firsts)).join(firsts.select("rep", *cells), "rep").select("key", *cells, "rep"))
+    found = [keyed_links(met.filter(F.col(c).isNotNull()).select("key", F.col(c).alias("fp"), "rep"), bounds, heavy_rows) for c, (_, _, bounds) in zip(cells, classes, strict=True)]
     maybe = connected_components(reduce(DataFrame.union, found))
     members = cut(least.filter("rep is not null").join(maybe, F.col("rep") == F.col("vertex")).select("rep", "own", "n", F.col("component").alias("part")))
 
@@ -163,8 +314,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            found = [shingles(x, shingle) for x in texts(batch.column(1))]
-            same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == own for s, own in zip(found, batch.column(2).to_pylist(), strict=True)])
+            found = sets_of(batch.column(1), shingle)
+            same = pa.array([xxhash.xxh3_128_digest(s) == own for s, own in zip(found, batch.column(2).to_pylist(), strict=True)])
             packed = pa.array([s.tobytes() for s in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(3), batch.column(4)], ["rep", "shingles", "part", "chunks"]).filter(same)
 

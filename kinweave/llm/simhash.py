@@ -176,22 +176,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[label[off]]
 
 
-def _block(scheme: Scheme, fps: np.ndarray, reps: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between two sets of rows (or within one), block by block."""
+def _spread(scheme, fps: np.ndarray, reps: np.ndarray, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links among the rows connect, or with ``far`` the links between its two sides.
+
+    Each row is compared with the rows not yet reached, so a group of rows that
+    are all alike costs its size, not its square.
+    """
+    unmet = np.ones(len(reps), bool)
+    sides = [np.arange(len(reps))] * 2 if far is None else [np.flatnonzero(far), np.flatnonzero(~far)]
     a, b = [], []
-    for k in range(0, len(left), 256):
-        x = left[k : k + 256]
-        for j in range(k if same else 0, len(right), 1024):
-            y = right[j : j + 1024]
-            i1, i2 = np.repeat(x, len(y)), np.tile(y, len(x))
-            if same:
-                up = i1 < i2
-                i1, i2 = i1[up], i2[up]
-            ok = scheme.linked(fps[i1], fps[i2])
-            f = _forest(reps[i1[ok]], reps[i2[ok]])
-            a.append(f[0])
-            b.append(f[1])
-    return _forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    for seed in range(len(reps)):
+        if not unmet[seed]:
+            continue
+        unmet[seed] = False
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            k = 0 if far is None else int(far[x])
+            others = sides[k] = sides[k][unmet[sides[k]]]  # rows of the other side
+            if far is None:
+                sides = [others] * 2
+            if not len(others):
+                continue
+            near = others[scheme.linked(np.broadcast_to(fps[x], (len(others), fps.shape[1])), fps[others])]
+            if len(near):
+                unmet[near] = False
+                queue.extend(near.tolist())
+                a.append(np.full(len(near), reps[x]))
+                b.append(reps[near])
+    nothing = np.zeros(0, np.int64)
+    return np.concatenate([nothing, *a]), np.concatenate([nothing, *b])
 
 
 def _bucket_links(scheme: Scheme, keys: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +223,8 @@ def _bucket_links(scheme: Scheme, keys: np.ndarray, fps: np.ndarray, reps: np.nd
         a.append(reps[i[ok]])
         b.append(reps[i[ok] + s])
     for k in np.flatnonzero(~small):
-        rows = np.arange(starts[k], starts[k] + sizes[k])
-        f = _block(scheme, fps, reps, rows, rows, True)
+        rows = slice(starts[k], starts[k] + sizes[k])
+        f = _spread(scheme, fps[rows], reps[rows])
         a.append(f[0])
         b.append(f[1])
     return _forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
@@ -307,8 +321,7 @@ def keyed_links(keyed: DataFrame, scheme, heavy_rows: int = HEAVY) -> DataFrame:
         fps, reps = _as_words(t.column("fp").combine_chunks(), scheme.words), t.column("rep").to_numpy()
         far = t.column("far").to_numpy()
         same = key[1].as_py() == key[2].as_py()
-        every = np.arange(len(reps))
-        a, b = _block(scheme, fps, reps, every, every, True) if same else _block(scheme, fps, reps, np.flatnonzero(far), np.flatnonzero(~far), False)
+        a, b = _spread(scheme, fps, reps, None if same else far)
         return pa.table({"a": a, "b": b})
 
     return found.union(dealt.groupBy("key", "lo", "hi").applyInArrow(across, "a long, b long"))
