@@ -46,6 +46,6 @@ def csv_records(rows: DataFrame, rec_seq: Column) -> DataFrame:
     ))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The rows of CSV files with one header, all texts: quoted newlines, ragged rows and a byte-order mark are read through."""
     return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, mode="PERMISSIVE")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave import schemas
+from kinweave.functions.text import col
 from kinweave.sources.csv_records import csv_records, read_csv
 from kinweave.sources.json_records import ats_records, linkedin_records, url_records
 from kinweave.sources.text_records import note_records, resume_records
@@ -16,89 +20,169 @@ from kinweave.sources.text_records import note_records, resume_records
 FILE_ROOM = 1 << 32
 
 
-def source_of(path: Column, text: Column) -> Column:
-    """``recruiter_csv``, ``ats_json`` or ``resume``, by extension, else by the first 2000 characters."""
-    head = F.ltrim(F.substring(text, 1, 2000))
+# The source of each extension.
+EXTENSIONS = {".csv": "recruiter_csv", ".json": "ats_json", ".pdf": "resume", ".docx": "resume", ".md": "resume"}
+
+
+def kind_by_name(path: str) -> str | None:
+    """The source that a file's extension tells; null if it tells none."""
+    return next((kind for end, kind in EXTENSIONS.items() if path.lower().endswith(end)), None)
+
+
+def kind_by_text(text: str | Column) -> Column:
+    """``recruiter_csv``, ``ats_json`` or ``resume``, by the first 2000 characters."""
+    head = F.ltrim(F.substring(col(text), 1, 2000))
     first = F.substring_index(head, "\n", 1)
-    sniffed = (
+    return (
         F.when(head.startswith("{") | head.startswith("["), "ats_json")
         .when(F.contains(first, F.lit(",")) & ~F.contains(first, F.lit("@")), "recruiter_csv")
         .otherwise("resume")
     )
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    return (
-        F.when(name.rlike(r"\.csv$"), "recruiter_csv").when(name.rlike(r"\.json$"), "ats_json")
-        .when(name.rlike(r"\.(pdf|docx|md)$"), "resume").otherwise(sniffed)
-    )
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, file_rank, value, source): whole files with their kind; paths that don't exist give no row.
+def source_of(path: str | Column, text: str | Column) -> Column:
+    """The source of a file, by extension, else by what it holds."""
+    name = F.lower(col(path))
+    by_name = [F.when(name.endswith(end), kind) for end, kind in EXTENSIONS.items()]
+    return F.coalesce(*by_name, kind_by_text(text))
 
-    Compressed files are read as what they hold.  A file is one row, so it must
-    fit a task; large tables belong in ``read_csv`` or JSON Lines.
-    """
-    there = [p for p in paths if exists(spark, p)]
-    order = spark.createDataFrame([(p, n) for n, p in enumerate(paths)], "asked string, file_rank int")
-    if not there:
-        return order.limit(0).select(F.col("asked").alias("path"), "file_rank", F.lit("").alias("value"), F.lit("").alias("source"))
-    files = spark.read.text(there, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
-    ranked = files.join(F.broadcast(order), F.col("file").endswith(F.regexp_replace("asked", "^[a-z]+:/*", "")), "inner")
-    return ranked.select(F.col("asked").alias("path"), "file_rank", "value", source_of(F.col("asked"), F.col("value")).alias("source"))
+
+@dataclass(frozen=True)
+class SourceFile:
+    """A file of a path that was asked for: its rank among all files, and how Spark names it."""
+
+    asked: str
+    rank: int
+    place: str
+    uri: str
+
+
+#: A URI without a host may have one slash or three.
+_NO_HOST = r"^([^:/]+):///"
+
+
+def _one_slash(uri: str) -> str:
+    return re.sub(_NO_HOST, r"\1:/", uri)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark finds something at the path."""
+def _uri() -> Column:
+    """The URI of the file that a row comes from."""
+    return F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/")
+
+
+def found_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, URI) of the file at ``path``, or of all files below it, by name; hidden ones are left out."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    if system.getFileStatus(place).isFile():
+        whole = place.makeQualified(system.getUri(), system.getWorkingDirectory())
+        return [(whole.toString(), _one_slash(whole.toUri().toString()))]
+    base, files, every = system.getFileStatus(place).getPath(), [], system.listFiles(place, True)
+    while every.hasNext():
+        one = every.next().getPath()
+        inner = one.toString()[len(base.toString()) :]
+        if not any(part.startswith(("_", ".")) for part in inner.split("/") if part):
+            files.append((one.toString(), _one_slash(one.toUri().toString())))
+    return sorted(files)
+
+
+def source_files(spark: SparkSession, paths: list[str]) -> list[SourceFile]:
+    """The files of all paths, in their order; a path where nothing is has none."""
+    every = [(asked, *one) for asked in paths for one in found_files(spark, asked)]
+    return [SourceFile(asked, rank, place, uri) for rank, (asked, place, uri) in enumerate(every)]
+
+
+def _as_it_is(place: str) -> str:
+    """A path in which nothing is taken as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", place)
+
+
+def _ranks(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
+    return spark.createDataFrame([(f.asked, f.rank, f.uri) for f in files], "path string, file_rank int, uri string")
+
+
+def read_files(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
+    """(path, file_rank, uri, value): whole files as texts, without a byte-order mark.
+
+    Compressed files are read as what they hold.  A file is one row, so it must
+    fit a task; large tables belong in ``read_csv`` or JSON Lines.
+    """
+    if not files:
+        return spark.createDataFrame([], "path string, file_rank int, uri string, value string")
+    places = list(dict.fromkeys(_as_it_is(f.place) for f in files))
+    texts = spark.read.text(places, wholetext=True).select(_uri().alias("uri"), F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
+    return texts.join(_ranks(spark, files), "uri").select("path", "file_rank", "uri", "value")
+
+
+def read_tables(spark: SparkSession, files: list[SourceFile]) -> list[DataFrame]:
+    """CSV files as tables of texts with ``file_rank`` and ``_row``, the place of a row in its file: one table per header line."""
+    heads = read_files(spark, files).select("file_rank", F.substring_index("value", "\n", 1).alias("head")).collect()
+    groups, by_rank = {}, {f.rank: f for f in files}
+    for r in sorted(heads, key=lambda r: r["file_rank"]):
+        groups.setdefault(r["head"].rstrip("\r"), []).append(by_rank[r["file_rank"]])
+    out = []
+    for group in groups.values():
+        rows = read_csv(spark, list(dict.fromkeys(_as_it_is(f.place) for f in group)))
+        rows = rows.withColumns({"_uri": _uri(), "_id": F.monotonically_increasing_id()})
+        rows = rows.withColumn("_row", F.row_number().over(W.partitionBy("_uri").orderBy("_id")) - 1)
+        out.append(rows.join(_ranks(spark, group).select("file_rank", F.col("uri").alias("_uri")), "_uri"))
+    return out
 
 
 def load(spark: SparkSession, paths: list[str] = (), notes: list[str] = (), profiles: list[str] = (), profile_urls: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(raw records, report): all sources in their order, and (path, source, n_records, warning) per source.
 
-    The order of records is that of the arguments: files, notes, profile
-    exports, profile links.  What is absent or gives nothing is warned of in the
-    report and fails nothing.
+    A path is a file or a folder of files.  The order of records is that of the
+    arguments: files, notes, profile exports, profile links.  What is absent or
+    gives nothing is warned of in the report and fails nothing.  Files of one
+    kind (CSV: of one header) are read together.
     """
-    asked = [*paths, *notes, *profiles]
-    parts: list[DataFrame] = []
+    asked = [(p, None) for p in paths] + [(p, "recruiter_notes") for p in notes] + [(p, "linkedin") for p in profiles]
+    files: list[SourceFile] = []
+    kinds: dict[int, str | None] = {}
+    entry: dict[int, int] = {}  # the place in ``asked`` of a file
+    for n, (path, kind) in enumerate(asked):
+        for f in source_files(spark, [path]):
+            rank = len(files)
+            files.append(replace(f, rank=rank))
+            kinds[rank], entry[rank] = kind or kind_by_name(f.place), n
+    unknown = [f for f in files if kinds[f.rank] is None]
+    for r in read_files(spark, unknown).select("file_rank", kind_by_text("value").alias("kind")).collect():
+        kinds[r["file_rank"]] = r["kind"]
+    of = lambda *sources: [f for f in files if kinds[f.rank] in sources]
     seq = lambda pos: F.col("file_rank").cast("long") * F.lit(FILE_ROOM) + pos
-    kinds = [(p, None) for p in paths] + [(p, "recruiter_notes") for p in notes] + [(p, "linkedin") for p in profiles]
-    known = read_files(spark, asked)
-    sniffed = {r["path"]: r["source"] for r in known.select("path", "source").collect()}
-    of = {p: kind or sniffed.get(p) for p, kind in kinds}
-    rank = {p: n for n, p in enumerate(asked)}
-
-    def group(*sources: str) -> DataFrame | None:
-        here = [p for p in asked if of[p] in sources and p in sniffed]
-        return known.filter(F.col("path").isin(*here)) if here else None
-
-    if (texts := group("ats_json")) is not None:
-        parts.append(ats_records(texts, seq(F.col("pos"))))
-    if (texts := group("resume")) is not None:
-        parts.append(resume_records(texts, seq(F.lit(0))))
-    if (texts := group("recruiter_notes")) is not None:
-        parts.append(note_records(texts, seq(F.lit(0))))
-    if (texts := group("linkedin")) is not None:
-        is_json = F.ltrim("value").rlike(r"^[{\[]") | F.col("path").endswith(".json")
+    parts: list[DataFrame] = []
+    if there := of("ats_json"):
+        parts.append(ats_records(read_files(spark, there), seq(F.col("pos"))))
+    if there := of("resume"):
+        parts.append(resume_records(read_files(spark, there), seq(F.lit(0))))
+    if there := of("recruiter_notes"):
+        parts.append(note_records(read_files(spark, there), seq(F.lit(0))))
+    if there := of("linkedin"):
+        texts = read_files(spark, there)
+        is_json = F.ltrim("value").rlike(r"^[{\[]") | F.col("uri").endswith(".json")
         parts.append(linkedin_records(texts.filter(is_json), seq(F.col("pos"))))
         parts.append(resume_records(texts.filter(~is_json), seq(F.lit(0)), source="linkedin"))
-    for p in asked:  # files with headers of their own are tables of their own
-        if of[p] == "recruiter_csv" and p in sniffed:
-            parts.append(csv_records(read_csv(spark, p).withColumn("_seq", F.monotonically_increasing_id()), F.lit(rank[p] * FILE_ROOM) + F.col("_seq")))
+    if there := of("recruiter_csv"):
+        parts += [csv_records(rows, seq(F.col("_row"))) for rows in read_tables(spark, there)]
     if profile_urls:
-        urls = spark.createDataFrame([(u, len(asked) + n) for n, u in enumerate(profile_urls)], "value string, file_rank int")
+        urls = spark.createDataFrame([(u, len(files) + n) for n, u in enumerate(profile_urls)], "value string, file_rank int")
         parts.append(url_records(urls, seq(F.lit(0))))
     raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.RAW_SCHEMA)
-    report = source_report(spark, [(p, of[p], p in sniffed) for p in asked] + [(u, "linkedin", True) for u in profile_urls], raw)
-    return raw, report
+    listed = [(n, path, next((kinds[f.rank] for f in files if entry[f.rank] == n), kind), n in entry.values()) for n, (path, kind) in enumerate(asked)]
+    listed += [(len(asked) + n, u, "linkedin", True) for n, u in enumerate(profile_urls)]
+    ranks = [*((f.rank, entry[f.rank]) for f in files), *((len(files) + n, len(asked) + n) for n in range(len(profile_urls)))]
+    return raw, source_report(spark, listed, ranks, raw)
 
 
-def source_report(spark: SparkSession, asked: list[tuple[str, str | None, bool]], raw: DataFrame) -> DataFrame:
-    """(path, source, n_records, warning) for the sources asked for; ``rec_seq`` tells which gave a record."""
-    listed = spark.createDataFrame([(n, p, s, there) for n, (p, s, there) in enumerate(asked)], "file_rank int, path string, source string, there boolean")
+def source_report(spark: SparkSession, listed: list[tuple[int, str, str | None, bool]], ranks: list[tuple[int, int]], raw: DataFrame) -> DataFrame:
+    """(path, source, n_records, warning) for the sources asked for, as (place, path, source, whether there); ``ranks`` has each file's place."""
+    sources = spark.createDataFrame(listed, "place int, path string, source string, there boolean")
     counts = raw.groupBy(F.expr(f"cast(rec_seq div {FILE_ROOM}L as int)").alias("file_rank")).agg(F.count(F.lit(1)).alias("n"))
-    return listed.join(counts, "file_rank", "left").select(
+    counts = counts.join(spark.createDataFrame(ranks, "file_rank int, place int"), "file_rank").groupBy("place").agg(F.sum("n").alias("n"))
+    return sources.join(counts, "place", "left").select(
         "path", "source", F.coalesce("n", F.lit(0)).alias("n_records"),
         F.when(~F.col("there"), F.concat(F.lit("input not found, skipped: "), "path"))
         .when(F.col("n").isNull(), F.concat(F.lit("no records extracted from "), F.coalesce("source", F.lit("unknown")), F.lit(" source: "), "path")).alias("warning"),

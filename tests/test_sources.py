@@ -9,7 +9,7 @@ from kinweave import schemas
 from kinweave.operators import projection
 from kinweave.plans.job import run_job, write_profiles
 from kinweave.sources.csv_records import csv_records, read_csv, resolve_headers
-from kinweave.sources.files import source_of
+from kinweave.sources.files import load, read_tables, source_files, source_of
 from kinweave.sources.json_records import ats_records, canonical_url, linkedin_records, url_records
 from kinweave.sources.profile_tables import profile_records
 from kinweave.sources.text_records import note_records, resume_records
@@ -109,6 +109,33 @@ def test_job(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
 
+def test_paths_are_files_of_just_that_name(spark, tmp_path):
+    """Names with a space, per cent sign, pattern characters and letters beyond ASCII, equal endings, folders, and files asked for twice."""
+    note = "Spoke with Some Body, mail {}@x.io"
+    (tmp_path / "a" / "_hidden").mkdir(parents=True)
+    names = ["my notes.txt", "100%.txt", "50%20off.txt", "[a]{b}*?.txt", "größe 日.txt", "n.txt", "a/n.txt", "a/.skip.txt", "a/_hidden/x.txt"]
+    for n, name in enumerate(names):
+        (tmp_path / name).write_text(note.format(f"m{n}"))
+    at = lambda *xs: [str(tmp_path / x) for x in xs]
+    raw, report = load(spark, notes=at(*names[:7]))
+    assert [r.emails for r in raw.orderBy("rec_seq").collect()] == [[f"m{n}@x.io"] for n in range(7)]
+    assert all((r.n_records, r.warning) == (1, None) for r in report.collect()) and report.count() == 7
+    raw, report = load(spark, notes=at("a", "n.txt", "n.txt", "none"))
+    assert [r.emails[0] for r in raw.orderBy("rec_seq").collect()] == ["m6@x.io", "m5@x.io", "m5@x.io"]
+    assert sorted((r.path.rsplit("/", 1)[-1], r.n_records, (r.warning or "")[:15]) for r in report.collect()) == [("a", 1, ""), ("n.txt", 1, ""), ("n.txt", 1, ""), ("none", 0, "input not found")]
+
+
+def test_tables_of_one_header_are_read_together(spark, tmp_path):
+    for n in range(5):
+        (tmp_path / f"t {n}.csv").write_text(("\ufeff" if n == 1 else "") + "name,email\r\n" + "".join(f'"Pat,\n{n}",p{n}{k}@x.io\r\n' for k in range(3)))
+    (tmp_path / "other.csv").write_text("E-mail,Role\nz@x.io,Clerk\n")
+    raw, report = load(spark, paths=[str(tmp_path / f"t {n}.csv") for n in range(5)] + [str(tmp_path / "other.csv")])
+    got = [(r.full_name, r.emails[0]) for r in raw.orderBy("rec_seq").collect()]
+    assert got == [(f"Pat,\n{n}", f"p{n}{k}@x.io") for n in range(5) for k in range(3)] + [(None, "z@x.io")]
+    assert [r.n_records for r in report.orderBy("path").collect()] == [1, 3, 3, 3, 3, 3]
+    assert len(read_tables(spark, source_files(spark, [str(tmp_path)]))) == 2
+
+
 DATA = [(1, "cand_1", "Ann", ["a@x.io", "b@x.io"], [("Go", 0.5), ("SQL", 0.4)], ("Pune", None), 3.0, 0.9), (2, "cand_2", "", [], [], (None, None), None, 0.4)]
 KIND = "cluster_id long, candidate_id string, full_name string, emails array<string>, skills array<struct<name:string,confidence:double>>, location struct<city:string,country:string>, years_experience double, overall_confidence double"
 
