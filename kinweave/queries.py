@@ -232,12 +232,13 @@ def field_confidence(spark, sf_dir):
     return scored.select("cluster_id", *(F.col("confidence")[f].alias(f) for f in WEIGHTS))
 
 
-def _profiles(spark, sf_dir) -> DataFrame:
+def golden(spark, sf_dir) -> DataFrame:
+    """The profiles of the derived people."""
     return merge.profiles(_clustered(spark, sf_dir))
 
 
 def golden_profiles(spark, sf_dir):
-    return _profiles(spark, sf_dir).select(
+    return golden(spark, sf_dir).select(
         "candidate_id", "cluster_id", "full_name", _joined("emails").alias("emails"), _joined("phones").alias("phones"), F.col("location.city").alias("city"), F.col("location.country").alias("country"),
         F.col("links.linkedin").alias("linkedin"), F.col("links.github").alias("github"), F.col("links.portfolio").alias("portfolio"), "headline", "years_experience",
         _joined(F.transform("skills", lambda s: s["name"])).alias("skills"), F.size("experience").cast("long").alias("n_jobs"), F.size("education").cast("long").alias("n_studies"),
@@ -246,29 +247,29 @@ def golden_profiles(spark, sf_dir):
 
 
 def candidate_id(spark, sf_dir):
-    return _profiles(spark, sf_dir).select("cluster_id", "candidate_id")
+    return golden(spark, sf_dir).select("cluster_id", "candidate_id")
 
 
 def provenance(spark, sf_dir):
-    long = _profiles(spark, sf_dir).select("cluster_id", F.posexplode("provenance").alias("pos", "p"))
+    long = golden(spark, sf_dir).select("cluster_id", F.posexplode("provenance").alias("pos", "p"))
     return long.select("cluster_id", F.col("pos").cast("long").alias("pos"), "p.field", "p.source", "p.method")
 
 
 def overall_confidence(spark, sf_dir):
-    return _profiles(spark, sf_dir).select("cluster_id", "overall_confidence")
+    return golden(spark, sf_dir).select("cluster_id", "overall_confidence")
 
 
 def project_custom(spark, sf_dir):
-    return projection.project(_profiles(spark, sf_dir), CUSTOM).withColumn("skills", _joined("skills"))
+    return projection.project(golden(spark, sf_dir), CUSTOM).withColumn("skills", _joined("skills"))
 
 
 def project_default(spark, sf_dir):
-    shown = projection.project(_profiles(spark, sf_dir), {"include_provenance": False})
+    shown = projection.project(golden(spark, sf_dir), {"include_provenance": False})
     return shown.select("candidate_id", "full_name", F.size("emails").cast("long").alias("n_emails"), F.size("skills").cast("long").alias("n_skills"), "overall_confidence")
 
 
 def validate(spark, sf_dir):
-    return projection.violations(_profiles(spark, sf_dir), STRICT)
+    return projection.violations(golden(spark, sf_dir), STRICT)
 
 
 def contact_groups(spark, sf_dir):
