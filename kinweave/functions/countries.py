@@ -6,6 +6,7 @@ a dimension of a few hundred rows whatever the data.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
@@ -50,11 +51,14 @@ def normalize_country(c: str | Column, spark: SparkSession) -> Column:
     A longer text means a country if it holds exactly one country's name as whole words.
     """
     codes, names = country_table(spark)
+    plain = {n: a for n, a in names.items() if not re.search(r"[^\w ]|[\d_]", n)}  # others can't be met word by word
+    longest = max(len(n.split()) for n in plain)
 
     def code(s: Column) -> Column:
-        words = F.concat(F.lit(" "), F.regexp_replace(s, r"[^\p{L}\p{M}]+", " "), F.lit(" "))
-        table = F.map_entries(literal_map({f" {n} ": a for n, a in names.items()}))
-        held = F.array_distinct(F.transform(F.filter(table, lambda x: F.contains(words, x["key"])), lambda x: x["value"]))
+        words = F.filter(F.split(s, r"[^\p{L}\p{M}]+"), lambda w: w != "")
+        # Every run of words that is no longer than a name is looked up.
+        runs = lambda n: F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))
+        held = bind(F.concat(*(runs(n) for n in range(1, longest + 1))), lambda found: F.array_distinct(F.array_compact(F.transform(found, lambda x: _lookup(plain, x)))))
         return F.coalesce(
             _lookup({**codes, **names, **ALIASES}, F.btrim(s, F.lit(". "))),
             F.when(s.rlike(r"\s"), bind(held, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))))),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import col, literal_map, strip
+from kinweave.functions.text import bind, col, literal_map, strip
 
 # Alias and canonical name.
 SKILLS: dict[str, str] = {
@@ -57,6 +57,8 @@ def canonical_skills(c: str | Column, table: dict[str, str] | None = None) -> Co
 
 def scan_skills(c: str | Column, table: dict[str, str] | None = None) -> Column:
     """Canonical names of the aliases that a text holds as whole words, in the table's order."""
-    low = F.lower(col(c))
-    hits = [F.when(F.contains(low, F.lit(a)) & low.rlike(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])"), F.lit(name)) for a, name in (table or SKILLS).items()]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    def held(low: Column) -> Column:
+        hits = [F.when(F.contains(low, F.lit(a)) & low.rlike(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])"), F.lit(name)) for a, name in (table or SKILLS).items()]
+        return F.array_distinct(F.array_compact(F.array(*hits)))
+
+    return bind(F.lower(col(c)), held)

@@ -13,21 +13,40 @@ from pyspark.sql import functions as F
 from kinweave.plans.lineage import cut
 
 
+#: Edges of a vertex from which it is a hub, and the most hubs that are broadcast (two ids each).
+HUB = 100_000
+MOST_HUBS = 10_000
+
+
 def _minimum(neighbours: DataFrame) -> DataFrame:
-    """(u, m): the least vertex among u and its neighbours."""
-    return neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """(u, m, n): the least vertex among u and its neighbours, and how many it has."""
+    return neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _met(pairs: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` with m of their u; ``rows`` is how many there are at most.
+
+    A vertex of very many edges would be one key of a shuffled join.  Those with
+    more than one in MOST_HUBS of all rows, so fewer than MOST_HUBS, are broadcast.
+    """
+    bound = max(HUB, rows // MOST_HUBS)
+    if rows <= bound:
+        return pairs.join(least.select("u", "m"), "u")
+    hubs = least.filter(F.col("n") > bound).select("u", "m")
+    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return pairs.join(F.broadcast(hubs), "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _minimum(both)
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    met = _met(both, _minimum(both), 2 * n)
+    return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _minimum(down)
-    pairs = down.join(least, "u")
+    pairs = _met(down, least, n)
     return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
@@ -40,12 +59,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct())
-    mark = None
+    mark, n = None, now.count()
+    if not n:
+        return now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
-        # A set of stars is a fixed point: no centre is also a leaf.
+        # The large-star leaves at most as many edges as it had, the small-star twice as many.
+        now = cut(_small_star(_large_star(now, n), n))
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if tuple(row) == mark:
+        if tuple(row) == mark:  # a set of stars is a fixed point
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
-        mark = tuple(row)
+        mark, n = tuple(row), row["n"]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,13 +2,16 @@
 
 ``records`` here are normalized records with ``cluster_id`` and ``trust``.
 Every aggregate is in long form: values are counted by key first, and only
-distinct values are collected per cluster.
+distinct values are collected per cluster.  There is one function per field, and
+``merged_fields``, which merges all fields at once: every record becomes facts
+(field, key, value), which are added up by (cluster, field, key), before the
+shuffle and after it, so that the records of a very large cluster are dealt by
+what they say; a second exchange brings the distinct facts of a cluster
+together.  Only jobs and studies have aggregates of their own.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,32 +141,85 @@ def candidate_id(emails: Column, phones: Column, name: Column) -> Column:
 
 
 def attach_clusters(records: DataFrame, found: DataFrame, trust: dict[str, float] | None = None) -> DataFrame:
-    """Normalized records with cluster_id and trust, dealt by cluster and cut from their lineage, as ten aggregates read them."""
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = records.join(found, "rec_seq").withColumn("trust", schemas.trust("source", trust))
-    return cut(joined.repartition(n, "cluster_id"))
+    """Normalized records with cluster_id and trust, cut from their lineage, as several aggregates read them."""
+    return cut(records.join(found, "rec_seq").withColumn("trust", schemas.trust("source", trust)))
+
+
+SCALARS = ("full_name", "headline", "years_experience")
+SEEN = ("emails", "phones", "experience", "education")
+LINK_KINDS = ("linkedin", "github", "portfolio")
+
+
+def facts(records: DataFrame) -> DataFrame:
+    """(cluster_id, rec_seq, source, trust, f, key, value, pos, place): what each record says, a row per value.
+
+    ``f`` is the field; what counts as one value has one ``key``.  For SEEN
+    there is also a row per record that has the field, and each record has one
+    of the field ``self``.
+    """
+    nothing, nowhere = F.lit(None).cast("string"), F.lit(None).cast(schemas.LOCATION)
+    fact = lambda f, key, value, pos, place=nowhere: F.struct(F.lit(f).alias("f"), key.alias("key"), value.alias("value"), pos.cast("int").alias("pos"), place.alias("place"))
+    blank, zero = F.lit(""), F.lit(0)
+    said = [F.array(fact("self", blank, nothing, zero))]
+    each = lambda f: F.transform(f, lambda x, i: fact(f, x, x, i))
+    said += [each("emails"), each("phones")]
+    said.append(F.transform("skills", lambda x, i: fact("skills", F.lower(x), x, i)))
+    texts = [F.col(f).cast("string") for f in SCALARS]
+    said.append(F.array_compact(F.array(*(F.when(v.isNotNull() & (v != ""), fact(f, F.lower(v), v, zero)) for f, v in zip(SCALARS, texts, strict=True)))))
+    links = [F.col(f"links.{k}") for k in LINK_KINDS]
+    said.append(F.array_compact(F.array(*(F.when(u.isNotNull(), fact(f"links.{k}", blank, u, F.lit(n))) for n, (k, u) in enumerate(zip(LINK_KINDS, links, strict=True))))))
+    said.append(F.transform(F.filter("links.other", lambda x: x.isNotNull()), lambda x, i: fact("links.other", x, x, i + len(LINK_KINDS))))
+    there = [F.col(f"location.{p}").isNotNull() for p in ("city", "region", "country")]
+    said.append(F.array_compact(F.array(F.when(there[0] | there[1] | there[2], fact("location", blank, nothing, zero, F.col("location").cast(schemas.LOCATION))))))
+    said.append(F.array_compact(F.array(*(F.when(F.size(f) > 0, fact(f"seen.{f}", blank, nothing, zero)) for f in SEEN))))
+    kind = f"array<struct<f:string,key:string,value:string,pos:int,place:{schemas.LOCATION}>>"
+    every = F.concat(*(F.coalesce(x, F.array().cast(kind)).cast(kind) for x in said))
+    return records.select("cluster_id", "rec_seq", "source", "trust", F.explode(every).alias("x")).select("cluster_id", "rec_seq", "source", "trust", "x.*")
+
+
+def _filled() -> Column:
+    return sum((F.col(f"place.{p}").isNotNull().cast("int") for p in ("city", "region", "country")), F.lit(0))
 
 
 def merged_fields(records: DataFrame) -> DataFrame:
     """One row per cluster with every merged field, its best source and counts (columns ``<field>_top``, ``_n``, ``_conflict``)."""
-    def listed(field: str) -> DataFrame:
-        seen = contributors(records, F.size(field) > 0).select("cluster_id", F.col("top").alias(f"{field}_top"), F.col("n_sources").alias(f"{field}_n"))
-        values = {"experience": dedupe_experience, "education": dedupe_education}.get(field, lambda r: union_values(r, field))(records)
-        return values.join(seen, "cluster_id")
-
-    def scalar(field: str) -> DataFrame:
-        w = pick_scalar(records, field)
-        return w.select("cluster_id", F.col("value").alias(field), F.col("top").alias(f"{field}_top"), F.col("n_agree").alias(f"{field}_n"), F.col("n_conflict").alias(f"{field}_conflict"))
-
-    parts = [
-        listed("emails"), listed("phones"), scalar("full_name"), scalar("headline"), scalar("years_experience"),
-        pick_location(records).select("cluster_id", "location", F.col("top").alias("location_top"), F.col("filled").alias("location_n")),
-        merge_links(records).select("cluster_id", "links", F.col("top").alias("links_top"), F.col("n_links").alias("links_n")),
-        merge_skills(records).select("cluster_id", "skills", F.col("top").alias("skills_top"), F.col("n_sources").alias("skills_n")),
-        listed("experience"), listed("education"),
+    distinct = facts(records).groupBy("cluster_id", "f", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("trust").alias("t"), F.max(F.struct("trust", (-F.col("rec_seq")).alias("r"), "source")).alias("best"),
+        F.min(F.struct("rec_seq", "pos", "value", "source", "trust")).alias("o"), F.collect_set(F.struct((-F.col("trust")).alias("t"), "source")).alias("sources"),
+        F.max(F.when(F.col("f") == "location", F.struct((F.col("trust") + F.lit(0.1) * _filled()).alias("score"), (-F.col("rec_seq")).alias("r"), "source", _filled().alias("filled"), "place"))).alias("at"),
+    )
+    of = lambda *fields: F.col("f").isin(*fields)
+    value = F.col("o.value")
+    first = F.struct(F.col("o.rec_seq").alias("rec_seq"), F.col("o.pos").alias("pos"), value.alias("value"))
+    listed = lambda f: F.transform(F.sort_array(F.collect_list(F.when(of(f), first))), lambda x: x["value"])
+    base = field_confidence(F.col("t"), F.size("sources"))
+    sure = F.when(is_known("key"), base).otherwise(round3(base * F.lit(0.8)))
+    sources = F.transform(F.sort_array("sources"), lambda x: x["source"])
+    skill = F.struct((-sure).alias("c"), F.lower(value).alias("l"), F.struct(value.alias("name"), sure.alias("confidence"), sources.alias("sources")).alias("skill"))
+    links = of(*(f"links.{k}" for k in LINK_KINDS), "links.other")
+    columns = [listed("emails").alias("emails"), listed("phones").alias("phones"), listed("links.other").alias("other")]
+    for f in SCALARS:
+        columns.append(F.max(F.when(of(f), F.struct("t", "n", F.length(value).alias("l"), value.alias("value"), F.col("best.source").alias("top")))).alias(f))
+        columns.append((F.count(F.when(of(f), 1)) - 1).alias(f"{f}_conflict"))
+    for f in SEEN:
+        columns += [F.max(F.when(of(f"seen.{f}"), F.col("best.source"))).alias(f"{f}_top"), F.max(F.when(of(f"seen.{f}"), F.col("n"))).alias(f"{f}_n")]
+    columns += [F.max(F.when(of(f"links.{k}"), value)).alias(f"link_{k}") for k in LINK_KINDS]
+    columns += [
+        F.count(F.when(links, 1)).alias("links_n"), F.max(F.when(links, F.struct(F.col("o.trust").alias("t"), (-F.col("o.rec_seq")).alias("r"), F.col("o.source").alias("source")))).alias("link_best"),
+        F.max("at").alias("at"), F.transform(F.sort_array(F.collect_list(F.when(of("skills"), skill))), lambda x: x["skill"]).alias("skills"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(of("skills"), F.col("sources"))))).alias("skill_sources"),
     ]
-    base = records.select("cluster_id").distinct()
-    return reduce(lambda a, b: a.join(b, "cluster_id", "left"), parts, base)
+    many = distinct.groupBy("cluster_id").agg(*columns)
+    some = lambda f: F.when(F.size(f) > 0, F.col(f)).alias(f)
+    merged = many.select(
+        "cluster_id", some("emails"), "emails_top", "emails_n", some("phones"), "phones_top", "phones_n",
+        *(c for f in SCALARS for c in (F.col(f)["value"].alias(f), F.col(f)["top"].alias(f"{f}_top"), F.col(f)["n"].alias(f"{f}_n"), F.when(F.col(f).isNotNull(), F.col(f"{f}_conflict")).alias(f"{f}_conflict"))),
+        F.col("at.place").alias("location"), F.col("at.source").alias("location_top"), F.col("at.filled").alias("location_n"),
+        F.when(F.col("links_n") > 0, F.struct(*(F.col(f"link_{k}").alias(k) for k in LINK_KINDS), "other")).alias("links"), F.col("link_best.source").alias("links_top"), F.when(F.col("links_n") > 0, F.col("links_n")).alias("links_n"),
+        some("skills"), F.array_min("skill_sources")["source"].alias("skills_top"), F.when(F.size("skill_sources") > 0, F.size("skill_sources").cast("long")).alias("skills_n"),
+        "experience_top", "experience_n", "education_top", "education_n",
+    )
+    return merged.join(dedupe_experience(records), "cluster_id", "left").join(dedupe_education(records), "cluster_id", "left")
 
 
 def field_confidences(merged: DataFrame, trust: dict[str, float] | None = None) -> DataFrame:

@@ -170,3 +170,46 @@ def test_round3(spark):
     values = [a * b * c for a, b, c in itertools.product((0.95, 0.9, 0.75, 0.7, 0.6, 0.55, 0.4), (0.6, 0.64, 0.7, 0.82, 0.9, 1.0, 1.08, 1.15), (0.5 + 0.5 / 3, 0.5 + 1 / 3, 1.0, 0.8))] + [0.0005, 0.0015, 0.0025, 0.5]
     got = [r[0] for r in spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, v double").orderBy("n").select(round3(F.col("v"))).collect()]
     assert got == [round(v, 3) for v in values]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and rings against a plain search, with vertices that are hubs and none."""
+    import random
+
+    from kinweave.operators import components
+
+    rng = random.Random(4)
+    edges = [(900, n) for n in range(60)] + [(n, n + 1) for n in range(100, 140)] + [(200 + n, 200 + (n + 1) % 9) for n in range(9)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5), (7, 7)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for hub in (components.HUB, 3):
+        monkeypatch.setattr(components, "HUB", hub)
+        got = {r.vertex: r.component for r in components.connected_components(df).collect()}
+        assert got == {x: find(x) for x in root}
+    assert components.connected_components(df.limit(0)).count() == 0
+
+
+def test_all_fields_are_merged_in_few_exchanges(spark):
+    """Facts, jobs and studies are each dealt by what they say and once more by cluster; the joins after that deal nothing."""
+    from kinweave import schemas
+    from kinweave.operators import merge
+
+    raw = spark.createDataFrame([], schemas.RAW_SCHEMA)
+    records = merge.attach_clusters(raw, raw.selectExpr("rec_seq", "rec_seq as cluster_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merge.merged_fields(records)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 6
