@@ -1,29 +1,34 @@
 """Token counts with overlap resynchronisation (operator 3).
 
-Texts up to ``chunk_chars`` are cut at ASCII white space, and each distinct word
-is encoded once per worker's cache.  A longer text is cut into chunks that
-overlap.  Two neighbouring chunks are spliced at a *stable common
-boundary*: a place b in their overlap where the text has white space and where
-the tokens that both chunks put between b and the next white space, and those
-between the previous white space and b, have equal offsets and ids.  Such a
-place is proven for a tokenizer whose pieces never span white space: it drops
-white space, so what stands left and right of b is encoded independently, and
-the equal tokens on both sides show that neither chunk's edge reaches b.  If an
-overlap has no such place it is doubled, in the worst case up to the whole rest
-of the text, which is then encoded in one go.
+A text over ``chunk_chars`` is cut into chunks that overlap.  Two neighbouring
+chunks are spliced at a *stable common boundary*: a place b in their overlap
+where the text has white space and where the tokens that both chunks put between
+b and the next white space, and those between the previous white space and b,
+have equal offsets and ids.  Such a place is proven for a tokenizer whose pieces
+never span white space: it drops white space, so what stands left and right of b
+is encoded independently, and the equal tokens on both sides show that neither
+chunk's edge reaches b.  If an overlap has no such place it is doubled, in the
+worst case up to the whole rest of the text, which is then encoded in one go.
+
+For such a tokenizer shorter texts are counted by distinct words, each encoded
+once per worker's cache.  Whether a tokenizer is of this kind is read from its
+file (``drops_space``); with any other, every text is encoded in one go.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import slices, texts
+from kinweave.llm.rows import quoted
 from kinweave.plans.tables import table
 
 CHUNK_CHARS = 32_768
@@ -68,51 +73,110 @@ class WordCounts:
         return [sum(map(self.known.__getitem__, x)) for x in split]
 
 
-def _near(encoding, start: int, low: int, high: int) -> list[tuple[int, int, int]]:
-    """(start, end, id) of the tokens of a chunk at ``start`` that touch [low, high) of the text."""
-    return [(a + start, b + start, i) for (a, b), i in zip(encoding.offsets, encoding.ids, strict=True) if b + start > low and a + start < high]
+#: Pre-tokenizers that split at white space and drop it, and normalizers that neither make nor remove any but by a rule of \\s.
+_SPLITTERS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "BertNormalizer"}
 
 
-def splice(text: str, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], low: int, high: int) -> int | None:
-    """A stable common boundary in [low, high), as near to its middle as can be; None if there is none."""
+def _parts(x: dict | None, inner: str) -> list[dict]:
+    return [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+
+
+def _splits(step: dict) -> bool:
+    """Whether a pre-tokenizer never leaves white space in a piece."""
+    if step["type"] in _SPLITTERS:
+        return True
+    if step["type"] != "Split" or step["behavior"] != "Removed" or "Regex" not in step["pattern"]:
+        return False
+    pattern = regex.compile(step["pattern"]["Regex"])
+    spaces = " \t\n\v\f\r"  # what texts are cut at here
+    around = ["", "a", "É", "1", "!", "'", "_", "日", "'s", " "]
+    if step["invert"]:  # pieces are the matches
+        return not any(s in m[0] for s in spaces for x in around for y in around for m in pattern.finditer(x + s + y))
+    return all(pattern.fullmatch(s) for s in spaces)
+
+
+@lru_cache(maxsize=2)
+def drops_space(path: str) -> bool:
+    """Whether the tokenizer of a file encodes what stands between white space independently, as far as its kind tells."""
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    steps = _parts(kind.get("pre_tokenizer"), "pretokenizers")
+    plain = all(n["type"] in _NORMALIZERS or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in _parts(kind.get("normalizer"), "normalizers"))
+    added = not any(regex.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in kind.get("added_tokens", []))
+    return plain and added and bool(steps) and _splits(steps[0]) and kind.get("post_processor") is None
+
+
+class Chunk:
+    """The tokens of a chunk of a text that starts at ``start``."""
+
+    def __init__(self, encoding, start: int):
+        self.encoding, self.start = encoding, start
+
+    def __len__(self) -> int:
+        return len(self.encoding)
+
+    def until(self, place: int, text: str) -> int:
+        """How many tokens end before white space at ``place``."""
+        at = place - 1 - self.start
+        while at >= 0:
+            token = self.encoding.char_to_token(at)
+            if token is not None:
+                return token + 1
+            at -= 1
+        return 0
+
+    def near(self, low: int, high: int, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the tokens between white space at ``low`` and at ``high``."""
+        a, b = self.until(low, text), self.until(high, text)
+        if a == b:
+            return []
+        ids = self.encoding.ids
+        return [(x + self.start, y + self.start, ids[k]) for k in range(a, b) for x, y in [self.encoding.token_to_chars(k)]]
+
+
+def splice(text: str, left, right, low: int, high: int) -> int | None:
+    """A stable common boundary in [low, high), as near to its middle as can be; None if there is none.
+
+    ``left`` and ``right`` give their tokens by ``near``.
+    """
     marks = [k for k in range(low + 1, high - 1) if text[k] in BREAKS]
     middle = (low + high) // 2
-    a, b = set(left), set(right)
     for n in sorted(range(1, len(marks) - 1), key=lambda n: abs(marks[n] - middle)):
         before, here, after = marks[n - 1], marks[n], marks[n + 1]
-        mine = {x for x in a if x[1] > before and x[0] < after}
-        others = {x for x in b if x[1] > before and x[0] < after}
+        mine = left.near(before, after, text)
         sides = any(x[1] <= here for x in mine) and any(x[0] >= here for x in mine)
-        if mine == others and sides and not any(x[0] < here < x[1] for x in mine):
+        if sides and not any(x[0] < here < x[1] for x in mine) and mine == right.near(before, after, text):
             return here
     return None
 
 
 def count_tokens(encode, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """The number of tokens of a whole text.  ``encode`` maps a text to an encoding with ids and offsets."""
+    """The number of tokens of a whole text.  ``encode`` maps a text to an encoding; its pieces hold no white space."""
     n = len(text)
     if n <= chunk:
         return len(encode(text))
-    start, done, total = 0, 0, 0  # the chunk starts at start; tokens that end before done are counted
+    start, done, total = 0, 0, 0  # the chunk starts at start; tokens before the boundary done are counted
     left = None
     while True:
         if left is None:
             end = min(n, start + chunk)
-            left = encode(text[start:end])
+            left = Chunk(encode(text[start:end]), start)
+        before = left.until(done, text) if done else 0
         if end >= n:
-            return total + sum(b + start > done for _, b in left.offsets)
+            return total + len(left) - before
         wide = overlap
         while True:
             to = max(start, end - wide)
             if to <= max(start, done):  # nothing left to widen into: take the chunk and the next together
                 end = min(n, end + (end - start))
-                left = encode(text[start:end])
+                left = Chunk(encode(text[start:end]), start)
                 break
             stop = min(n, to + chunk + wide)
-            right = encode(text[to:stop])
-            at = splice(text, _near(left, start, to, end), _near(right, to, to, end), to, end)
+            right = Chunk(encode(text[to:stop]), to)
+            at = splice(text, left, right, to, end)
             if at is not None:
-                total += sum(b + start > done and b + start <= at for _, b in left.offsets)
+                total += left.until(at, text) - before
                 start, end, done, left = to, stop, at, right
                 break
             wide *= 2
@@ -124,15 +188,19 @@ def token_counts(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, ove
     A null or empty text has no bytes and no tokens.  Equal rows are counted
     alike, other columns are ignored, an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, words = tokenizer(path), WordCounts(path)
+        t, words, by_words = tokenizer(path), WordCounts(path), drops_space(path)
         encode = lambda text: t.encode(text, add_special_tokens=False)
         for batch in slices(batches, 1):
             rows_of = texts(batch.column(1))
             raw = [x.encode("utf-8", "replace") for x in rows_of]
+            if not by_words:
+                n = [len(encode(x)) for x in rows_of]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                continue
             huge = [len(x) > chunk_chars for x in rows_of]
             n = words.totals([b"" if big else x for x, big in zip(raw, huge, strict=True)])
             for k, big in enumerate(huge):
