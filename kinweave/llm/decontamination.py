@@ -61,16 +61,17 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The canonical bytes of many texts, with an edge byte between any two, and where each text starts."""
     n = len(offsets) - 1
-    sizes = np.diff(offsets)
     wide = np.full(len(data) + 3 * n + 3, SPACE, np.uint8)
     gaps = offsets[:-1] + 3 * np.arange(n) + 1
     wide[gaps] = EDGE
-    wide[np.arange(len(data)) + np.repeat(3 * np.arange(n), sizes) + 3] = _CANON[data]
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        np.take(_CANON, data[a:b], out=wide[a + 3 * k + 3 : b + 3 * k + 3])
     keep = wide != SPACE
     keep[1:] |= wide[:-1] != SPACE
     keep[0] = True
-    places = np.cumsum(keep)
-    return wide[keep], places[gaps] - 1
+    edges = np.concatenate([[0], gaps])
+    kept = [np.count_nonzero(keep[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return wide[keep], np.cumsum(kept, dtype=np.int64)
 
 
 def _blocks(data: np.ndarray, width: int) -> np.ndarray:
@@ -171,8 +172,8 @@ class Patterns:
         size = len(text)
         first = np.zeros(size, bool)
         first[:-1] = (text[:-1] == SPACE) & (text[1:] != SPACE) & (text[1:] != EDGE)
-        word_at = np.concatenate([[0], np.cumsum(first)])  # words that start before each place
-        bounds = np.concatenate([word_at[starts], word_at[-1:]])
+        places = np.flatnonzero(first)  # a place has the number of words that start before it
+        bounds = np.searchsorted(places, np.append(starts, size))
         text = np.concatenate([text, np.zeros(self.longest + 16, np.uint8)])
         spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         items: list[list[str]] = [[] for _ in range(n)]
@@ -184,8 +185,8 @@ class Patterns:
         begin = np.concatenate(begin) if begin else np.zeros(0, np.int64)
         if len(begin):
             pattern = np.concatenate(pattern)
-            edge = np.zeros(int(word_at[-1]) + 1, np.int64)
-            w = word_at[begin]
+            edge = np.zeros(len(places) + 1, np.int64)
+            w = np.searchsorted(places, begin)
             np.add.at(edge, w, 1)
             np.subtract.at(edge, w + self.words[pattern], 1)
             hit = np.cumsum(edge[:-1]) > 0
