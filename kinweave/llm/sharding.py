@@ -9,7 +9,7 @@ counts differ by one at most (the law ``rows``).
 No window ever holds a stratum: ranks come from the counts of hash buckets
 within the stratum plus the rank within a bucket, and global positions from
 the counts of fraction buckets plus the rank within one.  A hot source is thus
-spread over ``source_buckets`` groups.
+spread over many groups, whose number follows the number of rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.llm.rows import quoted
 from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
@@ -31,6 +32,7 @@ def stratified_shards(
     source_col: str = "source",
     source_buckets: int = 512,
     order_buckets: int = 8192,
+    bucket_rows: int = 50_000,
 ) -> DataFrame:
     """(id, source, size, text_crc32, fraction, shard, slot), one row per row of ``docs``.
 
@@ -39,22 +41,26 @@ def stratified_shards(
     empty, null sources are one stratum, equal rows get slots of their own,
     other columns are ignored, an empty table gives no rows.
 
-    ``order_buckets`` bounds the one small table (a count per bucket) that is
-    summed up in a single task.
+    There are ``source_buckets`` per source and ``order_buckets`` of the order
+    at least, and so many more that one holds about ``bucket_rows`` rows.  The
+    one table that is summed up in a single task has a count per bucket of the
+    order.
     """
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    body = F.coalesce(quoted(text_col), F.lit("")).cast("binary")
     rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
+        quoted(id_col).alias("id"),
+        quoted(source_col).alias("source"),
         (F.octet_length(body) + F.lit(1)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
     rows = rows.withColumns({
         "stratum": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
         "h": F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_crc32"),
-    }).withColumn("b", F.pmod("h", F.lit(source_buckets)).cast("int"))
-
-    rows = cut(rows)  # thin rows, read three times below; the texts are read once
+    })
+    rows = cut(rows)  # thin rows, read several times below; the texts are read once
+    least = -(-rows.count() // bucket_rows)
+    source_buckets, order_buckets = max(source_buckets, least), max(order_buckets, least)
+    rows = rows.withColumn("b", F.pmod("h", F.lit(source_buckets)).cast("int"))
     counts = rows.groupBy("stratum", "b").count()
     up_to = W.partitionBy("stratum").orderBy("b")
     starts = counts.select(
