@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave import schemas
 from kinweave.operators import merge, projection
 from kinweave.plans.job import run_job, write_profiles
 from kinweave.plans.lineage import checkpoint_folder
@@ -170,6 +171,27 @@ def job_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("full_name", "email", _joined("skills").alias("skills"), "headline").union(wrong.select(F.lit("violation"), "error", F.lit(""), F.lit("")))
 
 
+def _many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with several values each, fifty clusters of them: repeats within a record, across records, and in another order."""
+    k, nothing = F.col("c_custkey"), F.lit(None).cast("string")
+    text = lambda pre, n: F.concat(F.lit(pre), n.cast("string"))
+    emails = F.array(text("a", k % 7), text("b", k % 5), text("a", k % 7), text("a", k % 3))
+    other = F.when(k % 4 == 0, F.array(text("https://o", k % 9), nothing, text("https://o", k % 2))).otherwise(F.array().cast("array<string>"))
+    links = F.struct(F.when(k % 3 == 0, text("https://linkedin.com/in/l", k % 11)).alias("linkedin"), F.when(k % 8 == 1, text("https://github.com/g", k % 13)).alias("github"), nothing.alias("portfolio"), other.alias("other"))
+    source = F.when(k % 2 == 0, "ats_json").when(k % 5 == 1, "github").otherwise("resume")
+    raw = _customers(spark, sf_dir).select((k % 50).alias("cluster_id"), k.alias("rec_seq"), source.alias("source"), emails.alias("emails"), links.alias("links"))
+    return raw.withColumn("trust", schemas.trust("source"))
+
+
+def union_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.union_values(_many_values(spark, sf_dir), "emails").select("cluster_id", _joined("emails").alias("emails"))
+
+
+def links_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge.merge_links(_many_values(spark, sf_dir))
+    return found.select("cluster_id", "links.linkedin", "links.github", "links.portfolio", _joined("links.other").alias("other"), "n_links", "top")
+
+
 # --- Output -----------------------------------------------------------------------------------------------------------
 
 OMIT = {
@@ -264,6 +286,14 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'recruiter_notes', count(DISTINCT c_custkey // {PER_FILE}), count(DISTINCT c_custkey // {PER_FILE}), count(*), count(DISTINCT c_custkey // {PER_FILE}), 0, 2 FROM customer WHERE c_custkey % 10 = 0
       UNION ALL SELECT 'linkedin', 1, 1, 0, 0, 0, 3""",
     "job_over_files": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Cust ' || c_custkey ELSE c_name END AS full_name, 'c' || c_custkey || '@x.io' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'Python|COBOL' ELSE '' END AS skills, c_mktsegment AS headline FROM customer",
+    "union_many": """WITH x AS (SELECT c_custkey % 50 AS cluster_id, c_custkey AS r, unnest(['a' || c_custkey % 7, 'b' || c_custkey % 5, 'a' || c_custkey % 7, 'a' || c_custkey % 3]) AS v, unnest([1, 2, 3, 4]) AS p FROM customer),
+      f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, v ORDER BY r, p) AS n FROM x) SELECT cluster_id, string_agg(v, '|' ORDER BY r, p) AS emails FROM f WHERE n = 1 GROUP BY cluster_id""",
+    "links_many": """WITH c AS (SELECT c_custkey % 50 AS cluster_id, c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'ats_json' WHEN c_custkey % 5 = 1 THEN 'github' ELSE 'resume' END AS source FROM customer),
+      x AS (SELECT *, 'linkedin' AS kind, '' AS key, 'https://linkedin.com/in/l' || k % 11 AS url, 0 AS p FROM c WHERE k % 3 = 0 UNION ALL SELECT *, 'github', '', 'https://github.com/g' || k % 13, 1 FROM c WHERE k % 8 = 1
+        UNION ALL SELECT *, 'other', 'https://o' || k % 9, 'https://o' || k % 9, 3 FROM c WHERE k % 4 = 0 UNION ALL SELECT *, 'other', 'https://o' || k % 2, 'https://o' || k % 2, 5 FROM c WHERE k % 4 = 0),
+      f AS (SELECT *, CASE source WHEN 'ats_json' THEN 0.95 WHEN 'github' THEN 0.55 ELSE 0.7 END AS trust, row_number() OVER (PARTITION BY cluster_id, kind, key ORDER BY k, p) AS n FROM x)
+      SELECT cluster_id, max(url) FILTER (kind = 'linkedin') AS linkedin, max(url) FILTER (kind = 'github') AS github, CAST(NULL AS VARCHAR) AS portfolio, coalesce(string_agg(url, '|' ORDER BY k, p) FILTER (kind = 'other'), '') AS other,
+        count(*) AS n_links, first(source ORDER BY trust DESC, k) AS top FROM f WHERE n = 1 GROUP BY cluster_id""",
     "project_omit": SCORED + """SELECT '{' || concat_ws(',', '"full_name":"' || coalesce(full_name, '') || '"', '"mail":"' || string_split(emails, '|')[1] || '"', '"second":"' || string_split(emails, '|')[2] || '"',
         '"years":' || coalesce(CAST(years_experience AS VARCHAR), 'null'), '"skills":[' || coalesce('"' || replace(skills, '|', '","') || '"', '') || ']') || '}' AS json FROM g""",
     "project_error": SCORED + "SELECT candidate_id AS id, string_split(emails, '|')[1] AS mail FROM g WHERE emails IS NOT NULL",
@@ -274,5 +304,5 @@ SQL: dict[str, str] = {
 }
 QUERIES = {
     "linkedin_export": linkedin_export, "profile_links": profile_links, "saved_profiles": saved_profiles, "resume_sources": resume_sources, "note_sources": note_sources, "source_report": source_report,
-    "source_union": source_union, "job_over_files": job_over_files, "project_omit": project_omit, "project_error": project_error, "strict_gate": strict_gate, "written_profiles": written_profiles, "output_order": output_order,
+    "source_union": source_union, "job_over_files": job_over_files, "union_many": union_many, "links_many": links_many, "project_omit": project_omit, "project_error": project_error, "strict_gate": strict_gate, "written_profiles": written_profiles, "output_order": output_order,
 }
