@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_byte_bpe": bpe.query,
         "op10_language_id": language.query,
+        "maximal_repeats": repeats.repeats_query,
         "quality_ablation": quality.ablation_query,
     }
 

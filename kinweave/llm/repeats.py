@@ -15,13 +15,19 @@ least hash in it, which depends on the window's bytes alone.
    suffixes (bytes up to the passage's end), neighbours give common prefixes,
    and a stack scan of these gives the interval tree.  An interval whose
    suffixes are preceded by different bytes (or start a passage) is a maximal
-   repeat of the bin; all its suffixes are its occurrences.  Intervals that can
-   be extended to the left by one byte are part of the one that begins there.
-4. Long repeats run through several bins; their spans meet again per document.
+   repeat of the bin; all its suffixes are its occurrences.  Suffixes whose
+   first ``least`` bytes nobody shares, or that everybody who shares them can
+   extend to the left by one byte, are in no such interval and leave before the
+   sort.  Equal passages are one leaf; a leaf of several places is an interval.
+4. Long repeats run through several bins; their spans meet again per document,
+   and ``maximal_repeats`` joins intervals of one set of places into one repeat.
 
 A passage that is repeated in very many documents does not grow a bin: a task
 hands on each distinct passage once, for its least document, and knows by
-itself that the other documents of that passage repeat a smaller one.
+itself that the other documents of that passage repeat a smaller one.  A k-gram
+with very many *different* passages (a common phrase) is dealt window by window
+instead, each to the bin of its own bytes; what such k-grams can number is
+bounded (HEAVY_GRAMS).  The number of bins follows the bytes of the input.
 """
 
 from __future__ import annotations
@@ -32,16 +38,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import flat, run_starts, slices
+from kinweave.llm.arrow import binary_flat, flat, run_starts, slices
+from kinweave.llm.rows import quoted
+from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 LEAST = 50
 GRAM = 20
-#: Bytes of text after which a task hands on what it has listed.
+#: Bytes of text after which a task hands on what it has listed, and what it has cut out; bytes that numpy takes at once.
 FLUSH_BYTES = 12 << 20
+PASS_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of text per bin.
+BIN_BYTES = 1 << 20
+#: Different passages from which a k-gram is dealt window by window, and the most such k-grams (their list is broadcast).
+HEAVY = 4096
+HEAVY_GRAMS = 1 << 20
+#: Occurrences of a k-gram in what a task hands on from which its different surroundings are counted.
+COUNTED = 4
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -99,37 +118,84 @@ def passages(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends, h[place[starts]]
 
 
-def _bin(h: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each gram hash, and 32 more bits that tell grams of a bin apart."""
+def _key(h: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each hash in the high 32 bits, and 32 more bits that tell those of a bin apart."""
     mixed = h * _B
     mixed ^= mixed >> np.uint64(31)
-    return ((mixed >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    b = (mixed >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
+    return (b << np.uint64(32)) | (mixed & np.uint64(0xFFFFFFFF))
 
 
-def _pack(values: np.ndarray | bytes) -> bytes:
-    """Numbers (byte plane by byte plane) or bytes, compressed, after their size."""
-    raw = values if isinstance(values, bytes) else values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Arrays as one cell, byte plane by byte plane, compressed if that pays, after their sizes."""
+    raw = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() if len(c) else b"" for c in columns)
+    sizes = np.array([len(c) for c in columns] + [len(raw)], "<u4").tobytes()
+    return sizes + (pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 256 else raw)
 
 
-def _bytes(cell: bytes) -> bytes:
-    return pa.decompress(cell[8:], decompressed_size=int.from_bytes(cell[:8], "little"), codec="zstd", asbytes=True)
+def _unpack(cell: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    *sizes, size = np.frombuffer(cell[: 4 * len(kinds) + 4], "<u4").tolist()
+    raw = cell[4 * len(kinds) + 4 :]
+    if size > 256:
+        raw = pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n, kind in zip(sizes, kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at)
+        out.append(planes.view(kind) if width == 1 else np.ascontiguousarray(planes.reshape(width, n).T).view(kind).reshape(-1))
+        at += n * width
+    return out
 
 
-def _numbers(cell: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(_bytes(cell), np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+def _cells(column: pa.ChunkedArray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of all cells, back to back."""
+    parts = [_unpack(x, kinds) for x in column.to_pylist()]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _text_key(t) -> int:
+def _text_key(raw: np.ndarray) -> int:
     """Tells texts with the same id apart."""
-    return int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little")
+    return xxhash.xxh3_64_intdigest(raw) & 0xFFFFFFFF
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], text_at: int, most: int = FLUSH_BYTES) -> Iterator[list[pa.RecordBatch]]:
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place, as an unaligned view."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * _B
+    return h ^ (h >> np.uint64(29))
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, size) with each text compressed."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        raw = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
+        cells = [codec.compress(x.as_buffer(), asbytes=True) for x in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary()), pc.binary_length(raw).cast(pa.int64())], ["doc_id", "text", "size"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text, size, ...) with the texts as they were, in slices of ``most`` bytes of text or one row."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        sizes = batch.column(2).to_numpy()
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            part = batch.slice(at, to - at)
+            texts = [codec.decompress(x.as_buffer(), decompressed_size=n, asbytes=True) if n else b"" for x, n in zip(part.column(1), sizes[at:to].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.large_binary()), *part.columns[3:]], [x for k, x in enumerate(batch.schema.names) if k != 2])
+            at = to
+
+
+def _flushes(parts: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterator[list[pa.RecordBatch]]:
     """Slices in groups of about ``most`` bytes of text."""
     group, size = [], 0
-    for batch in slices(batches, text_at):
+    for batch in parts:
         group.append(batch)
         size += batch.column(text_at).nbytes
         if size >= most:
@@ -139,38 +205,63 @@ def _flushes(batches: Iterator[pa.RecordBatch], text_at: int, most: int = FLUSH_
         yield group
 
 
+LISTED = ("<u4", "<i8", "<u2")
+
+
 def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
-    """(doc_id, grams): the grams of a document, by 32 bits each, that may begin a repeat across documents."""
+    """(doc_id, grams): the grams of a document, by 32 bits each, that may begin a repeat across documents.
+
+    Rows without a document hold, as 64 bits and a count of 64 bits each, the
+    grams with HEAVY different passages or more.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _flushes(batches, 1):
-            keys, ids = [], []
+        for group in _flushes(slices(batches, 1, SLICE_BYTES), 1, FLUSH_BYTES):
+            keys, ids, around = [], [], []
             for batch in group:
-                text, _, _, h = passages(*flat(batch.column(1)), least)
-                b, low = _bin(h, bins)
-                key = (b.astype(np.uint64) << np.uint64(32)) | low
-                keys.append(key)
+                data, offsets = flat(batch.column(1))
+                text, first, last, h = passages(data, offsets, least)
+                keys.append(_key(h, bins))
                 ids.append(batch.column(0).to_numpy()[text])
-            key, doc = np.concatenate(keys), np.concatenate(ids)
+                eights = _eights(data)
+                around.append(_mixed(eights[first], eights[last + (least - 8)]) if len(first) else np.zeros(0, np.uint64))
+            key, doc, around = np.concatenate(keys), np.concatenate(ids), np.concatenate(around)
             del keys, ids
             order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
+            key, doc, around = key[order], doc[order], around[order]
+            n_around = _different(key, around)
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
             key, doc = key[once], doc[once]
             starts = run_starts(key)
-            many = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
+            sizes = np.diff(np.append(starts, len(key)))
+            many = np.repeat(sizes > 1, sizes)
             yield from _grams_of(doc[many], key[many])
             # One document of each gram stands for the task; grams of several documents are known candidates but still tell other tasks.
-            key, doc, several = key[starts], doc[starts], many[starts]
+            key, doc = key[starts], doc[starts]
+            told = np.maximum(n_around, (sizes > 1).astype(np.uint16)) if len(starts) else n_around
             b = (key >> np.uint64(32)).astype(np.int64)
-            low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
             cuts = run_starts(b)
-            for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(b)).tolist() if len(b) else [], strict=True):
-                yield _row(int(b[s]), _pack(low[s:e]), _pack(doc[s:e].astype(np.int64)), np.packbits(several[s:e]).tobytes())
-
-    def _row(b: int, low: bytes, doc: bytes, several: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.nulls(1, pa.int64()), pa.array([low], pa.binary()), pa.array([doc], pa.binary()), pa.array([several], pa.binary())], ["bin", "doc_id", "low", "doc", "several"])
+            cells = [_pack(low[s:e], doc[s:e].astype("<i8"), told[s:e].astype("<u2")) for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(b)).tolist() if len(b) else [], strict=True)]
+            n = len(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(b[cuts], pa.int64()), pa.nulls(n, pa.int64()), pa.array(cells, pa.binary())], ["bin", "doc_id", "grams"])
+
+    def _different(key: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """For each run of keys how many different surroundings it has; 0 for runs of fewer than COUNTED."""
+        starts = run_starts(key)
+        sizes = np.diff(np.append(starts, len(key)))
+        large = sizes >= COUNTED
+        out = np.zeros(len(starts), np.uint16)
+        if large.any():
+            use = np.repeat(large, sizes)
+            run, x = np.repeat(np.arange(int(large.sum())), sizes[large]), around[use]
+            order = np.lexsort((x, run))
+            run, x = run[order], x[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (run[1:] != run[:-1]) | (x[1:] != x[:-1])
+            out[large] = np.minimum(np.bincount(run[new]), 65535)
+        return out
 
     def _grams_of(doc: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(doc, kind="stable")
@@ -178,48 +269,70 @@ def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
         cuts = run_starts(doc)
         if len(cuts):
             low = key.astype(np.uint32)  # enough within a document; what is met by chance is compared later on
-            blobs = [low[s:e].tobytes() for s, e in zip(cuts, np.append(cuts[1:], len(doc)), strict=True)]
-            n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts] % bins, pa.int64()), pa.array(doc[cuts], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["bin", "doc_id", "low", "doc", "several"])
+            blobs = [low[s:e].tobytes() for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(doc)).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cuts] % bins, pa.int64()), pa.array(doc[cuts], pa.int64()), pa.array(blobs, pa.binary())], ["bin", "doc_id", "grams"])
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
-        known = t.filter(pc.is_valid(t.column("doc_id"))).select(["doc_id", "low"])
+        known = t.filter(pc.is_valid(t.column("doc_id"))).select(["doc_id", "grams"])
         t = t.filter(pc.is_null(t.column("doc_id")))
         if not t.num_rows:
             return known
-        low = np.concatenate([_numbers(x, "<u4") for x in t.column("low").to_pylist()])
-        docs_of = [_numbers(x, "<i8") for x in t.column("doc").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d)).astype(bool) for x, d in zip(t.column("several").to_pylist(), docs_of, strict=True)])
-        doc = np.concatenate(docs_of)
+        low, doc, told = _cells(t.column("grams"), LISTED)
         order = np.argsort(low, kind="stable")
-        low, doc, several = low[order], doc[order], several[order]
+        low, doc, told = low[order], doc[order], told[order].astype(np.int64)
         starts = run_starts(low)
         sizes = np.diff(np.append(starts, len(low)))
-        wanted = np.repeat((sizes > 1) | np.logical_or.reduceat(several, starts), sizes)
-        gram = (np.uint64(key[0].as_py()) << np.uint64(32)) | low[wanted].astype(np.uint64)
-        found = list(_grams_of(doc[wanted], gram))
-        return pa.concat_tables([known, pa.Table.from_batches(found).select(["doc_id", "low"])]) if found else known
+        wanted = np.repeat((sizes > 1) | (np.maximum.reduceat(told, starts) > 0), sizes)
+        gram = (np.uint64(key[0].as_py()) << np.uint64(32)) | low.astype(np.uint64)
+        found = [x.select(["doc_id", "grams"]) for x in _grams_of(doc[wanted], gram[wanted])]
+        total = np.add.reduceat(np.maximum(told, 1), starts)
+        heavy = np.flatnonzero(total >= HEAVY)
+        if len(heavy):
+            cell = np.stack([gram[starts[heavy]].view(np.int64), total[heavy]]).astype("<i8").tobytes()
+            found.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([cell], pa.binary())], ["doc_id", "grams"]))
+        return pa.concat_tables([known, pa.Table.from_batches(found)]) if found else known
 
     # Known candidates pass through the bins as well, so one shuffle carries all.
-    listed = docs.mapInArrow(scan, "bin long, doc_id long, low binary, doc binary, several binary")
-    return listed.groupBy("bin").applyInArrow(meet, "doc_id long, low binary").withColumnRenamed("low", "grams")
+    listed = docs.mapInArrow(scan, "bin long, doc_id long, grams binary")
+    return listed.groupBy("bin").applyInArrow(meet, "doc_id long, grams binary")
+
+
+def _heavy_grams(found: DataFrame, most: int = HEAVY_GRAMS) -> np.ndarray:
+    """The grams with the most different passages, sorted; ``most`` at most, so a lesser one has at most (all passages) / ``most``."""
+    counted, kept = found.filter("doc_id is null").select("grams"), np.zeros((2, 0), np.int64)
+    for r in counted.toLocalIterator():
+        kept = np.concatenate([kept, np.frombuffer(bytes(r["grams"]), "<i8").reshape(2, -1)], 1)
+        if kept.shape[1] > 2 * most:
+            kept = kept[:, np.argsort(-kept[1], kind="stable")[:most]]
+    kept = kept[:, np.argsort(-kept[1], kind="stable")[:most]]
+    return np.sort(kept[0].view(np.uint64))
 
 
 class Bin:
     """Passages of one bin: the suffix array of their window starts and its interval tree."""
 
-    def __init__(self, contents: list[bytes], starts: np.ndarray, least: int):
-        """``contents`` are distinct passages, of which the first ``starts`` places are windows."""
+    def __init__(self, data: np.ndarray, base: np.ndarray, lengths: np.ndarray, starts: np.ndarray, least: int):
+        """Distinct passages at ``base`` of ``data`` (which has room behind them), of which the first ``starts`` places are windows."""
         self.least = least
-        lengths = np.fromiter(map(len, contents), np.int64, len(contents))
         longest = int(lengths.max())
         words = (longest + 7) // 8
-        base = np.concatenate([[0], np.cumsum(lengths)])
-        data = np.concatenate([np.frombuffer(b"".join(contents), np.uint8), np.zeros(8 * words + 8, np.uint8)])
-        self.of = np.repeat(np.arange(len(contents)), starts)
-        self.offset = np.arange(len(self.of)) - np.repeat(np.cumsum(starts) - starts, starts)
-        at = base[self.of] + self.offset
-        size = lengths[self.of] - self.offset
+        of = np.repeat(np.arange(len(base)), starts)
+        offset = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+        at = base[of] + offset
+        little = _eights(data)
+        # Suffixes meet by the hash of their first bytes; those that cannot be in a maximal interval go.
+        h = np.zeros(len(at), np.uint64)
+        for k in [*range(0, least - 7, 8), least - 8]:
+            h = _mixed(h, little[at + k])
+        order = np.argsort(h, kind="stable")
+        h, of, offset, at = h[order], of[order], offset[order], at[order]
+        before = np.where(offset == 0, -1 - np.arange(len(at)), data[np.maximum(at - 1, 0)].astype(np.int64))  # the start of a passage differs from all
+        runs = run_starts(h)
+        sizes = np.diff(np.append(runs, len(h)))
+        differs = before != np.repeat(before[runs], sizes)
+        use = np.repeat(np.logical_or.reduceat(differs, runs), sizes)
+        of, offset, at, before = of[use], offset[use], at[use], before[use]
+        size = lengths[of] - offset
         eights = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
         keys = []
         for w in range(words):
@@ -228,7 +341,7 @@ class Bin:
             mask = np.where(left > 0, ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1)))), np.uint64(0))
             keys.append(x & mask)
         order = np.lexsort([size, *keys[::-1]])
-        self.of, self.offset, size = self.of[order], self.offset[order], size[order]
+        self.of, self.offset, size = of[order], offset[order], size[order]
         common = np.zeros(len(order), np.int64)
         open_ = np.ones(max(0, len(order) - 1), bool)
         for w in range(words):
@@ -247,9 +360,8 @@ class Bin:
                 lead[~same] = bits // 8
             common[1:] += np.where(open_, np.where(same, 8, lead), 0)
             open_ &= same
-        self.prefix = np.minimum(common, np.concatenate([[0], np.minimum(size[1:], size[:-1])]))
-        before = data[np.maximum(base[self.of] + self.offset - 1, 0)].astype(np.int64)
-        self.before = np.where(self.offset == 0, -1 - np.arange(len(order)), before)  # the start of a passage differs from all
+        self.prefix = np.minimum(common, np.concatenate([[0], np.minimum(size[1:], size[:-1])])) if len(order) else common
+        self.before = before[order]
 
     def maximal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, last, length) of the intervals that are maximal repeats, by a stack scan."""
@@ -283,173 +395,357 @@ def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
 
-SPANS = "doc_id long, text_key long, span_starts binary, lengths binary, groups binary"
-_SPAN_NAMES = ["doc_id", "text_key", "span_starts", "lengths", "groups"]
+SPANS = "doc_id long, text_key long, start int, length int"
+_SPAN_NAMES = ["doc_id", "text_key", "start", "length"]
+_SPAN_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+#: Of the distinct passages of a cell: bytes, 24 of the gram's bits, places; of their places: document, text and start; the bytes.
+PASSED = ("<u2", "<u4", "<u4", "<i8", "<u4", "<u4", "u1")
+_GRAM_BITS = np.uint64(0xFFFFFF)
 
 
-def _span_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
-    """Spans as one row per document."""
+def _span_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Spans, those of a text that touch as one, in order."""
     order = np.lexsort((start, key, doc))
-    doc, key, start, length = doc[order], key[order], start[order].astype("<u4"), length[order].astype("<u2")
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-    cuts = np.flatnonzero(new)
-    ends = np.append(cuts[1:], len(doc))
-    pack = lambda v: pa.array([v[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary())
-    groups = pack(group[order]) if group is not None else pa.nulls(len(cuts), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array(key[cuts], pa.int64()), pack(start), pack(length), groups], _SPAN_NAMES)
-
-
-def _meet_bin(t: pa.Table, least: int, every: bool) -> pa.RecordBatch | None:
-    """The spans of a bin that repeat a smaller document, or with ``every`` all occurrences of all its maximal repeats."""
-    column = lambda name, kind: np.concatenate([_numbers(x, kind) for x in t.column(name).to_pylist()]).astype(np.int64)
-    sizes, starts, doc, key, at = column("sizes", "<u2"), column("starts", "<u2"), column("docs", "<i8"), column("keys", "<u4"), column("at", "<u4")
-    whole = b"".join(map(_bytes, t.column("bytes").to_pylist()))
-    ends = np.cumsum(sizes)
-    ids: dict[tuple[int, bytes], int] = {}
-    owner = np.fromiter((ids.setdefault((n, whole[e - s : e]), len(ids)) for n, s, e in zip(starts.tolist(), sizes.tolist(), ends.tolist(), strict=True)), np.int64, len(sizes))
-    order = np.argsort(owner, kind="stable")
-    owner, doc, key, at = owner[order], doc[order], key[order], at[order]
-    first = np.searchsorted(owner, np.arange(len(ids)))
-    count = np.diff(np.append(first, len(owner)))
-    smallest = np.minimum.reduceat(doc, first)
-    largest = np.maximum.reduceat(doc, first)
-    contents = [c for _, c in ids]
-    windows = np.fromiter((n for n, _ in ids), np.int64, len(ids))
-    tree = Bin(contents, windows, least)
-    lo, hi, length = tree.maximal()
-    spans: list[tuple[np.ndarray, ...]] = []
-    # A passage that occurs as a whole in several places is a repeat by itself.
-    shared = np.flatnonzero(count > 1 if every else smallest < largest)
-    if len(shared):
-        which = _expand(first[shared], count[shared])
-        spans.append((which, np.zeros(len(which), np.int64), np.repeat(np.fromiter(map(len, contents), np.int64, len(contents))[shared], count[shared]), np.repeat(smallest[shared], count[shared]), np.repeat(-1 - shared, count[shared])))
-    if len(lo):
-        least_doc = smallest[tree.of]
-        n = hi - lo + 1
-        suffix = _expand(lo, n)
-        low = np.minimum.reduceat(least_doc[suffix], np.cumsum(n) - n)
-        of = tree.of[suffix]
-        which = _expand(first[of], count[of])
-        spread = lambda v: np.repeat(v, count[of])
-        spans.append((which, spread(tree.offset[suffix]), spread(np.repeat(length, n)), spread(np.repeat(low, n)), spread(np.repeat(np.arange(len(lo)), n))))
-    if not spans:
-        return None
-    which, offset, long, low, group = (np.concatenate(x) for x in zip(*spans, strict=True))
-    if not every:
-        use = doc[which] > low
-        which, offset, long, group = which[use], offset[use], long[use], group[use]
-    if not len(which):
-        return None
-    return _span_rows(doc[which], key[which], at[which] + offset, long, group.astype(np.int64) if every else None)
+    doc, key, start, end = doc[order], key[order], start[order], (start + length)[order]
+    if len(doc):
+        text = np.ones(len(doc), np.int64)
+        text[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        # Ends as far as they have come: texts are kept apart by a number larger than any end.
+        room = int(end.max()) + 1
+        reach = np.maximum.accumulate(end + np.cumsum(text) * room)
+        opens = np.ones(len(doc), bool)
+        opens[1:] = (text[1:] == 1) | (start[1:] + np.cumsum(text)[1:] * room > reach[:-1])
+        at = np.flatnonzero(opens)
+        last = np.append(at[1:], len(doc)) - 1
+        doc, key, start, end = doc[at], key[at], start[at], reach[last] - np.cumsum(text)[last] * room
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32))], _SPAN_NAMES)
+
+
+#: What is left of eight bytes of which so many count.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _padded(data: np.ndarray, base: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The passages at ``base`` as rows of ``width`` bytes, zero behind their ends, in words of eight; ``data`` has room behind it."""
+    eights = _eights(data)
+    rows = np.empty((len(base), width // 8), np.uint64)
+    for w in range(width // 8):
+        rows[:, w] = eights[base + 8 * w] & _HEADS[np.clip(sizes - 8 * w, 0, 8)]
+    return rows
+
+
+def _row_hash(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    h = sizes.astype(np.uint64)
+    for w in range(rows.shape[1]):
+        h = _mixed(h, rows[:, w])
+    return h
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    """Texts by id: written once, read by both joins that need texts."""
-    return docs.repartition("doc_id")
+def _width(least: int) -> int:
+    """Bytes of a row that holds any passage."""
+    return (2 * least - GRAM + 7) // 8 * 8
+
+
+def _flat_rows(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of padded passages back to back."""
+    raw = rows.view(np.uint8).reshape(len(rows), -1)
+    return raw[np.arange(raw.shape[1]) < sizes[:, None]]
+
+
+class Met:
+    """The passages of a bin, equal ones as one, with their places, and the tree's maximal repeats."""
+
+    def __init__(self, cells: pa.ChunkedArray, least: int):
+        sizes, low, places, doc, key, at, content = _cells(cells, PASSED)
+        sizes, places = sizes.astype(np.int64), places.astype(np.int64)
+        data = np.concatenate([content, np.zeros(_width(least) + 8, np.uint8)])
+        base = np.cumsum(sizes) - sizes
+        rows = _padded(data, base, sizes, _width(least))
+        h = _row_hash(rows, sizes)
+        order = np.lexsort((h, low))
+        new = np.ones(len(order), bool)
+        a, b = order[1:], order[:-1]
+        new[1:] = (low[a] != low[b]) | (h[a] != h[b]) | (sizes[a] != sizes[b]) | (rows[a] != rows[b]).any(1)
+        owner = np.empty(len(order), np.int64)
+        owner[order] = np.cumsum(new) - 1
+        del rows
+        heads = order[new]
+        self.sizes, base, low = sizes[heads], base[heads], low[heads]
+        owner = np.repeat(owner, places)
+        order = np.argsort(owner, kind="stable")
+        owner, self.doc, self.key, self.at = owner[order], doc[order], key[order].astype(np.int64), at[order].astype(np.int64)
+        self.first = np.searchsorted(owner, np.arange(len(heads)))
+        self.count = np.diff(np.append(self.first, len(owner)))
+        self.smallest, self.largest = np.minimum.reduceat(self.doc, self.first), np.maximum.reduceat(self.doc, self.first)
+        # A gram with one passage is one leaf; others are sorted as suffixes.
+        grams = run_starts(low)
+        n = np.diff(np.append(grams, len(low)))
+        self.several = np.flatnonzero(np.repeat(n > 1, n))
+        self.tree = Bin(data, base[self.several], self.sizes[self.several], self.sizes[self.several] - least + 1, least) if len(self.several) else None
+
+    def spans(self, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, offset in it, length, repeat): occurrences of the maximal repeats.
+
+        Those of a document larger than the repeat's least one, or with ``every`` all.
+        """
+        out: list[tuple[np.ndarray, ...]] = []
+        leaf = np.flatnonzero(self.count > 1 if every else self.smallest < self.largest)
+        if len(leaf):
+            n = self.count[leaf]
+            which = _expand(self.first[leaf], n)
+            out.append((which, np.zeros(len(which), np.int64), np.repeat(self.sizes[leaf], n), np.repeat(self.smallest[leaf], n), np.repeat(-1 - leaf, n)))
+        if self.tree is not None:
+            lo, hi, length = self.tree.maximal()
+            if len(lo):
+                n = hi - lo + 1
+                suffix = _expand(lo, n)
+                of = self.several[self.tree.of[suffix]]
+                low = np.minimum.reduceat(self.smallest[of], np.cumsum(n) - n)
+                m = self.count[of]
+                which = _expand(self.first[of], m)
+                spread = lambda v: np.repeat(v, m)
+                out.append((which, spread(self.tree.offset[suffix]), spread(np.repeat(length, n)), spread(np.repeat(low, n)), spread(np.repeat(np.arange(len(lo)), n))))
+        if not out:
+            return (np.zeros(0, np.int64),) * 4
+        which, offset, length, low, group = (np.concatenate(x) for x in zip(*out, strict=True))
+        if not every:
+            use = self.doc[which] > low
+            which, offset, length, group = which[use], offset[use], length[use], group[use]
+        return which, offset, length, group
+
+
+def _cut_out(bins: int, least: int, heavy, every: bool):
+    """The function that turns (doc_id, text, grams) into cells of passages by bin, and sure spans by document."""
+    names = ["bin", "passages", *_SPAN_NAMES]
+    width = _width(least)
+
+    def of_slice(batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        data, offsets = flat(batch.column(1))
+        text, first, last, h = passages(data, offsets, least)
+        g = _key(h, bins)
+        lists = batch.column(2)
+        grams, n = binary_flat(lists.flatten())
+        per_doc = np.add.reduceat(np.append(n, 0), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()) * (np.diff(lists.offsets.to_numpy()) > 0)
+        own = (np.repeat(np.arange(len(lists), dtype=np.uint64), per_doc // 4) << np.uint64(32)) | grams.view("<u4")
+        use = np.isin((text.astype(np.uint64) << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF)), own)
+        text, first, last, g = text[use], first[use], last[use], g[use]
+        if not len(text):
+            return None
+        room = np.concatenate([data, np.zeros(width, np.uint8)])
+        split = np.isin(g, common) if len(common) else np.zeros(len(g), bool)
+        if split.any():  # each window of a heavy gram is a passage of its own, keyed by its own bytes
+            n = (last - first + 1)[split]
+            starts = _expand(first[split], n)
+            eights, h = _eights(room), np.zeros(len(starts), np.uint64)
+            for k in [*range(0, least - 7, 8), least - 8]:
+                h = _mixed(h, eights[starts + k])
+            text, g = np.concatenate([text[~split], np.repeat(text[split], n)]), np.concatenate([g[~split], _key(h, bins)])
+            first, last = np.concatenate([first[~split], starts]), np.concatenate([last[~split], starts])
+        sizes = last - first + least
+        keys = np.zeros(batch.num_rows, np.int64)
+        for k in np.unique(text).tolist():
+            keys[k] = _text_key(data[offsets[k] : offsets[k + 1]])
+        return g, sizes, _padded(room, first, sizes, width), batch.column(0).to_numpy()[text], keys[text], first - offsets[text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = heavy.value
+        for group in _flushes(_opened(batches), 1, PASS_BYTES):
+            parts = [x for batch in group if (x := of_slice(batch, common)) is not None]
+            if not parts:
+                continue
+            g, sizes, rows, doc, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            h = _row_hash(rows, sizes)
+            order = np.lexsort((at, doc, h, g))
+            g, sizes, doc, key, at, h = (x[order] for x in (g, sizes, doc, key, at, h))
+            rows = rows[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (sizes[1:] != sizes[:-1]) | (rows[1:] != rows[:-1]).any(1)
+            heads = np.flatnonzero(new)
+            kept = np.ones(len(g), bool)
+            if not every:
+                # The places of a passage beyond its least document here repeat that document.
+                kept = doc == doc[heads][np.cumsum(new) - 1]
+                if not kept.all():
+                    sure = _span_rows(*(x[~kept] for x in (doc, key, at, sizes)))
+                    n = sure.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(sure.column(0).to_numpy() % bins, pa.int64()), pa.nulls(n, pa.binary()), *sure.columns], names)
+            places = np.add.reduceat(kept.astype(np.int64), heads)
+            ends = np.cumsum(places)
+            b = (g[heads] >> np.uint64(32)).astype(np.int64)
+            # Within a bin passages go by text and place: that compresses well.
+            order = np.lexsort((at[heads], doc[heads], b))
+            which = np.flatnonzero(kept)[_expand((ends - places)[order], places[order])]
+            heads, places, b = heads[order], places[order], b[order]
+            ends = np.cumsum(places)
+            doc, key, at = doc[which].astype("<i8"), key[which].astype("<u4"), at[which].astype("<u4")
+            low, sizes, rows = (g[heads] & _GRAM_BITS).astype("<u4"), sizes[heads], rows[heads]
+            content, to = _flat_rows(rows, sizes), np.cumsum(sizes)
+            cuts = run_starts(b)
+            cells = []
+            for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(b)).tolist(), strict=True):
+                p, q = int(ends[s] - places[s]), int(ends[e - 1])
+                cells.append(_pack(sizes[s:e].astype("<u2"), low[s:e], places[s:e].astype("<u4"), doc[p:q], key[p:q], at[p:q], content[int(to[s] - sizes[s]) : int(to[e - 1])]))
+            n = len(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(b[cuts], pa.int64()), pa.array(cells, pa.binary()), *(pa.nulls(n, t) for t in _SPAN_TYPES)], names)
 
+    return run
 
-def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None, every: bool = False) -> DataFrame:
-    """(doc_id, text_key, starts, lengths, groups): occurrences of maximal repeats, packed per document and bin.
 
-    ``docs`` is (doc_id long, text), ids not null.  By default the occurrences
-    that repeat a document of smaller id, as far as they matter for what a
-    document repeats; with ``every`` all occurrences, and ``groups`` numbers
-    the repeats within a bin.  Starts are packed as numbers of 32 bits, lengths of 16.
-    """
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Texts by id, compressed: written once, read by both joins that need texts."""
+    squeezed = docs.select("doc_id", "text").mapInArrow(_squeezed, "doc_id long, text binary, size long")
+    # An inner join asks for this filter; with it here, both uses have one plan and Spark one exchange.
+    return squeezed.filter("doc_id is not null").repartition("doc_id")
+
+
+def _bins(docs: DataFrame) -> int:
+    """The number of bins: as many as the bytes of all texts ask for."""
     spark = docs.sparkSession
-    bins = bins or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = candidates(docs, bins, least).groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
-    found = _dealt(docs).join(wanted, "doc_id").select("doc_id", "text", "grams")
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bin", "sizes", "starts", "docs", "keys", "at", "bytes", *_SPAN_NAMES]
-        for group in _flushes(batches, 1):
-            seen: dict[bytes, list] = {}
-            sure: list[tuple[int, int, int, int]] = []
-            for batch in group:
-                data, offsets = flat(batch.column(1))
-                text, first, last, h = passages(data, offsets, least)
-                b, low = _bin(h, bins)
-                ok = np.zeros(len(low), bool)
-                cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                for k, lists in enumerate(batch.column(2)):
-                    own = np.frombuffer(b"".join(lists.as_py()), "<u4")
-                    s, e = cuts[k], cuts[k + 1]
-                    ok[s:e] = np.isin(low[s:e], own)
-                raw = data.tobytes()
-                edges = offsets.tolist()
-                ids = batch.column(0).to_pylist()
-                keys: dict[int, int] = {}
-                use = np.flatnonzero(ok)
-                for k, f, e, where in zip(text[use].tolist(), first[use].tolist(), last[use].tolist(), b[use].tolist(), strict=True):
-                    if k not in keys:
-                        keys[k] = _text_key(raw[edges[k] : edges[k + 1]])
-                    content = raw[f : e + least]
-                    mine = (ids[k], keys[k], f - edges[k])
-                    held = seen.get(content)
-                    if held is None or every:
-                        if held is None:
-                            seen[content] = [where, e - f + 1, [mine]]
-                        else:
-                            held[2].append(mine)
-                    elif mine[0] == held[2][0][0]:
-                        held[2].append(mine)
-                    elif mine[0] > held[2][0][0]:
-                        sure.append((*mine, len(content)))
-                    else:
-                        sure.extend((*x, len(content)) for x in held[2])
-                        held[2] = [mine]
-            if sure:
-                columns = np.array(sure, np.int64).T
-                rows = _span_rows(columns[0], columns[1], columns[2], columns[3], None)
-                yield pa.RecordBatch.from_arrays([pc.cast(pa.array(rows.column(0).to_numpy() % bins), pa.int64()), *(pa.nulls(rows.num_rows, pa.binary()) for _ in range(6)), *rows.columns], names)
-            per_bin: dict[int, list] = {}
-            for content, (where, n, occurrences) in seen.items():
-                per_bin.setdefault(where, []).append((content, n, occurrences))
-            seen.clear()
-            for where, entries in per_bin.items():
-                rows = [(c, n, o) for c, n, occ in entries for o in occ]
-                own = np.array([o for _, _, o in rows], np.int64)
-                cells = [
-                    _pack(np.array([len(c) for c, _, _ in rows], "<u2")), _pack(np.array([n for _, n, _ in rows], "<u2")),
-                    _pack(own[:, 0].copy()), _pack(own[:, 1].astype("<u4")), _pack(own[:, 2].astype("<u4")), _pack(b"".join(c for c, _, _ in rows)),
-                ]
-                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([where], pa.int64()), *(pa.array([c], pa.binary()) for c in cells), *none], names)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BIN_BYTES))
+
+
+def _met(docs: DataFrame, least: int, bins: int | None, every: bool) -> tuple[DataFrame, int]:
+    """Passages of all documents with candidates, in cells by bin, beside the spans that are sure."""
+    bins = bins or _bins(docs)
+    found = cut(candidates(docs, bins, least))
+    heavy = docs.sparkSession.sparkContext.broadcast(_heavy_grams(found))
+    wanted = found.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
+    texts = _dealt(docs).join(wanted, "doc_id").select("doc_id", "text", "size", "grams")
+    return texts.mapInArrow(_cut_out(bins, least, heavy, every), f"bin long, passages binary, {SPANS}"), bins
+
 
+def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None) -> DataFrame:
+    """(doc_id, text_key, start, length): what occurrences of maximal repeats of a document of smaller id cover, in bytes.
+
+    ``docs`` is (doc_id long, text), ids not null.
+    """
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         known = t.filter(pc.is_valid(t.column("doc_id"))).select(_SPAN_NAMES)
-        t = t.filter(pc.is_null(t.column("doc_id")))
-        rows = _meet_bin(t, least, every) if t.num_rows else None
-        return known if rows is None else pa.concat_tables([known, pa.Table.from_batches([rows])])
+        t = t.filter(pc.is_valid(t.column("passages")))
+        if not t.num_rows:
+            return known
+        met = Met(t.column("passages"), least)
+        which, offset, length, _ = met.spans(False)
+        rows = _span_rows(met.doc[which], met.key[which], met.at[which] + offset, length)
+        return pa.concat_tables([known, pa.Table.from_batches([rows])])
 
-    cut_up = found.mapInArrow(cut_out, f"bin long, sizes binary, starts binary, docs binary, keys binary, at binary, bytes binary, {SPANS}")
-    return cut_up.groupBy("bin").applyInArrow(meet, SPANS).withColumnRenamed("span_starts", "starts")
+    cut_up, _ = _met(docs, least, bins, False)
+    return cut_up.groupBy("bin").applyInArrow(meet, SPANS)
 
 
-def maximal_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(group, length, doc_id, start): every occurrence of every maximal repeat of the bins, one row each.
+def occurrences(docs: DataFrame, least: int = LEAST, bins: int | None = None) -> DataFrame:
+    """(bin, repeat, length, doc_id, text_key, start): every occurrence of every maximal repeat of the bins, one row each."""
+    schema = "bin long, repeat long, length long, doc_id long, text_key long, start long"
+
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
+        met = Met(t.column("passages"), least)
+        which, offset, length, group = met.spans(True)
+        columns = (np.full(len(which), key[0].as_py()), group, length, met.doc[which], met.key[which], met.at[which] + offset)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+    cut_up, _ = _met(docs, least, bins, True)
+    return cut_up.groupBy("bin").applyInArrow(meet, schema)
 
-    Lengths and starts are in bytes.  A repeat that is longer than a bin's
-    passages (``2 * least - GRAM`` bytes at most) appears as a chain of
-    overlapping repeats.  ``group`` is the SHA-256 of the repeated bytes.
+
+def _weight(seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit((1 << 31) - 1)) + 1
+
+
+def _chains(found: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
+    """(bin, repeat, start, length, and what tells their sets of places apart): intervals of one set of places, joined where they overlap.
+
+    Of a chain's intervals the first stands for all; ``start`` is that of the
+    first place.  Two sets are taken as one if their first places have one
+    text, and their number, weights and weighted distances from the first place
+    are equal.
+    """
+    whole = lambda x: F.sum(x.cast("decimal(38,0)"))
+    heads = found.groupBy("bin", "repeat").agg(
+        F.min(F.struct("doc_id", "text_key", "start")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("length").alias("length"),
+        *(whole(_weight(k)).alias(f"w{k}") for k in (1, 2)), *(whole(_weight(k) * F.col("start")).alias(f"s{k}") for k in (1, 2)),
+        whole(F.col("start")).alias("t"), whole(F.col("start") * F.col("start")).alias("q"),
+    )
+    at = F.col("head.start").cast("decimal(12,0)")
+    apart = [(F.col(f"s{k}") - F.col(f"w{k}") * at).cast("string").alias(f"r{k}") for k in (1, 2)]
+    apart.append((F.col("q") - at * F.col("t") * 2 + at * at * F.col("n")).cast("string").alias("r3"))
+    heads = heads.select("bin", "repeat", "length", F.col("head.start").alias("start"), F.col("head.doc_id").alias("d"), F.col("head.text_key").alias("k"), "n", F.col("w1").cast("string").alias("w1"), F.col("w2").cast("string").alias("w2"), *apart)
+    keys = ["d", "k", "n", "w1", "w2", "r1", "r2", "r3"]
+    order = W.partitionBy(*keys).orderBy("start", "length", "bin", "repeat")
+    end = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = (F.col("start") > F.coalesce(end, F.lit(-1)) - F.lit(least - 1)).cast("int")
+    heads = heads.withColumn("opens", opens).withColumn("chain", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    chains = heads.groupBy(*keys, "chain").agg(F.min(F.struct("start", "bin", "repeat")).alias("f"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"))
+    return chains.select("f.bin", F.col("f.repeat").alias("repeat"), F.col("f.start").alias("start"), "length", *keys), keys
+
+
+#: Lengths by which all places of a repeat are compared beyond its ends at once.
+STEPS = tuple(1 << k for k in range(17))
+
+
+def _gains(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(bin, repeat, left, right): bytes, of STEPS, in which all places agree next to either end; null if in none.
+
+    ``places`` is (bin, repeat, doc_id, text_key, start, end), ``rows`` the texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    packed = spans(rows, least, bins, every=True)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, 1 << 18):
+            out: tuple[list, ...] = ([], [], [], [])
+            for text, b, repeat, key, start, end in zip(batch.column(0), *(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                if _text_key(raw) != key:
+                    continue
+                for step in STEPS:
+                    for side, s, e in ((-step, start - step, start), (step, end, end + step)):
+                        inside = s >= 0 and e <= len(raw)
+                        if inside or step == 1:
+                            out[0].append(b)
+                            out[1].append(repeat)
+                            out[2].append(side)
+                            out[3].append(xxhash.xxh3_64_intdigest(raw[s:e]) - (1 << 63) if inside else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["bin", "repeat", "side", "h"])
+
+    told = rows.join(places, "doc_id").select("text", "bin", "repeat", "text_key", "start", "end").mapInArrow(compare, "bin long, repeat long, side long, h long")
+    agree = told.groupBy("bin", "repeat", "side").agg(F.count("h").alias("met"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    n = places.groupBy("bin", "repeat").agg(F.count(F.lit(1)).alias("n"))
+    agree = agree.filter("lo = hi").join(n, ["bin", "repeat"]).filter("met = n")
+    side = lambda sign: F.max(F.when(F.col("side") * sign > 0, F.abs("side")))
+    return agree.groupBy("bin", "repeat").agg(side(-1).alias("left"), side(1).alias("right"))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, starts, lengths, doc in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out = {(s, n) for s, n in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(lengths, "<u2").tolist(), strict=True)}
-                pairs = sorted(out)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([hashlib.sha256(raw[s : s + n]).hexdigest() for s, n in pairs]), pa.array([n for _, n in pairs], pa.int64()),
-                    pa.array([doc] * len(pairs), pa.int64()), pa.array([s for s, _ in pairs], pa.int64())], ["group", "length", "doc_id", "start"])
 
-    joined = rows.join(packed, "doc_id").select("text", "starts", "lengths", "doc_id")
-    return joined.mapInArrow(unpack, "group string, length long, doc_id long, start long").distinct()
+def maximal_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(repeat, length, n_places, doc_id, start): every occurrence of every maximal repeat found, one row each.
+
+    Lengths and starts are in bytes.  A maximal repeat is a string of ``least``
+    bytes or more in two places or more that neither end can be extended by a
+    byte that all its places share.  Intervals of the bins with one set of
+    places are joined where they overlap, then extended at either end as far as
+    all places agree, by steps that double, so a repeat may be as long as a
+    text.  Found is every maximal repeat whose set of places is that of some
+    string within one passage; a set that only several windows have in common,
+    each of which also occurs elsewhere, is not listed by itself (the bytes are
+    listed with the larger sets).  ``repeat`` names it.  Rows without id or text
+    are left out; texts that share an id are texts of their own, equal rows
+    count once.
+    """
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")).filter("doc_id is not null and text is not null").distinct()
+    found = cut(occurrences(rows, least, bins))
+    chains, keys = _chains(found, least)
+    chains = cut(chains.withColumns({"left": F.lit(0).cast("long"), "open": F.lit(True)}))
+    while True:  # every round at least halves what is left to agree on
+        now = chains.filter("open").select("bin", "repeat", "left", "length")
+        if now.isEmpty():
+            break
+        begin = F.col("start") - F.col("left")
+        places = found.drop("length").join(now, ["bin", "repeat"]).select("bin", "repeat", "doc_id", "text_key", begin.alias("start"), (begin + F.col("length")).alias("end"))
+        gains = _gains(rows, places).withColumnsRenamed({"left": "more_left", "right": "more_right"})
+        before, after = F.coalesce("more_left", F.lit(0)), F.coalesce("more_right", F.lit(0))
+        chains = cut(chains.join(gains, ["bin", "repeat"], "left").select("bin", "repeat", "start", (F.col("length") + before + after).alias("length"), *keys, (F.col("left") + before).alias("left"), (before + after > 0).alias("open")))
+    once = chains.groupBy(*keys, (F.col("start") - F.col("left")).alias("begin"), "length").agg(F.min(F.struct("bin", "repeat", "left")).alias("f"))
+    name = F.sha2(F.concat_ws(",", *keys, "begin", "length"), 256)
+    named = once.select("f.bin", F.col("f.repeat").alias("repeat"), "f.left", "length", F.col("n").alias("n_places"), name.alias("name"))
+    return found.drop("length").join(named, ["bin", "repeat"]).select(F.col("name").alias("repeat"), "length", "n_places", "doc_id", (F.col("start") - F.col("left")).alias("start"))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -457,47 +753,61 @@ def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None
 
     A byte goes if a string of ``least`` bytes that covers it also starts in a
     document of smaller id; strings are judged on the input.  ``kept`` is the
-    remaining bytes, or their SHA-256 in lower-case hex with ``digest``.  A
-    null text is empty; a row whose id is null is neither cut nor compared;
-    rows that share an id do not cut each other; other columns are ignored; an
-    empty table gives no rows.
+    remaining bytes, or their SHA-256 in lower-case hex with ``digest``.  Ids
+    are whole numbers (others fail in a cast).  A null text is empty; a row
+    whose id is null is neither cut nor compared; rows that share an id do not
+    cut each other; other columns are ignored; an empty table gives no rows.
     """
     # An id that needs no cast gets no alias either: the two uses of the dealt texts are then one exchange to Spark.
     plain = id_col == "doc_id" and docs.schema[id_col].dataType.typeName() == "long"
-    own = F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id")
-    rows = docs.select(own, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = F.col(id_col) if plain else quoted(id_col).cast("long").alias("doc_id")
+    rows = docs.select(own, F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     named = rows.filter("doc_id is not null")
     found = spans(named, least, bins)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "starts", "lengths")).alias("spans"))
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "length")).alias("spans"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            out: tuple[list, ...] = ([], [], [], [])
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                kept, removed, n = raw, 0, 0
-                cells = found.as_py() or []
-                own = _text_key(raw) if cells else 0
-                cells = [x for x in cells if x["text_key"] == own]
-                if cells:
-                    edge = np.zeros(len(raw) + 1, np.int32)
-                    start = np.concatenate([np.frombuffer(x["starts"], "<u4") for x in cells]).astype(np.int64)
-                    length = np.concatenate([np.frombuffer(x["lengths"], "<u2") for x in cells])
-                    np.add.at(edge, start, 1)
-                    np.subtract.at(edge, start + length, 1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed = int(gone.sum())
-                    n = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                for column, value in zip(out, (len(raw), removed, n, hashlib.sha256(kept).hexdigest() if digest else kept), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    nothing = F.lit(None).cast(per_doc.schema["spans"].dataType)
-    unnamed = rows.filter("doc_id is null").select("doc_id", "text", nothing.alias("spans"))
-    joined = _dealt(named).join(per_doc, "doc_id", "left").select("doc_id", "text", "spans").union(unnamed)
-    return joined.mapInArrow(drop, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
+        for batch in _opened(batches):
+            data, offsets = flat(batch.column(1))
+            lists = batch.column(2)
+            cells = lists.flatten()
+            sizes = np.diff(lists.offsets.to_numpy())
+            if lists.null_count:
+                sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            gone = np.zeros(len(data), bool)
+            if len(row):
+                keys = np.zeros(len(sizes), np.int64)
+                for k in np.flatnonzero(sizes).tolist():
+                    keys[k] = _text_key(data[offsets[k] : offsets[k + 1]])
+                mine = cells.field(0).to_numpy() == keys[row]
+                begin = (cells.field(1).to_numpy() + offsets[row])[mine]
+                stop = begin + cells.field(2).to_numpy()[mine]
+                edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(stop, minlength=len(data) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+            total = np.concatenate([[0], np.cumsum(gone)])
+            removed = np.diff(total[offsets])
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            inner = offsets[:-1][np.diff(offsets) > 0]
+            opens[inner] = gone[inner]
+            n_spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[offsets])
+            left, at = data[~gone] if len(row) else data, offsets - total[offsets]
+            kept = [left[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            kept = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()) if digest else pa.array([x.tobytes() for x in kept], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.int64)) for x in (np.diff(offsets), removed, n_spans)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    # Rows without an id need no Python: a second Python step in a task would be a second worker's memory.
+    raw = F.col("text").cast("binary")
+    whole = F.sha2(raw, 256) if digest else raw
+    unnamed = rows.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias("kept"))
+    joined = _dealt(named).join(per_doc, "doc_id", "left").select("doc_id", "text", "size", "spans")
+    return joined.mapInArrow(drop, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}").union(unnamed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats(table(spark, sf_dir, "documents"))
