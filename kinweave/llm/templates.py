@@ -20,8 +20,11 @@ ones if ``long_docs`` do.
 
 Everything is a count by key (leaf; leaf, position and token; template), which
 Spark adds up before it shuffles, so a leaf or template that a third of all
-lines share is no burden to a task.  Only lines of leaves with enough documents
-are looked at closely.
+lines share is no burden to a task.  Joins of lines with leaves and templates
+are salted by document; tokens meet the constants that hold more than one in
+FREQUENT of them by broadcast, so no key that is left to a shuffled join holds
+more.  Only lines of leaves with enough documents are looked
+at closely.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import slices, texts
+from kinweave.llm.rows import packed_row, quoted, unpacked_row
 from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
@@ -50,6 +54,10 @@ SHORT_DOCS = 25
 LONG_TOKENS = 50
 LONG_DOCS = 2
 SALTS = 16
+#: Fewer constants than these are broadcast: a hash and a flag, 32 bytes at most each in a join's table.
+FREQUENT = 1 << 17
+#: How a line is kept in one number beside its leaf: words of the text, number of the line, how it counts, and whether it is the text's first of its kind.
+LINE_BITS, WORD_BITS, KINDS = 31, 28, ("leaf", "short", "long")
 _DIGITS = frozenset(b"0123456789")
 VARIABLE = b"<*>"
 
@@ -64,10 +72,24 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(masked(tokens[:depth]))) - (1 << 63)
 
 
+def kinds_of(n: int, min_tokens: int, short_docs: int | None, long_docs: int | None) -> tuple[int, ...]:
+    """How a line of n tokens counts, as places in KINDS: in its leaf, and as it is if it is short or long."""
+    if n >= min_tokens:
+        return (0, 2) if long_docs and n > LONG_TOKENS else (0,)
+    return (1,) if n and short_docs else ()
+
+
+def line_hash(tokens: list[bytes], depth: int, kind: int) -> int:
+    """The leaf of a line, or the hash of the line as it is (tokens with digits of a long one as variables)."""
+    if kind == 0:
+        return leaf_of(tokens, depth)
+    return xxhash.xxh3_64_intdigest(b"long " + b" ".join(masked(tokens)) if kind == 2 else b"short " + b" ".join(tokens)) - (1 << 63)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, row): a hash of id and text, and all columns of the document."""
-    own = F.xxhash64(F.lit(4), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(own.alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = F.xxhash64(F.lit(4), quoted(id_col), F.coalesce(quoted(text_col), F.lit("")))
+    return docs.select(own.alias("rid"), packed_row(docs).alias("row"))
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,6 +107,20 @@ def _every_salt(few: DataFrame) -> DataFrame:
     return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _constants_of(each: DataFrame, constants: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """(rid, own, token, wide): the rows of ``each`` (rid, own, token) whose token is a constant.
+
+    A constant is broadcast if it counts for more than one in ``frequent`` of
+    all that constants count, so fewer than ``frequent`` are.
+    """
+    total = constants.agg(F.sum("count")).first()[0] or 0
+    often = F.col("count") * F.lit(frequent) > F.lit(total)
+    top, rest = constants.filter(often).select("token", "wide"), constants.filter(~often).select("token", "wide")
+    columns = ["rid", "own", "token", "wide"]
+    found = each.join(F.broadcast(top), "token").select(columns)
+    return found.union(each.join(F.broadcast(top.select("token")), "token", "left_anti").join(rest, "token").select(columns))
+
+
 def recurring_lines(
     docs: DataFrame,
     min_docs: int = MIN_DOCS,
@@ -100,45 +136,36 @@ def recurring_lines(
     """(rid, found): numbers of the lines of recurring templates, without each template's first document.
 
     ``rid`` is a hash of id and text; rows equal in both are one document.
-    ``found`` has an entry (head, words, lines) for each first document, by its
-    rid, with the number of its words.
+    ``found`` has an entry (head, words, lines, leaf, kind) for each first
+    document, by its rid, with the number of its words; ``leaf`` is the hash of
+    what the lines share (see ``line_hash``), by which a clash of two rids is told.
     Without ``short_docs`` or ``long_docs`` such lines are not counted as they are.
     """
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = _rows(docs, id_col, text_col).select("rid", F.col("row")[text_col].alias("text"), F.col("row")[id_col].alias("doc_id"))
+    rows = _rows(docs, id_col, text_col).select("rid", F.col("row")[f"c{text_at}"].alias("text"), F.col("row")[f"c{id_at}"].alias("doc_id"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            at, number, leaf, first, need, words = [], [], [], [], [], []
+            at, leaf, told = [], [], []
             for k, text in enumerate(texts(batch.column(1))):
                 met = set()
-                raw = text.encode("utf-8", "surrogatepass")
-                n_words = len(raw.split())
-
-                def put(n: int, x: int, least: int, k: int = k, met: set = met, n_words: int = n_words) -> None:
-                    at.append(k)
-                    number.append(n)
-                    leaf.append(x)
-                    first.append(int((least, x) not in met))
-                    need.append(least)
-                    words.append(n_words)
-                    met.add((least, x))
-
-                for n, line in enumerate(raw.split(b"\n")):
-                    tokens = line.split()
-                    if len(tokens) >= min_tokens:
-                        put(n, leaf_of(tokens, depth), 0)
-                    elif tokens and short_docs:
-                        put(n, xxhash.xxh3_64_intdigest(b"short " + b" ".join(tokens)) - (1 << 63), short_docs)
-                    if len(tokens) > LONG_TOKENS and long_docs:
-                        put(n, xxhash.xxh3_64_intdigest(b"long " + b" ".join(masked(tokens))) - (1 << 63), long_docs)
+                lines = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+                words = min(sum(map(len, lines)), (1 << WORD_BITS) - 1) << LINE_BITS
+                for n, tokens in enumerate(lines):
+                    for kind in kinds_of(len(tokens), min_tokens, short_docs, long_docs):
+                        x = line_hash(tokens, depth, kind)
+                        at.append(k)
+                        leaf.append(x)
+                        told.append(((words | n) << 3) | kind << 1 | ((kind, x) not in met))
+                        met.add((kind, x))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(number, pa.int32()), pa.array(leaf, pa.int64()), pa.array(first, pa.int32()), pa.array(need, pa.int32()), pa.array(words, pa.int32())], ["rid", "doc_id", "line", "leaf", "first", "need", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(leaf, pa.int64()), pa.array(told, pa.int64())], ["rid", "doc_id", "leaf", "told"])
 
-    # Lines that count as they are have the number of documents that they need; 0 is a line of a leaf.
-    both = cut(rows.mapInArrow(leaves, f"rid long, doc_id {id_type}, line int, leaf long, first int, need int, words int"))
-    placed = both.filter("need = 0").select("rid", "line", "leaf", "first")
+    both = cut(rows.mapInArrow(leaves, f"rid long, doc_id {id_type}, leaf long, told long"))
+    kind, first = F.expr("cast((told >> 1) & 3 as int)"), F.expr("cast(told & 1 as int)")
+    line, words = F.expr(f"cast((told >> 3) & {(1 << LINE_BITS) - 1}L as int)"), F.expr(f"cast(told >> {LINE_BITS + 3} as int)")
+    placed = both.filter(kind == 0).select("rid", line.alias("line"), "leaf", first.alias("first"))
     shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs)
     wanted = _salted(placed).join(_every_salt(shared.select("leaf")), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
 
@@ -162,35 +189,35 @@ def recurring_lines(
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), fields[id_at].take(take), pa.array(lines, pa.list_(pa.int32())), pa.array(leaf, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(words_of, pa.int32())], ["rid", "doc_id", "lines", "leaf", "tokens", "words"])
 
-    close = _dealt(docs, id_col, text_col).join(wanted, "rid").select("rid", "row", "wanted")
+    close = _dealt(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "rid").select("rid", "row", "wanted")
     # Rows that are equal in id and text are one document here.
     close = close.mapInArrow(tokens_of, f"rid long, doc_id {id_type}, lines array<int>, leaf long, tokens array<long>, words int").distinct()
-    close = close.withColumn("own", F.xxhash64("tokens"))
-    each = close.select("rid", "own", "leaf", F.posexplode("tokens").alias("place", "token"))
-    counts = each.groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_docs)
-    constants = counts.join(shared, "leaf").select("leaf", "place", "token", F.lit(1).alias("constant"), (F.col("count") >= F.lit(common) * F.col("n")).cast("int").alias("wide"))
-    hashed = F.xxhash64("place", "token")
-    template = each.join(constants, ["leaf", "place", "token"], "left").groupBy("rid", "own", "leaf").agg(
-        F.bit_xor(F.when(F.col("constant") == 1, hashed).otherwise(0)).alias("template"),
-        F.sum(F.coalesce("constant", F.lit(0))).alias("fixed"),
-        F.bit_xor(F.when(F.col("wide") == 1, hashed).otherwise(0)).alias("wide_template"),
-        F.sum(F.coalesce("wide", F.lit(0))).alias("wide_fixed"),
-        F.count(F.lit(1)).alias("size"),
-    ).filter(F.col("fixed") >= F.lit(constant) * F.col("size"))
-    wide = F.when(F.col("wide_fixed") >= F.lit(constant) * F.col("size"), F.col("wide_template")).otherwise(F.col("template"))
-    template = template.select("rid", "own", "leaf", F.explode(F.array_distinct(F.array("template", wide))).alias("template"))
-    lines = close.select("rid", "doc_id", "own", "leaf", "lines", "words").join(template, ["rid", "own", "leaf"]).select("rid", "doc_id", "leaf", "template", "lines", "words")
+    close = cut(close.withColumn("own", F.xxhash64("tokens")))
+    tokens = close.select("rid", "own", "leaf", F.posexplode("tokens").alias("place", "token"))
+    each = tokens.select("rid", "own", "leaf", F.xxhash64("leaf", "place", "token").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.first("leaf").alias("leaf")).filter(F.col("count") >= min_docs)
+    constants = cut(counts.join(shared, "leaf").select("token", "count", (F.col("count") >= F.lit(common) * F.col("n")).cast("int").alias("wide")))
+    # The token's hash has its leaf and place in it, so the constants of a line make its template.
+    fixed = _constants_of(each.select("rid", "own", "token"), constants).groupBy("rid", "own").agg(
+        F.bit_xor("token").alias("template"), F.count(F.lit(1)).alias("fixed"),
+        F.bit_xor(F.when(F.col("wide") == 1, F.col("token")).otherwise(0)).alias("wide_template"), F.sum("wide").alias("wide_fixed"),
+    )
+    enough = lambda c: F.col(c) >= F.lit(constant) * F.size("tokens")
+    lines = close.join(fixed, ["rid", "own"]).filter(enough("fixed"))
+    wide = F.when(enough("wide_fixed"), F.col("wide_template")).otherwise(F.col("template"))
+    lines = lines.select("rid", "doc_id", "leaf", "lines", "words", F.explode(F.array_distinct(F.array("template", wide))).alias("template"))
     # The order in which a template's documents come: by id, null last.
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "words")
     per_doc = lines.groupBy("leaf", "template", "rid").agg(F.min(order).alias("o"), F.flatten(F.collect_list("lines")).alias("lines"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("head")).filter(F.col("n") >= min_docs)
-    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid")).select("rid", "head", "lines")
+    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid")).select("rid", "head", "lines", "leaf", F.lit(0).alias("kind"))
     if short_docs or long_docs:
-        alike = both.filter("need > 0").select("rid", "doc_id", "line", "leaf", "first", "need", "words")
-        repeated = alike.groupBy("leaf", "need").agg(F.sum("first").alias("n"), F.min(order).alias("head")).filter("n >= need").select("leaf", "need", "head")
-        exact = _salted(alike).join(_every_salt(repeated), ["leaf", "need", "salt"]).filter(F.col("rid") != F.col("head.rid"))
-        gone = gone.union(exact.select("rid", "head", F.array("line").alias("lines")))
-    return gone.groupBy("rid").agg(F.collect_list(F.struct(F.col("head.rid").alias("head"), F.col("head.words").alias("words"), "lines")).alias("found"))
+        alike = both.filter(kind > 0).select("rid", "doc_id", line.alias("line"), "leaf", first.alias("first"), kind.alias("kind"), words.alias("words"))
+        need = F.when(F.col("kind") == 1, short_docs or 0).otherwise(long_docs or 0)
+        repeated = alike.groupBy("leaf", "kind").agg(F.sum("first").alias("n"), F.min(order).alias("head")).filter(F.col("n") >= need).select("leaf", "kind", "head")
+        exact = _salted(alike).join(_every_salt(repeated), ["leaf", "kind", "salt"]).filter(F.col("rid") != F.col("head.rid"))
+        gone = gone.union(exact.select("rid", "head", F.array("line").alias("lines"), "leaf", "kind"))
+    return gone.groupBy("rid").agg(F.collect_list(F.struct(F.col("head.rid").alias("head"), F.col("head.words").alias("words"), "lines", "leaf", "kind")).alias("found"))
 
 
 def _is_copy(found: list, words: list[int], share: float) -> bool:
@@ -210,10 +237,15 @@ def without_recurring_lines(
     copy: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    packed: bool = False,
     **how,
 ) -> DataFrame:
     """The rows of ``docs`` with their recurring lines dropped, and n_lines, n_dropped.
 
+    With ``packed`` a row stays one struct, ``row``, from which
+    ``rows.unpacked_row`` restores the columns, so that none clashes with the
+    two.
+
     A text is left as it is for near-duplicate removal if it is a copy by
     comparison with one other document: lines that are recurring and first in
     that document hold a share ``copy`` of the words of each of the two.  With
@@ -223,9 +255,17 @@ def without_recurring_lines(
     and text are treated alike; the other columns stay, whatever their names.
     """
     gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **how)
-    joined = _dealt(docs, id_col, text_col).join(gone, "rid", "left").select("row", "found")
+    joined = _dealt(docs, id_col, text_col).join(gone.hint("shuffle_hash"), "rid", "left").select("row", "found")
+
+    text_at, depth = docs.columns.index(text_col), how.get("depth", DEPTH)
+
+    def mine(found: list, all_lines: list[str]) -> list:
+        """The entries whose lines are those that were hashed."""
+        def same(x) -> bool:
+            tokens = all_lines[x["lines"][0]].encode("utf-8", "surrogatepass").split() if x["lines"][0] < len(all_lines) else []
+            return max(x["lines"]) < len(all_lines) and line_hash(tokens, depth, x["kind"]) == x["leaf"]
 
-    text_at = docs.columns.index(text_col)
+        return [x for x in found if same(x)]
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +276,7 @@ def without_recurring_lines(
                 for text, found in zip(part[text_at].to_pylist(), batch.column(1).slice(k, 512).to_pylist(), strict=True):
                     all_lines = (text or "").split("\n")
                     n_lines.append(len(all_lines))
-                    found = found or []
+                    found = mine(found or [], all_lines)
                     off = {n for x in found for n in x["lines"]}
                     if off and (whole is not None or copy is not None):
                         words = [len(x.encode("utf-8", "surrogatepass").split()) for x in all_lines]
@@ -250,7 +290,7 @@ def without_recurring_lines(
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(part, fields=list(batch.schema.field(0).type)), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "n_lines", "n_dropped"])
 
     done = joined.mapInArrow(drop, f"row {joined.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long")
-    return done.select(*(F.col("row")[c].alias(c) for c in docs.columns), "n_lines", "n_dropped")
+    return done if packed else done.select(*unpacked_row(docs), "n_lines", "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
