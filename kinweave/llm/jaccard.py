@@ -47,8 +47,8 @@ CHUNK_SHINGLES = 1 << 20
 #: (least size, largest size, words of bitmap): sets meet within these, as a bitmap tells little about sets of over twice its bits.
 #: At the borders they overlap by more than 5 / 4.
 CLASSES = [(1, 400, 4), (300, 2000, 16), (1500, None, 64)]
-#: Frequent shingles that are broadcast at most (8 bytes each), the texts of one task that must hold one, and those of all.
-FREQUENT = 1 << 18
+#: Frequent shingles that are broadcast are fewer than these (8 bytes each); the texts of one task that must hold one, and those of all.
+FREQUENT = 1 << 20
 FREQUENT_HERE = 3
 FREQUENT_DOCS = 64
 #: Bytes of text over which a task counts shingles at once.
@@ -123,9 +123,9 @@ def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def frequent_shingles(rows: DataFrame, width: int, most: int = FREQUENT) -> np.ndarray:
-    """The hashes of the shingles that most texts hold, ``most`` at most, least frequent first.
+    """The hashes of the shingles that most texts hold, least frequent first: fewer than ``most``.
 
-    Tasks tell of what FREQUENT_HERE of their own texts hold, so counts are not
+    Those that count for more than one in ``most`` of all counts.  Tasks tell of what FREQUENT_HERE of their own texts hold, so counts are not
     exact; they only decide an order.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +145,12 @@ def frequent_shingles(rows: DataFrame, width: int, most: int = FREQUENT) -> np.n
         if held:
             yield told()
 
-    counts = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_DOCS)
-    top = counts.orderBy(F.col("n").desc(), "h").limit(most)
-    found = [(r["n"], r["h"]) for r in top.toLocalIterator()]
-    return np.array([h for _, h in sorted(found)], np.int64).view(np.uint64)
+    counts = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = cut(counts.filter(F.col("n") >= FREQUENT_DOCS))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") * F.lit(most) > F.lit(total)).toArrow()
+    h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
+    return h[np.lexsort((h, n))].view(np.uint64)
 
 
 def by_frequency(own: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:

@@ -5,7 +5,6 @@ import random
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinweave.llm import perspectives, repeats, sharding, simhash, templates
 from kinweave.llm.queries import queries
@@ -70,11 +69,63 @@ def test_maximal_repeats_hold_all_occurrences(spark):
     assert longest >= 56
     groups = {}
     for r in rows:
-        groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
     assert {(1, 11), (2, 2), (3, 0)} in groups.values()
     assert all(len(g) > 1 for g in groups.values())
 
 
+def plain_maximal_repeats(rows, least):
+    """{(string, places)} of all maximal repeats: each pair of equal windows is extended to both sides."""
+    at = {}
+    for d, t in rows:
+        for i in range(len(t) - least + 1):
+            at.setdefault(t[i : i + least], []).append((d, i))
+    texts_of, found = dict(rows), set()
+    for places in at.values():
+        for k, (a, i) in enumerate(places):
+            for b, j in places[k + 1 :]:
+                x, y, n = texts_of[a], texts_of[b], least
+                if i and j and x[i - 1] == y[j - 1]:
+                    continue
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                found.add(x[i : i + n])
+    return {(u, frozenset((d, i) for d, t in rows for i in range(len(t) - len(u) + 1) if t[i : i + len(u)] == u)) for u in found}
+
+
+def test_maximal_repeats_of_any_length(spark):
+    """Repeats inside repeats, of several lengths and sets of places, against all pairs; one text repeats itself."""
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, middle, short = word(700), word(130), word(56)
+    texts = [word(40) + long + word(30), long[100:] + word(20), word(10) + long[:400] + middle + word(5), middle + word(70) + middle, word(15) + short + word(60), short + word(9) + middle[20:] + "!", word(200), long[150:320] + word(33) + short]
+    rows = [(n, t.encode()) for n, t in enumerate(texts)]
+    want = plain_maximal_repeats(rows, 50)
+    docs = spark.createDataFrame([*enumerate(texts), (20, None), (None, long)], "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in repeats.maximal_repeats(docs, bins=3).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    got = set()
+    for (_, n), places in groups.items():
+        d, i = min(places)
+        got.add((rows[d][1][i : i + n], frozenset(places)))
+    assert got == want
+    assert max(len(u) for u, _ in want) > 500 and len(want) > 5
+
+
+def test_frequent_grams_are_dealt_by_window(spark, monkeypatch):
+    """A phrase in ever different surroundings, with so low a bound that every candidate is dealt window by window."""
+    rng = random.Random(29)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = "the same forty-four bytes in all of the texts", word(90)
+    texts = [word(30) + phrase + word(40) + (passage if n % 4 == 0 else word(60)) for n in range(60)]
+    monkeypatch.setattr(repeats, "HEAVY", 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = dict(removed([(d, t.encode()) for d, t in enumerate(texts)], 50))
+    assert {r[0]: tuple(r[1:]) for r in repeats.without_repeats(docs, digest=True).collect()} == want
+    assert sum(w[1] for w in want.values()) >= 14 * 90
+
+
 def plain_fingerprint(text, shingle):
     import re
 
@@ -217,44 +268,42 @@ def test_templates(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", "Hey"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, ""), (None, 5, "zoe", "é"), (None, 5, "zoe", "é")]
-    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
-    got = {(r.conv_id, r.perspective): r for r in perspectives.perspectives(turns).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (3, "unknown"), (None, "zoe")}
-    ann = got[1, "ann"]
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", "Hey"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, ""), (3, 1, "unknown", "x"), (None, 5, "zoe", "é"), (None, 5, "zoe", "é"), (4, -600, "a\nassistant", "q"), (4, -1, "b", "r"), (4, 0, "b", "s")]
+    turns = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, perspective string, `a.b` string")
+    got = {(r.conv_id, r.perspective, r.part): r for r in perspectives.perspectives(turns).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, None, 0), (3, "unknown", 0), (3, None, 1), (3, "unknown", 1), (None, "zoe", 0), *((4, p, n) for p in ("a\nassistant", "b") for n in range(3))}
+    ann = got[1, "ann", 0]
     assert ann.text == "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi <\\|im_end|><|im_end|>\n<|im_start|>user name=bob\nHey<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     spans = [tuple(map(int, s.split("-"))) for s in ann.mask.split(",")]
     assert [ann.text[a:b] for a, b in spans] == ["Hi <\\|im_end|>", ""]
-    assert [got[1, "bob"].text[a:b] for a, b in [tuple(map(int, s.split("-"))) for s in got[1, "bob"].mask.split(",")]] == ["Hey"]
-    assert got[None, "zoe"].n_turns == 2
-    split = perspectives.perspectives(turns.filter("conv_id = 1"), block_turns=2).collect()
-    assert sorted((r.perspective, r.block, r.n_turns) for r in split) == [("ann", 0, 2), ("ann", 1, 2), ("bob", 0, 2), ("bob", 1, 2)]
+    assert [got[1, "bob", 0].text[a:b] for a, b in [tuple(map(int, s.split("-"))) for s in got[1, "bob", 0].mask.split(",")]] == ["Hey"]
+    assert got[None, "zoe", 0].n_turns == 2
+    assert (got[3, None, 0].n_own, got[3, None, 1].n_own, got[3, "unknown", 1].n_own) == (1, 0, 1)
+    assert got[4, "b", 0].text == "<|im_start|>user name=a\\nassistant\nq<|im_end|>\n" and got[4, "b", 1].start == len(got[4, "b", 0].text)
     assert perspectives.perspectives(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"part_turns": 3}, {"part_turns": 8, "part_rows": 5}])
+def test_parts_make_up_the_whole_dialogue(spark, how):
+    """Joined parts are the whole dialogue, with spans that count from its beginning; no part is long."""
+    rows = [(n % 2, n // 4, f"p{n % 3}", f"text {n}") for n in range(80)] + [(0, None, "p0", f"null {n}") for n in range(40)] + [(1, 7, "p1", "again")] * 30
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = {}
+    for r in sorted(perspectives.perspectives(turns, **how).collect(), key=lambda r: r.part):
+        found.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert len(found) == 6
+    for (conv, p), parts in found.items():
+        text = "".join(r.text for r in parts)
+        assert [r.part for r in parts] == list(range(len(parts)))
+        assert [r.start for r in parts] == [sum(len(x.text) for x in parts[:k]) for k in range(len(parts))]
+        own = [text[int(s.split("-")[0]) : int(s.split("-")[1])] for r in parts if r.mask for s in r.mask.split(",")]
+        assert sorted(own) == sorted(t for c, _, who, t in rows if c == conv and who == p)
+        assert sum(r.n_turns for r in parts) == sum(c == conv for c, *_ in rows)
+        if "part_rows" in how:
+            assert max(r.n_turns for r in parts if r.text.count("again") < 2) <= 20 and len(parts) > 8
+
+
 def test_registered_queries_run(spark):
     """Each numbered operator is registered once."""
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
-
-
-def test_pipeline(spark):
-    """The stages on the smallest tables: what each keeps follows from its operator, and nothing else goes."""
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
-    kept = corpus_pipeline.quality_rules(spark, docs, sf)
-    assert kept.columns == docs.columns
-    good = {r.doc_id for r in queries()["op8_quality_rules"](spark, sf).filter("kept").collect()}
-    assert {r.doc_id for r in kept.collect()} == good
-    cleaned = corpus_pipeline.decontaminate(spark, docs, sf)
-    hit = {r.doc_id for r in queries()["op1_decontamination"](spark, sf).filter("contaminated").collect()}
-    assert {r.doc_id for r in cleaned.collect()} == {r.doc_id for r in docs.collect()} - hit
-    assert corpus_pipeline.line_dedup(spark, docs, sf).columns == docs.columns
-    one_each = corpus_pipeline.near_dedup(spark, docs, sf)
-    assert one_each.columns == docs.columns
-    firsts = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    assert one_each.join(firsts, "doc_id", "left_anti").count() == 0
-    end = corpus_pipeline.run(spark, sf)
-    assert 0 < end.count() <= len(good) and end.filter("not round_trip").count() == 0

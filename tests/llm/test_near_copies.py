@@ -6,33 +6,12 @@ from fractions import Fraction
 import numpy as np
 
 from kinweave.llm import jaccard
+from tests.llm.plain import plain_classes
 
 RNG = random.Random(3)
 WORDS = [f"w{n}" for n in range(4000)]
 
 
-def plain_shingles(text):
-    w = (text or "").lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def plain_classes(rows):
-    sets = {d: plain_shingles(t) for d, t in rows}
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in sets}
-
-
 def edited(words, n):
     """The words with n of them replaced, at places of their own: similarity falls from 1 to about 0.4."""
     out = list(words)
@@ -70,6 +49,21 @@ def test_large_buckets_and_components_are_dealt_whole(spark):
     assert got == plain_classes(rows)
 
 
+def test_which_shingles_are_frequent_changes_nothing(spark, monkeypatch):
+    """With every repeated shingle counted as frequent the classes are the same, and a passage of all texts makes no bucket."""
+    passage = " ".join(RNG.choice(WORDS) for _ in range(60))
+    rows = near_rows()
+    rows += [(1000 + n, passage + " " + " ".join(RNG.choice(WORDS) for _ in range(60))) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "FREQUENT_HERE", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT_DOCS", 2)
+    frequent = jaccard.frequent_shingles(docs.select("text"), 5)
+    assert len(frequent) > 56 and len(set(frequent.tolist())) == len(frequent)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == plain_classes(rows)
+    own = np.sort(np.concatenate([frequent[:5], np.arange(9, dtype=np.uint64)]))
+    assert jaccard.by_frequency(own, frequent, np.argsort(frequent)).tolist() == [*range(9), *frequent[:5].tolist()]
+
+
 def test_prefixes_and_bounds_lose_no_pair():
     """Pairs of similarity 0.8 or more meet under a prefix shingle and pass the bounds; 120 keys of 18 bits lost 0.11 at their bound."""
     rng = np.random.default_rng(4)

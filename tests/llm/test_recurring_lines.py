@@ -52,3 +52,12 @@ def test_mostly_recurring_texts_are_cut_unless_they_copy_one_document(spark):
     # Documents 1 to 7 have 13 of their 17 words in common with document 0.
     assert all(len(docs[k].split()) == 17 for k in range(8))
     assert dropped(spark, rows, copy=templates.COPY, **how) == want | {20: 0, 21: 0, 22: 0}
+
+
+def test_frequent_and_other_constants_are_all_found(spark):
+    """Constants that are broadcast and those that are not, the bound lying among equal counts."""
+    each = spark.createDataFrame([(r, r, t) for r in range(40) for t in (r % 2, 10 + r % 4, 100 + r)], "rid long, own long, token long")
+    constants = spark.createDataFrame([(0, 20, 1), (1, 20, 1), *((10 + k, 10, 0) for k in range(4))], "token long, count long, wide int")
+    want = sorted((r, r, t, w) for r in range(40) for t, w in ((r % 2, 1), (10 + r % 4, 0)))
+    for frequent in (1, 2, 3, 4, 6, 7, 100):
+        assert sorted(map(tuple, templates._constants_of(each, constants, frequent).collect())) == want

@@ -1,6 +1,7 @@
 """Operators that look at each text by itself, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -44,11 +45,27 @@ def test_token_counts(spark, docs):
     assert token_counts.token_counts(docs, path).count() == docs.count()
 
 
+class Tokens:
+    def __init__(self, tokens):
+        self.tokens = tokens
+
+    def near(self, low, high, text):
+        return [x for x in self.tokens if x[1] > low and x[0] < high]
+
+
 def test_splice_needs_a_common_boundary():
-    assert token_counts.splice("aaaa", [(0, 4, 1)], [(0, 4, 1)], 0, 4) is None
+    assert token_counts.splice("aaaa", Tokens([(0, 4, 1)]), Tokens([(0, 4, 1)]), 0, 4) is None
     tokens = [(0, 1, 5), (2, 3, 5), (4, 5, 5), (6, 7, 5)]
-    assert token_counts.splice("a a a a ", tokens, tokens, 0, 8) == 3
-    assert token_counts.splice("a a a a ", tokens, [(0, 1, 6), (2, 3, 6), (4, 5, 6), (6, 7, 6)], 0, 8) is None
+    assert token_counts.splice("a a a a ", Tokens(tokens), Tokens(tokens), 0, 8) == 3
+    assert token_counts.splice("a a a a ", Tokens(tokens), Tokens([(0, 1, 6), (2, 3, 6), (4, 5, 6), (6, 7, 6)]), 0, 8) is None
+
+
+def test_tokenizers_that_keep_white_space_are_not_counted_by_words(spark, docs):
+    words, whole = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.drops_space(words) and not token_counts.drops_space(whole)
+    t = token_counts.tokenizer(whole)
+    got = by_id(token_counts.token_counts(docs, whole, 400, 16))
+    assert {n: got[n]["n_tokens"] for n in range(len(TEXTS))} == {n: len(t.encode(x or "", add_special_tokens=False)) for n, x in enumerate(TEXTS)}
 
 
 def test_bpe(spark, docs):
@@ -95,7 +112,7 @@ def test_quality(spark, docs):
             assert r["n_repeat_words"] == len({i + k for i, w in enumerate(windows) if w in twice for k in range(8)})
         assert bool(r["failed"] & quality.BIT["few_words"]) == (len(words) < 20)
     assert quality.ledger(docs.limit(0)).count() == 0
-    kept = quality.ledger(docs, keep=("text", "n_words", "ids"))
+    kept = quality.ledger(docs, carry=True)
     assert kept.filter("doc_id = 8").count() == 1
 
 
@@ -134,12 +151,28 @@ def test_decontamination(spark):
                         found.add("null" if item is None else str(item))
         want[n] = (len(w), len(hit), sorted(found))
     for block in (1 << 20, 60):
+        plan = decontamination.contamination(docs, bench, block_bytes=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1  # however many blocks there are
         got = by_id(decontamination.contamination(docs, bench, block_bytes=block).withColumn("n_hit", decontamination.hit_words()))
         assert {n: (r["n_words"], r["n_hit"], r["items"]) for n, r in got.items()} == want
     assert decontamination.contamination(docs, bench.limit(0)).filter(F.size("spans") > 0).count() == 0
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_long_texts_and_pieces_of_items(spark):
+    """An item of several pieces, all of whose windows are found, at both ends of a long text; runs of other characters don't matter."""
+    words = [f"w{n}" for n in range(3000)]
+    item = " ".join(words)
+    docs = spark.createDataFrame([(1, "~" * 500_000 + item[:60] + " x " * 400_000 + item), (2, " ".join(words[1020:1040])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    bench = spark.createDataFrame([("long", item)], "item_id string, text string")
+    for block in (1 << 20, 4000):
+        got = by_id(decontamination.contamination(docs, bench, block_bytes=block))
+        first = len(item[:60].split())
+        assert got[1]["n_words"] == first + 400_000 + 3000
+        assert [tuple(x) for x in got[1]["spans"]] == [(0, first - 1), (first + 400_000, first + 403_000)] or [tuple(x) for x in got[1]["spans"]] == [(0, first), (first + 400_000, first + 403_000)]
+        assert [tuple(x) for x in got[2]["spans"]] == [(0, 20)] and got[2]["items"] == ["long"] and got[3]["spans"] == []
+
+
 def test_language(spark):
     rng = random.Random(2)
     stems = {"en": "the of and ing tion er", "de": "der die und ung keit sch", "fr": "le la des eau ment tre"}
@@ -166,6 +199,52 @@ def test_language_counts_are_whole(spark):
     assert (one == many).all()
 
 
-def test_language_model_is_bounded():
-    for n in (1, 4, 200, 5000):
-        assert 4 * n * (1 << language.hash_bits(n)) <= language.MODEL_BYTES or language.hash_bits(n) == 4
+def plain_grams(text):
+    """The n-grams of a text, from its letters and single spaces, as (n, codes)."""
+    line = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    line = re.sub(" +", " ", line)
+    grams = [g for n in (1, 2, 3) for g in (line[i : i + n] for i in range(len(line) - n + 1)) if g.strip() and not (n == 3 and g[1] == " ")]
+    return grams, line.strip() != ""
+
+
+def plain_bucket(gram, bits):
+    h = len(gram)
+    for k, c in enumerate(gram):
+        h = (h ^ ord(c)) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[k] & 0xFFFFFFFF
+        h ^= h >> 15
+    return h >> (32 - bits)
+
+
+def test_language_against_plain_naive_bayes(spark):
+    """Predictions and scores are those of naive Bayes written out text by text."""
+    rng = random.Random(21)
+    letters = {"a": "abcdeé", "b": "cdefgß", "c": "efghi日"}
+    make = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "!", " 7", "\0", "İ"])
+    rows = [(n, make("abc"[n % 3]), "abc"[n % 3]) for n in range(60)] + [(60, "", "a"), (61, None, "b"), (62, "42", "c"), (63, "\0\0", None), (64, "x" * 5000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    names, matrix = language.train(docs.filter("doc_id % 2 = 0 or doc_id > 60"))
+    counts, total, n_docs = {}, {}, {}
+    for d, t, lang in rows:
+        if (d % 2 == 0 or d > 60) and t is not None and lang is not None:
+            n_docs[lang] = n_docs.get(lang, 0) + 1
+            for g in plain_grams(t)[0]:
+                k = lang, plain_bucket(g, language.BITS)
+                counts[k] = counts.get(k, 0) + 1
+                total[lang] = total.get(lang, 0) + 1
+    got = by_id(language.predict(docs, names, matrix))
+    for d, t, _ in rows:
+        grams, has = plain_grams(t)
+        if not has:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0)
+            continue
+        logs = {x: math.log(n_docs[x] / sum(n_docs.values())) + sum(math.log((counts.get((x, plain_bucket(g, language.BITS)), 0) + language.ALPHA) / (total[x] + language.ALPHA * 2**language.BITS)) for g in grams) for x in names}
+        best = max(names, key=logs.get)
+        assert got[d]["lang_pred"] == best
+        assert got[d]["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
+def test_language_model_is_bounded(spark):
+    docs = spark.createDataFrame([(f"text {n}", f"l{n}") for n in range(9)], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.train(docs, most=8)
+    assert len(language.train(docs, most=9)[0]) == 9
