@@ -17,7 +17,7 @@ def test_entry(spark):
 def test_generated_code_gives_the_same(spark):
     """The other tests interpret expressions, which starts faster; here the code that production generates runs."""
     known = __spark_entry__.queries()
-    names, sf = ["golden_profiles", "validate", "scan_skills", "resume_sources", "linkedin_export"], "/root/testdata/sf0.001"
+    names, sf = ["golden_profiles", "scan_skills", "linkedin_export"], "/root/testdata/sf0.001"
     plain = {n: sorted(map(repr, known[n](spark, sf).collect())) for n in names}
     held = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
     try:
