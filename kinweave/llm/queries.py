@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontamination, language, perspectives, quality, repeats, sharding, simhash, templates, token_counts
+from kinweave.llm import bpe, decontamination, language, ngram_join, perspectives, quality, repair, repeats, sharding, simhash, templates, token_counts, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_byte_bpe": bpe.query,
         "op10_language_id": language.query,
+        "op11_ngram_jaccard": ngram_join.query,
+        "op12_conversation_repair": repair.query,
+        "op13_whitening": whitening.query,
         "maximal_repeats": repeats.repeats_query,
         "quality_ablation": quality.ablation_query,
     }
@@ -27,5 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.SQL,
         "op5_chat_perspectives": perspectives.SQL,
         "op8_quality_rules": quality.QUERY_SQL,
+        "op11_ngram_jaccard": ngram_join.SQL,
+        "op12_conversation_repair": repair.SQL,
         "quality_ablation": quality.ABLATION_SQL,
     }
