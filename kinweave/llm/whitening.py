@@ -30,6 +30,8 @@ LARGEST = 1 << 22
 MOST_DIMENSIONS = 4096
 #: Numbers of a batch that are worked on at once.
 STEP = 1 << 20
+#: Columns of a task's matrix that are one row of what it tells.
+BLOCK = 64
 
 
 def pivoted_cholesky(a: np.ndarray) -> np.ndarray:
@@ -117,26 +119,31 @@ def _pieces(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatc
             yield batch.slice(k, step)
 
 
-def _sums(parts: DataFrame) -> np.ndarray:
-    """The sums of (i, values) by i over all tasks, as a matrix of a row per i."""
-    added = parts.select("i", F.posexplode("values").alias("j", "value")).groupBy("i", "j").agg(F.sum("value").alias("value")).toArrow()
-    i, j = added.column("i").to_numpy(), added.column("j").to_numpy()
-    out = np.zeros((i.max() + 1, j.max() + 1), added.column("value").to_numpy().dtype)
-    out[i, j] = added.column("value").to_numpy()
-    return out
+def _sums(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sums of (i, block, values) over all tasks, as a matrix."""
+    added = parts.groupBy("i", "block").agg(*(F.sum(F.get("values", F.lit(j))).alias(f"v{j}") for j in range(BLOCK))).toArrow()
+    out = None
+    for j in range(BLOCK):
+        values = added.column(f"v{j}").fill_null(0).to_numpy()
+        if out is None:
+            out = np.zeros((shape[0], -(-shape[1] // BLOCK), BLOCK), values.dtype)
+        out[added.column("i").to_numpy(), added.column("block").to_numpy(), j] = values
+    return out.reshape(shape[0], -1)[:, : shape[1]]
 
 
-def _task_sums(rows: DataFrame, d: int, kind: str, of, start: np.ndarray) -> DataFrame:
-    """(i, values) of each task: the rows of ``start`` plus what ``of`` gives for all its vectors (whole numbers, as rows of a matrix)."""
+def _task_sums(rows: DataFrame, d: int, kind: str, of, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all vectors of the matrix that ``of`` gives for some (whole numbers, as rows); each task tells one matrix, in blocks of columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in _pieces(batches, d):
             one = of(_matrix(batch.column(0), d))
-            total = start + one if total is None else total + one
+            total = one if total is None else total + one
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total))], ["i", "values"])
+            for k in range(0, shape[1], BLOCK):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(shape[0], dtype=np.int32)), pa.array(np.full(shape[0], k // BLOCK, np.int32)), pa.array(list(total[:, k : k + BLOCK]))], ["i", "block", "values"])
 
-    return rows.select("x").mapInArrow(run, f"i int, values array<{kind}>")
+    return _sums(rows.select("x").mapInArrow(run, f"i int, block int, values array<{kind}>"), shape)
 
 
 def whitened(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -170,7 +177,7 @@ def whitened(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", ve
     fit = cut(rows.select("x").distinct())
 
     first = lambda x: np.concatenate([x.sum(0), [len(x)]])[None]
-    total = _sums(_task_sums(fit, d, "long", first, np.zeros((1, d + 1), np.int64)))[0]
+    total = _task_sums(fit, d, "long", first, (1, d + 1))[0]
     sums, n = total[:d], int(total[d])
     mean = sums / n
     centred = lambda x: x - mean
@@ -179,20 +186,20 @@ def whitened(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", ve
         z = centred(x)
         return z.T @ z
 
-    values, vectors_of = principal_components(_sums(_task_sums(fit, d, "double", scatter, np.zeros((d, d)))), n)
+    values, vectors_of = principal_components(_task_sums(fit, d, "double", scatter, (d, d)), n)
     k = min(components, len(values))
     if not k:
         return nothing
     scaled = vectors_of[:, :k] / np.sqrt(values[:k])
 
     # The covariance of what comes out, from the data again: first its mean (zero but for rounding), then the centred products.
-    drift = _sums(_task_sums(fit, d, "double", lambda x: (centred(x) @ scaled).sum(0)[None], np.zeros((1, k))))[0] / n
+    drift = _task_sums(fit, d, "double", lambda x: (centred(x) @ scaled).sum(0)[None], (1, k))[0] / n
 
     def products(x: np.ndarray) -> np.ndarray:
         w = centred(x) @ scaled - drift
         return w.T @ w
 
-    error = float(np.abs(_sums(_task_sums(fit, d, "double", products, np.zeros((k, k)))) / n - np.eye(k)).max())
+    error = float(np.abs(_task_sums(fit, d, "double", products, (k, k)) / n - np.eye(k)).max())
     explained = values[:k] / values.sum()
     exact = [int(s) for s in sums]
     names, schema = nothing.columns, nothing.schema
