@@ -33,6 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,10 @@ SMALL = 24
 #: Rounds of likely links before the last, complete one; they end early if a round refutes fewer pairs than these.
 ROUNDS = 4
 FEW = 1000
+#: Shingles that a task keeps of texts that it has compared.
+HELD = 1 << 20
+#: Low bits of a key, which name its class of sizes.
+CLASS_MASK = 31
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -84,7 +89,7 @@ class SizeClass:
         if not self.groups:
             kind = np.ones(n, np.int8)
         if (kind[:need] == 1).all():
-            return _mixed(np.full(need, self.number, np.uint64), own[:need])
+            return self._marked(_mixed(np.full(need, self.number, np.uint64), own[:need]))
         group = np.where(kind == 1, 0, (own % np.uint64(max(1, self.groups))).astype(np.int64) * 4 + kind)
         order = np.argsort(group, kind="stable")
         starts = run_starts(group[order])
@@ -103,7 +108,11 @@ class SizeClass:
                 for tokens in np.sort(np.array(list(combinations(own[part].tolist(), k)), np.uint64), axis=1).T:
                     h = _mixed(h, tokens)
                 out.append(h)
-        return np.unique(np.concatenate(out))
+        return np.unique(self._marked(np.concatenate(out)))
+
+    def _marked(self, keys: np.ndarray) -> np.ndarray:
+        """Keys that end in the number of this class."""
+        return (keys & ~np.uint64(CLASS_MASK)) | np.uint64(self.number)
 
     def bitmap(self, own: np.ndarray) -> bytes:
         bits = np.bincount((own % np.uint64(64 * self.words)).astype(np.int64), minlength=64 * self.words) & 1
@@ -299,32 +308,77 @@ def _meet(classes: dict[int, SizeClass], complete: bool):
 
 
 def _shared_keys(keyed: DataFrame, chunk: int) -> DataFrame:
-    """(part, rep, cls, side): the rows of keys that several have; a key of many rows is dealt into chunks and pairs of chunks."""
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    met = keyed.join(counts, "key").withColumn("chunks", F.ceil(F.col("rows") / chunk).cast("int"))
+    """(part, rep, cls, side): the documents of keys (key, rep) that several have.
+
+    Keys with the same documents are one bucket; that they are the same is told
+    by their number and the sum of their hashes, and at worst two buckets meet in
+    one.  A bucket of many is dealt into chunks and pairs of chunks.
+    """
+    told = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("those")).filter("rows > 1")
+    cls = F.col("key").bitwiseAND(F.lit(CLASS_MASK))
+    met = keyed.join(told, "key").select(F.xxhash64("rows", "those", cls).alias("bucket"), "rep", cls.cast("int").alias("cls"), "rows").distinct()
+    met = met.withColumn("chunks", F.ceil(F.col("rows") / chunk).cast("int"))
     met = met.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     met = met.withColumn("j", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).cast("int")
-    part = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+    part = F.when(F.col("chunks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")))
     return met.select(part.alias("part"), "rep", "cls", side.alias("side"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, near) of each pair; ``sets`` is (rep, shingles)."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, own, body): the compressed texts of the sets (rep, own); of a repeated row what a task has of it is one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, last = zstandard.ZstdCompressor(level=3), None
+        for batch in slices(batches, 1):
+            keep, bodies = [], []
+            for rep, text, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                now = (rep, own, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")))
+                keep.append(now != last)
+                if now != last:
+                    bodies.append(press.compress((text or "").encode("utf-8", "surrogatepass")))
+                last = now
+            left = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([left.column(0), left.column(2), pa.array(bodies, pa.binary())], ["rep", "own", "body"])
+
+    return texts.join(wanted, "rep").select("rep", "text", "own").mapInArrow(run, "rep long, own binary, body binary")
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(a, b, near) of the pairs: whether two of their sets are that similar; ``bodies`` is (rep, own, body)."""
+    left = bodies.select(F.col("rep").alias("a"), F.struct("own", "body").alias("x"))
+    right = bodies.select(F.col("rep").alias("b"), F.struct("own", "body").alias("y"))
     p, q = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        unpress = zstandard.ZstdDecompressor()
+        sets: dict[tuple, np.ndarray | None] = {}
+        held = 0
+
+        def set_of(rep: int, own: bytes, body: bytes) -> np.ndarray | None:
+            """The shingles, if the text is one of the set that is asked for."""
+            nonlocal held
+            key = (rep, own, len(body))
+            if key not in sets:
+                found = sets_of(pa.array([unpress.decompress(body)], pa.binary()), width)[0]
+                held += len(found)
+                sets[key] = found if xxhash.xxh3_128_digest(found) == own else None
+            return sets[key]
+
+        for batch in batches:
             near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b, x_own, x_body, y_own, y_body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                x, y = set_of(a, x_own, x_body), set_of(b, y_own, y_body)
+                if x is None or y is None:
+                    near.append(False)
+                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(common * q >= p * (len(x) + len(y) - common))
+                if held > HELD:
+                    sets, held = {}, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x.own", "x.body", F.col("y.own").alias("y_own"), F.col("y.body").alias("y_body"))
+    return met.mapInArrow(run, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near"))
 
 
 def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -378,12 +432,12 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
     named = cut(named.groupBy("rep", "own").agg(F.first("n").alias("n"), F.first("found").alias("found")).select("rep", "own", "n", F.explode("found").alias("f")).select("rep", "own", "n", "f.*"))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 20):
-            keys = batch.column(2).to_pylist()
+        for batch in slices(batches, 1, 1 << 20):
+            keys = batch.column(1).to_pylist()
             take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), "<i8")), batch.column(0).take(take), batch.column(1).take(take)], ["key", "rep", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), "<i8")), batch.column(0).take(take)], ["key", "rep"])
 
-    dealt = cut(_shared_keys(named.select("rep", "cls", "keys").mapInArrow(key, "key long, rep long, cls int"), chunk))
+    dealt = cut(_shared_keys(named.select("rep", "keys").mapInArrow(key, "key long, rep long"), chunk))
     cells = cut(named.select("rep", "cls", "n", "cell").join(dealt.select("rep", "cls").distinct(), ["rep", "cls"], "left_semi"))
 
     def candidates(labels: DataFrame | None, complete: bool) -> DataFrame:
@@ -391,19 +445,12 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
         met = dealt.join(own.select("rep", "cls", "n", "cell", "label"), ["rep", "cls"]).select("part", "rep", "cls", "n", "cell", "label", "side")
         return met.repartition("part").sortWithinPartitions("part").mapInArrow(_meet(classes, complete), "a long, b long").distinct()
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            own = sets_of(batch.column(1), shingle)
-            same = pa.array([xxhash.xxh3_128_digest(s) == x for s, x in zip(own, batch.column(2).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], ["rep", "shingles"]).filter(same)
-
     texts = rows.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        own = named.select("rep", "own").distinct().join(wanted, "rep", "left_semi")
-        sets = texts.join(own, "rep").select("rep", "text", "own").distinct().mapInArrow(packed, "rep long, shingles binary")
-        return cut(verified(pairs, cut(sets), t))
+        reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        wanted = named.select("rep", "own").distinct().join(reps, "rep", "left_semi")
+        return cut(verified(pairs, cut(_bodies(texts, wanted)), shingle, t))
 
     labels = links = checked = None
     complete, k = False, 0
