@@ -56,7 +56,7 @@ CHUNK = 2048
 SMALL = 24
 #: Rounds of likely links before the last, complete one; they end early if a round refutes fewer pairs than these.
 ROUNDS = 4
-FEW = 1000
+FEW = 1 << 16
 #: Shingles that a task keeps of texts that it has compared.
 HELD = 1 << 20
 #: Low bits of a key, which name its class of sizes.
@@ -452,7 +452,7 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
         wanted = named.select("rep", "own").distinct().join(reps, "rep", "left_semi")
         return cut(verified(pairs, cut(_bodies(texts, wanted)), shingle, t))
 
-    labels = links = checked = None
+    labels = checked = None
     complete, k = False, 0
     while True:
         pairs = candidates(labels, complete)
@@ -463,8 +463,7 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
             checked = told.select("a", "b") if checked is None else checked.union(told.select("a", "b"))
             if n.get(True):
                 new = told.filter("near").select("a", "b")
-                links = new if links is None else links.union(new)
-                labels = connected_components(links)
+                labels = connected_components(new if labels is None else new.union(labels))
         else:
             n = {}
         if complete:
@@ -477,7 +476,7 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
     both = of_rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
     if not both.isEmpty():
         more = of_rows.join(both, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
-        labels = connected_components(more if links is None else links.union(more))
+        labels = connected_components(more if labels is None else more.union(labels))
     if labels is None:
         return of_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     found = of_rows.join(labels, F.col("rep") == F.col("vertex"), "left")
