@@ -55,8 +55,8 @@ CHUNK = 2048
 #: Rows of a bucket that are compared by shifting all of a batch at once.
 SMALL = 24
 #: Rounds of likely links before the last, complete one; they end early if a round refutes fewer pairs than these.
-ROUNDS = 4
-FEW = 1 << 16
+ROUNDS = 2
+FEW = 1000
 #: Shingles that a task keeps of texts that it has compared.
 HELD = 1 << 20
 #: Low bits of a key, which name its class of sizes.
@@ -449,18 +449,16 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
 
     def verify(pairs: DataFrame) -> DataFrame:
         reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        wanted = named.select("rep", "own").distinct().join(reps, "rep", "left_semi")
+        wanted = least.join(reps, "rep", "left_semi")
         return cut(verified(pairs, cut(_bodies(texts, wanted)), shingle, t))
 
-    labels = checked = None
+    labels = None
     complete, k = False, 0
     while True:
-        pairs = candidates(labels, complete)
-        pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        pairs = cut(candidates(labels, complete))
         if not pairs.isEmpty():
             told = verify(pairs)
             n = {r["near"]: r["count"] for r in told.groupBy("near").count().collect()}
-            checked = told.select("a", "b") if checked is None else checked.union(told.select("a", "b"))
             if n.get(True):
                 new = told.filter("near").select("a", "b")
                 labels = connected_components(new if labels is None else new.union(labels))
