@@ -1,32 +1,41 @@
-"""A folder of mixed files as raw records, with a report of what each gave."""
+"""A folder of mixed files as raw records, with a report of what each gave.
+
+Files are found and told apart in tables: the listing, the source of each file
+and its place in the order are columns, and readers leave files out by
+conditions on their names, so no list of files is in a plan or on the driver.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave import schemas
-from kinweave.functions.text import col
-from kinweave.sources.csv_records import csv_records, read_csv
-from kinweave.sources.json_records import ats_records, linkedin_records, url_records
+from kinweave.functions.text import BLANK, col
+from kinweave.operators.positions import with_positions
+from kinweave.plans.lineage import cut
+from kinweave.sources.blocks import csv_rows, file_uri, json_objects, pieces
+from kinweave.sources.csv_records import csv_field_records, header_places
+from kinweave.sources.json_records import PROFILE_URL, ats_records, linkedin_records, url_records
+from kinweave.sources.profile_tables import profile_records
 from kinweave.sources.text_records import note_records, resume_records
 
 #: Room for the records of one file in ``rec_seq``.
 FILE_ROOM = 1 << 32
-
+#: Characters of a file that tell its source where its name doesn't.
+HEAD = 2000
 
 # The source of each extension.
 EXTENSIONS = {".csv": "recruiter_csv", ".json": "ats_json", ".pdf": "resume", ".docx": "resume", ".md": "resume"}
+#: Those that hold no plain text; no codec for them is built.
+NO_CODEC = (".pdf", ".docx")
 
 
-def kind_by_name(path: str) -> str | None:
-    """The source that a file's extension tells; null if it tells none."""
-    return next((kind for end, kind in EXTENSIONS.items() if path.lower().endswith(end)), None)
+def _ends(name: str | Column, ends: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.lower(col(name)).endswith(e) for e in ends))
 
 
 def kind_by_text(text: str | Column) -> Column:
@@ -47,143 +56,148 @@ def source_of(path: str | Column, text: str | Column) -> Column:
     return F.coalesce(*by_name, kind_by_text(text))
 
 
-@dataclass(frozen=True)
-class SourceFile:
-    """A file of a path that was asked for: its rank among all files, and how Spark names it."""
-
-    asked: str
-    rank: int
-    place: str
-    uri: str
-
-
-#: A URI without a host may have one slash or three.
-_NO_HOST = r"^([^:/]+):///"
-
-
-def _one_slash(uri: str) -> str:
-    return re.sub(_NO_HOST, r"\1:/", uri)
-
-
-def _uri() -> Column:
-    """The URI of the file that a row comes from."""
-    return F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/")
-
-
-def found_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(path, URI) of the file at ``path``, or of all files below it, by name; hidden ones are left out."""
+def _place(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """(place to read, URI) of a path; null if nothing is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(place):
-        return []
-    if system.getFileStatus(place).isFile():
-        whole = place.makeQualified(system.getUri(), system.getWorkingDirectory())
-        return [(whole.toString(), _one_slash(whole.toUri().toString()))]
-    base, files, every = system.getFileStatus(place).getPath(), [], system.listFiles(place, True)
-    while every.hasNext():
-        one = every.next().getPath()
-        inner = one.toString()[len(base.toString()) :]
-        if not any(part.startswith(("_", ".")) for part in inner.split("/") if part):
-            files.append((one.toString(), _one_slash(one.toUri().toString())))
-    return sorted(files)
+        return None
+    whole = place.makeQualified(system.getUri(), system.getWorkingDirectory())
+    as_it_is = re.sub(r"([\\{}\[\]*?])", r"\\\1", whole.toString())  # nothing in it is taken as a pattern
+    return as_it_is, re.sub(r"^([^:/]+):///", r"\1:/", whole.toUri().toString()).rstrip("/")
+
 
+def found_files(spark: SparkSession, asked: DataFrame, places: list[str]) -> DataFrame:
+    """(n, path, given, uri) of the files at and below what was asked for; hidden files are left out.
 
-def source_files(spark: SparkSession, paths: list[str]) -> list[SourceFile]:
-    """The files of all paths, in their order; a path where nothing is has none."""
-    every = [(asked, *one) for asked in paths for one in found_files(spark, asked)]
-    return [SourceFile(asked, rank, place, uri) for rank, (asked, place, uri) in enumerate(every)]
+    ``asked`` is (n, path, given, uri); a file is found under each path that leads to it.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places).select(file_uri().alias("file")).distinct()
+    steps = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    return every.select("file", F.explode(above).alias("uri")).join(asked, "uri").select("n", "path", "given", F.col("file").alias("uri"))
 
 
-def _as_it_is(place: str) -> str:
-    """A path in which nothing is taken as a pattern."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", place)
+def _whole(spark: SparkSession, places: list[str], where: Column | None = None) -> DataFrame:
+    """(uri, value): whole files as texts, without a byte-order mark.  Compressed files are read as what they hold."""
+    texts = spark.read.option("recursiveFileLookup", True).text(places, wholetext=True)
+    texts = texts if where is None else texts.filter(where)
+    return texts.select(file_uri().alias("uri"), F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
 
 
-def _ranks(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    return spark.createDataFrame([(f.asked, f.rank, f.uri) for f in files], "path string, file_rank int, uri string")
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct("block", "id", "piece")))
+    return lines.groupBy("uri").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "\n").alias("value"))
 
 
-def read_files(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    """(path, file_rank, uri, value): whole files as texts, without a byte-order mark.
+def kinds_by_text(lines: DataFrame) -> DataFrame:
+    """(uri, kind) of files by what they begin with; ``lines`` is as ``pieces`` gives it."""
+    lines = lines.filter("block = 0")
+    first = lines.groupBy("uri").agg(F.min("id").alias("first"))
+    heads = lines.join(first, "uri").filter(F.col("id") < F.col("first") + HEAD).withColumn("piece", F.left("piece", F.lit(HEAD)))
+    return _joined_lines(heads).select("uri", kind_by_text("value").alias("kind"))
 
-    Compressed files are read as what they hold.  A file is one row, so it must
-    fit a task; large tables belong in ``read_csv`` or JSON Lines.
-    """
-    if not files:
-        return spark.createDataFrame([], "path string, file_rank int, uri string, value string")
-    places = list(dict.fromkeys(_as_it_is(f.place) for f in files))
-    texts = spark.read.text(places, wholetext=True).select(_uri().alias("uri"), F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
-    return texts.join(_ranks(spark, files), "uri").select("path", "file_rank", "uri", "value")
-
-
-def read_tables(spark: SparkSession, files: list[SourceFile]) -> list[DataFrame]:
-    """CSV files as tables of texts with ``file_rank`` and ``_row``, the place of a row in its file: one table per header line."""
-    heads = read_files(spark, files).select("file_rank", F.substring_index("value", "\n", 1).alias("head")).collect()
-    groups, by_rank = {}, {f.rank: f for f in files}
-    for r in sorted(heads, key=lambda r: r["file_rank"]):
-        groups.setdefault(r["head"].rstrip("\r"), []).append(by_rank[r["file_rank"]])
-    out = []
-    for group in groups.values():
-        rows = read_csv(spark, list(dict.fromkeys(_as_it_is(f.place) for f in group)))
-        rows = rows.withColumns({"_uri": _uri(), "_id": F.monotonically_increasing_id()})
-        rows = rows.withColumn("_row", F.row_number().over(W.partitionBy("_uri").orderBy("_id")) - 1)
-        out.append(rows.join(_ranks(spark, group).select("file_rank", F.col("uri").alias("_uri")), "_uri"))
-    return out
-
-
-def load(spark: SparkSession, paths: list[str] = (), notes: list[str] = (), profiles: list[str] = (), profile_urls: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+
+def load(
+    spark: SparkSession, paths: list[str] = (), notes: list[str] = (), profiles: list[str] = (), profile_urls: list[str] = (),
+    users: DataFrame | None = None, repos: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(raw records, report): all sources in their order, and (path, source, n_records, warning) per source.
 
-    A path is a file or a folder of files.  The order of records is that of the
-    arguments: files, notes, profile exports, profile links.  What is absent or
-    gives nothing is warned of in the report and fails nothing.  Files of one
-    kind (CSV: of one header) are read together.
+    A path is a file or a folder of files.  ``profiles`` may hold a JSON or other text or a profile
+    link in place of a path.  ``users`` and ``repos`` are saved tables of public profiles and
+    repositories.  The order of records is that of the arguments: files (of a folder by
+    name), notes, profile exports, profile links, users by login.  What is absent or
+    gives nothing is warned of in the report and fails nothing; so are files
+    whose text only a codec could read (.pdf, .docx), which give no record.
+
+    CSV and JSON files of those extensions are read in blocks, whatever their size.  Other files are
+    one row each.
     """
-    asked = [(p, None) for p in paths] + [(p, "recruiter_notes") for p in notes] + [(p, "linkedin") for p in profiles]
-    files: list[SourceFile] = []
-    kinds: dict[int, str | None] = {}
-    entry: dict[int, int] = {}  # the place in ``asked`` of a file
-    for n, (path, kind) in enumerate(asked):
-        for f in source_files(spark, [path]):
-            rank = len(files)
-            files.append(replace(f, rank=rank))
-            kinds[rank], entry[rank] = kind or kind_by_name(f.place), n
-    unknown = [f for f in files if kinds[f.rank] is None]
-    for r in read_files(spark, unknown).select("file_rank", kind_by_text("value").alias("kind")).collect():
-        kinds[r["file_rank"]] = r["kind"]
-    of = lambda *sources: [f for f in files if kinds[f.rank] in sources]
-    seq = lambda pos: F.col("file_rank").cast("long") * F.lit(FILE_ROOM) + pos
+    asked: list[tuple[int, str, str | None, str | None, str | None]] = []  # (n, path, given source, URI, text given in place of a path)
+    places: dict[str, list[str]] = {"paths": [], "notes": [], "profiles": []}
+    for kind, given, every in (("paths", None, paths), ("notes", "recruiter_notes", notes), ("profiles", "linkedin", profiles)):
+        for path in every:
+            inline = kind == "profiles" and (path.lstrip()[:1] in ("{", "[") or "\n" in path or re.fullmatch(PROFILE_URL + r"\S*", path.strip()))
+            found = None if inline else _place(spark, path)
+            if found:
+                places[kind].append(found[0])
+            asked.append((len(asked), path, given, found[1] if found else None, path if inline else None))
+    asked += [(len(asked) + k, url, "linkedin", None, url) for k, url in enumerate(profile_urls)]
+    schema = "n int, path string, given string, uri string, value string"
+    listed = spark.createDataFrame(asked, schema)
+    every = listed.filter("value is not null").select("n", "path", "given", F.lit(None).cast("string").alias("uri"), "value")
+    roots = list(dict.fromkeys(x for some in places.values() for x in some))
+    if roots:
+        there = found_files(spark, listed.filter("uri is not null").select("n", "path", "given", "uri"), roots)
+        every = every.unionByName(there, allowMissingColumns=True)
+    by_name = reduce(lambda c, x: c.when(F.lower("uri").endswith(x[0]), x[1]), EXTENSIONS.items(), F)
+    no_codec = F.coalesce(_ends("uri", NO_CODEC), F.lit(False))
+    files = cut(with_positions(every, ["n", F.coalesce("uri", F.lit(""))], "rank").withColumns({"kind": F.coalesce("given", by_name), "no_codec": no_codec}))
+
+    named = _ends("_metadata.file_name", tuple(EXTENSIONS))
+    unnamed = files.filter("kind is null")
+    others = None
+    if not unnamed.isEmpty():
+        others = pieces(spark, places["paths"], ~named)
+        kinds = kinds_by_text(others).withColumnRenamed("kind", "told")
+        files = cut(files.join(kinds, "uri", "left").withColumn("kind", F.coalesce("kind", "told", F.lit("resume"))))
+    present = {r["kind"] for r in files.select("kind").distinct().collect()}
+    of = files.filter("not no_codec").select("n", "rank", "kind", "uri", "given", F.col("value").alias("inline"))
+    met = lambda rows, kind: rows.join(of.filter(F.col("kind") == kind).filter("uri is not null"), "uri")
+    seq = lambda pos: F.col("rank").cast("long") * F.lit(FILE_ROOM) + pos
+    is_path = F.col("given").isNull()
     parts: list[DataFrame] = []
-    if there := of("ats_json"):
-        parts.append(ats_records(read_files(spark, there), seq(F.col("pos"))))
-    if there := of("resume"):
-        parts.append(resume_records(read_files(spark, there), seq(F.lit(0))))
-    if there := of("recruiter_notes"):
-        parts.append(note_records(read_files(spark, there), seq(F.lit(0))))
-    if there := of("linkedin"):
-        texts = read_files(spark, there)
-        is_json = F.ltrim("value").rlike(r"^[{\[]") | F.col("uri").endswith(".json")
+    if "ats_json" in present:
+        ats = met(json_objects(pieces(spark, places["paths"], _ends("_metadata.file_name", (".json",)), "}")).withColumnRenamed("pos", "place"), "ats_json").filter(is_path)
+        parts.append(ats_records(ats, seq(F.col("place"))))
+    if "recruiter_csv" in present:
+        head = {"places": header_places(F.col("header"))}
+        tables = [pieces(spark, places["paths"], _ends("_metadata.file_name", (".csv",)))]
+        if others is not None:
+            tables.append(others.join(files.filter("kind = 'recruiter_csv'").select("uri").distinct(), "uri", "left_semi"))
+        parts += [csv_field_records(met(csv_rows(lines, head), "recruiter_csv").filter(is_path), seq(F.col("number") - 1)) for lines in tables]
+    if "resume" in present:
+        parts.append(resume_records(met(_whole(spark, places["paths"], _ends("_metadata.file_name", (".md",))), "resume").filter(is_path), seq(F.lit(0))))
+    if others is not None:
+        texts = _joined_lines(others)
+        parts.append(ats_records(met(texts, "ats_json").filter(is_path), seq(F.col("pos"))))
+        parts.append(resume_records(met(texts, "resume").filter(is_path), seq(F.lit(0))))
+    if places["notes"]:
+        parts.append(note_records(met(_whole(spark, places["notes"]), "recruiter_notes"), seq(F.lit(0))))
+    if "linkedin" in present:
+        texts = of.filter("kind = 'linkedin' and inline is not null").select("uri", "rank", F.col("inline").alias("value"))
+        if places["profiles"]:
+            texts = texts.unionByName(met(_whole(spark, places["profiles"]), "linkedin").select("uri", "rank", "value"))
+        is_json = F.ltrim("value", F.lit(BLANK)).rlike(r"^[{\[]") | F.coalesce(F.col("uri").endswith(".json"), F.lit(False))
+        is_link = F.col("uri").isNull() & ~is_json & ~F.contains("value", F.lit("\n"))
         parts.append(linkedin_records(texts.filter(is_json), seq(F.col("pos"))))
-        parts.append(resume_records(texts.filter(~is_json), seq(F.lit(0)), source="linkedin"))
-    if there := of("recruiter_csv"):
-        parts += [csv_records(rows, seq(F.col("_row"))) for rows in read_tables(spark, there)]
-    if profile_urls:
-        urls = spark.createDataFrame([(u, len(files) + n) for n, u in enumerate(profile_urls)], "value string, file_rank int")
-        parts.append(url_records(urls, seq(F.lit(0))))
+        parts.append(url_records(texts.filter(is_link), seq(F.lit(0))))
+        parts.append(resume_records(texts.filter(~is_json & ~is_link), seq(F.lit(0)), source="linkedin"))
+    n_files = files.count()
+    if users is not None:
+        asked.append((len(asked), "users", "github", None, None))
+        listed = spark.createDataFrame(asked, schema)
+        repos = users.sparkSession.createDataFrame([], "login string, repo_rank int, language string") if repos is None else repos
+        parts.append(profile_records(with_positions(users, ["login"], "_place"), repos, F.lit(n_files) * F.lit(FILE_ROOM) + F.col("_place")))
     raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.RAW_SCHEMA)
-    listed = [(n, path, next((kinds[f.rank] for f in files if entry[f.rank] == n), kind), n in entry.values()) for n, (path, kind) in enumerate(asked)]
-    listed += [(len(asked) + n, u, "linkedin", True) for n, u in enumerate(profile_urls)]
-    ranks = [*((f.rank, entry[f.rank]) for f in files), *((len(files) + n, len(asked) + n) for n in range(len(profile_urls)))]
-    return raw, source_report(spark, listed, ranks, raw)
-
-
-def source_report(spark: SparkSession, listed: list[tuple[int, str, str | None, bool]], ranks: list[tuple[int, int]], raw: DataFrame) -> DataFrame:
-    """(path, source, n_records, warning) for the sources asked for, as (place, path, source, whether there); ``ranks`` has each file's place."""
-    sources = spark.createDataFrame(listed, "place int, path string, source string, there boolean")
-    counts = raw.groupBy(F.expr(f"cast(rec_seq div {FILE_ROOM}L as int)").alias("file_rank")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(spark.createDataFrame(ranks, "file_rank int, place int"), "file_rank").groupBy("place").agg(F.sum("n").alias("n"))
-    return sources.join(counts, "place", "left").select(
-        "path", "source", F.coalesce("n", F.lit(0)).alias("n_records"),
-        F.when(~F.col("there"), F.concat(F.lit("input not found, skipped: "), "path"))
-        .when(F.col("n").isNull(), F.concat(F.lit("no records extracted from "), F.coalesce("source", F.lit("unknown")), F.lit(" source: "), "path")).alias("warning"),
+    return raw, source_report(listed, files, raw, n_files)
+
+
+def source_report(asked: DataFrame, files: DataFrame, raw: DataFrame, n_files: int) -> DataFrame:
+    """(path, source, n_records, warning) for the sources asked for (n, path, given); ``files`` has their files, by rank."""
+    ranks = files.select("rank", "n").union(asked.filter("given = 'github'").select(F.lit(n_files).cast("long"), "n"))
+    counts = raw.groupBy(F.expr(f"rec_seq div {FILE_ROOM}L").alias("rank")).agg(F.count(F.lit(1)).alias("records"))
+    # Users go on beyond the room of one file, as the last source.
+    counts = counts.withColumn("rank", F.least("rank", F.lit(n_files).cast("long"))).join(ranks, "rank").groupBy("n").agg(F.sum("records").alias("records"))
+    there = files.groupBy("n").agg(F.min_by("kind", "rank").alias("kind"), F.sum(F.col("no_codec").cast("long")).alias("closed"))
+    found = asked.join(there, "n", "left").join(counts, "n", "left")
+    source = F.coalesce("kind", "given")
+    absent = F.col("kind").isNull() & (F.coalesce("given", F.lit("")) != "github")
+    folder_empty = absent & F.col("uri").isNotNull()
+    return found.select(
+        "path", source.alias("source"), F.coalesce("records", F.lit(0)).alias("n_records"),
+        F.when(absent & ~folder_empty, F.concat(F.lit("input not found, skipped: "), "path"))
+        .when(F.col("closed") > 0, F.concat(F.lit("no codec for "), F.col("closed").cast("string"), F.lit(" of the files, skipped: "), "path"))
+        .when(F.col("records").isNull(), F.concat(F.lit("no records extracted from "), F.coalesce(source, F.lit("unknown")), F.lit(" source: "), "path")).alias("warning"),
     )

@@ -9,7 +9,7 @@ from kinweave import schemas
 from kinweave.operators import projection
 from kinweave.plans.job import run_job, write_profiles
 from kinweave.sources.csv_records import csv_records, read_csv, resolve_headers
-from kinweave.sources.files import load, read_tables, source_files, source_of
+from kinweave.sources.files import load, source_of
 from kinweave.sources.json_records import ats_records, canonical_url, linkedin_records, url_records
 from kinweave.sources.profile_tables import profile_records
 from kinweave.sources.text_records import note_records, resume_records
@@ -133,7 +133,6 @@ def test_tables_of_one_header_are_read_together(spark, tmp_path):
     got = [(r.full_name, r.emails[0]) for r in raw.orderBy("rec_seq").collect()]
     assert got == [(f"Pat,\n{n}", f"p{n}{k}@x.io") for n in range(5) for k in range(3)] + [(None, "z@x.io")]
     assert [r.n_records for r in report.orderBy("path").collect()] == [1, 3, 3, 3, 3, 3]
-    assert len(read_tables(spark, source_files(spark, [str(tmp_path)]))) == 2
 
 
 DATA = [(1, "cand_1", "Ann", ["a@x.io", "b@x.io"], [("Go", 0.5), ("SQL", 0.4)], ("Pune", None), 3.0, 0.9), (2, "cand_2", "", [], [], (None, None), None, 0.4)]
