@@ -7,6 +7,7 @@ a dimension of a few hundred rows whatever the data.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
@@ -45,10 +46,71 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(literal_map(table), key)
 
 
+#: Letters with marks that a text may have where a name is met without them.
+MARKED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters from which on a text may be part of a name, or misspell one; and misspell it twice.
+PART, MISSPELT, MISSPELT_TWICE = 4, 5, 8
+
+
+def bare_name(name: str) -> str:
+    """A name without marks and punctuation."""
+    letters = unicodedata.normalize("NFKD", name.lower())
+    return " ".join(re.sub(r"[^a-z]+", " ", "".join(c for c in letters if not unicodedata.combining(c)).replace("’", "")).split())
+
+
+def _grams(word: str) -> set[str]:
+    return {f"^{word}$"[k : k + 3] for k in range(len(word))}
+
+
+@lru_cache(maxsize=4)
+def _index(session_id: int) -> tuple[dict[str, str], str]:
+    """(bare names with their codes, the inverted index of their trigrams as an expression)."""
+    names = {bare_name(n): code for n, code in _names(session_id)[1].items()}
+    holders: dict[str, list[str]] = {}
+    for name in sorted(names):
+        for gram in sorted(_grams(name)):
+            holders.setdefault(gram, []).append(name)
+    listed = ", ".join("'" + g + "', array(" + ", ".join(f"'{n}'" for n in found) + ")" for g, found in holders.items())
+    return names, f"map({listed})"
+
+
+def search_country(c: str | Column, spark: SparkSession) -> Column:
+    """The code of the one country whose name a text is part of, or misspells; null if there is none or are several.
+
+    Names that hold the text count more the earlier they do; after them
+    come names at one edit (of five letters on), then at two (of eight on).  Only names that
+    share a trigram with the text are looked at, which no such name does without.
+    """
+    names, index = _index(id(spark.sparkContext))
+    said = F.btrim(F.regexp_replace(F.translate(F.lower(strip(c)), MARKED, PLAIN), "[^a-z]+", " "))
+
+    def search(q: Column) -> Column:
+        size = F.length(q)
+        ends = F.concat(F.lit("^"), q, F.lit("$"))
+        grams = F.transform(F.sequence(F.lit(1), size), lambda k: F.substr(ends, k, F.lit(3)))
+        met = F.array_distinct(F.flatten(F.filter(F.transform(grams, lambda g: F.element_at(F.expr(index), g)), lambda x: x.isNotNull())))
+
+        def points(name: Column) -> Column:
+            at, edits = F.call_function("instr", name, q), F.levenshtein(name, q)
+            near = (edits <= 1) & (size >= MISSPELT) | (edits <= 2) & (size >= MISSPELT_TWICE)
+            return F.when(at > 0, F.greatest(F.lit(5), F.lit(32) - 2 * at)).when(near, F.lit(3) - edits).otherwise(0)
+
+        def best(found: Column) -> Column:
+            most = F.array_max(F.transform(found, lambda x: x["points"]))
+            codes = F.array_distinct(F.transform(F.filter(found, lambda x: (x["points"] == most) & (most > 0)), lambda x: _lookup(names, x["name"])))
+            return F.when(F.size(codes) == 1, F.get(codes, F.lit(0)))
+
+        scored = F.transform(met, lambda n: F.struct(points(n).alias("points"), n.alias("name")))
+        return F.when(size >= PART, bind(scored, best))
+
+    return bind(said, search)
+
+
 def normalize_country(c: str | Column, spark: SparkSession) -> Column:
     """The code of a country given by alias, code or name; null if none is meant without doubt.
 
     A longer text means a country if it holds exactly one country's name as whole words.
+    What means none so far is searched for (see ``search_country``).
     """
     codes, names = country_table(spark)
     plain = {n: a for n, a in names.items() if not re.search(r"[^\w ]|[\d_]", n)}  # others can't be met word by word
@@ -61,7 +123,7 @@ def normalize_country(c: str | Column, spark: SparkSession) -> Column:
         held = bind(F.concat(*(runs(n) for n in range(1, longest + 1))), lambda found: F.array_distinct(F.array_compact(F.transform(found, lambda x: _lookup(plain, x)))))
         return F.coalesce(
             _lookup({**codes, **names, **ALIASES}, F.btrim(s, F.lit(". "))),
-            F.when(s.rlike(r"\s"), bind(held, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))))),
+            bind(F.when(s.rlike(r"\s"), held), lambda h: F.when(F.coalesce(F.size(h), F.lit(0)) > 0, F.when(F.size(h) == 1, F.get(h, F.lit(0)))).otherwise(search_country(s, spark))),
         )
 
     return bind(F.lower(strip(c)), code)

@@ -19,6 +19,7 @@ from kinweave import schemas
 from kinweave.functions.skills import is_known
 from kinweave.operators.resolve import clusters
 from kinweave.operators.scoring import WEIGHTS, completeness, field_confidence, mean3, overall_confidence, round3
+from kinweave.operators.positions import with_positions
 from kinweave.plans.lineage import cut
 
 PROFILE = [
@@ -272,3 +273,8 @@ def merge_records(normalized: DataFrame, trust: dict[str, float] | None = None,
 def ordered(found: DataFrame) -> DataFrame:
     """Profiles in their order for output."""
     return found.orderBy("candidate_id", "cluster_id")
+
+
+def positioned(found: DataFrame) -> DataFrame:
+    """Profiles with ``position``, their place in the order for output, from 0."""
+    return with_positions(found, ["candidate_id", "cluster_id"])

@@ -143,6 +143,23 @@ def as_json(profiles: DataFrame, config: dict) -> DataFrame:
     return profiles.select(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pieces)), ","), F.lit("}")).alias("json"))
 
 
+def as_variant(profiles: DataFrame, config: dict) -> DataFrame:
+    """(profile): each projected row as a typed object, in which under ``omit`` a key that is missing is absent, and one that is null is null."""
+    return as_json(profiles, config).select(F.parse_json("json").alias("profile"))
+
+
+def missing_required(profiles: DataFrame, config: dict) -> DataFrame:
+    """(candidate_id, cluster_id, n, error): the required fields that rows miss under ``on_missing: error``, as rows where ``project`` fails."""
+    said = []
+    for spec in config.get("fields") or [] if config.get("on_missing") == "error" else []:
+        path, start = spec["path"], spec.get("from", spec["path"])
+        missing = resolve_path(profiles.schema, start).missing
+        if spec.get("required") and missing is not False:
+            said.append(F.when(F.lit(True) if missing is True else missing, F.lit(f"required field missing: {path} (from {start})")))
+    every = F.array_compact(F.array(*said)) if said else F.array().cast("array<string>")
+    return profiles.select("candidate_id", "cluster_id", F.posexplode(every).alias("n", "error")).withColumn("n", F.col("n").cast("long"))
+
+
 def _fits(kind: T.DataType, declared: str) -> bool | None:
     """Whether a column type is a declared type; None for an unknown declaration."""
     text, number, flag, thing = isinstance(kind, T.StringType), isinstance(kind, T.NumericType), isinstance(kind, T.BooleanType), isinstance(kind, (T.StructType, T.MapType))

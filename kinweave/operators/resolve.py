@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import norm_url
-from kinweave.operators.components import connected_components
+from kinweave.operators.components import HUB, MOST_HUBS, connected_components
+from kinweave.plans.lineage import cut
 
 
 def match_keys(records: DataFrame) -> DataFrame:
@@ -24,17 +25,30 @@ def weak_keys(records: DataFrame) -> DataFrame:
     return records.filter(bare & F.col("full_name").isNotNull()).select("rec_seq", F.concat(F.lit("name:"), F.lower("full_name"), F.lit("|"), company).alias("key"))
 
 
-def owner_edges(keys: DataFrame, max_fanout: int | None = None) -> DataFrame:
+def owner_edges(keys: DataFrame, max_fanout: int | None = None, hub: int = HUB, most_hubs: int = MOST_HUBS) -> DataFrame:
     """(rec_seq, owner): every record of a key linked to the key's first record.
 
     The edges of a key are as many as its records.  Keys of one record go
     before the join; ``max_fanout`` leaves out keys of more records than that
     (see ``excluded_keys``), by default none.
+
+    A number that very many records share would be one key of the join.  Keys
+    of more than ``hub`` records that hold more than one in ``most_hubs`` of all
+    are joined by broadcast instead: they are fewer than ``most_hubs``.
     """
     owners = keys.groupBy("key").agg(F.min("rec_seq").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     if max_fanout is not None:
         owners = owners.filter(F.col("n") <= max_fanout)
-    return keys.join(owners, "key").filter(F.col("rec_seq") != F.col("owner")).select("rec_seq", "owner").distinct()
+    owners = cut(owners)
+    size = owners.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    bound = max(hub, (size["rows"] or 0) // most_hubs)
+    if (size["most"] or 0) <= bound:
+        met = keys.join(owners, "key")
+    else:
+        hubs = owners.filter(F.col("n") > bound)
+        rest = keys.join(F.broadcast(hubs.select("key")), "key", "left_anti").join(owners.filter(F.col("n") <= bound), "key")
+        met = keys.join(F.broadcast(hubs), "key").unionByName(rest)
+    return met.filter(F.col("rec_seq") != F.col("owner")).select("rec_seq", "owner").distinct()
 
 
 def excluded_keys(keys: DataFrame, max_fanout: int) -> DataFrame:

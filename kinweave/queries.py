@@ -105,12 +105,15 @@ def normalize_phone(spark, sf_dir):
     )
 
 
+#: Ways to write a date: patterns whose month and year are read, and ones of which nothing is, or the year alone.
+READ_DATES = ("yyyy-MM-dd", "MMM yyyy", "MMMM yyyy", "MM/yyyy", "yyyy/MM/dd", "d MMMM, yyyy", "EEEE, MMM d yyyy", "dd-MMM-yyyy", "yyyy MMM dd", "yyyyMMdd", "MMMyyyy", "MM/dd/yyyy HH:mm")
+YEAR_ONLY = ("'Q1' yyyy", "'spring' yyyy", "MMM d yyyy yyyy")
+
+
 def normalize_date(spark, sf_dir):
     day = F.col("o_orderdate")
-    o = table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.element_at(F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MMM yyyy"), F.date_format(day, "MMMM yyyy"), F.date_format(day, "MM/yyyy"), F.date_format(day, "yyyy"), F.lit("present"), F.lit("garbage")), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("said"),
-    )
+    ways = [F.date_format(day, w) for w in (*READ_DATES, *YEAR_ONLY, "yyyy", "MMM d", "dd.MM")] + [F.concat(F.date_format(day, "d"), F.lit("th of "), F.date_format(day, "MMMM yyyy")), F.lit("present"), F.lit("garbage"), F.lit(""), F.lit(None).cast("string")]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*ways), (F.col("o_orderkey") % len(ways) + 1).cast("int")).alias("said"))
     return o.select("o_orderkey", dates.to_year_month("said").alias("month"), dates.to_year("said").alias("year"))
 
 
@@ -118,6 +121,23 @@ def normalize_country(spark, sf_dir):
     return derived.flat_people(spark, sf_dir).filter("country is not null").select("rec_seq", countries.normalize_country("country", spark).alias("country"))
 
 
+#: A country for each nation of the tables.
+COUNTRIES = {
+    "Germany": "DE", "Brazil": "BR", "Portugal": "PT", "Finland": "FI", "Iceland": "IS", "Australia": "AU", "Bulgaria": "BG", "Cambodia": "KH", "Denmark": "DK",
+    "Ethiopia": "ET", "Guatemala": "GT", "Honduras": "HN", "Indonesia": "ID", "Jamaica": "JM", "Kazakhstan": "KZ", "Lithuania": "LT", "Madagascar": "MG", "Namibia": "NA",
+    "Pakistan": "PK", "Rwanda": "RW", "Singapore": "SG", "Thailand": "TH", "Uzbekistan": "UZ", "Vietnam": "VN", "Zimbabwe": "ZW",
+}
+
+
+def search_country(spark, sf_dir):
+    """Names of countries whole, without their third letter, with their fourth twice, their first five letters, in a sentence, with two letters too many, and with three."""
+    name = F.get(F.array(*map(F.lit, COUNTRIES)), (F.col("c_nationkey") % len(COUNTRIES)).cast("int"))
+    first = lambda n: F.substring(name, 1, n)
+    ways = F.array(name, F.concat(first(2), F.substring(name, 4, 99)), F.concat(first(4), F.substring(name, 4, 99)), first(5), F.concat(F.lit("lives in "), name), F.concat(F.lit("zq"), name), F.concat(F.lit("zqw"), name))
+    said = table(spark, sf_dir, "customer").select("c_custkey", F.get(ways, (F.col("c_custkey") % 7).cast("int")).alias("said"))
+    return said.select("c_custkey", "said", countries.normalize_country("said", spark).alias("country"))
+
+
 def canonical_skill(spark, sf_dir):
     long = derived.flat_people(spark, sf_dir).select("rec_seq", F.posexplode(F.array_compact(F.array("skill1", "skill2", "skill3"))).alias("pos", "skill"))
     return long.select("rec_seq", F.col("pos").cast("long").alias("pos"), skills.canonical_skill("skill").alias("skill"), F.coalesce(skills.is_known("skill"), F.lit(False)).alias("known"))
@@ -424,8 +444,14 @@ SQL: dict[str, str] = {
     "normalize_email": f"WITH {NORM} SELECT rec_seq, email FROM norm",
     "normalize_phone": """SELECT p_partkey, '+9199887' || d AS india, CAST(NULL AS VARCHAR) AS us, '+9199887' || d AS plus, '+1415555' || substr(d, 2) AS extension
       FROM (SELECT p_partkey, lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS d FROM part)""",
-    "normalize_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 4 THEN strftime(o_orderdate, '%Y-%m') WHEN o_orderkey % 7 = 4 THEN strftime(o_orderdate, '%Y-01') END AS month,
-        CASE WHEN o_orderkey % 7 < 5 THEN strftime(o_orderdate, '%Y') END AS year FROM orders""",
+    "normalize_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 23 < 12 OR o_orderkey % 23 = 18 THEN strftime(o_orderdate, '%Y-%m') WHEN o_orderkey % 23 = 15 THEN strftime(o_orderdate, '%Y-01') END AS month,
+        CASE WHEN o_orderkey % 23 < 16 OR o_orderkey % 23 = 18 THEN strftime(o_orderdate, '%Y') END AS year FROM orders""",
+    # The first five letters of one country are those of another as well; three letters too many are no misspelling.
+    "search_country": f"""WITH names AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{n}', '{code}')" for k, (n, code) in enumerate(COUNTRIES.items()))}) v(k, name, code))
+      SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN name WHEN 1 THEN substr(name, 1, 2) || substr(name, 4) WHEN 2 THEN substr(name, 1, 4) || substr(name, 4) WHEN 3 THEN substr(name, 1, 5)
+        WHEN 4 THEN 'lives in ' || name WHEN 5 THEN 'zq' || name ELSE 'zqw' || name END AS said,
+        CASE WHEN c_custkey % 7 = 6 OR c_custkey % 7 = 3 AND name = 'Australia' THEN NULL ELSE code END AS country
+      FROM customer JOIN names ON k = c_nationkey % {len(COUNTRIES)}""",
     "normalize_country": f"WITH {NORM} SELECT norm.rec_seq, norm.country FROM norm JOIN people USING (rec_seq) WHERE people.country IS NOT NULL",
     "canonical_skill": f"""WITH p AS ({derived.SQL}) SELECT rec_seq, CAST(pos AS BIGINT) AS pos, {_SKILL.format('s')} AS skill, s NOT IN ('COBOL', 'Rust') AS known
       FROM (SELECT rec_seq, 0 AS pos, skill1 AS s FROM p UNION ALL SELECT rec_seq, 1, skill2 FROM p UNION ALL SELECT rec_seq, 2, skill3 FROM p) WHERE s IS NOT NULL""",
@@ -472,7 +498,7 @@ SQL: dict[str, str] = {
 }
 QUERIES = {
     "golden_profiles": golden_profiles, "extract_emails": extract_emails, "extract_phones": extract_phones, "scan_skills": scan_skills, "guess_name": guess_name, "labelled_name": labelled_name,
-    "sections": sections, "normalize_email": normalize_email, "normalize_phone": normalize_phone, "normalize_date": normalize_date, "normalize_country": normalize_country, "canonical_skill": canonical_skill,
+    "sections": sections, "normalize_email": normalize_email, "normalize_phone": normalize_phone, "normalize_date": normalize_date, "normalize_country": normalize_country, "search_country": search_country, "canonical_skill": canonical_skill,
     "norm_url": norm_url, "header_alias": header_alias, "json_alias": json_alias, "normalized_people": normalized_people, "match_keys": match_keys, "key_owner_edges": key_owner_edges, "clusters": clusters,
     "union_emails": union_emails, "union_phones": union_phones, "pick_name": _scalar("full_name"), "pick_headline": _scalar("headline"), "pick_years": _scalar("years_experience"),
     "pick_location": pick_location, "merge_links": merge_links, "merge_skills": merge_skills, "dedupe_experience": dedupe_experience, "dedupe_education": dedupe_education, "contributors": contributors,

@@ -26,6 +26,8 @@ from kinweave.sources.text_records import note_records, resume_records
 
 #: Objects in a derived JSON file.
 PER_FILE = 1000
+#: One in so many customers has a file of its own of each kind that is a file per person.
+PER_KIND = 50
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +167,19 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _written(spark, sf_dir)
+    """Sources of all six kinds: tables, exports, resumes and notes without a telling name, profile exports, and saved tables of users."""
+    at, c = _written(spark, sf_dir), _customers(spark, sf_dir)
+    mail, of = F.concat(F.lit("c"), "k", F.lit("@x.io")), lambda r: c.filter(f"c_custkey % {PER_KIND} = {r}")
+    of(1).select("c_custkey", F.concat(F.lit("Some Resume\n"), mail, F.lit("\nSkills\nRust\n")).alias("value")).write.partitionBy("c_custkey").text(f"{at}/resumes")
+    of(2).select("c_custkey", F.concat(F.lit("Mail "), mail, F.lit(", knows Docker")).alias("value")).write.partitionBy("c_custkey").text(f"{at}/talks")
+    of(3).select(F.lit("Some Profile").alias("name"), mail.alias("email"), F.array(F.lit("Kafka")).alias("skills")).withColumn("part", F.col("email")).write.partitionBy("part").json(f"{at}/profiles")
+    nothing = F.lit(None).cast("string")
+    users = c.filter("c_custkey % 3 = 0").select(F.concat(F.lit("u"), "k").alias("login"), nothing.alias("name"), mail.alias("email"), *(nothing.alias(x) for x in ("bio", "location", "html_url", "blog")))
+    repos = users.select("login", F.lit(0).alias("repo_rank"), F.lit("Go").alias("language"))
     config = {"fields": [{"path": "full_name", "required": True}, {"path": "email", "from": "emails[0]"}, {"path": "skills", "from": "skills[].name"}, {"path": "headline"}]}
-    shown, _, wrong = run_job(spark, config, paths=[f"{at}/people 100%", f"{at}/exports"])
-    return shown.select("full_name", "email", _joined("skills").alias("skills"), "headline").union(wrong.select(F.lit("violation"), "error", F.lit(""), F.lit("")))
+    shown, report, wrong = run_job(spark, config, paths=[f"{at}/people 100%", f"{at}/exports", f"{at}/resumes"], notes=[f"{at}/talks"], profiles=[f"{at}/profiles"], users=users, repos=repos)
+    told = report.select(F.lit("report"), "source", F.col("n_records").cast("string"), F.col("warning"))
+    return shown.select("full_name", "email", _joined("skills").alias("skills"), "headline").union(wrong.select(F.lit("violation"), "error", F.lit(""), F.lit(""))).union(told)
 
 
 def _many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +221,24 @@ def project_omit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required fields that all rows here have; that a missing one fails is held by a test."""
-    config = {"fields": [{"path": "id", "from": "candidate_id", "required": True}, {"path": "mail", "from": "emails[0]", "required": True}], "on_missing": "error"}
-    return projection.project(golden(spark, sf_dir).filter(F.size("emails") > 0), config)
+    """(candidate_id, cluster_id, n, error, raises): the required fields that profiles miss, and whether the projection itself fails on them."""
+    config = {"fields": [{"path": "id", "from": "candidate_id", "required": True}, {"path": "mail", "from": "emails[0]", "required": True}, {"path": "second", "from": "emails[1]", "required": True}, {"path": "third", "from": "emails[2]"}], "on_missing": "error"}
+    found = golden(spark, sf_dir)
+    try:
+        projection.project(found, config).write.format("noop").mode("overwrite").save()
+        raises = False
+    except Exception as e:  # whatever wraps it, it must be the policy's own message
+        if "required field missing: " not in str(e):
+            raise
+        raises = True
+    return projection.missing_required(found, config).withColumn("raises", F.lit(raises))
+
+
+def project_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a key is absent, null or there in typed objects under ``omit``."""
+    shown = projection.as_variant(golden(spark, sf_dir), OMIT).select(F.expr("schema_of_variant(profile)").alias("kind"), "profile")
+    key = lambda k: F.when(~F.contains("kind", F.lit(f"{k}:")), "absent").when(F.contains("kind", F.lit(f"{k}: VOID")), "null").otherwise("there").alias(k)
+    return shown.groupBy(*(key(k) for k in ("mail", "second", "planet", "years"))).agg(F.count(F.lit(1)).alias("n"), F.max(F.try_variant_get("profile", "$.years", "double")).alias("most_years"))
 
 
 def strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,14 +267,8 @@ def written_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(candidate_id, cluster_id, in_order): whether profiles follow their predecessor in the order of output.
-
-    Partitions of an ordered result are ranges, so a row's predecessor is in its
-    partition, or it is the first of one.
-    """
-    placed = merge.ordered(golden(spark, sf_dir)).select("candidate_id", "cluster_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
-    before = F.lag(F.struct("candidate_id", "cluster_id")).over(W.partitionBy("p").orderBy("at"))
-    return placed.select("candidate_id", "cluster_id", F.coalesce(before < F.struct("candidate_id", "cluster_id"), F.lit(True)).alias("in_order"))
+    """(candidate_id, cluster_id, position): the place of each profile among all, whatever the partitions."""
+    return merge.positioned(golden(spark, sf_dir)).select("candidate_id", "cluster_id", "position")
 
 
 _MISSING = "CAST(NULL AS VARCHAR)"
@@ -285,7 +305,11 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'ats_json', count(*), count(*), count(*), count(*), 2 * count(*), 1 FROM customer WHERE c_custkey % 2 = 0
       UNION ALL SELECT 'recruiter_notes', count(DISTINCT c_custkey // {PER_FILE}), count(DISTINCT c_custkey // {PER_FILE}), count(*), count(DISTINCT c_custkey // {PER_FILE}), 0, 2 FROM customer WHERE c_custkey % 10 = 0
       UNION ALL SELECT 'linkedin', 1, 1, 0, 0, 0, 3""",
-    "job_over_files": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Cust ' || c_custkey ELSE c_name END AS full_name, 'c' || c_custkey || '@x.io' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'Python|COBOL' ELSE '' END AS skills, c_mktsegment AS headline FROM customer",
+    "job_over_files": f"""SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Cust ' || c_custkey ELSE c_name END AS full_name, 'c' || c_custkey || '@x.io' AS email,
+        concat_ws('|', CASE WHEN c_custkey % 2 = 0 THEN 'Python|COBOL' END, CASE c_custkey % {PER_KIND} WHEN 1 THEN 'Rust' WHEN 2 THEN 'Docker' WHEN 3 THEN 'Kafka' END, CASE WHEN c_custkey % 3 = 0 THEN 'Go' END) AS skills, c_mktsegment AS headline FROM customer
+      UNION ALL SELECT 'report', 'recruiter_csv', CAST(count(*) AS VARCHAR), NULL FROM customer UNION ALL SELECT 'report', 'ats_json', CAST(count(*) AS VARCHAR), NULL FROM customer WHERE c_custkey % 2 = 0
+      UNION ALL SELECT 'report', CASE c_custkey % {PER_KIND} WHEN 1 THEN 'resume' WHEN 2 THEN 'recruiter_notes' ELSE 'linkedin' END, CAST(count(*) AS VARCHAR), NULL FROM customer WHERE c_custkey % {PER_KIND} BETWEEN 1 AND 3 GROUP BY c_custkey % {PER_KIND}
+      UNION ALL SELECT 'report', 'github', CAST(count(*) AS VARCHAR), NULL FROM customer WHERE c_custkey % 3 = 0""",
     "union_many": """WITH x AS (SELECT c_custkey % 50 AS cluster_id, c_custkey AS r, unnest(['a' || c_custkey % 7, 'b' || c_custkey % 5, 'a' || c_custkey % 7, 'a' || c_custkey % 3]) AS v, unnest([1, 2, 3, 4]) AS p FROM customer),
       f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, v ORDER BY r, p) AS n FROM x) SELECT cluster_id, string_agg(v, '|' ORDER BY r, p) AS emails FROM f WHERE n = 1 GROUP BY cluster_id""",
     "links_many": """WITH c AS (SELECT c_custkey % 50 AS cluster_id, c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'ats_json' WHEN c_custkey % 5 = 1 THEN 'github' ELSE 'resume' END AS source FROM customer),
@@ -296,13 +320,17 @@ SQL: dict[str, str] = {
         count(*) AS n_links, first(source ORDER BY trust DESC, k) AS top FROM f WHERE n = 1 GROUP BY cluster_id""",
     "project_omit": SCORED + """SELECT '{' || concat_ws(',', '"full_name":"' || coalesce(full_name, '') || '"', '"mail":"' || string_split(emails, '|')[1] || '"', '"second":"' || string_split(emails, '|')[2] || '"',
         '"years":' || coalesce(CAST(years_experience AS VARCHAR), 'null'), '"skills":[' || coalesce('"' || replace(skills, '|', '","') || '"', '') || ']') || '}' AS json FROM g""",
-    "project_error": SCORED + "SELECT candidate_id AS id, string_split(emails, '|')[1] AS mail FROM g WHERE emails IS NOT NULL",
+    "project_error": SCORED + """, m AS (SELECT candidate_id, cluster_id, emails IS NULL AS none, len(string_split(coalesce(emails, ''), '|')) < 2 AS single FROM g)
+      SELECT candidate_id, cluster_id, CAST(0 AS BIGINT) AS n, 'required field missing: mail (from emails[0])' AS error, true AS raises FROM m WHERE none
+      UNION ALL SELECT candidate_id, cluster_id, CAST(CASE WHEN none THEN 1 ELSE 0 END AS BIGINT), 'required field missing: second (from emails[1])', true FROM m WHERE single""",
+    "project_variant": SCORED + """SELECT CASE WHEN emails IS NULL THEN 'absent' ELSE 'there' END AS mail, CASE WHEN len(string_split(coalesce(emails, ''), '|')) < 2 THEN 'absent' ELSE 'there' END AS second, 'absent' AS planet,
+        CASE WHEN years_experience IS NULL THEN 'null' ELSE 'there' END AS years, count(*) AS n, max(years_experience) AS most_years FROM g GROUP BY 1, 2, 3, 4""",
     "strict_gate": SCORED + """SELECT 'mailed' AS gate, candidate_id, cluster_id, CAST(0 AS BIGINT) AS n, 'required field ''mail'' is missing or null' AS error, false AS passes FROM g WHERE emails IS NULL
       UNION ALL SELECT 'numbers', candidate_id, cluster_id, 0, 'field ''full_name'': expected number, got str', false FROM g""",
     "written_profiles": SCORED + "SELECT candidate_id, coalesce(full_name, '') AS full_name, coalesce(emails, '') AS emails, country, coalesce(skills, '') AS skills, years_experience, overall_confidence FROM g",
-    "output_order": SCORED + "SELECT candidate_id, cluster_id, true AS in_order FROM g",
+    "output_order": SCORED + "SELECT candidate_id, cluster_id, row_number() OVER (ORDER BY candidate_id, cluster_id) - 1 AS position FROM g",
 }
 QUERIES = {
     "linkedin_export": linkedin_export, "profile_links": profile_links, "saved_profiles": saved_profiles, "resume_sources": resume_sources, "note_sources": note_sources, "source_report": source_report,
-    "source_union": source_union, "job_over_files": job_over_files, "union_many": union_many, "links_many": links_many, "project_omit": project_omit, "project_error": project_error, "strict_gate": strict_gate, "written_profiles": written_profiles, "output_order": output_order,
+    "source_union": source_union, "job_over_files": job_over_files, "union_many": union_many, "links_many": links_many, "project_omit": project_omit, "project_error": project_error, "project_variant": project_variant, "strict_gate": strict_gate, "written_profiles": written_profiles, "output_order": output_order,
 }

@@ -40,6 +40,18 @@ MONTHS = {
 YEARS = {"2018": "2018", "class of 2019": "2019", "Graduated 2020": "2020", "May 2017": "2017", "present": None, "garbage": None, "": None}
 
 
+ANY_ORDER = {
+    "12 March 2019": "2019-03", "March 12th, 2019": "2019-03", "the 3rd of May 2018": "2018-05", "Tue, 5 Nov 2013 10:30:00": "2013-11", "2019/03/05T10:00:00Z": "2019-03", "2019 Dec 31": "2019-12", "20190305": "2019-03",
+    "sept 2015": "2015-09", "Sept. 2015": "2015-09", "05.06.2017": "2017-05", "25.06.2017": "2017-06", "6/2017": "2017-06", "2017/6": "2017-06", "12mar2019": "2019-03", "Mar-2019": "2019-03",
+    "March 12": None, "13/2017": None, "2017 2018": None, "Jan Feb 2019": None, "Q1 2019": None, "spring 2019": None, "32 March 2019": None, "1 2 3 2019": None, "3 2019 4": None, "marchx 2019": None, "Jan '21": None, "201903": None,
+    "13.13.2019": None, "99 99 2019": None, "class of 2019": None,
+}
+
+
+def test_dates_in_any_order(spark):
+    assert values(spark, dates.to_year_month("v"), list(ANY_ORDER)) == list(ANY_ORDER.values())
+
+
 def test_dates(spark):
     assert values(spark, dates.to_year_month("v"), [*MONTHS, None]) == [*MONTHS.values(), None]
     assert values(spark, dates.to_year("v"), [*YEARS, None]) == [*YEARS.values(), None]
@@ -57,6 +69,16 @@ def test_countries(spark):
     assert values(spark, countries.normalize_country("v", spark), [*COUNTRIES, None]) == [*COUNTRIES.values(), None]
 
 
+SEARCHED = {
+    "Germny": "DE", "Brasil": "BR", "Phillipines": "PH", "Viet": "VN", "Cote dIvoire": "CI", "Côte d'Ivoire": "CI", "reunion": "RE", "Curaçao": "CW", "Netherland": "NL", "Luxemburg": "LU", "Maroc": None,
+    "Swizerland": "CH", "Austr": None, "Korea": None, "Congo": None, "Irn": None, "x": None, "Remote": None, "Bangalore": None, "San Francisco": None, "Nowhere at all": None, "zzzzz": None, "": None,
+}
+
+
+def test_country_search(spark):
+    assert values(spark, countries.normalize_country("v", spark), [*SEARCHED, None]) == [*SEARCHED.values(), None]
+
+
 SKILLS = {
     "reactjs": "React", "React.js": "React", "ECMAScript": "JavaScript", "  Python  ": "Python", "k8s": "Kubernetes", "psql": "PostgreSQL", "amazon  web services": "AWS", "c++": "C++", "c#": "C#",
     "sklearn": "scikit-learn", "google cloud": "GCP", "rustlang": "rustlang", " COBOL ": "COBOL", "": None, "  ": None,
