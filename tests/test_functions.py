@@ -71,7 +71,7 @@ def test_countries(spark):
 
 SEARCHED = {
     "Germny": "DE", "Brasil": "BR", "Phillipines": "PH", "Viet": "VN", "Cote dIvoire": "CI", "Côte d'Ivoire": "CI", "reunion": "RE", "Curaçao": "CW", "Netherland": "NL", "Luxemburg": "LU", "Maroc": None,
-    "Swizerland": "CH", "Austr": None, "Korea": None, "Congo": None, "Irn": None, "x": None, "Remote": None, "Bangalore": None, "San Francisco": None, "Nowhere at all": None, "zzzzz": None, "": None,
+    "Swizerland": "CH", "Austr": None, "Korea": None, "Congo": None, "Irm": None, "x": None, "Remote": None, "Bangalore": None, "San Francisco": None, "Nowhere at all": None, "zzzzz": None, "": None,
 }
 
 
