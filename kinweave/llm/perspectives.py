@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.rows import quoted
+from kinweave.operators.positions import with_positions
+from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -23,24 +25,25 @@ def _name(c: Column) -> Column:
 
 
 def _in_parts(said: DataFrame, part_turns: int, part_rows: int) -> DataFrame:
-    """``said`` with ``part``, a struct in whose order the parts of a conversation follow each other, and ``tie``.
+    """``said`` with ``part``, a struct in whose order the parts of a conversation follow each other.
 
-    A part has ``part_turns`` turn numbers.  If these have more than
-    ``part_rows`` rows, every turn number is a part of its own, and one of many
-    rows several: its rows then go by a hash, and each part has a stretch of
-    the hashes.
+    A part has the rows of ``part_turns`` turn numbers; of more than
+    ``part_rows`` rows there it is cut after each ``part_rows`` in their order.  The places of
+    rows in so large a block are counted by many tasks (see ``with_positions``).
     """
-    block = F.expr(f"(turn - pmod(turn, {int(part_turns)}L)) div {int(part_turns)}L")
-    said = said.withColumn("block", block)
-    # In structs nulls are equal.
-    said = said.withColumns({"in_block": F.struct("c", "block"), "in_turn": F.struct("c", "turn")})
-    large = said.groupBy("in_block").count().filter(F.col("count") > part_rows).select("in_block", F.lit(True).alias("large"))
-    said = said.join(large, "in_block", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    counts = said.filter("large").groupBy("in_turn").count().select("in_turn", F.ceil(F.col("count") / part_rows).alias("pieces"))
-    said = said.join(counts, "in_turn", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    tie = F.when(F.col("large"), F.pmod(F.xxhash64("who", "text"), F.lit(1 << 30))).otherwise(0)
-    piece = F.expr("(tie * pieces) div 1073741824L")
-    return said.withColumn("tie", tie).withColumn("part", F.struct("block", F.when(F.col("large"), F.col("turn")).alias("turn"), piece.alias("piece"))).drop("block", "large", "pieces", "in_block", "in_turn")
+    said = said.withColumn("block", F.expr(f"(turn - pmod(turn, {int(part_turns)}L)) div {int(part_turns)}L"))
+    whole = F.struct("block", F.lit(0).cast("long").alias("piece"))
+    in_block = F.struct("c", "block")  # in structs nulls are equal
+    large = cut(said.groupBy(in_block.alias("in_block")).count().filter(F.col("count") > part_rows).select("in_block"))
+    if large.isEmpty():
+        return said.withColumn("part", whole).drop("block")
+    said = said.withColumn("in_block", in_block)
+    rest = said.join(large, "in_block", "left_anti").withColumn("part", whole)
+    crowded = with_positions(said.join(large, "in_block", "left_semi"), ["c", "block", "turn", "who", "text"], "_at")
+    firsts = crowded.groupBy("in_block").agg(F.min("_at").alias("_first"))
+    piece = F.expr(f"(_at - _first) div {int(part_rows)}L")
+    crowded = crowded.join(firsts, "in_block").withColumn("part", F.struct("block", piece.alias("piece"))).drop("_at", "_first")
+    return rest.unionByName(crowded).drop("block", "in_block")
 
 
 def perspectives(
@@ -65,9 +68,8 @@ def perspectives(
     dialogue's parts, joined in the order of ``part`` (from 0), are the whole
     dialogue; ``start`` and the spans count from its beginning, whatever the
     part.  Nearly all dialogues have one part: it takes more than
-    ``part_turns`` turn numbers, or more than ``part_rows`` rows in as many
-    (then rows of one turn number are ordered by a hash), to have more, so no
-    row grows with the length of a dialogue.
+    ``part_turns`` turn numbers, or more than ``part_rows`` rows in as many, to
+    have more, so no row grows with the length of a dialogue.
 
     A null role is a participant of its own, whose ``perspective`` is null and
     who is named ``unknown``; a null text is empty; repeated rows are kept.
@@ -87,7 +89,7 @@ def perspectives(
     said = _in_parts(said, part_turns, part_rows)
     is_fixed = lambda who: who.isin(*(f"={x}" for x in fixed_roles)) if fixed_roles else F.lit(False)
     name = lambda who: F.when(who == "", F.lit("unknown")).otherwise(_name(F.substr(who, F.lit(2))))
-    parts = said.groupBy("c", "conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "tie", "who", "text"))).alias("turns"))
+    parts = said.groupBy("c", "conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "text"))).alias("turns"))
     people = said.filter(~is_fixed(F.col("who"))).groupBy("c").agg(F.collect_set("who").alias("people"))
     seen = parts.join(people, "c").withColumn("me", F.explode("people"))
 
@@ -128,7 +130,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
 
-#: For dialogues of at most 4,096 rows in 512 turn numbers.
 SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce('=' || role, '') AS who, replace(coalesce(text, ''), '<|', '<\|') AS body,
@@ -142,10 +143,12 @@ parts AS (
               WHEN s.who = p.me THEN '<|im_start|>assistant' || chr(10)
               ELSE '<|im_start|>user name=' || s.name || chr(10) END AS head
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+cut_up AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, me, block ORDER BY turn NULLS FIRST, who, body) - 1) // 4096 AS piece FROM parts),
 placed AS (
   SELECT *, sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, me ORDER BY turn NULLS FIRST, who, body ROWS UNBOUNDED PRECEDING) - 11 AS body_end,
-         dense_rank() OVER (PARTITION BY conv_id, me ORDER BY block NULLS FIRST) - 1 AS part
-  FROM parts)
+         dense_rank() OVER (PARTITION BY conv_id, me ORDER BY block NULLS FIRST, piece) - 1 AS part
+  FROM cut_up)
 SELECT conv_id, CASE WHEN me <> '' THEN substr(me, 2) END AS perspective, CAST(part AS BIGINT) AS part,
        count(*) AS n_turns, count(*) FILTER (who = me) AS n_own,
        CAST(min(body_end - length(body) - length(head)) AS BIGINT) AS start,

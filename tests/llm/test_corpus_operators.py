@@ -297,13 +297,23 @@ def test_parts_make_up_the_whole_dialogue(spark, how):
         assert [r.part for r in parts] == list(range(len(parts)))
         assert [r.start for r in parts] == [sum(len(x.text) for x in parts[:k]) for k in range(len(parts))]
         own = [text[int(s.split("-")[0]) : int(s.split("-")[1])] for r in parts if r.mask for s in r.mask.split(",")]
-        assert sorted(own) == sorted(t for c, _, who, t in rows if c == conv and who == p)
+        told = sorted(((t is not None, t or 0, who, x) for c, t, who, x in rows if c == conv))
+        assert own == [x for _, _, who, x in told if who == p]
+        heads = ["assistant" if who == p else f"user name={who}" for _, _, who, _ in told]
+        assert text == "".join(f"<|im_start|>{h}\n{x}<|im_end|>\n" for h, (_, _, _, x) in zip(heads, told, strict=True))
         assert sum(r.n_turns for r in parts) == sum(c == conv for c, *_ in rows)
         if "part_rows" in how:
-            assert max(r.n_turns for r in parts if r.text.count("again") < 2) <= 20 and len(parts) > 8
+            assert max(r.n_turns for r in parts) <= how["part_rows"] and len(parts) > 8
+
+
+def test_one_row_more_changes_no_order(spark):
+    for n in (16, 17):
+        turns = spark.createDataFrame([(1, 0, "ann", f"{k:05}") for k in range(n)], "conv_id long, turn long, role string, text string").repartition(3)
+        found = sorted(perspectives.perspectives(turns, part_rows=16).collect(), key=lambda r: r.part)
+        assert [r.n_turns for r in found] == [16, 1][: n - 15] and "".join(r.text for r in found).split("<|im_end|>\n")[:-1] == [f"<|im_start|>assistant\n{k:05}" for k in range(n)]
 
 
 def test_registered_queries_run(spark):
     """Each numbered operator is registered once."""
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
