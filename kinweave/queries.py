@@ -105,6 +105,25 @@ def normalize_phone(spark, sf_dir):
     )
 
 
+#: Calling codes, what a national number begins with, and how many digits it has.
+ABROAD = [
+    ("1", "415555", 10), ("7", "9", 10), ("20", "1", 10), ("27", "8", 9), ("30", "6", 10), ("33", "6", 9), ("34", "6", 9), ("36", "7", 9), ("40", "7", 9), ("44", "7", 10), ("48", "5", 9), ("49", "15", 11), ("51", "9", 9), ("55", "119", 11), ("60", "1", 9),
+    ("61", "4", 9), ("62", "8", 10), ("63", "9", 10), ("66", "8", 9), ("81", "9", 10), ("84", "9", 9), ("90", "5", 10), ("91", "9", 10), ("234", "8", 10), ("254", "7", 9), ("351", "9", 9), ("380", "5", 9), ("420", "6", 9), ("971", "5", 9), ("998", "9", 9),
+]
+
+
+def phones_abroad(spark, sf_dir):
+    """Numbers of thirty plans: with a space, with dashes, too short, and under a code that nobody has."""
+    k = F.col("c_custkey")
+    of = lambda n: F.get(F.array(*(F.lit(x[n]) for x in ABROAD)), F.expr(f"cast((c_custkey div 4) % {len(ABROAD)} as int)"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", of(0).alias("code"), F.concat(of(1), F.lpad((k % 10_000).cast("string"), of(2) - F.length(of(1)), F.lit("1"))).alias("n"))
+    ways = F.array(
+        F.concat(F.lit("+"), "code", F.lit(" "), "n"), F.concat(F.lit("+"), "code", F.lit("-"), F.substring("n", 1, 3), F.lit("-"), F.substring("n", 4, 99)),
+        F.concat(F.lit("+"), "code", F.lit(" "), F.substring("n", 1, 4)), F.concat(F.lit("+999 "), "n"))
+    said = c.select("c_custkey", F.get(ways, (k % 4).cast("int")).alias("said"))
+    return said.select("c_custkey", "said", contacts.normalize_phone("said").alias("phone"))
+
+
 #: Ways to write a date: patterns whose month and year are read, and ones of which nothing is, or the year alone.
 READ_DATES = ("yyyy-MM-dd", "MMM yyyy", "MMMM yyyy", "MM/yyyy", "yyyy/MM/dd", "d MMMM, yyyy", "EEEE, MMM d yyyy", "dd-MMM-yyyy", "yyyy MMM dd", "yyyyMMdd", "MMMyyyy", "MM/dd/yyyy HH:mm")
 YEAR_ONLY = ("'Q1' yyyy", "'spring' yyyy", "MMM d yyyy yyyy")
@@ -444,6 +463,10 @@ SQL: dict[str, str] = {
     "normalize_email": f"WITH {NORM} SELECT rec_seq, email FROM norm",
     "normalize_phone": """SELECT p_partkey, '+9199887' || d AS india, CAST(NULL AS VARCHAR) AS us, '+9199887' || d AS plus, '+1415555' || substr(d, 2) AS extension
       FROM (SELECT p_partkey, lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS d FROM part)""",
+    "phones_abroad": f"""WITH plans AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{code}', '{first}', {n})" for k, (code, first, n) in enumerate(ABROAD))}) v(k, code, first, digits)),
+      c AS (SELECT c_custkey, code, first || lpad(CAST(c_custkey % 10000 AS VARCHAR), CAST(digits - length(first) AS INTEGER), '1') AS n FROM customer JOIN plans ON k = (c_custkey // 4) % {len(ABROAD)})
+      SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '+' || code || ' ' || n WHEN 1 THEN '+' || code || '-' || substr(n, 1, 3) || '-' || substr(n, 4) WHEN 2 THEN '+' || code || ' ' || substr(n, 1, 4) ELSE '+999 ' || n END AS said,
+        CASE WHEN c_custkey % 4 < 2 THEN '+' || code || n END AS phone FROM c""",
     "normalize_date": """SELECT o_orderkey, CASE WHEN o_orderkey % 23 < 12 OR o_orderkey % 23 = 18 THEN strftime(o_orderdate, '%Y-%m') WHEN o_orderkey % 23 = 15 THEN strftime(o_orderdate, '%Y-01') END AS month,
         CASE WHEN o_orderkey % 23 < 16 OR o_orderkey % 23 = 18 THEN strftime(o_orderdate, '%Y') END AS year FROM orders""",
     # The first five letters of one country are those of another as well; three letters too many are no misspelling.
@@ -498,7 +521,7 @@ SQL: dict[str, str] = {
 }
 QUERIES = {
     "golden_profiles": golden_profiles, "extract_emails": extract_emails, "extract_phones": extract_phones, "scan_skills": scan_skills, "guess_name": guess_name, "labelled_name": labelled_name,
-    "sections": sections, "normalize_email": normalize_email, "normalize_phone": normalize_phone, "normalize_date": normalize_date, "normalize_country": normalize_country, "search_country": search_country, "canonical_skill": canonical_skill,
+    "sections": sections, "normalize_email": normalize_email, "normalize_phone": normalize_phone, "phones_abroad": phones_abroad, "normalize_date": normalize_date, "normalize_country": normalize_country, "search_country": search_country, "canonical_skill": canonical_skill,
     "norm_url": norm_url, "header_alias": header_alias, "json_alias": json_alias, "normalized_people": normalized_people, "match_keys": match_keys, "key_owner_edges": key_owner_edges, "clusters": clusters,
     "union_emails": union_emails, "union_phones": union_phones, "pick_name": _scalar("full_name"), "pick_headline": _scalar("headline"), "pick_years": _scalar("years_experience"),
     "pick_location": pick_location, "merge_links": merge_links, "merge_skills": merge_skills, "dedupe_experience": dedupe_experience, "dedupe_education": dedupe_education, "contributors": contributors,

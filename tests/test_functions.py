@@ -40,6 +40,14 @@ MONTHS = {
 YEARS = {"2018": "2018", "class of 2019": "2019", "Graduated 2020": "2020", "May 2017": "2017", "present": None, "garbage": None, "": None}
 
 
+def test_numbering_plans(spark):
+    codes = [*contacts.PLANS, *contacts.LENGTHS]
+    assert not [(a, b) for a in codes for b in codes if a != b and b.startswith(a)] and set(contacts.REGIONS.values()) <= set(codes)
+    plans = {"+30 694 123 4567": "+306941234567", "+234 803 123 4567": "+2348031234567", "+998 (90) 123-45-67": "+998901234567", "+420 601": None, "+90 0532 123 4567": None, "+999 12345678": None, "+380 50 123 45 67 8": None}
+    assert values(spark, contacts.normalize_phone("v"), list(plans)) == list(plans.values())
+    assert values(spark, contacts.normalize_phone("v", "TR"), ["0532 123 45 67", "532 123 45"]) == ["+905321234567", None]
+
+
 ANY_ORDER = {
     "12 March 2019": "2019-03", "March 12th, 2019": "2019-03", "the 3rd of May 2018": "2018-05", "Tue, 5 Nov 2013 10:30:00": "2013-11", "2019/03/05T10:00:00Z": "2019-03", "2019 Dec 31": "2019-12", "20190305": "2019-03",
     "sept 2015": "2015-09", "Sept. 2015": "2015-09", "05.06.2017": "2017-05", "25.06.2017": "2017-06", "6/2017": "2017-06", "2017/6": "2017-06", "12mar2019": "2019-03", "Mar-2019": "2019-03",
