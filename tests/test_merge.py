@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave import schemas
+from kinweave.operators.resolve import owner_edges
 from kinweave.operators import resolve
 from kinweave.operators.components import connected_components
 from kinweave.operators.merge import merge_records, ordered
@@ -213,3 +214,18 @@ def test_all_fields_are_merged_in_few_exchanges(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 6
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    """Keys of more than the bound go one way, the rest the other; the edges are those of one join."""
+    rows = [(r, f"k{k}") for k in range(12) for r in range(k, 40, k + 1)] + [(r, "switchboard") for r in range(5, 60)] + [(99, "alone")]
+    keys = spark.createDataFrame(rows, "rec_seq long, key string").repartition(3)
+    first, want = {}, set()
+    for r, k in rows:
+        first[k] = min(first.get(k, r), r)
+    want = {(r, first[k]) for r, k in rows if r != first[k]}
+    found = owner_edges(keys, hub=3, most_hubs=20)
+    assert {tuple(r) for r in found.collect()} == want and {tuple(r) for r in owner_edges(keys).collect()} == want
+    assert {tuple(r) for r in owner_edges(keys, max_fanout=10, hub=3, most_hubs=20).collect()} == {(r, first[k]) for r, k in rows if r != first[k] and sum(x == k for _, x in rows) <= 10}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    assert owner_edges(keys.limit(0)).count() == 0

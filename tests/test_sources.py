@@ -188,3 +188,15 @@ def test_violations(data):
     ]
     with pytest.raises(ValueError, match="violate"):
         projection.strict(projection.violations(data, {"fields": fields}))
+
+
+def test_what_rows_miss(spark, data):
+    """Typed objects keep missing and null apart; required fields that are missing are rows of their own, and fail the projection."""
+    config = {"fields": [{"path": "mail", "from": "emails[0]", "required": True}, {"path": "years", "from": "years_experience"}, {"path": "planet", "from": "location.planet", "required": True}], "on_missing": "omit"}
+    got = projection.as_variant(data, config).select(F.expr("schema_of_variant(profile)"), F.expr("try_variant_get(profile, '$.years', 'double')")).collect()
+    assert sorted((r[1] for r in got), key=str) == [3.0, None]
+    assert ["mail" in r[0] for r in sorted(got, key=lambda r: r[1] is None)] == [True, False] and all("years" in r[0] and "planet" not in r[0] for r in got)
+    strict = {**config, "on_missing": "error"}
+    assert sorted((r.cluster_id, r.n, r.error) for r in projection.missing_required(data, strict).collect()) == [
+        (1, 0, "required field missing: planet (from location.planet)"), (2, 0, "required field missing: mail (from emails[0])"), (2, 1, "required field missing: planet (from location.planet)")]
+    assert projection.missing_required(data, config).count() == 0
