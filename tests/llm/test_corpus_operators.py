@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import perspectives, repeats, sharding, simhash, templates
 from kinweave.llm.queries import queries
@@ -267,6 +268,25 @@ def test_templates(spark):
     assert templates.without_recurring_lines(docs.limit(0), **how).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 4, 16])
+def test_shards_are_those_of_one_sorted_list(spark, docs, shards):
+    """The places that counts of buckets give, against ranks and a sort of all rows in one list."""
+    hashed = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("stratum"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    hashed = hashed.withColumns({"h": F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), crc), "s": F.xxhash64("stratum")})
+    rows = [(r.stratum, r.h, r.s, r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in hashed.collect()]
+    by_stratum, order, buckets = {}, [], max(3, -(-len(rows) // 7))
+    for r in sorted(rows, key=lambda r: (r[0], r[1] % buckets, r[1], r[3] is not None, r[3] or 0, r[4])):
+        by_stratum.setdefault(r[0], []).append(r)
+    for own in by_stratum.values():
+        order += [((k + 0.5) / len(own), r) for k, r in enumerate(own)]
+    order.sort(key=lambda x: (x[0], x[1][2], x[1][1], x[1][3] is not None, x[1][3] or 0, x[1][4]))
+    cuts = [k * len(order) // shards for k in range(shards + 1)]
+    want = sorted(((r[3], r[4], r[5], k, at - cuts[k]) for k in range(shards) for at, (_, r) in enumerate(order) if cuts[k] <= at < cuts[k + 1]), key=str)
+    got = sharding.stratified_shards(docs, shards=shards, source_buckets=3, order_buckets=5, bucket_rows=7).collect()
+    assert sorted(((r.id, r["size"], r.text_crc32, r.shard, r.slot) for r in got), key=str) == want
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", "Hey"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, ""), (3, 1, "unknown", "x"), (None, 5, "zoe", "é"), (None, 5, "zoe", "é"), (4, -600, "a\nassistant", "q"), (4, -1, "b", "r"), (4, 0, "b", "s")]
     turns = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, perspective string, `a.b` string")
