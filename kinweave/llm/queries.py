@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import bpe, decontamination, language, ngram_join, perspectives, quality, repair, repeats, sharding, simhash, templates, token_counts, whitening
+from kinweave.llm import bpe, decontamination, language, maximal, ngram_join, perspectives, quality, repair, repeats, sharding, simhash, templates, token_counts, whitening
 
 
 def queries() -> dict:
@@ -20,7 +20,7 @@ def queries() -> dict:
         "op11_ngram_jaccard": ngram_join.query,
         "op12_conversation_repair": repair.query,
         "op13_whitening": whitening.query,
-        "maximal_repeats": repeats.repeats_query,
+        "maximal_repeats": maximal.query,
         "quality_ablation": quality.ablation_query,
     }
 

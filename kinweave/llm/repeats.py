@@ -19,8 +19,8 @@ least hash in it, which depends on the window's bytes alone.
    first ``least`` bytes nobody shares, or that everybody who shares them can
    extend to the left by one byte, are in no such interval and leave before the
    sort.  Equal passages are one leaf; a leaf of several places is an interval.
-4. Long repeats run through several bins; their spans meet again per document,
-   and ``maximal_repeats`` joins intervals of one set of places into one repeat.
+4. Long repeats run through several bins; their spans meet again per document
+   (``maximal`` finds their groups).
 
 A passage that is repeated in very many documents does not grow a bin: a task
 hands on each distinct passage once, for its least document, and knows by
@@ -40,7 +40,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import binary_flat, flat, run_starts, slices
@@ -208,8 +207,9 @@ def _flushes(parts: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterat
 LISTED = ("<u4", "<i8", "<u2")
 
 
-def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
-    """(doc_id, grams): the grams of a document, by 32 bits each, that may begin a repeat across documents.
+def candidates(docs: DataFrame, bins: int, least: int = LEAST, within: bool = False) -> DataFrame:
+    """(doc_id, grams): the grams of a document, by 32 bits each, that may begin a repeat across documents,
+    or with ``within`` any repeat.
 
     Rows without a document hold, as 64 bits and a count of 64 bits each, the
     grams with HEAVY different passages or more.
@@ -230,9 +230,10 @@ def candidates(docs: DataFrame, bins: int, least: int = LEAST) -> DataFrame:
             order = np.lexsort((doc, key))
             key, doc, around = key[order], doc[order], around[order]
             n_around = _different(key, around)
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[once], doc[once]
+            if not within:
+                once = np.ones(len(key), bool)
+                once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                key, doc = key[once], doc[once]
             starts = run_starts(key)
             sizes = np.diff(np.append(starts, len(key)))
             many = np.repeat(sizes > 1, sizes)
@@ -308,6 +309,36 @@ def _heavy_grams(found: DataFrame, most: int = HEAVY_GRAMS) -> np.ndarray:
     return np.sort(kept[0].view(np.uint64))
 
 
+def maximal_intervals(prefix: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, length) of the intervals that are maximal repeats, by a stack scan.
+
+    Of the sorted suffixes, ``prefix`` is what each has in common with the one
+    before it, and ``before`` the byte that precedes it.
+    """
+    out: list[tuple[int, int, int]] = []
+    prefix = prefix.tolist()
+    prefix.append(0)
+    n = len(prefix)
+    # Places where the byte before a suffix is not that of its neighbour: an interval is diverse if it holds one.
+    diverse = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])]).tolist() if len(before) else []
+    stack: list[tuple[int, int]] = []
+    for i in range(1, n):
+        p = prefix[i]
+        if p < least:
+            if not stack:
+                continue
+            p = 0
+        left = i - 1
+        while stack and stack[-1][0] > p:
+            length, left = stack.pop()
+            if diverse[i - 1] > diverse[left]:
+                out.append((left, i - 1, length))
+        if p and (not stack or stack[-1][0] < p):
+            stack.append((p, left))
+    found = np.array(out, np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
 class Bin:
     """Passages of one bin: the suffix array of their window starts and its interval tree."""
 
@@ -363,32 +394,6 @@ class Bin:
         self.prefix = np.minimum(common, np.concatenate([[0], np.minimum(size[1:], size[:-1])])) if len(order) else common
         self.before = before[order]
 
-    def maximal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, last, length) of the intervals that are maximal repeats, by a stack scan."""
-        out: list[tuple[int, int, int]] = []
-        least = self.least
-        prefix = self.prefix.tolist()
-        prefix.append(0)
-        n = len(prefix)
-        # Places where the byte before a suffix is not that of its neighbour: an interval is diverse if it holds one.
-        diverse = np.concatenate([[0], np.cumsum(self.before[1:] != self.before[:-1])]).tolist() if len(self.before) else []
-        stack: list[tuple[int, int]] = []
-        for i in range(1, n):
-            p = prefix[i]
-            if p < least:
-                if not stack:
-                    continue
-                p = 0
-            left = i - 1
-            while stack and stack[-1][0] > p:
-                length, left = stack.pop()
-                if diverse[i - 1] > diverse[left]:
-                    out.append((left, i - 1, length))
-            if p and (not stack or stack[-1][0] < p):
-                stack.append((p, left))
-        found = np.array(out, np.int64).reshape(-1, 3)
-        return found[:, 0], found[:, 1], found[:, 2]
-
 
 def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, ... for each, ``count`` long."""
@@ -483,19 +488,19 @@ class Met:
         self.several = np.flatnonzero(np.repeat(n > 1, n))
         self.tree = Bin(data, base[self.several], self.sizes[self.several], self.sizes[self.several] - least + 1, least) if len(self.several) else None
 
-    def spans(self, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, offset in it, length, repeat): occurrences of the maximal repeats.
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, offset in it, length): occurrences of the maximal repeats.
 
-        Those of a document larger than the repeat's least one, or with ``every`` all.
+        Those of a document larger than the repeat's least one.
         """
         out: list[tuple[np.ndarray, ...]] = []
-        leaf = np.flatnonzero(self.count > 1 if every else self.smallest < self.largest)
+        leaf = np.flatnonzero(self.smallest < self.largest)
         if len(leaf):
             n = self.count[leaf]
             which = _expand(self.first[leaf], n)
-            out.append((which, np.zeros(len(which), np.int64), np.repeat(self.sizes[leaf], n), np.repeat(self.smallest[leaf], n), np.repeat(-1 - leaf, n)))
+            out.append((which, np.zeros(len(which), np.int64), np.repeat(self.sizes[leaf], n), np.repeat(self.smallest[leaf], n)))
         if self.tree is not None:
-            lo, hi, length = self.tree.maximal()
+            lo, hi, length = maximal_intervals(self.tree.prefix, self.tree.before, self.tree.least)
             if len(lo):
                 n = hi - lo + 1
                 suffix = _expand(lo, n)
@@ -504,17 +509,15 @@ class Met:
                 m = self.count[of]
                 which = _expand(self.first[of], m)
                 spread = lambda v: np.repeat(v, m)
-                out.append((which, spread(self.tree.offset[suffix]), spread(np.repeat(length, n)), spread(np.repeat(low, n)), spread(np.repeat(np.arange(len(lo)), n))))
+                out.append((which, spread(self.tree.offset[suffix]), spread(np.repeat(length, n)), spread(np.repeat(low, n))))
         if not out:
-            return (np.zeros(0, np.int64),) * 4
-        which, offset, length, low, group = (np.concatenate(x) for x in zip(*out, strict=True))
-        if not every:
-            use = self.doc[which] > low
-            which, offset, length, group = which[use], offset[use], length[use], group[use]
-        return which, offset, length, group
+            return (np.zeros(0, np.int64),) * 3
+        which, offset, length, low = (np.concatenate(x) for x in zip(*out, strict=True))
+        use = self.doc[which] > low
+        return which[use], offset[use], length[use]
 
 
-def _cut_out(bins: int, least: int, heavy, every: bool):
+def _cut_out(bins: int, least: int, heavy):
     """The function that turns (doc_id, text, grams) into cells of passages by bin, and sure spans by document."""
     names = ["bin", "passages", *_SPAN_NAMES]
     width = _width(least)
@@ -562,14 +565,12 @@ def _cut_out(bins: int, least: int, heavy, every: bool):
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (sizes[1:] != sizes[:-1]) | (rows[1:] != rows[:-1]).any(1)
             heads = np.flatnonzero(new)
-            kept = np.ones(len(g), bool)
-            if not every:
-                # The places of a passage beyond its least document here repeat that document.
-                kept = doc == doc[heads][np.cumsum(new) - 1]
-                if not kept.all():
-                    sure = _span_rows(*(x[~kept] for x in (doc, key, at, sizes)))
-                    n = sure.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(sure.column(0).to_numpy() % bins, pa.int64()), pa.nulls(n, pa.binary()), *sure.columns], names)
+            # The places of a passage beyond its least document here repeat that document.
+            kept = doc == doc[heads][np.cumsum(new) - 1]
+            if not kept.all():
+                sure = _span_rows(*(x[~kept] for x in (doc, key, at, sizes)))
+                n = sure.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(sure.column(0).to_numpy() % bins, pa.int64()), pa.nulls(n, pa.binary()), *sure.columns], names)
             places = np.add.reduceat(kept.astype(np.int64), heads)
             ends = np.cumsum(places)
             b = (g[heads] >> np.uint64(32)).astype(np.int64)
@@ -606,14 +607,14 @@ def _bins(docs: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BIN_BYTES))
 
 
-def _met(docs: DataFrame, least: int, bins: int | None, every: bool) -> tuple[DataFrame, int]:
+def _met(docs: DataFrame, least: int, bins: int | None) -> DataFrame:
     """Passages of all documents with candidates, in cells by bin, beside the spans that are sure."""
     bins = bins or _bins(docs)
     found = cut(candidates(docs, bins, least))
     heavy = docs.sparkSession.sparkContext.broadcast(_heavy_grams(found))
     wanted = found.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
     texts = _dealt(docs).join(wanted, "doc_id").select("doc_id", "text", "size", "grams")
-    return texts.mapInArrow(_cut_out(bins, least, heavy, every), f"bin long, passages binary, {SPANS}"), bins
+    return texts.mapInArrow(_cut_out(bins, least, heavy), f"bin long, passages binary, {SPANS}")
 
 
 def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None) -> DataFrame:
@@ -627,125 +628,11 @@ def spans(docs: DataFrame, least: int = LEAST, bins: int | None = None) -> DataF
         if not t.num_rows:
             return known
         met = Met(t.column("passages"), least)
-        which, offset, length, _ = met.spans(False)
+        which, offset, length = met.spans()
         rows = _span_rows(met.doc[which], met.key[which], met.at[which] + offset, length)
         return pa.concat_tables([known, pa.Table.from_batches([rows])])
 
-    cut_up, _ = _met(docs, least, bins, False)
-    return cut_up.groupBy("bin").applyInArrow(meet, SPANS)
-
-
-def occurrences(docs: DataFrame, least: int = LEAST, bins: int | None = None) -> DataFrame:
-    """(bin, repeat, length, doc_id, text_key, start): every occurrence of every maximal repeat of the bins, one row each."""
-    schema = "bin long, repeat long, length long, doc_id long, text_key long, start long"
-
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        met = Met(t.column("passages"), least)
-        which, offset, length, group = met.spans(True)
-        columns = (np.full(len(which), key[0].as_py()), group, length, met.doc[which], met.key[which], met.at[which] + offset)
-        return pa.table([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in schema.split(", ")])
-
-    cut_up, _ = _met(docs, least, bins, True)
-    return cut_up.groupBy("bin").applyInArrow(meet, schema)
-
-
-def _weight(seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit((1 << 31) - 1)) + 1
-
-
-def _chains(found: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
-    """(bin, repeat, start, length, and what tells their sets of places apart): intervals of one set of places, joined where they overlap.
-
-    Of a chain's intervals the first stands for all; ``start`` is that of the
-    first place.  Two sets are taken as one if their first places have one
-    text, and their number, weights and weighted distances from the first place
-    are equal.
-    """
-    whole = lambda x: F.sum(x.cast("decimal(38,0)"))
-    heads = found.groupBy("bin", "repeat").agg(
-        F.min(F.struct("doc_id", "text_key", "start")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("length").alias("length"),
-        *(whole(_weight(k)).alias(f"w{k}") for k in (1, 2)), *(whole(_weight(k) * F.col("start")).alias(f"s{k}") for k in (1, 2)),
-        whole(F.col("start")).alias("t"), whole(F.col("start") * F.col("start")).alias("q"),
-    )
-    at = F.col("head.start").cast("decimal(12,0)")
-    apart = [(F.col(f"s{k}") - F.col(f"w{k}") * at).cast("string").alias(f"r{k}") for k in (1, 2)]
-    apart.append((F.col("q") - at * F.col("t") * 2 + at * at * F.col("n")).cast("string").alias("r3"))
-    heads = heads.select("bin", "repeat", "length", F.col("head.start").alias("start"), F.col("head.doc_id").alias("d"), F.col("head.text_key").alias("k"), "n", F.col("w1").cast("string").alias("w1"), F.col("w2").cast("string").alias("w2"), *apart)
-    keys = ["d", "k", "n", "w1", "w2", "r1", "r2", "r3"]
-    order = W.partitionBy(*keys).orderBy("start", "length", "bin", "repeat")
-    end = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = (F.col("start") > F.coalesce(end, F.lit(-1)) - F.lit(least - 1)).cast("int")
-    heads = heads.withColumn("opens", opens).withColumn("chain", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    chains = heads.groupBy(*keys, "chain").agg(F.min(F.struct("start", "bin", "repeat")).alias("f"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"))
-    return chains.select("f.bin", F.col("f.repeat").alias("repeat"), F.col("f.start").alias("start"), "length", *keys), keys
-
-
-#: Lengths by which all places of a repeat are compared beyond its ends at once.
-STEPS = tuple(1 << k for k in range(17))
-
-
-def _gains(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(bin, repeat, left, right): bytes, of STEPS, in which all places agree next to either end; null if in none.
-
-    ``places`` is (bin, repeat, doc_id, text_key, start, end), ``rows`` the texts.
-    """
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, 1 << 18):
-            out: tuple[list, ...] = ([], [], [], [])
-            for text, b, repeat, key, start, end in zip(batch.column(0), *(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                if _text_key(raw) != key:
-                    continue
-                for step in STEPS:
-                    for side, s, e in ((-step, start - step, start), (step, end, end + step)):
-                        inside = s >= 0 and e <= len(raw)
-                        if inside or step == 1:
-                            out[0].append(b)
-                            out[1].append(repeat)
-                            out[2].append(side)
-                            out[3].append(xxhash.xxh3_64_intdigest(raw[s:e]) - (1 << 63) if inside else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["bin", "repeat", "side", "h"])
-
-    told = rows.join(places, "doc_id").select("text", "bin", "repeat", "text_key", "start", "end").mapInArrow(compare, "bin long, repeat long, side long, h long")
-    agree = told.groupBy("bin", "repeat", "side").agg(F.count("h").alias("met"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    n = places.groupBy("bin", "repeat").agg(F.count(F.lit(1)).alias("n"))
-    agree = agree.filter("lo = hi").join(n, ["bin", "repeat"]).filter("met = n")
-    side = lambda sign: F.max(F.when(F.col("side") * sign > 0, F.abs("side")))
-    return agree.groupBy("bin", "repeat").agg(side(-1).alias("left"), side(1).alias("right"))
-
-
-def maximal_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(repeat, length, n_places, doc_id, start): every occurrence of every maximal repeat found, one row each.
-
-    Lengths and starts are in bytes.  A maximal repeat is a string of ``least``
-    bytes or more in two places or more that neither end can be extended by a
-    byte that all its places share.  Intervals of the bins with one set of
-    places are joined where they overlap, then extended at either end as far as
-    all places agree, by steps that double, so a repeat may be as long as a
-    text.  Found is every maximal repeat whose set of places is that of some
-    string within one passage; a set that only several windows have in common,
-    each of which also occurs elsewhere, is not listed by itself (the bytes are
-    listed with the larger sets).  ``repeat`` names it.  Rows without id or text
-    are left out; texts that share an id are texts of their own, equal rows
-    count once.
-    """
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")).filter("doc_id is not null and text is not null").distinct()
-    found = cut(occurrences(rows, least, bins))
-    chains, keys = _chains(found, least)
-    chains = cut(chains.withColumns({"left": F.lit(0).cast("long"), "open": F.lit(True)}))
-    while True:  # every round at least halves what is left to agree on
-        now = chains.filter("open").select("bin", "repeat", "left", "length")
-        if now.isEmpty():
-            break
-        begin = F.col("start") - F.col("left")
-        places = found.drop("length").join(now, ["bin", "repeat"]).select("bin", "repeat", "doc_id", "text_key", begin.alias("start"), (begin + F.col("length")).alias("end"))
-        gains = _gains(rows, places).withColumnsRenamed({"left": "more_left", "right": "more_right"})
-        before, after = F.coalesce("more_left", F.lit(0)), F.coalesce("more_right", F.lit(0))
-        chains = cut(chains.join(gains, ["bin", "repeat"], "left").select("bin", "repeat", "start", (F.col("length") + before + after).alias("length"), *keys, (F.col("left") + before).alias("left"), (before + after > 0).alias("open")))
-    once = chains.groupBy(*keys, (F.col("start") - F.col("left")).alias("begin"), "length").agg(F.min(F.struct("bin", "repeat", "left")).alias("f"))
-    name = F.sha2(F.concat_ws(",", *keys, "begin", "length"), 256)
-    named = once.select("f.bin", F.col("f.repeat").alias("repeat"), "f.left", "length", F.col("n").alias("n_places"), name.alias("name"))
-    return found.drop("length").join(named, ["bin", "repeat"]).select(F.col("name").alias("repeat"), "length", "n_places", "doc_id", (F.col("start") - F.col("left")).alias("start"))
+    return _met(docs, least, bins).groupBy("bin").applyInArrow(meet, SPANS)
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -807,7 +694,3 @@ def without_repeats(docs: DataFrame, least: int = LEAST, bins: int | None = None
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
-
-
-def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maximal_repeats(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import perspectives, repeats, sharding, simhash, templates
+from kinweave.llm import maximal, perspectives, repeats, sharding, simhash, templates
 from kinweave.llm.queries import queries
 
 RNG = random.Random(11)
@@ -65,7 +65,7 @@ def test_repeats(spark, docs, texts):
 def test_maximal_repeats_hold_all_occurrences(spark):
     a, b = "q" * 10 + "the quick brown fox jumps over the lazy dog and runs off" + "1", "the quick brown fox jumps over the lazy dog and runs off2"
     docs = spark.createDataFrame([(1, "A" + a), (2, "BB" + b), (3, b + "C")], "doc_id long, text string")
-    rows = repeats.maximal_repeats(docs).collect()
+    rows = maximal.maximal_repeats(docs).collect()
     longest = max(r.length for r in rows)
     assert longest >= 56
     groups = {}
@@ -94,6 +94,69 @@ def plain_maximal_repeats(rows, least):
     return {(u, frozenset((d, i) for d, t in rows for i in range(len(t) - len(u) + 1) if t[i : i + len(u)] == u)) for u in found}
 
 
+def groups_of(found, rows):
+    """{(string, places)} of what ``maximal_repeats`` gives; names, lengths and counts must agree."""
+    texts_of, groups = dict(rows), {}
+    for r in found.collect():
+        groups.setdefault((r.repeat, r.length, r.n_places), []).append((r.doc_id, r.start))
+    out = set()
+    for (name, n, n_places), places in groups.items():
+        d, i = places[0]
+        u = texts_of[d][i : i + n]
+        assert hashlib.sha256(u).hexdigest() == name and n_places == len(places) == len(set(places))
+        out.add((u, frozenset(places)))
+    assert len(out) == len(groups)
+    return out
+
+
+def test_maximal_repeats_whose_parts_are_elsewhere(spark):
+    """200 bytes of two documents, whose first 140 a third has and whose last 140 a fourth: no window has the two places alone."""
+    rng = random.Random(41)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    u = word(200)
+    texts = ["1" + u + "a", "2" + u + "b", "3" + u[:140] + "c", "4" + u[60:] + "d"]
+    rows = [(n, t.encode()) for n, t in enumerate(texts)]
+    got = groups_of(maximal.maximal_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), rows)
+    assert (u.encode(), frozenset({(0, 1), (1, 1)})) in got
+    assert got == plain_maximal_repeats(rows, 50)
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_nested_maximal_repeats(spark, monkeypatch, heavy):
+    """Random pieces of one string, whole copies, texts that stand in others, and runs of one byte, against all pairs."""
+    rng = random.Random(43)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    source = word(1500)
+    texts = []
+    for n in range(24):
+        a = rng.randrange(0, 1400)
+        texts.append(word(rng.randrange(0, 30)) + source[a : a + rng.choice([55, 90, 150, 400, 900])] + word(rng.randrange(0, 30)) + source[20 * n : 20 * n + 70])
+    texts += [texts[0], texts[1], texts[1], texts[2] + "!", "x" * 64, "y" + "x" * 58 + "z", "é" * 40, "", "ab" * 30, word(120), "alone " * 20, "alone " * 20]
+    rows = [(5 * n - 7, t.encode()) for n, t in enumerate(texts)]
+    if heavy:
+        monkeypatch.setattr(repeats, "HEAVY", 1)
+    docs = spark.createDataFrame([*((5 * n - 7, t, 1, "x") for n, t in enumerate(texts)), (-7, texts[0], 2, "y")], "doc_id long, text string, at int, places string").repartition(3)
+    got = groups_of(maximal.maximal_repeats(docs, bins=4), rows)
+    assert got == plain_maximal_repeats(rows, 50)
+    assert maximal.maximal_repeats(docs.limit(0)).count() == 0
+
+
+def test_a_passage_of_many_documents_is_one_row_of_a_bin(spark, monkeypatch):
+    """What a bin gets does not grow with the documents that hold a passage, and all of them are named."""
+    rng = random.Random(47)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    sizes = spark.sparkContext.accumulator(0)
+    of = maximal._tree
+    monkeypatch.setattr(maximal, "_tree", lambda *a: (lambda run: lambda key, t: (sizes.add(t.num_rows), run(key, t))[1])(of(*a)))
+    for n in (40, 4000):
+        docs = spark.range(n).selectExpr("id as doc_id", f"concat(char(65 + id % 20), '{passage}', char(65 + id % 19), id % 20) as text")
+        before = sizes.value
+        found = maximal.maximal_repeats(docs, bins=2)
+        assert found.filter("length = 300").select("doc_id").distinct().count() == n
+        seen = sizes.value - before
+        assert seen < 9000
+
+
 def test_maximal_repeats_of_any_length(spark):
     """Repeats inside repeats, of several lengths and sets of places, against all pairs; one text repeats itself."""
     rng = random.Random(23)
@@ -103,13 +166,7 @@ def test_maximal_repeats_of_any_length(spark):
     rows = [(n, t.encode()) for n, t in enumerate(texts)]
     want = plain_maximal_repeats(rows, 50)
     docs = spark.createDataFrame([*enumerate(texts), (20, None), (None, long)], "doc_id long, text string").repartition(3)
-    groups = {}
-    for r in repeats.maximal_repeats(docs, bins=3).collect():
-        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
-    got = set()
-    for (_, n), places in groups.items():
-        d, i = min(places)
-        got.add((rows[d][1][i : i + n], frozenset(places)))
+    got = groups_of(maximal.maximal_repeats(docs, bins=3), rows)
     assert got == want
     assert max(len(u) for u, _ in want) > 500 and len(want) > 5
 
