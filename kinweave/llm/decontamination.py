@@ -14,11 +14,12 @@ shifts, and where a shift is zero compares the text with the patterns of the
 bucket, byte for byte.
 
 Items are cut into pieces of whole windows, and pieces are taken in blocks of at
-most ``BLOCK_BYTES`` of text; each block is one pass over the documents.  A
-benchmark of one block needs no shuffle.  With more, each pass leaves the hits
-of its block in a checkpoint before the next block is broadcast, so what is
-broadcast or on the driver at once is bounded whatever the size of the
-benchmark; the hits are then added up by document.
+most ``BLOCK_BYTES`` of text, filled one after another; each block is one pass over
+the documents, and a Python worker builds its tables once.  A benchmark of one
+block needs no shuffle of documents.  With more, each pass but the last leaves
+the hits of its block in a checkpoint before the next block is broadcast, so
+what is broadcast or on the driver at once is bounded whatever the size of the
+benchmark; the last pass adds them up by document.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ from kinweave.plans.lineage import cut
 from kinweave.plans.tables import table
 
 WINDOW = 10
-BLOCK_BYTES = 1 << 20
+#: Bytes of pieces per pass over the documents; their tables take some 220 bytes each in a Python worker.
+BLOCK_BYTES = 2 << 20
 #: Windows of an item in a piece.
 PIECE_WINDOWS = 1024
 STRETCH = 512
@@ -221,22 +224,28 @@ def pieces(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
 
 
 def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple[str, str]]]:
-    """Pieces in blocks of at most ``most`` bytes of text or one piece; one block comes to the driver at a time."""
-    found = cut(pieces(benchmark, item_col, text_col, window))
-    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // most))
-    n *= 2 if n > 1 else 1  # room for blocks that hold more than others
-    for k in range(n):
-        block, held = [], 0
-        for r in found.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator():
-            own = len(r["text"].encode("utf-8", "surrogatepass"))
-            if block and held + own > most:
-                yield block
-                block, held = [], 0
-            block.append((r["item"], r["text"]))
-            held += own
-        if block or n == 1:
+    """Pieces in order, in blocks filled up to ``most`` bytes of text, or of one piece; one block (at least) comes to the driver at a time."""
+    block, held = [], 0
+    for r in cut(pieces(benchmark, item_col, text_col, window).sort("item", "text")).toLocalIterator():
+        own = len(r["text"].encode("utf-8", "surrogatepass"))
+        if block and held + own > most:
             yield block
+            block, held = [], 0
+        block.append((r["item"], r["text"]))
+        held += own
+    yield block
+
+
+#: The tables of the block that this Python worker searched last.
+_TABLES: dict[str, Patterns] = {}
+
+
+def _tables(name: str, given, window: int) -> Patterns:
+    """The tables of a block, built once per worker and block."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = Patterns(given.value, window)
+    return _TABLES[name]
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -247,11 +256,11 @@ _SPAN_TYPE = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end",
 def _scan(rows: DataFrame, block: list[tuple[str, str]], window: int) -> tuple[DataFrame, object]:
     """``rows`` (whose first column is ``text``) with n_words, spans, items for one block, and its broadcast."""
     given = rows.sparkSession.sparkContext.broadcast(block)
-    kept = rows.columns[1:]
+    kept, name = rows.columns[1:], str(uuid4())
     out = StructType([*(rows.schema[c] for c in kept), StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("items", ArrayType(StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(given.value, window)
+        patterns = _tables(name, given, window)
         for batch in slices(batches, 0):
             n_words, spans, items = patterns.scan(*flat(batch.column(0)))
             found = [[{"start": a, "end": b} for a, b in x] for x in spans]
@@ -301,18 +310,18 @@ def contamination(
     # Rows are told apart by two hashes of id and text; those equal in both have equal hits.
     own = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit("")))
     keyed = docs.select(quoted(text_col).alias("text"), quoted(id_col).alias("doc_id")).select("text", own(1).alias("h1"), own(2).alias("h2"))
-    hits = []
-    for block in chain((first, second), blocks):
-        found, given = _scan(keyed, block, window)
+    hits, last = [], first
+    for block in chain((second,), blocks):
+        found, given = _scan(keyed, last, window)
         hits.append(cut(found.filter(F.size("spans") > 0).select("h1", "h2", "spans", "items")))
         given.destroy()
-    added = reduce(DataFrame.union, hits).groupBy("h1", "h2").agg(
-        _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    every, _ = _scan(rows.withColumns({"h1": own(1), "h2": own(2)}), [], window)
-    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    joined = every.drop("spans", "items").join(added, ["h1", "h2"], "left")
-    return joined.select("doc_id", "n_words", nothing("spans", SPANS), nothing("items", "array<string>"), *(["row"] if carry else []))
+        last = block
+    # The last block is searched where rows and counts are read, so there are as many scans as blocks.
+    every, _ = _scan(rows.withColumns({"h1": own(1), "h2": own(2)}), last, window)
+    before = reduce(DataFrame.union, hits).groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans_before"), F.flatten(F.collect_list("items")).alias("items_before"))
+    both = lambda c, kind: F.concat(c, F.coalesce(f"{c}_before", F.array().cast(kind)))
+    joined = every.join(before, ["h1", "h2"], "left").withColumns({"spans": _merged(both("spans", SPANS)), "items": F.array_sort(F.array_distinct(both("items", "array<string>")))})
+    return joined.select(shown)
 
 
 def hit_words(spans: str = "spans"):

@@ -159,6 +159,22 @@ def test_decontamination(spark):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_reads_documents_once_per_block(spark, monkeypatch):
+    """Blocks are filled, and there is one scan for each and none beside; hits of all blocks are added up."""
+    items = [(n, " ".join(f"w{n:02}x{k}" for k in range(30))) for n in range(20)]
+    size = len(items[5][1])
+    docs = spark.createDataFrame([(n, f"a {t} b {items[0][1]}") for n, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    scans, scan = [], decontamination._scan
+    monkeypatch.setattr(decontamination, "_scan", lambda rows, block, window: (scans.append(len(block)), scan(rows, block, window))[1])
+    for most, scanned in ((100 * size, 1), (5 * size, 4), (1, 20)):
+        scans.clear()
+        got = by_id(decontamination.contamination(docs, bench, block_bytes=most))
+        assert sum(scans) == 20 and len(scans) == scanned
+        assert {n: r["items"] for n, r in got.items()} == {n: sorted({str(n), "0"}) for n, _ in items}
+        assert all(sum(x["end"] - x["start"] for x in r["spans"]) == 60 for r in got.values())
+
+
 def test_long_texts_and_pieces_of_items(spark):
     """An item of several pieces, all of whose windows are found, at both ends of a long text; runs of other characters don't matter."""
     words = [f"w{n}" for n in range(3000)]
