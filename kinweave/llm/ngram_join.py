@@ -381,12 +381,15 @@ def verified(pairs: DataFrame, bodies: DataFrame, width: int, t: Fraction) -> Da
     return met.mapInArrow(run, "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near"))
 
 
-def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, combine: bool = True, link_empty: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's set and the least id reachable by links of Jaccard similarity ``similarity`` or more.
 
     Words are what stands between white space, A to Z as small letters.  A text
     of fewer words than a shingle is one shingle; one without words, or a null
-    text, has none and is linked with nothing, not even its like.
+    text, has none and is linked with nothing, not even its like; with
+    ``link_empty`` such texts are alike.  Without ``combine`` every token is a key
+    by itself, frequent ones last: fewer keys where few tokens are frequent.
+    Neither changes which of the other documents are linked.
 
     Ids are whole numbers.  Rows that share an id are one document: their sets
     are linked.  A row whose id is null gets the least id of the texts with its
@@ -401,7 +404,7 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
     spark = docs.sparkSession
     # Fewer than MOST_FREQUENT tokens of 9 bytes.
     tokens, counts = frequent_tokens(rows, shingle)
-    common = spark.sparkContext.broadcast((tokens, np.where(counts >= VERY_FREQUENT_DOCS, 3, 2).astype(np.int8)))
+    common = spark.sparkContext.broadcast((tokens, np.where(counts >= VERY_FREQUENT_DOCS, 3, 2).astype(np.int8) if combine else np.ones(len(counts), np.int8)))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, kinds = common.value
@@ -427,7 +430,7 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
 
     every = cut(rows.mapInArrow(prints, f"doc_id {id_type}, own binary, n long, found array<struct<cls:int,keys:binary,cell:binary>>"))
     # Equal sets are one, named by the least id; a document whose rows hold several sets may name them all.
-    least = cut(every.filter("n > 0").groupBy("own").agg(F.min("doc_id").cast("long").alias("rep")).filter("rep is not null"))
+    least = cut(every.filter(F.lit(link_empty) | (F.col("n") > 0)).groupBy("own").agg(F.min("doc_id").cast("long").alias("rep")).filter("rep is not null"))
     named = every.select(F.col("doc_id").cast("long").alias("rep"), "own", "n", "found").join(least, ["rep", "own"], "left_semi")
     named = cut(named.groupBy("rep", "own").agg(F.first("n").alias("n"), F.first("found").alias("found")).select("rep", "own", "n", F.explode("found").alias("f")).select("rep", "own", "n", "f.*"))
 

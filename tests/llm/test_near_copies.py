@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from kinweave.llm import jaccard
+from kinweave.llm import jaccard, ngram_join
 from tests.llm.plain import plain_classes
 
 RNG = random.Random(3)
@@ -49,6 +49,19 @@ def test_large_buckets_and_components_are_dealt_whole(spark):
     assert got == plain_classes(rows)
 
 
+def test_single_tokens_as_keys_lose_no_link(spark, monkeypatch):
+    """Pairs verified one by one, under keys of one token, with every repeated shingle frequent and buckets of two rows."""
+    rows = near_rows()
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "`a.b` long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "FREQUENT_HERE", 2)
+    monkeypatch.setattr(ngram_join, "FREQUENT_DOCS", 2)
+    for chunk in (2, 2048):
+        found = ngram_join.join_near(docs, 5, 0.8, id_col="a.b", chunk=chunk, combine=False, link_empty=True)
+        got = {r.doc_id: r.component_id for r in found.collect()}
+        assert got.pop(None) == 0
+        assert got == plain_classes(rows)
+
+
 def test_which_shingles_are_frequent_changes_nothing(spark, monkeypatch):
     """With every repeated shingle counted as frequent the classes are the same, and a passage of all texts makes no bucket."""
     passage = " ".join(RNG.choice(WORDS) for _ in range(60))
