@@ -20,11 +20,11 @@ ones if ``long_docs`` do.
 
 Everything is a count by key (leaf; leaf, position and token; template), which
 Spark adds up before it shuffles, so a leaf or template that a third of all
-lines share is no burden to a task.  Joins of lines with leaves and templates
-are salted by document; tokens meet the constants that hold more than one in
-FREQUENT of them by broadcast, so no key that is left to a shuffled join holds
-more.  Only lines of leaves with enough documents are looked
-at closely.
+lines share is no burden to a task.  Lines meet the leaves and templates that hold
+more than one in FREQUENT_LINES of them by broadcast, tokens the constants that hold more than
+one in FREQUENT, so no key that is left to a shuffled join holds more, however
+large the input.  Only lines of leaves with enough documents are looked at
+closely.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ SHORT_DOCS = 25
 #: Lines of more than LONG_TOKENS are recurring from LONG_DOCS documents on.
 LONG_TOKENS = 50
 LONG_DOCS = 2
-SALTS = 16
+#: Fewer leaves, or templates, than twice these are broadcast: a hash or two and the first document, 128 bytes at most each.
+FREQUENT_LINES = 1 << 15
 #: Fewer constants than these are broadcast: a hash and a flag, 32 bytes at most each in a join's table.
 FREQUENT = 1 << 17
 #: How a line is kept in one number beside its leaf: words of the text, number of the line, how it counts, and whether it is the text's first of its kind.
@@ -97,14 +98,16 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _rows(docs, id_col, text_col).repartition("rid")
 
 
-def _salted(many: DataFrame) -> DataFrame:
-    """Rows dealt over SALTS by document, so that a leaf or template that very many share is joined in as many tasks."""
-    return many.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+def _met(many: DataFrame, few: DataFrame, keys: list[str], total: int, frequent: int | None = None) -> DataFrame:
+    """``many`` joined with the rows of ``few`` (keys, rows, ...), each of which stands for its number of ``rows`` in ``many``.
 
-
-def _every_salt(few: DataFrame) -> DataFrame:
-    """The other side of such a join: each row once per salt."""
-    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    Those of more than one in ``frequent`` of ``total`` rows are broadcast;
+    a key that is left to the shuffle has no more than that.
+    """
+    often = F.col("rows") * F.lit(frequent or FREQUENT_LINES) > F.lit(total)
+    top, rest = few.filter(often).drop("rows"), few.filter(~often).drop("rows")
+    left = many.join(F.broadcast(top.select(keys)), keys, "left_anti")
+    return many.join(F.broadcast(top), keys).unionByName(left.join(rest, keys))
 
 
 def _constants_of(each: DataFrame, constants: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -166,8 +169,9 @@ def recurring_lines(
     kind, first = F.expr("cast((told >> 1) & 3 as int)"), F.expr("cast(told & 1 as int)")
     line, words = F.expr(f"cast((told >> 3) & {(1 << LINE_BITS) - 1}L as int)"), F.expr(f"cast(told >> {LINE_BITS + 3} as int)")
     placed = both.filter(kind == 0).select("rid", line.alias("line"), "leaf", first.alias("first"))
-    shared = placed.groupBy("leaf").agg(F.sum("first").alias("n")).filter(F.col("n") >= min_docs)
-    wanted = _salted(placed).join(_every_salt(shared.select("leaf")), ["leaf", "salt"], "left_semi").groupBy("rid").agg(F.collect_set("line").alias("wanted"))
+    total = both.count()
+    shared = cut(placed.groupBy("leaf").agg(F.sum("first").alias("n"), F.count(F.lit(1)).alias("rows")).filter(F.col("n") >= min_docs))
+    wanted = _met(placed, shared.select("leaf", "rows"), ["leaf"], total).groupBy("rid").agg(F.collect_set("line").alias("wanted"))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +200,7 @@ def recurring_lines(
     tokens = close.select("rid", "own", "leaf", F.posexplode("tokens").alias("place", "token"))
     each = tokens.select("rid", "own", "leaf", F.xxhash64("leaf", "place", "token").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.first("leaf").alias("leaf")).filter(F.col("count") >= min_docs)
-    constants = cut(counts.join(shared, "leaf").select("token", "count", (F.col("count") >= F.lit(common) * F.col("n")).cast("int").alias("wide")))
+    constants = cut(counts.join(shared.select("leaf", "n"), "leaf").select("token", "count", (F.col("count") >= F.lit(common) * F.col("n")).cast("int").alias("wide")))
     # The token's hash has its leaf and place in it, so the constants of a line make its template.
     fixed = _constants_of(each.select("rid", "own", "token"), constants).groupBy("rid", "own").agg(
         F.bit_xor("token").alias("template"), F.count(F.lit(1)).alias("fixed"),
@@ -208,14 +212,14 @@ def recurring_lines(
     lines = lines.select("rid", "doc_id", "leaf", "lines", "words", F.explode(F.array_distinct(F.array("template", wide))).alias("template"))
     # The order in which a template's documents come: by id, null last.
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "words")
-    per_doc = lines.groupBy("leaf", "template", "rid").agg(F.min(order).alias("o"), F.flatten(F.collect_list("lines")).alias("lines"))
-    recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("head")).filter(F.col("n") >= min_docs)
-    gone = _salted(per_doc).join(_every_salt(recurring), ["leaf", "template", "salt"]).filter(F.col("rid") != F.col("head.rid")).select("rid", "head", "lines", "leaf", F.lit(0).alias("kind"))
+    per_doc = cut(lines.groupBy("leaf", "template", "rid").agg(F.min(order).alias("o"), F.flatten(F.collect_list("lines")).alias("lines")))
+    recurring = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("rows"), F.min("o").alias("head")).filter(F.col("rows") >= min_docs)
+    gone = _met(per_doc, recurring, ["leaf", "template"], total).filter(F.col("rid") != F.col("head.rid")).select("rid", "head", "lines", "leaf", F.lit(0).alias("kind"))
     if short_docs or long_docs:
         alike = both.filter(kind > 0).select("rid", "doc_id", line.alias("line"), "leaf", first.alias("first"), kind.alias("kind"), words.alias("words"))
         need = F.when(F.col("kind") == 1, short_docs or 0).otherwise(long_docs or 0)
-        repeated = alike.groupBy("leaf", "kind").agg(F.sum("first").alias("n"), F.min(order).alias("head")).filter(F.col("n") >= need).select("leaf", "kind", "head")
-        exact = _salted(alike).join(_every_salt(repeated), ["leaf", "kind", "salt"]).filter(F.col("rid") != F.col("head.rid"))
+        repeated = alike.groupBy("leaf", "kind").agg(F.sum("first").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(order).alias("head"))
+        exact = _met(alike, repeated.filter(F.col("n") >= need).select("leaf", "kind", "rows", "head"), ["leaf", "kind"], total).filter(F.col("rid") != F.col("head.rid"))
         gone = gone.union(exact.select("rid", "head", F.array("line").alias("lines"), "leaf", "kind"))
     return gone.groupBy("rid").agg(F.collect_list(F.struct(F.col("head.rid").alias("head"), F.col("head.words").alias("words"), "lines", "leaf", "kind")).alias("found"))
 

@@ -61,3 +61,14 @@ def test_frequent_and_other_constants_are_all_found(spark):
     want = sorted((r, r, t, w) for r in range(40) for t, w in ((r % 2, 1), (10 + r % 4, 0)))
     for frequent in (1, 2, 3, 4, 6, 7, 100):
         assert sorted(map(tuple, templates._constants_of(each, constants, frequent).collect())) == want
+
+
+def test_hot_leaves_are_broadcast_and_the_rest_shuffled(spark):
+    """Whatever is broadcast, lines meet their leaves once each, and no key left to the shuffle is hot."""
+    rows = [(n, 1 if n % 3 == 0 else n % 40) for n in range(300)]
+    many = spark.createDataFrame(rows, "rid long, leaf long")
+    few = many.groupBy("leaf").count().filter("leaf < 20").selectExpr("leaf", "count as rows", "leaf * 2 as head")
+    want = sorted((leaf, rid, leaf * 2) for rid, leaf in rows if leaf < 20)
+    for frequent in (1, 5, 1 << 15):
+        met = templates._met(many, few, ["leaf"], len(rows), frequent)
+        assert sorted(map(tuple, met.select("leaf", "rid", "head").collect())) == want
