@@ -12,11 +12,15 @@ In a bucket, pairs are left out only by bounds that hold for every pair of
 similarity t: the ratio of the sizes, and the number of differing bits of two
 parity bitmaps, which is never more than the number of shingles that only one of
 the sets has.  Bitmaps are compared as fingerprints of operator 7 are: a
-pigeonring filter over their words, then all bits.  (Majority bits, as SimHash
-has them, give no bound on the similarity of texts; parity bits do.)  What is
-left connects sets into *candidate* components, a superset of the answer; the
-sets of each are then compared exactly, and only the verified links make the
-result.
+pigeonring filter over their words, then all bits.  What is left connects sets
+into *candidate* components, a superset of the answer; the sets of each are then
+compared exactly, and only the verified links make the result.
+
+Majority bits, as SimHash has them, give no bound on the similarity of texts,
+parity bits do.  So the groups of operator 7 may come first (``alike``): their
+sets are compared exactly, what is linked is a class, and the search by prefixes
+only adds what the fingerprints' bound cannot see: the links between different
+classes.  Shingles that one class has to itself are no keys then.
 
 Shingles are told apart by 64-bit hashes.
 """
@@ -33,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import flat, slices
-from kinweave.llm.simhash import HEAVY, SEED, keyed_links
+from kinweave.llm.arrow import flat, run_starts, slices
+from kinweave.llm.simhash import HEAVY, SEED, forest, keyed_links
 from kinweave.operators.components import connected_components
 from kinweave.plans.lineage import cut
 
@@ -241,52 +245,99 @@ def classes_of(t: Fraction) -> list[tuple[int, int | None, int]]:
     return CLASSES if fits else [(1, None, 16)]
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """(key, rep): the rows whose key another row has too."""
+def shared_keys(keyed: DataFrame, most: int = HEAVY) -> DataFrame:
+    """(key, rep): the rows whose key a row of another class has too.  ``keyed`` is (key, rep, class).
+
+    A task holds back ``most`` rows of a key until it meets another class; if a
+    class has more, they are kept as well.
+    """
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, alone = None, None  # the key that the rows so far end with, and its row if it has met no other
+        held: list[pa.RecordBatch] = []  # rows of the last key so far, if they are all of one class
+        last, only, shared = None, None, False
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            same = np.zeros(n, bool)
-            equal = keys[1:] == keys[:-1]
-            same[1:] |= equal
-            same[:-1] |= equal
-            if last is not None and keys[0] == last:
-                same[: np.searchsorted(keys, last, "right")] = True
-                if alone is not None:
-                    yield alone
-            last, alone = keys[-1], None if same[-1] else batch.slice(n - 1)
-            yield batch.filter(pa.array(same))
+            keys, classes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            batch = batch.select(["key", "rep"])
+            starts = run_starts(keys)
+            low, high = np.minimum.reduceat(classes, starts), np.maximum.reduceat(classes, starts)
+            several = low != high
+            if keys[0] == last:
+                several[0] |= shared or low[0] != only
+                if several[0]:
+                    yield from held
+            if several[0] or len(starts) > 1 or keys[0] != last:
+                held = []
+            last, only, shared = keys[-1], low[-1], several[-1]
+            yield batch.filter(pa.array(np.repeat(several, np.diff(np.append(starts, len(keys))))))
+            if not shared:
+                held.append(batch.slice(starts[-1]))
+                if sum(b.num_rows for b in held) > most:
+                    yield from held
+                    held, shared = [], True
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(keep, "key long, rep long")
 
 
 def keys_of(sets: DataFrame) -> DataFrame:
-    """(key, rep): a row per shingle of each prefix.  ``sets`` is (rep long, prefix)."""
+    """(key, rep, class): a row per shingle of each prefix.  ``sets`` is (rep long, class long, prefix)."""
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 20):
-            prefixes = batch.column(1).to_pylist()
+        for batch in slices(batches, 2, 1 << 20):
+            prefixes = batch.column(2).to_pylist()
             take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in prefixes]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), batch.column(0).take(take)], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), "<i8")), batch.column(0).take(take), batch.column(1).take(take)], ["key", "rep", "class"])
 
-    return sets.select("rep", "prefix").mapInArrow(key, "key long, rep long")
+    return sets.select("rep", "class", "prefix").mapInArrow(key, "key long, rep long, class long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = HEAVY, chunk_sets: int = CHUNK_SETS) -> DataFrame:
+def links_within(rows: DataFrame, members: DataFrame, shingle: int, t: Fraction, chunk_sets: int) -> DataFrame:
+    """(a, b): edges that connect what pairs of similarity t or more connect within a part.
+
+    ``members`` is (rep, own, n, part).  Large parts are dealt into chunks, and
+    each pair of chunks is compared by a task of its own.  Within one chunk or
+    pair of chunks each edge leads to the least ``rep`` of its tree.
+    """
+    parts = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    members = members.join(parts.filter("sets > 1").select("part", "chunks"), "part")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = sets_of(batch.column(1), shingle)
+            same = pa.array([xxhash.xxh3_128_digest(s) == own for s, own in zip(found, batch.column(2).to_pylist(), strict=True)])
+            packed = pa.array([s.tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(3), batch.column(4)], ["rep", "shingles", "part", "chunks"]).filter(same)
+
+    named = rows.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select("rep", "text", "own", "part", "chunks")
+    dealt = named.mapInArrow(sets, "rep long, shingles binary, part long, chunks int")
+    i = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    dealt = dealt.withColumn("i", i).withColumn("j", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("i")))))
+
+    def compare(key: tuple, found: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x, np.uint64) for x in found.column("shingles").to_pylist()]
+        a, b = forest(*verified(found.column("rep").to_numpy(), own, t))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = dealt.select("rep", "shingles", "part", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    return dealt.groupBy("part", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", heavy_rows: int = HEAVY, chunk_sets: int = CHUNK_SETS, alike: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id): the least id reachable over links of Jaccard similarity ``similarity`` or more, per row.
 
     Ids are whole numbers.  Texts without words are alike; null texts have no
     words.  Rows that share an id are one document.  A row whose id is null gets
     the least id of the texts with its shingles (null if there is none).
+
+    ``alike`` is (doc_id, component_id), what ``simhash.near_duplicates`` found:
+    the texts of its components are compared first, and the rest of the search
+    is for links between the classes that this gives.  The result is the same
+    for any ``alike``.
     """
     t = Fraction(str(similarity))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    classes = [(low, high or 1 << 62, Bounds(t, words)) for low, high, words in classes_of(t)]
-    cells = [f"cell{k}" for k in range(len(classes))]
+    by_size = [(low, high or 1 << 62, Bounds(t, words)) for low, high, words in classes_of(t)]
+    cells = [f"cell{k}" for k in range(len(by_size))]
 
     # Which shingles are frequent is at most FREQUENT hashes of 8 bytes.
     common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
@@ -298,40 +349,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             own = sets_of(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()),
-                *(pa.array([bounds.cell(s) if low <= len(s) <= high else None for s in own], pa.binary()) for low, high, bounds in classes),
+                *(pa.array([bounds.cell(s) if low <= len(s) <= high else None for s in own], pa.binary()) for low, high, bounds in by_size),
                 pa.array([by_frequency(s, frequent, order)[: prefix_length(len(s), t)].tobytes() for s in own], pa.binary())], ["doc_id", "own", "n", *cells, "prefix"])
 
     every = cut(rows.mapInArrow(prints, f"doc_id {id_type}, own binary, n long, {', '.join(f'{c} binary' for c in cells)}, prefix binary"))
     least = every.groupBy("own").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"))
-    firsts = every.select(F.col("doc_id").cast("long").alias("rep"), "own", *cells, "prefix").join(least.select("own", "rep"), ["own", "rep"], "left_semi")
-    # Only the sets that share a key meet with their bitmaps.
-    met = cut(shared_keys(keys_of(firsts)).join(firsts.select("rep", *cells), "rep").select("key", *cells, "rep"))
-    found = [keyed_links(met.filter(F.col(c).isNotNull()).select("key", F.col(c).alias("fp"), "rep"), bounds, heavy_rows) for c, (_, _, bounds) in zip(cells, classes, strict=True)]
+    least = least.withColumn("class", F.col("rep"))
+    if alike is not None:
+        groups = alike.select(F.col("doc_id").cast("long").alias("rep"), F.col("component_id").cast("long").alias("part")).distinct()
+        sure = cut(links_within(rows, least.filter("n > 0").select("rep", "own", "n").join(groups, "rep"), shingle, t, chunk_sets))
+        # The sets of a class are linked with one set; what chunks or parts find apart may stay several classes.
+        classes = sure.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("least"))
+        least = cut(least.join(classes, "rep", "left").withColumn("class", F.coalesce("least", "rep")).drop("least"))
+    firsts = every.select(F.col("doc_id").cast("long").alias("rep"), "own", *cells, "prefix").join(least.select("rep", "own", "class"), ["own", "rep"])
+    # Only the sets that share a key with another class meet with their bitmaps.
+    met = cut(shared_keys(keys_of(firsts), heavy_rows).join(firsts.select("rep", *cells), "rep").select("key", *cells, "rep"))
+    found = [keyed_links(met.filter(F.col(c).isNotNull()).select("key", F.col(c).alias("fp"), "rep"), bounds, heavy_rows) for c, (_, _, bounds) in zip(cells, by_size, strict=True)]
     maybe = connected_components(reduce(DataFrame.union, found))
     members = cut(least.filter("rep is not null").join(maybe, F.col("rep") == F.col("vertex")).select("rep", "own", "n", F.col("component").alias("part")))
-
-    # Large candidate components are dealt into chunks, and each pair of chunks is compared by a task of its own.
-    parts = members.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(parts, "part")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            found = sets_of(batch.column(1), shingle)
-            same = pa.array([xxhash.xxh3_128_digest(s) == own for s, own in zip(found, batch.column(2).to_pylist(), strict=True)])
-            packed = pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(3), batch.column(4)], ["rep", "shingles", "part", "chunks"]).filter(same)
-
-    named = rows.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select("rep", "text", "own", "part", "chunks")
-    dealt = named.mapInArrow(sets, "rep long, shingles binary, part long, chunks int")
-    i = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("i", i).withColumn("j", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("i")))))
-
-    def compare(key: tuple, found: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, np.uint64) for x in found.column("shingles").to_pylist()]
-        a, b = verified(found.column("rep").to_numpy(), own, t)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    dealt = dealt.select("rep", "shingles", "part", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    roots = connected_components(dealt.groupBy("part", "lo", "hi").applyInArrow(compare, "a long, b long"))
+    linked = links_within(rows, members, shingle, t, chunk_sets)
+    roots = connected_components(linked if alike is None else linked.union(sure))
     roots_of = least.join(roots, F.col("rep") == F.col("vertex"), "left").select("own", F.coalesce("component", "rep").alias("component_id"))
     return every.select("doc_id", "own").join(roots_of, "own").select("doc_id", "component_id")

@@ -154,7 +154,7 @@ def _as_words(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its tree) that connect what the pairs connect."""
     if not len(a):
         return a, b
@@ -227,7 +227,7 @@ def _bucket_links(scheme: Scheme, keys: np.ndarray, fps: np.ndarray, reps: np.nd
         f = _spread(scheme, fps[rows], reps[rows])
         a.append(f[0])
         b.append(f[1])
-    return _forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    return forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
 def links(groups: DataFrame, scheme: Scheme, heavy_rows: int = HEAVY) -> DataFrame:

@@ -49,6 +49,70 @@ def test_large_buckets_and_components_are_dealt_whole(spark):
     assert got == plain_classes(rows)
 
 
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    """Every row gets its fingerprint group from operator 7, and what is linked there meets as one class; the stage had no fingerprints."""
+    import corpus_pipeline
+    from kinweave.llm import simhash
+
+    rng, rows = random.Random(5), []
+    for _ in range(20):
+        base = [rng.choice(WORDS) for _ in range(500)]
+        for gap in (0, 0, 400, 300, 60, 12):  # a changed word every so many: the nearest are within three bits, the next are not, the last are not alike
+            rows.append(" ".join("changed" if gap and k % gap == gap - 1 else w for k, w in enumerate(base)) + f" last{len(rows)}")
+    rows = [*enumerate([*rows, "", None]), (1000, None), (1000, "some text of a repeated id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    grouped, met = [], []
+
+    def groups(docs, found=simhash.near_duplicates):
+        out = found(docs)
+        grouped.extend(out.collect())
+        return out
+
+    def keys(keyed, *more, found=jaccard.shared_keys):
+        met.extend(keyed.select("rep", "class").distinct().collect())
+        return found(keyed, *more)
+
+    monkeypatch.setattr(simhash, "near_duplicates", groups)
+    monkeypatch.setattr(jaccard, "shared_keys", keys)
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(str(r.doc_id) for r in grouped) == sorted(str(d) for d, _ in rows)
+    want = plain_classes(rows[:-3])
+    group = {r.doc_id: r.component_id for r in grouped}
+    joined = [r for r in met if r["class"] != r.rep]
+    assert len(joined) > 10 and all(want[r.rep] == want[r["class"]] and group[r.rep] == group[r["class"]] for r in joined)
+    # Links that are beyond three bits are found all the same.
+    assert any(group[d] != group[c] for d, c in want.items())
+    assert set(kept) - {None, 1000} == {d for d, c in want.items() if d == c}
+
+
+def test_first_groups_change_nothing(spark):
+    """Whatever sets are compared first, in whole or in chunks, the classes are those of all pairs."""
+    rows = near_rows()
+    want = plain_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for of, chunk in ((lambda d: 0, 3), (lambda d: 0, 512), (lambda d: d % 7, 512), (lambda d: -d, 512)):
+        alike = spark.createDataFrame([(d, of(d)) for d, _ in rows], "doc_id long, component_id long")
+        got = jaccard.near_duplicates(docs, chunk_sets=chunk, alike=alike).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_keys_of_one_class_are_left_out(spark):
+    """Keys of one class go and others stay whole, however batches cut them; of a class of many rows, what is beyond the bound may stay."""
+    rows = [(k, 10 * k + n, n % c) for k, c, size in ((1, 1, 5), (2, 2, 9), (3, 1, 1), (4, 3, 4), (5, 1, 7), (6, 2, 2)) for n in range(size)]
+    rows += [(7, 70 + n, int(n == 8)) for n in range(9)]
+    keyed = spark.createDataFrame(rows, "key long, rep long, class long").repartition(2)
+    want = sorted(r[:2] for r in rows if r[0] in (2, 4, 6, 7))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 3, 5, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(tuple(r) for r in jaccard.shared_keys(keyed).collect()) == want
+            some = sorted(tuple(r) for r in jaccard.shared_keys(keyed, 6).collect())
+            assert set(some) - set(want) <= {r[:2] for r in rows if r[0] == 5} and [r for r in some if r in want] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_single_tokens_as_keys_lose_no_link(spark, monkeypatch):
     """Pairs verified one by one, under keys of one token, with every repeated shingle frequent and buckets of two rows."""
     rows = near_rows()
