@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import flat, run_starts, slices
+from kinweave.llm.rows import packed_row, unpacked_row
 from kinweave.llm.simhash import HEAVY, SEED, forest, keyed_links
 from kinweave.operators.components import connected_components
 from kinweave.plans.lineage import cut
@@ -55,6 +56,8 @@ CLASSES = [(1, 400, 4), (300, 2000, 16), (1500, None, 64)]
 FREQUENT = 1 << 20
 FREQUENT_HERE = 3
 FREQUENT_DOCS = 64
+#: Words of 64 bits in the table that tells which rows may have one of some ids: it is broadcast (16 bytes a word).
+MARKS = 1 << 18
 #: Bytes of text over which a task counts shingles at once.
 COUNT_BYTES = 24 << 20
 #: Bytes of words that are hashed at once.
@@ -290,15 +293,35 @@ def keys_of(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "class", "prefix").mapInArrow(key, "key long, rep long, class long")
 
 
+def told_apart(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: whether ``rep`` is one of ``ids``, or, rarely, has the same bit as one in a table of MARKS words.
+
+    The table is broadcast, so rows can leave by it before an exchange.
+    """
+    place = F.pmod(F.xxhash64("rep"), F.lit(64 * MARKS))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    marks = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    met = rows.withColumn("word", word).join(F.broadcast(marks), "word", "left")
+    return met.withColumn("maybe", F.coalesce(F.bit_get("bits", bit) == 1, F.lit(False))).drop("word", "bits")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is no ``rep`` of ``gone``; only rows that may be among these are sent."""
+    told = told_apart(docs.select(F.col("doc_id").cast("long").alias("rep"), packed_row(docs).alias("row")), gone)
+    kept = told.filter("maybe").join(gone, "rep", "left_anti")
+    return told.filter("not maybe").select("row").union(kept.select("row")).select(*unpacked_row(docs))
+
+
 def links_within(rows: DataFrame, members: DataFrame, shingle: int, t: Fraction, chunk_sets: int) -> DataFrame:
     """(a, b): edges that connect what pairs of similarity t or more connect within a part.
 
-    ``members`` is (rep, own, n, part).  Large parts are dealt into chunks, and
-    each pair of chunks is compared by a task of its own.  Within one chunk or
-    pair of chunks each edge leads to the least ``rep`` of its tree.
+    ``members`` is (rep, own, n, part).  Only texts of parts of several sets are
+    sent.  Large parts are dealt into chunks, and each pair of chunks is compared
+    by a task of its own.  Within one chunk or pair of chunks each edge leads to
+    the least ``rep`` of its tree.
     """
     parts = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(parts.filter("sets > 1").select("part", "chunks"), "part")
+    members = cut(members.join(parts.filter("sets > 1").select("part", "chunks"), "part"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -307,7 +330,7 @@ def links_within(rows: DataFrame, members: DataFrame, shingle: int, t: Fraction,
             packed = pa.array([s.tobytes() for s in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(3), batch.column(4)], ["rep", "shingles", "part", "chunks"]).filter(same)
 
-    named = rows.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").select("rep", "text", "own", "part", "chunks")
+    named = told_apart(rows.select(F.col("doc_id").cast("long").alias("rep"), "text"), members).filter("maybe").join(members, "rep").select("rep", "text", "own", "part", "chunks")
     dealt = named.mapInArrow(sets, "rep long, shingles binary, part long, chunks int")
     i = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     dealt = dealt.withColumn("i", i).withColumn("j", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("i")))))

@@ -160,3 +160,44 @@ def test_prefixes_and_bounds_lose_no_pair():
             cells = [np.frombuffer(bounds.cell(x), ">u8").astype(np.uint64).reshape(1, -1) for x in (a, b)]
             assert bounds.linked(*cells).all()
         assert near > 50
+
+
+def test_texts_that_nothing_is_compared_with_stay_where_they_are(spark):
+    """Long texts without near copies go through no exchange, whole rows of the table neither; each went through three."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(n, " ".join(rng.randbytes(40).hex() for _ in range(60)), n) for n in range(200)]
+    rows += [(200 + n, rows[n][1] + " more", n) for n in range(0, 20, 2)] + [(None, "no id", 0), (220, None, 0), (220, "a repeated id", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").repartition(3)
+    docs = docs.checkpoint()
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def sent():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = sent()
+    out = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    moved = sum(n for k, n in sent().items() if k not in before)
+    assert moved < sum(len(t or "") for _, t, _ in rows) / 2
+    assert {(r.doc_id, r.text, r["a.b"]) for r in out} == {r for r in rows if r[0] is None or r[0] < 200 or r[0] == 220}
+
+
+def test_rows_are_told_apart_by_ids(spark, monkeypatch):
+    """Every row of one of the ids may be one, hardly another; with a table of one word the rest is exact as well."""
+    rng = random.Random(9)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, k) for k, i in enumerate(ids)] + [(None, -1)], "doc_id long, rep int")
+    gone = spark.createDataFrame([(i,) for i in ids[::7]], "rep long")
+    for words, most in ((jaccard.MARKS, 20), (1, 3001)):
+        monkeypatch.setattr(jaccard, "MARKS", words)
+        told = jaccard.told_apart(docs.selectExpr("doc_id AS rep"), gone).collect()
+        maybe = {r.rep for r in told if r.maybe}
+        assert len(told) == 3001 and set(ids[::7]) <= maybe and len(maybe - set(ids[::7])) <= most
+        left = sorted(r.rep for r in jaccard.without(docs, gone).collect())
+        assert left == sorted([k for k in range(3000) if k % 7] + [-1])
+    assert jaccard.without(docs, gone.limit(0)).count() == 3001
+    assert jaccard.without(docs.limit(0), gone).count() == 0
