@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.arrow import run_starts, slices
-from kinweave.llm.jaccard import COUNT_BYTES, by_frequency, sets_of
+from kinweave.llm.jaccard import COUNT_BYTES, by_frequency, sets_of, told_apart
 from kinweave.llm.rows import quoted
 from kinweave.operators.components import connected_components
 from kinweave.plans.lineage import cut
@@ -54,11 +54,14 @@ MOST_FREQUENT = 1 << 20
 CHUNK = 2048
 #: Rows of a bucket that are compared by shifting all of a batch at once.
 SMALL = 24
-#: Rounds of likely links before the last, complete one; they end early if a round refutes fewer pairs than these.
+#: Rounds of likely links before the last, complete one; they end early if a round refutes no more pairs than these, in all or for so many links.
 ROUNDS = 2
 FEW = 1000
+FEW_OF = 4000
 #: Shingles that a task keeps of texts that it has compared.
 HELD = 1 << 20
+#: Bits of a parity bitmap for each shingle in which two sets may differ.
+BITS_EACH = 3.5
 #: Low bits of a key, which name its class of sizes.
 CLASS_MASK = 31
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,7 +83,11 @@ class SizeClass:
         must = -(-low * t.numerator // t.denominator)  # tokens that a partner shares at least
         # A whole set can spare enough if it shares more tokens than its groups don't count: groups + 2 * groups.
         self.groups = min(max(1, low // 10), (must - 1) // 3)
-        self.words = 4 if high <= 512 else 16 if high <= 2048 else 64 if high <= 8192 else 256
+        # Unlike sets differ in half of the bits: twice as many, or nearly, as two sets that may be similar can.
+        most = int(self.may_differ(high, high))
+        self.words = 4
+        while 64 * self.words < BITS_EACH * most:
+            self.words *= 2
 
     def keys(self, own: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The keys of a set: ``own`` is its tokens in order, ``kind`` how many of a combination each is in (1 to 3)."""
@@ -326,7 +333,10 @@ def _shared_keys(keyed: DataFrame, chunk: int) -> DataFrame:
 
 
 def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, own, body): the compressed texts of the sets (rep, own); of a repeated row what a task has of it is one."""
+    """(rep, own, body): the compressed texts of the sets (rep, own); of a repeated row what a task has of it is one.
+
+    Only texts that may be wanted are sent.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, last = zstandard.ZstdCompressor(level=3), None
         for batch in slices(batches, 1):
@@ -340,7 +350,7 @@ def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             left = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([left.column(0), left.column(2), pa.array(bodies, pa.binary())], ["rep", "own", "body"])
 
-    return texts.join(wanted, "rep").select("rep", "text", "own").mapInArrow(run, "rep long, own binary, body binary")
+    return told_apart(texts, wanted).filter("maybe").join(wanted, "rep").select("rep", "text", "own").mapInArrow(run, "rep long, own binary, body binary")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, width: int, t: Fraction) -> DataFrame:
@@ -451,7 +461,7 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
     texts = rows.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         wanted = least.join(reps, "rep", "left_semi")
         return cut(verified(pairs, cut(_bodies(texts, wanted)), shingle, t))
 
@@ -461,16 +471,16 @@ def join_near(docs: DataFrame, shingle: int = 3, similarity: float = 0.9, id_col
         pairs = cut(candidates(labels, complete))
         if not pairs.isEmpty():
             told = verify(pairs)
-            n = {r["near"]: r["count"] for r in told.groupBy("near").count().collect()}
-            if n.get(True):
+            linked, refuted = told.agg(F.count_if("near"), F.count_if(~F.col("near"))).first()
+            if linked:
                 new = told.filter("near").select("a", "b")
                 labels = connected_components(new if labels is None else new.union(labels))
         else:
-            n = {}
+            linked = refuted = 0
         if complete:
             break
         k += 1
-        complete = k == ROUNDS or n.get(False, 0) <= FEW or not n.get(True)
+        complete = k == ROUNDS or refuted <= FEW * max(1, linked / FEW_OF) or not linked
 
     # Documents whose rows hold several sets link these.
     of_rows = cut(every.select("doc_id", "own", "n").join(least, "own", "left").select("doc_id", "n", "rep"))

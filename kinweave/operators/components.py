@@ -7,7 +7,7 @@ edges; no vertex list, label map or edge list reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.plans.lineage import cut
@@ -18,36 +18,42 @@ HUB = 100_000
 MOST_HUBS = 10_000
 
 
-def _minimum(neighbours: DataFrame) -> DataFrame:
-    """(u, m, n): the least vertex among u and its neighbours, and how many it has."""
-    return neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+def _both(edges: DataFrame) -> DataFrame:
+    """The edges in either direction."""
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.explode(ends).alias("e")).select("e.u", "e.v")
 
 
-def _met(pairs: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-    """``pairs`` with m of their u; ``rows`` is how many there are at most.
+def _met(pairs: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): the pairs with the least vertex among u and its v; ``rows`` is how many there are at most.
 
-    A vertex of very many edges would be one key of a shuffled join.  Those with
-    more than one in MOST_HUBS of all rows, so fewer than MOST_HUBS, are broadcast.
+    One shuffle by u brings all of a vertex together, where repeated pairs go.
+    A vertex of very many edges would be one window: those with more than one in
+    MOST_HUBS of all rows, so fewer than MOST_HUBS, are added up and broadcast.
     """
     bound = max(HUB, rows // MOST_HUBS)
+    least = F.least(F.min("v").over(Window.partitionBy("u")), "u")
     if rows <= bound:
-        return pairs.join(least.select("u", "m"), "u")
-    hubs = least.filter(F.col("n") > bound).select("u", "m")
-    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-    return pairs.join(F.broadcast(hubs), "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+        return pairs.withColumn("m", least).distinct()
+    hubs = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound)
+    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").withColumn("m", least).distinct()
+    return pairs.join(F.broadcast(hubs.select("u", "m")), "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = _met(both, _minimum(both), 2 * n)
-    return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return _met(_both(edges), 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _minimum(down)
-    pairs = _met(down, least, n)
-    return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    """``edges`` lead down, from u to a lesser v, as the large-star leaves them."""
+    # The edge to the least vertex stays, each other one becomes an edge from there.
+    return _met(edges, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each vertex has one lesser vertex and nothing else, or greater ones only."""
+    ends = _both(edges).groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return ends.filter("low < u and low != high").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -59,14 +65,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct())
-    mark, n = None, now.count()
+    n = now.count()
     if not n:
         return now.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        # The large-star leaves at most as many edges as it had, the small-star twice as many.
+        # Neither star leaves more edges than it had.
         now = cut(_small_star(_large_star(now, n), n))
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if tuple(row) == mark:  # a set of stars is a fixed point
-            return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
-        mark, n = tuple(row), row["n"]
+        if _settled(now):  # a set of stars is a fixed point
+            ends = F.array(F.struct(F.col("u").alias("vertex"), F.col("v").alias("component")), F.struct(F.col("v").alias("vertex"), F.col("v").alias("component")))
+            return now.select(F.explode(ends).alias("e")).groupBy("e.vertex").agg(F.min("e.component").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

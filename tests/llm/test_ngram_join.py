@@ -115,3 +115,24 @@ def test_ids_and_empty_tables(spark):
     assert got_of(spark, []) == []
     docs = spark.createDataFrame([(5, "a b c", 1, 2)], "`a.b` long, `t.x` string, rep long, component long")
     assert [tuple(r) for r in ngram_join.join_near(docs, id_col="a.b", text_col="t.x").collect()] == [(5, 1, 5)]
+
+
+def test_texts_without_candidates_stay_where_they_are(spark):
+    """Long texts that nothing is compared with go through no exchange, in no round."""
+    rng = random.Random(12)
+    rows = [(n, " ".join(rng.randbytes(40).hex() for _ in range(60))) for n in range(200)]
+    rows += [(200 + n, rows[n][1] + " more") for n in range(0, 20, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).checkpoint()
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def sent():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = sent()
+    got = {r.doc_id: r.component_id for r in ngram_join.join_near(docs).collect()}
+    moved = sum(n for k, n in sent().items() if k not in before)
+    assert got == {n: n - 200 if n >= 200 else n for n, _ in rows}
+    assert moved < sum(len(t) for _, t in rows) / 2

@@ -200,6 +200,24 @@ def test_components_with_hubs(spark, monkeypatch):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+def test_a_round_of_components_is_two_exchanges(spark):
+    """One by vertex for each star; what a round leaves isn't sorted out by one more, and stars end the rounds at once."""
+    from kinweave.operators import components
+
+    edges = spark.createDataFrame([(n, n + 1) for n in range(20)], "u long, v long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = components._small_star(components._large_star(edges, 20), 20)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+    stars = spark.createDataFrame([(n, n % 3) for n in range(3, 40)] + [(n, n % 3) for n in range(3, 9)], "a long, b long")
+    assert sorted(map(tuple, connected_components(stars, max_rounds=1).collect())) == [(n, n % 3) for n in range(40)]
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1)
+
+
 def test_all_fields_are_merged_in_few_exchanges(spark):
     """Facts, jobs and studies are each dealt by what they say and once more by cluster; the joins after that deal nothing."""
     from kinweave import schemas
