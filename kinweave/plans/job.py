@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kinweave.operators.merge import merge_records, ordered
 from kinweave.operators.normalize import normalize_records
 from kinweave.operators.projection import project, strict, violations
+from kinweave.plans.lineage import cut
 from kinweave.sources.files import load
 
 
@@ -18,7 +19,7 @@ def build_profiles(raw: DataFrame, region: str = "US", trust: dict[str, float] |
 def run_job(spark: SparkSession, config: dict | None = None, fail_on_violation: bool = False, **sources) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(projected profiles in order, source report, violations) of files; see ``load`` for the sources."""
     raw, report = load(spark, **sources)
-    found = build_profiles(raw)
+    found = cut(build_profiles(raw))  # shown, and checked for violations
     wrong = violations(found, config or {})
     if fail_on_violation:
         strict(wrong)

@@ -170,9 +170,11 @@ def job_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of all six kinds: tables, exports, resumes and notes without a telling name, profile exports, and saved tables of users."""
     at, c = _written(spark, sf_dir), _customers(spark, sf_dir)
     mail, of = F.concat(F.lit("c"), "k", F.lit("@x.io")), lambda r: c.filter(f"c_custkey % {PER_KIND} = {r}")
-    of(1).select("c_custkey", F.concat(F.lit("Some Resume\n"), mail, F.lit("\nSkills\nRust\n")).alias("value")).write.partitionBy("c_custkey").text(f"{at}/resumes")
-    of(2).select("c_custkey", F.concat(F.lit("Mail "), mail, F.lit(", knows Docker")).alias("value")).write.partitionBy("c_custkey").text(f"{at}/talks")
-    of(3).select(F.lit("Some Profile").alias("name"), mail.alias("email"), F.array(F.lit("Kafka")).alias("skills")).withColumn("part", F.col("email")).write.partitionBy("part").json(f"{at}/profiles")
+    # A file per row, written by all cores.
+    apart = lambda rows: rows.repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    apart(of(1)).select("c_custkey", F.concat(F.lit("Some Resume\n"), mail, F.lit("\nSkills\nRust\n")).alias("value")).write.partitionBy("c_custkey").text(f"{at}/resumes")
+    apart(of(2)).select("c_custkey", F.concat(F.lit("Mail "), mail, F.lit(", knows Docker")).alias("value")).write.partitionBy("c_custkey").text(f"{at}/talks")
+    apart(of(3)).select(F.lit("Some Profile").alias("name"), mail.alias("email"), F.array(F.lit("Kafka")).alias("skills")).withColumn("part", F.col("email")).write.partitionBy("part").json(f"{at}/profiles")
     nothing = F.lit(None).cast("string")
     users = c.filter("c_custkey % 3 = 0").select(F.concat(F.lit("u"), "k").alias("login"), nothing.alias("name"), mail.alias("email"), *(nothing.alias(x) for x in ("bio", "location", "html_url", "blog")))
     repos = users.select("login", F.lit(0).alias("repo_rank"), F.lit("Go").alias("language"))

@@ -10,6 +10,9 @@ begin with goes back to their pieces.  Results don't depend on where blocks begi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from kinweave.functions.text import BLANK, bind
 
 #: What a piece begins with: outside of quotes, inside, after a quote inside, at the beginning of a record.
 OUT, IN, CLOSED, NEW = 0, 1, 2, 3
+#: Tasks per core that list folders.
+LISTERS = 4
 
 
 def file_uri() -> Column:
@@ -25,6 +30,18 @@ def file_uri() -> Column:
     return F.regexp_replace("_metadata.file_path", r"^([^:/]+):///", "$1:/")
 
 
+@contextmanager
+def listed_together(spark: SparkSession) -> Iterator[None]:
+    """Within it, a reader lists the folders below its paths by a few tasks per core, and not by one task per folder."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTERS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pieces(spark: SparkSession, places: list[str], where: Column | None = None, end: str | None = None) -> DataFrame:
     """(uri, block, id, size, piece) of all files at the places and below: their lines, or what ``end`` ends.
 
@@ -32,7 +49,8 @@ def pieces(spark: SparkSession, places: list[str], where: Column | None = None,
     condition on ``_metadata``, by which files are left out before they are opened.
     """
     reader = spark.read.option("recursiveFileLookup", True)
-    rows = (reader.option("lineSep", end) if end else reader).text(places)
+    with listed_together(spark):
+        rows = (reader.option("lineSep", end) if end else reader).text(places)
     rows = rows if where is None else rows.filter(where)
     first = F.col("_metadata.file_block_start") == 0
     rows = rows.select(file_uri().alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_size").alias("size"), first.alias("first"), "value")

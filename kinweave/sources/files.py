@@ -17,7 +17,7 @@ from kinweave import schemas
 from kinweave.functions.text import BLANK, col
 from kinweave.operators.positions import with_positions
 from kinweave.plans.lineage import cut
-from kinweave.sources.blocks import csv_rows, file_uri, json_objects, pieces
+from kinweave.sources.blocks import csv_rows, file_uri, json_objects, listed_together, pieces
 from kinweave.sources.csv_records import csv_field_records, header_places
 from kinweave.sources.json_records import PROFILE_URL, ats_records, linkedin_records, url_records
 from kinweave.sources.profile_tables import profile_records
@@ -72,7 +72,8 @@ def found_files(spark: SparkSession, asked: DataFrame, places: list[str]) -> Dat
 
     ``asked`` is (n, path, given, uri); a file is found under each path that leads to it.
     """
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places).select(file_uri().alias("file")).distinct()
+    with listed_together(spark):
+        every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places).select(file_uri().alias("file")).distinct()
     steps = F.split("file", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
     return every.select("file", F.explode(above).alias("uri")).join(asked, "uri").select("n", "path", "given", F.col("file").alias("uri"))
@@ -80,7 +81,8 @@ def found_files(spark: SparkSession, asked: DataFrame, places: list[str]) -> Dat
 
 def _whole(spark: SparkSession, places: list[str], where: Column | None = None) -> DataFrame:
     """(uri, value): whole files as texts, without a byte-order mark.  Compressed files are read as what they hold."""
-    texts = spark.read.option("recursiveFileLookup", True).text(places, wholetext=True)
+    with listed_together(spark):
+        texts = spark.read.option("recursiveFileLookup", True).text(places, wholetext=True)
     texts = texts if where is None else texts.filter(where)
     return texts.select(file_uri().alias("uri"), F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
 
@@ -115,60 +117,63 @@ def load(
     one row each.
     """
     asked: list[tuple[int, str, str | None, str | None, str | None]] = []  # (n, path, given source, URI, text given in place of a path)
-    places: dict[str, list[str]] = {"paths": [], "notes": [], "profiles": []}
+    places: dict[str, dict[int, str]] = {"paths": {}, "notes": {}, "profiles": {}}  # by n
     for kind, given, every in (("paths", None, paths), ("notes", "recruiter_notes", notes), ("profiles", "linkedin", profiles)):
         for path in every:
             inline = kind == "profiles" and (path.lstrip()[:1] in ("{", "[") or "\n" in path or re.fullmatch(PROFILE_URL + r"\S*", path.strip()))
             found = None if inline else _place(spark, path)
             if found:
-                places[kind].append(found[0])
+                places[kind][len(asked)] = found[0]
             asked.append((len(asked), path, given, found[1] if found else None, path if inline else None))
     asked += [(len(asked) + k, url, "linkedin", None, url) for k, url in enumerate(profile_urls)]
     schema = "n int, path string, given string, uri string, value string"
     listed = spark.createDataFrame(asked, schema)
     every = listed.filter("value is not null").select("n", "path", "given", F.lit(None).cast("string").alias("uri"), "value")
-    roots = list(dict.fromkeys(x for some in places.values() for x in some))
+    roots = list(dict.fromkeys(x for some in places.values() for x in some.values()))
     if roots:
         there = found_files(spark, listed.filter("uri is not null").select("n", "path", "given", "uri"), roots)
         every = every.unionByName(there, allowMissingColumns=True)
     by_name = reduce(lambda c, x: c.when(F.lower("uri").endswith(x[0]), x[1]), EXTENSIONS.items(), F)
     no_codec = F.coalesce(_ends("uri", NO_CODEC), F.lit(False))
-    files = cut(with_positions(every, ["n", F.coalesce("uri", F.lit(""))], "rank").withColumns({"kind": F.coalesce("given", by_name), "no_codec": no_codec}))
-
-    named = _ends("_metadata.file_name", tuple(EXTENSIONS))
-    unnamed = files.filter("kind is null")
-    others = None
-    if not unnamed.isEmpty():
-        others = pieces(spark, places["paths"], ~named)
+    # Sorting by ranges reads its input twice; a folder is listed once.
+    files = cut(with_positions(cut(every), ["n", F.coalesce("uri", F.lit(""))], "rank").withColumns({"kind": F.coalesce("given", by_name), "no_codec": no_codec}))
+
+    # Each reader lists and opens only the paths that have files for it.
+    kinds_of = {"unnamed": F.col("kind").isNull(), **{end: _ends("uri", (end,)) for end in (".csv", ".json", ".md")}}
+    met_below = files.filter("given is null and uri is not null").groupBy("n").agg(*(F.max(c).alias(k) for k, c in kinds_of.items())).collect()
+    below = {k: list(dict.fromkeys(places["paths"][r["n"]] for r in met_below if r[k])) for k in kinds_of}
+    others, told = None, set()
+    if below["unnamed"]:
+        others = cut(pieces(spark, below["unnamed"], ~_ends("_metadata.file_name", tuple(EXTENSIONS))))
         kinds = kinds_by_text(others).withColumnRenamed("kind", "told")
-        files = cut(files.join(kinds, "uri", "left").withColumn("kind", F.coalesce("kind", "told", F.lit("resume"))))
-    present = {r["kind"] for r in files.select("kind").distinct().collect()}
+        files = cut(files.withColumn("unnamed", F.col("kind").isNull()).join(kinds, "uri", "left").withColumn("kind", F.coalesce("kind", "told", F.lit("resume"))))
+        told = {r["kind"] for r in files.filter("unnamed").select("kind").distinct().collect()}
     of = files.filter("not no_codec").select("n", "rank", "kind", "uri", "given", F.col("value").alias("inline"))
     met = lambda rows, kind: rows.join(of.filter(F.col("kind") == kind).filter("uri is not null"), "uri")
     seq = lambda pos: F.col("rank").cast("long") * F.lit(FILE_ROOM) + pos
     is_path = F.col("given").isNull()
     parts: list[DataFrame] = []
-    if "ats_json" in present:
-        ats = met(json_objects(pieces(spark, places["paths"], _ends("_metadata.file_name", (".json",)), "}")).withColumnRenamed("pos", "place"), "ats_json").filter(is_path)
+    if below[".json"]:
+        ats = met(json_objects(pieces(spark, below[".json"], _ends("_metadata.file_name", (".json",)), "}")).withColumnRenamed("pos", "place"), "ats_json").filter(is_path)
         parts.append(ats_records(ats, seq(F.col("place"))))
-    if "recruiter_csv" in present:
-        head = {"places": header_places(F.col("header"))}
-        tables = [pieces(spark, places["paths"], _ends("_metadata.file_name", (".csv",)))]
-        if others is not None:
-            tables.append(others.join(files.filter("kind = 'recruiter_csv'").select("uri").distinct(), "uri", "left_semi"))
-        parts += [csv_field_records(met(csv_rows(lines, head), "recruiter_csv").filter(is_path), seq(F.col("number") - 1)) for lines in tables]
-    if "resume" in present:
-        parts.append(resume_records(met(_whole(spark, places["paths"], _ends("_metadata.file_name", (".md",))), "resume").filter(is_path), seq(F.lit(0))))
-    if others is not None:
-        texts = _joined_lines(others)
-        parts.append(ats_records(met(texts, "ats_json").filter(is_path), seq(F.col("pos"))))
-        parts.append(resume_records(met(texts, "resume").filter(is_path), seq(F.lit(0))))
+    tables = [pieces(spark, below[".csv"], _ends("_metadata.file_name", (".csv",)))] if below[".csv"] else []
+    if "recruiter_csv" in told:
+        tables.append(others.join(files.filter("unnamed and kind = 'recruiter_csv'").select("uri").distinct(), "uri", "left_semi"))
+    head = {"places": header_places(F.col("header"))}
+    parts += [csv_field_records(met(csv_rows(lines, head), "recruiter_csv").filter(is_path), seq(F.col("number") - 1)) for lines in tables]
+    if below[".md"]:
+        parts.append(resume_records(met(_whole(spark, below[".md"], _ends("_metadata.file_name", (".md",))), "resume").filter(is_path), seq(F.lit(0))))
+    if "ats_json" in told:
+        parts.append(ats_records(met(_joined_lines(others), "ats_json").filter(is_path), seq(F.col("pos"))))
+    if "resume" in told:
+        parts.append(resume_records(met(_joined_lines(others), "resume").filter(is_path), seq(F.lit(0))))
     if places["notes"]:
-        parts.append(note_records(met(_whole(spark, places["notes"]), "recruiter_notes"), seq(F.lit(0))))
-    if "linkedin" in present:
+        parts.append(note_records(met(_whole(spark, list(places["notes"].values())), "recruiter_notes"), seq(F.lit(0))))
+    if not files.filter("kind = 'linkedin'").isEmpty():
         texts = of.filter("kind = 'linkedin' and inline is not null").select("uri", "rank", F.col("inline").alias("value"))
         if places["profiles"]:
-            texts = texts.unionByName(met(_whole(spark, places["profiles"]), "linkedin").select("uri", "rank", "value"))
+            texts = texts.unionByName(met(_whole(spark, list(places["profiles"].values())), "linkedin").select("uri", "rank", "value"))
+        texts = cut(texts)  # read three times
         is_json = F.ltrim("value", F.lit(BLANK)).rlike(r"^[{\[]") | F.coalesce(F.col("uri").endswith(".json"), F.lit(False))
         is_link = F.col("uri").isNull() & ~is_json & ~F.contains("value", F.lit("\n"))
         parts.append(linkedin_records(texts.filter(is_json), seq(F.col("pos"))))
@@ -180,7 +185,8 @@ def load(
         listed = spark.createDataFrame(asked, schema)
         repos = users.sparkSession.createDataFrame([], "login string, repo_rank int, language string") if repos is None else repos
         parts.append(profile_records(with_positions(users, ["login"], "_place"), repos, F.lit(n_files) * F.lit(FILE_ROOM) + F.col("_place")))
-    raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.RAW_SCHEMA)
+    # The report and what follows read the records, the files are read once.
+    raw = cut(reduce(DataFrame.unionByName, parts)) if parts else spark.createDataFrame([], schemas.RAW_SCHEMA)
     return raw, source_report(listed, files, raw, n_files)
 
 

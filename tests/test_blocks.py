@@ -140,3 +140,23 @@ def test_positions(spark):
     got = with_positions(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), [F.desc("v")]).orderBy("position").collect()
     assert [r.position for r in got] == list(range(500)) and [r.v for r in got] == sorted(values, reverse=True)
     assert with_positions(spark.createDataFrame([], "v int"), ["v"]).collect() == []
+
+def test_files_are_opened_once(spark, tmp_path):
+    """A file per person in folders of their own: each is listed by few tasks and opened by one reader, whatever reads the records."""
+    from kinweave.sources import files
+    from kinweave.sources.blocks import LISTERS
+
+    for kind, text in (("cv", "Some Body\nb{}@x.io\n"), ("talk", "Mail t{}@x.io"), ("profile", '{{"name": "Pat", "email": "p{}@x.io"}}')):
+        for n in range(40):
+            (tmp_path / kind / f"n={n}").mkdir(parents=True)
+            (tmp_path / kind / f"n={n}" / "part.txt").write_text(text.format(n))
+    (tmp_path / "people.csv").write_text("name,email\nPat,p1@x.io\n")
+    context, at = spark.sparkContext, lambda x: str(tmp_path / x)
+    context.setJobGroup("files opened once", "load")
+    raw, report = files.load(spark, paths=[at("people.csv"), at("cv")], notes=[at("talk")], profiles=[at("profile")])
+    context.setJobGroup("after", "after")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files opened once") for s in tracker.getJobInfo(j).stageIds]
+    assert {s.numTasks for s in stages if s} and max(s.numTasks for s in stages if s and s.name.startswith(("load at", "text at"))) <= LISTERS * context.defaultParallelism
+    assert "FileScan" not in raw._jdf.queryExecution().executedPlan().toString() and "FileScan" not in report._jdf.queryExecution().executedPlan().toString()
+    assert raw.count() == 121 and sorted((r.source, r.n_records) for r in report.collect()) == [("linkedin", 40), ("recruiter_csv", 1), ("recruiter_notes", 40), ("resume", 40)]
