@@ -307,9 +307,15 @@ def told_apart(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is no ``rep`` of ``gone``; only rows that may be among these are sent."""
-    told = told_apart(docs.select(F.col("doc_id").cast("long").alias("rep"), packed_row(docs).alias("row")), gone)
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), packed_row(docs).alias("row"))
+    return rows_without(rows, gone).select(*unpacked_row(docs))
+
+
+def rows_without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """(row): the rows (rep, row) whose ``rep`` is none of ``gone``; only those that may be among these are sent."""
+    told = told_apart(rows, gone)
     kept = told.filter("maybe").join(gone, "rep", "left_anti")
-    return told.filter("not maybe").select("row").union(kept.select("row")).select(*unpacked_row(docs))
+    return told.filter("not maybe").select("row").union(kept.select("row"))
 
 
 def links_within(rows: DataFrame, members: DataFrame, shingle: int, t: Fraction, chunk_sets: int) -> DataFrame:

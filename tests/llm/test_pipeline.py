@@ -165,3 +165,18 @@ def test_stages_on_difficult_tables(spark, folder, name):
     assert both == {"quality_rules": [1, 3, 0, 1]}.get(name, [1, 3, 1, 1])
     assert {r.doc_id for r in stage(spark, plain, folder).collect()} <= set(ids) | {None}
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+@pytest.mark.parametrize("most", [90, (1 << 63) - 1])
+def test_copies_without_id_go(spark, most):
+    """A row without id goes if a document with one, or another such row, is near it; also where no greater id is left."""
+    a, b, c, d = prose(30), prose(40), prose(25), prose(35)
+    near = b.rsplit(" ", 1)[0] + " other"
+    rows = [(7, a, "first"), (None, a, "copy"), (None, near, "near"), (most, b, "near"), (None, c, "twice"), (None, c, "twice"), (None, d, "alone"), (12, "", "empty"), (None, None, "no words"), (9, c[: len(c) // 3], "part")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    said = sorted(r.kind for r in kept)
+    assert said == ["alone", "empty", "first", "near", "part", "twice"]
+    assert {(r.doc_id, r.kind) for r in kept} == {(7, "first"), (12, "empty"), (9, "part"), (most, "near"), (None, "alone"), (None, "twice")}
+    nameless = corpus_pipeline.near_dedup(spark, docs.filter("doc_id is null"), "").collect()
+    assert sorted(r.kind for r in nameless) == ["alone", "copy", "near", "no words", "twice"]
