@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,37 @@ def test_registered_queries_run(spark):
     """Each numbered operator is registered once."""
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_a_bin_takes_no_more_than_it_says(monkeypatch):
+    """Suffixes are sorted a piece at a time, passages hashed a slice at a time, and a bin's members come in batches; each was whole."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(53)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(300)) * 40 + b"b" * 500, np.uint8)
+    at = np.array([rng.randrange(len(data)) for _ in range(400)])
+    size = np.minimum(len(data) - at, rng.randrange(3000, 4000))
+    for some in (1, 1 << 20):
+        monkeypatch.setattr(maximal, "SORT_BYTES", some)
+        want = sorted(range(len(at)), key=lambda i: (data[at[i] : at[i] + size[i]].tobytes(), i))
+        assert maximal._sorted(data, at, size).tolist() == want
+    tracemalloc.start()
+    monkeypatch.setattr(maximal, "SORT_BYTES", 1 << 16)
+    maximal._sorted(np.tile(data, 40), np.arange(2000), np.full(2000, 100_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000
+
+    monkeypatch.setattr(maximal, "MEMBERS", 50)
+    texts = [bytes(rng.choice(b"abc") for _ in range(9)) + data[:120].tobytes() + bytes([65 + n]) for n in range(30)]
+    bin_of = pa.table({
+        "p1": pa.array(range(30), pa.int64()), "p2": pa.array(range(30), pa.int64()), "content": pa.array(texts, pa.binary()), "starts": pa.array([80] * 30, pa.int32()),
+        "before": pa.array([maximal.NONE] * 30, pa.int32()), "n_texts": pa.array([1] * 30, pa.int64()), "n_rows": pa.array([1] * 30, pa.int64()),
+    })
+    whole = list(maximal._tree(50, 200)((), bin_of))
+    assert len(whole) > 1 and max(b.num_rows for b in whole) <= 60
+    monkeypatch.setattr(maximal, "HASH_BYTES", 1)
+    monkeypatch.setattr(maximal, "MEMBERS", 1 << 16)
+    assert pa.Table.from_batches(maximal._tree(50, 200)((), bin_of)).to_pylist() == pa.Table.from_batches(whole).to_pylist()
